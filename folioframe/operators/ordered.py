@@ -237,7 +237,7 @@ class Ordered:
         return self.df.drop(_CHUNK, _HOT)
 
 
-def weighted_rank_pick(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
+def weighted_rank_pick(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column], size: str = "n") -> DataFrame:
     """Values at given ranks per key, without gathering a key's rows in one task.
 
     Equal values are counted first, so the shuffle carries one row per (key, value).  ``picks`` maps an
@@ -251,5 +251,5 @@ def weighted_rank_pick(df: DataFrame, keys: list[str], value: str, picks: dict[s
     def hit(rank: Column) -> Column:
         return (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__c") < rank)
     return joined.groupBy(*keys).agg(
-        F.max("__n").alias("n"),
+        F.max("__n").alias(size),
         *[F.max(F.when(hit(r), F.col(value))).alias(n) for n, r in picks.items()])

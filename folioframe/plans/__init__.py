@@ -1,4 +1,4 @@
 """Example queries: importing this package fills the registry."""
 
-from . import fields  # noqa: F401
+from . import fields, sequences  # noqa: F401
 from .demo import ORACLES, QUERIES  # noqa: F401

@@ -210,7 +210,7 @@ def _(t):
     return t.documents.select("doc_id", F.md5(s["english"]).alias("english"), F.md5(F.regexp_replace(s["native"], "\\s+", "")).alias("native"))
 
 
-_TRIGGER, _TARGET, _NEGATION = "\\b(?:with|that|dans|und)\\b", "\\b(?:are|le|die)\\b", "\\b(?:the|la|not)\\b[^.;\\n]{0,30}$"
+_TRIGGER, _TARGET, _NEGATION = " (?:with|that|dans|und) ", " (?:are|le|die) ", " (?:the|la|not) [^.;\\n]{0,30}$"
 
 
 @demo("proximity_flag", f"""
