@@ -71,8 +71,9 @@ _COMPOSE = sorted(((unicodedata.normalize("NFC", d[:-1]) + d[-1], c) for c, d in
 
 def nfc(col: Column) -> Column:
     """Composed form of Latin letters; text without combining marks passes through untouched."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _COMPOSE])
-    composed = F.aggregate(pairs, col, lambda s, p: F.replace(s, p["a"], p["b"]))
+    # Every entry is a letter, a combining mark and the letter they make; two-mark letters come last.
+    entries = F.split(F.lit(" ".join(a + b for a, b in _COMPOSE)), " ")
+    composed = F.aggregate(entries, col, lambda s, e: F.replace(s, F.substring(e, 1, 2), F.substring(e, 3, 1)))
     return F.when(col.rlike("[\\x{0300}-\\x{036f}]"), composed).otherwise(col)
 
 
