@@ -42,21 +42,27 @@ def _common(a: str, b: str) -> int:
     return len(b) - row.bit_count()
 
 
-def match_share(line: str, text: str) -> float:
-    """Share of ``line`` found in ``text``: its longest common run, or for long lines .9 of all characters in order."""
+def match_share(line: str, text: str, floor: float = 0.0) -> float:
+    """Share of ``line`` found in ``text``: its longest common run, or for long lines .9 of all characters in order.
+
+    A share under ``floor`` may come back as 0.
+    """
     if not line or not text:
         return 0.0
     if line in text:
         return 1.0
+    common = _common(line, text) / len(line)
+    if common < floor:  # a run is never longer than the characters in order
+        return 0.0
     run = _longest_run(line, text) / len(line)
-    if len(line) < 12 or run >= 0.6:
-        return run
-    return max(run, _common(line, text) / len(line) * 0.9)
+    return run if len(line) < 12 or run >= 0.6 else max(run, common * 0.9)
 
 
-@F.pandas_udf(T.DoubleType())
-def match_score(lines: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([match_share(a, b) for a, b in zip(lines, texts)], dtype="float64")
+def match_score(line: Column, text: Column, floor: float = 0.0) -> Column:
+    @F.pandas_udf(T.DoubleType())
+    def score(lines: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([match_share(a, b, floor) for a, b in zip(lines, texts)], dtype="float64")
+    return score(line, text)
 
 
 def cut_lines(clean: str, lines: list[str]) -> list[str]:

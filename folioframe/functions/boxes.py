@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 MIN_SIDE = 0.002
 
 
@@ -67,13 +69,14 @@ def normalize_box(x: Column, y: Column, w: Column, h: Column, sx: Column, sy: Co
     fraction = (sx == 1) & (sy == 1)
     def repaired(v):
         return F.when(fraction & (v > 1.05) & (v / 10 <= 1.05), v / 10).otherwise(v)
-    rx, ry, rw, rh = (repaired(v.cast("double")) for v in (x, y, w, h))
-    outside = fraction & ((rx + rw > 1.1) | (ry + rh > 1.1))
-    nw, nh = rw * sx, rh * sy
-    nx, ny = _clip(rx * sx), _clip(ry * sy)
-    ok = (valid_number(rx) & valid_number(ry) & valid_number(rw) & valid_number(rh)
-          & ~outside & (nw > MIN_SIDE) & (nh > MIN_SIDE))
-    return F.when(ok, box(nx, ny, _clip(nw, MIN_SIDE, 1 - nx), _clip(nh, MIN_SIDE, 1 - ny)))
+    def placed(r):
+        outside = fraction & ((r["x"] + r["w"] > 1.1) | (r["y"] + r["h"] > 1.1))
+        ok = valid_number(r["x"]) & valid_number(r["y"]) & valid_number(r["w"]) & valid_number(r["h"]) & ~outside
+        return F.when(ok, box(_clip(r["x"] * sx), _clip(r["y"] * sy), r["w"] * sx, r["h"] * sy))
+    def sized(b):
+        return F.when((b["w"] > MIN_SIDE) & (b["h"] > MIN_SIDE),
+                      box(b["x"], b["y"], _clip(b["w"], MIN_SIDE, 1 - b["x"]), _clip(b["h"], MIN_SIDE, 1 - b["y"])))
+    return let(let(box(*[repaired(v.cast("double")) for v in (x, y, w, h)]), placed), sized)
 
 
 def polygon_to_box(xs: Column, ys: Column) -> Column:

@@ -62,23 +62,38 @@ _BASES = "".join(d[0] for _, d in _LETTERS)
 _TWO_MARKS = "".join(c for c, d in _LETTERS if len(d) == 3)
 _TONED = [(c, d) for c, d in _LETTERS if any(m in d for m in TONE_MARKS)]
 _TONED_FROM = "".join(c for c, _ in _TONED) + TONE_MARKS
-_TONED_DIGIT = "".join(str(next(TONE_MARKS.index(m) for m in d if m in TONE_MARKS) + 1) for _, d in _TONED) + "1234"
+# Control characters stand for tones and marks while counting: their classes are short ranges.
+_TONE_SIGNS = "\x01\x02\x03\x04"
+_TONED_SIGN = "".join(_TONE_SIGNS[next(TONE_MARKS.index(m) for m in d if m in TONE_MARKS)] for _, d in _TONED) + _TONE_SIGNS
+_MARK_SIGNS = "".join("\x02" if len(d) == 3 else "\x01" for _, d in _LETTERS)
 _TONELESS_PAIRS = [(c, unicodedata.normalize("NFC", "".join(x for x in d if x not in TONE_MARKS))) for c, d in _TONED]
 _TONED_SINGLE = "".join(c for c, _ in _TONELESS_PAIRS)
 _TONED_BARE = "".join(b[0] for _, b in _TONELESS_PAIRS)
-_COMPOSE = sorted(((unicodedata.normalize("NFC", d[:-1]) + d[-1], c) for c, d in _LETTERS), key=lambda p: p[1] in _TWO_MARKS)
+# Entries of a letter, a combining mark, the letter they make and a blank.
+_COMPOSE = "".join(unicodedata.normalize("NFC", d[:-1]) + d[-1] + c + " " for c, d in _LETTERS)
+_NOT_ASCII = "[^\\x00-\\x7f]"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def nfc(col: Column) -> Column:
     """Composed form of Latin letters; text without combining marks passes through untouched."""
-    # Every entry is a letter, a combining mark and the letter they make; two-mark letters come last.
-    entries = F.split(F.lit(" ".join(a + b for a, b in _COMPOSE)), " ")
-    composed = F.aggregate(entries, col, lambda s, e: F.replace(s, F.substring(e, 1, 2), F.substring(e, 3, 1)))
-    return F.when(col.rlike("[\\x{0300}-\\x{036f}]"), composed).otherwise(col)
+    marked = "\\p{L}[\\x{0300}-\\x{036f}]"
+    def compose(text):
+        pairs = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({marked})"), F.lit(1)))
+        def replace(s, pair):
+            at = F.instr(F.lit(_COMPOSE), pair)
+            return F.when(at > 0, F.replace(s, pair, F.substring(F.lit(_COMPOSE), at + 2, F.lit(1)))).otherwise(s)
+        return F.aggregate(pairs, text, replace)
+    # The second pass is for letters with two marks.
+    return F.when(col.rlike(marked), compose(compose(col))).otherwise(col)
 
 
 def strip_accents(col: Column) -> Column:
-    return F.regexp_replace(F.translate(col, _ACCENTED, _BASES), "\\p{M}+", "")
+    return F.when(col.rlike(_NOT_ASCII), F.regexp_replace(F.translate(col, _ACCENTED, _BASES), "\\p{M}+", "")).otherwise(col)
 
 
 def count_chars(col: Column, char_class: str) -> Column:
@@ -109,14 +124,15 @@ def plain_key(col: Column) -> Column:
 
 
 def toneless(col: Column) -> Column:
-    return F.lower(F.regexp_replace(F.translate(col, _ACCENTED, _BASES), "[\\x{0300}-\\x{036f}]+", ""))
+    bare = F.regexp_replace(F.translate(col, _ACCENTED, _BASES), "[\\x{0300}-\\x{036f}]+", "")
+    return F.lower(F.when(col.rlike(_NOT_ASCII), bare).otherwise(col))
 
 
 def tone_count(col: Column) -> Column:
     """Number of combining marks of the decomposed text."""
-    marked = F.length(F.regexp_replace(col, f"[^{_ACCENTED}\\x{{0300}}-\\x{{036f}}]+", ""))
-    doubled = F.length(F.regexp_replace(col, f"[^{_TWO_MARKS}]+", ""))
-    return (marked + doubled).cast("long")
+    signs = F.regexp_replace(F.translate(col, _ACCENTED, _MARK_SIGNS), "[^\\x01\\x02\\x{0300}-\\x{036f}]+", "")
+    marks = let(signs, lambda m: F.length(m) + F.length(F.regexp_replace(m, "[^\\x02]+", "")))
+    return F.when(col.rlike(_NOT_ASCII), marks).otherwise(0).cast("long")
 
 
 def memory_key(col: Column) -> Column:
@@ -147,8 +163,8 @@ def mixed_tokens(col: Column) -> Column:
 
 
 def _tone_digits(col: Column) -> Column:
-    kept = F.regexp_replace(col, f"[^{_TONED_FROM}]+", "")
-    return F.translate(kept, _TONED_FROM, _TONED_DIGIT)
+    signs = F.regexp_replace(F.translate(col, _TONED_FROM, _TONED_SIGN), "[^\\x01-\\x04]+", "")
+    return F.when(col.rlike(_NOT_ASCII), F.translate(signs, _TONE_SIGNS, "1234")).otherwise("")
 
 
 def tone_of(col: Column) -> Column:
@@ -210,7 +226,9 @@ def transliterate(col: Column) -> Column:
     def ru(w):
         joined = F.array_join(F.transform(F.flatten(F.transform(F.split(w, "'"), parts)), _part_ru), "")
         return F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 1000))
-    return F.when((F.size(words) > 0) & F.forall(words, parses), F.array_join(F.transform(words, ru), " "))
+    # Most text fails this cheap test and is never taken apart.
+    shape = bare_pinyin(col).rlike(f"^[^a-z]*(?:(?:{PINYIN_PART})+[^a-z]*)+$")
+    return F.when(shape & (F.size(words) > 0) & F.forall(words, parses), F.array_join(F.transform(words, ru), " "))
 
 
 def track_code(col: Column) -> Column:
@@ -248,7 +266,7 @@ def split_language_layers(source: Column, pinyin: Column) -> Column:
     runs = F.regexp_extract_all(source, F.lit(_CJK_RUN), F.lit(0))
     english = F.trim(F.regexp_replace(F.regexp_replace(source, _CJK_RUN, " "), "\\s+", " "))
     pieces = F.regexp_extract_all(pinyin, F.lit("[A-Z]{2,}|\\p{L}+|[①-⑳]|[0-9]+|\\S"), F.lit(0))
-    toned = F.filter(pieces, lambda t: t.rlike(f"[{_TONED_FROM}]") | t.rlike("^[A-Z]{2,}$") | t.rlike("^[①-⑳]$"))
+    toned = F.filter(pieces, lambda t: (F.length(_tone_digits(t)) > 0) | t.rlike("^[A-Z]{2,}$") | t.rlike("^[①-⑳]$"))
     return F.struct(F.array_join(F.transform(runs, lambda r: F.trim(r)), "").alias("native"),
                     F.array_join(toned, " ").alias("pinyin"), english.alias("english"))
 
@@ -257,21 +275,27 @@ def proximity_flag(col: Column, trigger: str, target: str, negation: str, near:
     """Excerpt around the first trigger that has a target within ``near`` characters and no negation just before; else null."""
     hits = F.regexp_extract_all(col, F.lit(f"({trigger})"), F.lit(1))
     gaps = F.split(col, trigger, -1)
-    # Start of the k-th hit = lengths of the gaps and hits before it.
-    starts = F.aggregate(
-        F.transform(hits, lambda h, i: F.struct(F.length(h).alias("n"), F.length(F.element_at(gaps, i + 1)).alias("gap"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("out")),
-        lambda acc, h: F.struct((acc["at"] + h["gap"] + h["n"]).alias("at"),
-                                F.concat(acc["out"], F.array(F.struct((acc["at"] + h["gap"]).alias("at"), h["n"].alias("n")))).alias("out")),
-        lambda acc: acc["out"])
-    def around(h):
-        start = F.greatest(h["at"] - near, F.lit(0))
-        return F.substring(col, start + 1, h["at"] + h["n"] + near - start)
-    def preceding(h):
-        start = F.greatest(h["at"] - before, F.lit(0))
-        return F.substring(col, start + 1, h["at"] - start)
-    good = F.filter(starts, lambda h: ~preceding(h).rlike(negation) & around(h).rlike(target))
-    return F.when(F.size(good) > 0, F.trim(F.regexp_replace(around(good[0]), "\\s+", " ")))
+    start = F.struct(F.lit("").alias("edge"), F.array().cast("array<string>").alias("out"))
+    def right(text, n):
+        return F.when(F.length(text) > n, F.substring(text, F.length(text) - n + 1, F.lit(n))).otherwise(text)
+    # Going forward, the text before each hit is the end of what came so far and the gap.
+    def forward(acc, piece):
+        before_ = right(F.concat(acc["edge"], piece["gap"]), near)
+        return F.struct(right(F.concat(before_, piece["hit"]), near).alias("edge"), F.concat(acc["out"], F.array(before_)).alias("out"))
+    # Going back, the text after each hit is the gap and the start of what follows.
+    def backward(acc, piece):
+        after = F.substring(F.concat(piece["gap"], acc["edge"]), 1, near)
+        return F.struct(F.substring(F.concat(piece["hit"], after), 1, near).alias("edge"), F.concat(acc["out"], F.array(after)).alias("out"))
+    def pieces(of):
+        return F.zip_with(hits, of, lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+    n = F.size(hits)
+    lead = F.aggregate(pieces(F.slice(gaps, F.lit(1), n)), start, forward, lambda acc: acc["out"])
+    trail = F.reverse(F.aggregate(F.reverse(pieces(F.slice(gaps, F.lit(2), n))), start, backward, lambda acc: acc["out"]))
+    spots = F.zip_with(F.zip_with(lead, hits, lambda b, h: F.struct(b.alias("b"), h.alias("h"))), trail,
+                       lambda s, a: F.struct(s["b"].alias("b"), F.concat(s["b"], s["h"], a).alias("around")))
+    good = F.filter(spots, lambda s: ~right(s["b"], before).rlike(negation) & s["around"].rlike(target))
+    found = F.trim(F.regexp_replace(good[0]["around"], "\\s+", " "))
+    return F.when(col.rlike(trigger) & col.rlike(target), F.when(F.size(good) > 0, found))
 
 
 def spoken_match(target: Column, heard: Column) -> Column:

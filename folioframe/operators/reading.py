@@ -101,7 +101,7 @@ def fuzzy_assign(lines: DataFrame, blocks: DataFrame, page: list[str], accept: f
     cols = [*page, "line", "block", "__lift"]
     sure = near.filter("__in").select(*cols, F.lit(1.0).alias("score"))
     # A line with a contained match can only lose to another block by rank, so all candidates are scored.
-    rest = near.filter(~F.col("__in") & (F.length("__text") > 0)).select(*cols, match_score("__key", "__text").alias("score"))
+    rest = near.filter(~F.col("__in") & (F.length("__text") > 0)).select(*cols, match_score(F.col("__key"), F.col("__text"), accept).alias("score"))
     scored = sure.unionByName(rest).filter(F.col("score") >= accept).withColumn("rank", F.col("score") + F.col("__lift"))
     best = scored.groupBy(*page, "line").agg(F.max_by(F.struct("block", "score", "rank"), F.struct(F.col("rank"), F.col("score"))).alias("__b"))
     return best.select(*page, "line", "__b.*")

@@ -10,6 +10,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a table that comes in fewer pieces than there are cores, for work that is heavy per row.
+
+    A large table has more pieces than cores and is read as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazy access to the tables of one directory: ``t.events`` reads events.parquet."""
 
@@ -18,7 +30,8 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
 
 def demo(name: str, sql: str | None = None):
