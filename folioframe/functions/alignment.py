@@ -5,24 +5,25 @@ Each works on one pair of short texts; Spark decides which pairs get here.
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _codes(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
-
-
-def _longest_run(a: str, b: str) -> int:
-    """Length of the longest common run, by halving over the length."""
-    lo, hi = 0, min(len(a), len(b))
+def _longest_run(a: str, b: str, least: int = 1) -> int:
+    """Length of the longest common run, by halving over the length; 0 when it is under ``least``."""
+    def shares(n: int) -> bool:
+        grams = {b[i:i + n] for i in range(len(b) - n + 1)}
+        return any(a[i:i + n] in grams for i in range(len(a) - n + 1))
+    lo, hi = least, min(len(a), len(b))
+    if lo > hi or not shares(lo):
+        return 0
     while lo < hi:
         n = (lo + hi + 1) // 2
-        grams = {b[i:i + n] for i in range(len(b) - n + 1)}
-        if any(a[i:i + n] in grams for i in range(len(a) - n + 1)):
+        if shares(n):
             lo = n
         else:
             hi = n - 1
@@ -54,8 +55,12 @@ def match_share(line: str, text: str, floor: float = 0.0) -> float:
     common = _common(line, text) / len(line)
     if common < floor:  # a run is never longer than the characters in order
         return 0.0
-    run = _longest_run(line, text) / len(line)
-    return run if len(line) < 12 or run >= 0.6 else max(run, common * 0.9)
+    if len(line) < 12:
+        return _longest_run(line, text) / len(line)
+    # A run only counts from .6 on, or when it is longer than .9 of the characters in order.
+    least = max(1, min(math.ceil(0.6 * len(line)), math.floor(0.9 * common * len(line))))
+    run = _longest_run(line, text, least) / len(line)
+    return run if run >= 0.6 else max(run, common * 0.9)
 
 
 def match_score(line: Column, text: Column, floor: float = 0.0) -> Column:
@@ -65,30 +70,54 @@ def match_score(line: Column, text: Column, floor: float = 0.0) -> Column:
     return score(line, text)
 
 
-def cut_lines(clean: str, lines: list[str]) -> list[str]:
-    """The clean text cut at the line boundaries of a noisy reading of it."""
-    raw = clean.replace("\n", "")
-    at = [i for i, c in enumerate(raw) if not c.isspace()]
-    z, parts = "".join(raw[i] for i in at), ["".join(l.split()) for l in lines]
-    a = "".join(parts)
-    ca, cz = _codes(a), _codes(z)
-    table = np.zeros((len(a) + 1, len(z) + 1), np.int32)
-    steps = np.arange(len(z) + 1, dtype=np.int32)
-    table[0] = steps
-    for i in range(1, len(a) + 1):
-        row = np.empty(len(z) + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (cz != ca[i - 1]))
-        table[i] = np.minimum.accumulate(row - steps) + steps
-    ends, i, j = {len(a): len(z)}, len(a), len(z)
+def edit_path(a: str, z: str, most: float = math.inf) -> dict[int, int] | None:
+    """For every prefix length of ``a`` the prefix length of ``z`` it is aligned with; None beyond ``most`` edits.
+
+    The differences between neighbouring cells of the edit table are kept as bits of one integer per row.
+    """
+    places: dict[str, int] = {}
+    for j, c in enumerate(z):
+        places[c] = places.get(c, 0) | 1 << j
+    full = (1 << len(z)) - 1
+    up, down, rows = full, 0, []  # where the row rises and falls along z
+    for c in a:
+        hit = places.get(c, 0)
+        flat = ((((hit & up) + up) ^ up) | hit | down) & full
+        more, less = (down | ~(flat | up)) & full, flat & up  # against the row above
+        rows.append((up, down, more, less))
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = (less | ~(flat | more)) & full, more & flat
+    if len(a) + up.bit_count() - down.bit_count() > most:
+        return None
+    rows.append((up, down, 0, 0))
+    i, j = len(a), len(z)
+    ends = {i: j}
     while i or j:
-        if i and j and table[i, j] == table[i - 1, j - 1] + (ca[i - 1] != cz[j - 1]):
-            i, j = i - 1, j - 1
-        elif j and table[i, j] == table[i, j - 1] + 1:
+        bit = 1 << (j - 1) if j else 0
+        if i and j:
+            above_up, above_down, more, less = rows[i - 1]
+            change = bool(more & bit) - bool(less & bit) + bool(above_up & bit) - bool(above_down & bit)
+            if change == (a[i - 1] != z[j - 1]):
+                i, j = i - 1, j - 1
+                ends[i] = j
+                continue
+        if j and rows[i][0] & bit:
             j -= 1
         else:
             i -= 1
         ends[i] = j
+    return ends
+
+
+def cut_lines(clean: str, lines: list[str], ratio: float = math.inf) -> list[str] | None:
+    """The clean text cut at the line boundaries of a noisy reading of it; None when they are too far apart."""
+    raw = clean.replace("\n", "")
+    at = [i for i, c in enumerate(raw) if not c.isspace()]
+    z, parts = "".join(raw[i] for i in at), ["".join(l.split()) for l in lines]
+    a = "".join(parts)
+    ends = edit_path(a, z, ratio * max(len(a), len(z)))
+    if ends is None:
+        return None
     out, seen, start = [], 0, 0
     for k, part in enumerate(parts):
         seen += len(part)
@@ -99,15 +128,14 @@ def cut_lines(clean: str, lines: list[str]) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def line_texts(clean: pd.Series, lines: pd.Series) -> pd.Series:
-    return pd.Series([cut_lines(c, list(l)) for c, l in zip(clean, lines)])
+def line_texts(clean: Column, lines: Column, ratio: float) -> Column:
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(texts: pd.Series, readings: pd.Series) -> pd.Series:
+        return pd.Series([cut_lines(c, list(l), ratio) for c, l in zip(texts, readings)], dtype=object)
+    return cut(clean, lines)
 
 
 def reading_gate(clean: Column, joined: Column, ratio: float, limit: int) -> Column:
-    """Whether a noisy reading is near enough to be aligned; both without blanks."""
+    """Whether a noisy reading can be near enough, by the lengths alone; both without blanks."""
     longest = F.greatest(F.length(clean), F.length(joined))
-    short = (F.length(clean) <= limit) & (F.length(joined) <= limit) & (longest > 0)
-    # The length difference is a lower bound of the distance, so it is asked first.
-    close = F.levenshtein(clean, joined) <= longest * ratio
-    return F.when(short & (F.abs(F.length(clean) - F.length(joined)) <= longest * ratio), close).otherwise(False)
+    return (longest > 0) & (longest <= limit) & (F.abs(F.length(clean) - F.length(joined)) <= longest * ratio)

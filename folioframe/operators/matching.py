@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import memory_key
-from .ordered import Ordered, null_safe
+from .ordered import Ordered, all_small, null_safe
 from .sequences import as_of
 
 BROADCAST_ROWS = 100_000
@@ -130,9 +130,9 @@ def match_revision(new: DataFrame, old: DataFrame, page: list[str], ident: str,
     by_id = new.alias("l").join(old_ids.alias("r"), null_safe("l", "r", page) & (F.col(f"l.{ident}") == F.col("r.__old")), "left").select("l.*", "r.__old")
     taken = by_id.filter("__old IS NOT NULL").select(*page, F.col("__old").alias(ident))
     free_old = old.join(taken, [*page, ident], "left_anti")
-    ranked_old = Ordered(free_old, page + same, order).add(__k=("row",)).done().select(*page, *same, "__k", F.col(ident).alias("__pair"))
+    ranked_old = Ordered(free_old, page + same, order, bounded=all_small(old, page + same)).add(__k=("row",)).done().select(*page, *same, "__k", F.col(ident).alias("__pair"))
     free_new = by_id.filter("__old IS NULL").drop("__old")
-    ranked_new = Ordered(free_new, page + same, order).add(__k=("row",)).done()
+    ranked_new = Ordered(free_new, page + same, order, bounded=all_small(new, page + same)).add(__k=("row",)).done()
     paired = (ranked_new.alias("l").join(ranked_old.alias("r"), null_safe("l", "r", page + same + ["__k"]), "left")
               .select(*[F.col(f"l.{c}") for c in new.columns], F.col("r.__pair").alias("matched_id")))
     both = by_id.filter("__old IS NOT NULL").withColumnRenamed("__old", "matched_id").select(*new.columns, "matched_id").unionByName(paired)

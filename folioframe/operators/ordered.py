@@ -40,6 +40,15 @@ def null_safe(left: str, right: str, keys: list[str]) -> Column:
     return cond
 
 
+def all_small(df: DataFrame, keys: list[str], split_rows: int | None = None) -> bool:
+    """Whether no key holds more than ``split_rows`` rows; one pre-aggregated job over the keys.
+
+    Operators with several ordered steps ask once on their input and pass ``bounded`` to the steps.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return (counts.agg(F.max("__n")).first()[0] or 0) <= (split_rows or SPLIT_ROWS)
+
+
 class Ordered:
     """Adds ordered columns to ``df`` within ``keys`` (none = the whole table).
 
@@ -237,15 +246,18 @@ class Ordered:
         return self.df.drop(_CHUNK, _HOT)
 
 
-def weighted_rank_pick(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column], size: str = "n") -> DataFrame:
+def weighted_rank_pick(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column], size: str = "n",
+                       bounded: bool | None = None) -> DataFrame:
     """Values at given ranks per key, without gathering a key's rows in one task.
 
     Equal values are counted first, so the shuffle carries one row per (key, value).  ``picks`` maps an
     output name to a rank (1-based) written in terms of the count column ``__n``.
     """
+    if bounded is None:
+        bounded = all_small(df, keys)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     sizes = counted.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    run = Ordered(counted, keys, [value]).add(__upto=("sum", "__c")).done()
+    run = Ordered(counted, keys, [value], bounded=bounded).add(__upto=("sum", "__c")).done()
     joined = (run.alias("l").join(sizes.alias("r"), null_safe("l", "r", keys))
               .select("l.*", "r.__n"))
     def hit(rank: Column) -> Column:
