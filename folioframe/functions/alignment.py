@@ -67,7 +67,8 @@ def match_score(line: Column, text: Column, floor: float = 0.0) -> Column:
     @F.pandas_udf(T.DoubleType())
     def score(lines: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series([match_share(a, b, floor) for a, b in zip(lines, texts)], dtype="float64")
-    return score(line, text)
+    # Not to be repeated by a filter on its result.
+    return score.asNondeterministic()(line, text)
 
 
 def edit_path(a: str, z: str, most: float = math.inf) -> dict[int, int] | None:
@@ -132,7 +133,8 @@ def line_texts(clean: Column, lines: Column, ratio: float) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(texts: pd.Series, readings: pd.Series) -> pd.Series:
         return pd.Series([cut_lines(c, list(l), ratio) for c, l in zip(texts, readings)], dtype=object)
-    return cut(clean, lines)
+    # Not to be repeated by a filter on its result.
+    return cut.asNondeterministic()(clean, lines)
 
 
 def reading_gate(clean: Column, joined: Column, ratio: float, limit: int) -> Column:

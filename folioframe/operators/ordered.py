@@ -20,7 +20,7 @@ SPLIT_ROWS = 2_000_000
 MAX_HOT = 10_000
 MAX_CHUNKS = 1024
 _PER_CHUNK = 24  # sampled rows per chunk used to place the split points
-_CHUNK, _HOT, _ONE = "__chunk", "__hot", "__one"
+_CHUNK, _HOT, _ONE = "__ord_chunk", "__ord_hot", "__ord_one"
 
 
 def set_split_rows(n: int) -> None:
@@ -84,16 +84,16 @@ class Ordered:
         chunks = {k: min(MAX_CHUNKS, -(-n // threshold) * 2) for k, n in sizes.items()}
         hot_keys = spark.createDataFrame(
             [(*k, min(1.0, chunks[k] * _PER_CHUNK / sizes[k])) for k in sizes],
-            T.StructType([*key_fields, T.StructField("__rate", T.DoubleType())]))
+            T.StructType([*key_fields, T.StructField("__ord_rate", T.DoubleType())]))
         # A sample places the split points only; every row is kept and goes to exactly one chunk.
-        picked = (df.withColumn("__o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)])).alias("l")
+        picked = (df.withColumn("__ord_o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)])).alias("l")
                   .join(F.broadcast(hot_keys.alias("r")), null_safe("l", "r", self.keys))
-                  .filter(F.rand(7) < F.col("__rate"))
-                  .select(*[F.col(f"l.{k}") for k in self.keys], "__o"))
-        order_type = picked.schema["__o"].dataType
+                  .filter(F.rand(7) < F.col("__ord_rate"))
+                  .select(*[F.col(f"l.{k}") for k in self.keys], "__ord_o"))
+        order_type = picked.schema["__ord_o"].dataType
         samples: dict[tuple, list] = {k: [] for k in sizes}
         for row in picked.collect():
-            samples[tuple(row[k] for k in self.keys)].append(tuple(row["__o"]))
+            samples[tuple(row[k] for k in self.keys)].append(tuple(row["__ord_o"]))
         table = []
         for k, points in samples.items():
             points.sort(key=lambda p: tuple((v is not None, v if v is not None else 0) for v in p))
@@ -103,20 +103,20 @@ class Ordered:
             width = max(1, int(len(bounds) ** 0.5))
             table.append((*k, bounds, bounds[::width], width))
         return spark.createDataFrame(table, T.StructType([
-            *key_fields, T.StructField("__bounds", T.ArrayType(order_type)),
-            T.StructField("__coarse", T.ArrayType(order_type)), T.StructField("__width", T.IntegerType())]))
+            *key_fields, T.StructField("__ord_bounds", T.ArrayType(order_type)),
+            T.StructField("__ord_coarse", T.ArrayType(order_type)), T.StructField("__ord_width", T.IntegerType())]))
 
     def _chunked(self, df: DataFrame) -> DataFrame:
         order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)])
         cols = df.columns
-        joined = (df.withColumn("__o", order).alias("l")
+        joined = (df.withColumn("__ord_o", order).alias("l")
                   .join(F.broadcast(self.hot.alias("r")), null_safe("l", "r", self.keys), "left"))
-        coarse = F.size(F.filter("__coarse", lambda b: b <= F.col("__o")))
-        start = (coarse - 1) * F.col("__width")
-        fine = F.size(F.filter(F.slice("__bounds", start + 1, F.col("__width")), lambda b: b <= F.col("__o")))
-        chunk = F.when(F.col("__bounds").isNull() | (coarse == 0), 0).otherwise(start + fine)
+        coarse = F.size(F.filter("__ord_coarse", lambda b: b <= F.col("__ord_o")))
+        start = (coarse - 1) * F.col("__ord_width")
+        fine = F.size(F.filter(F.slice("__ord_bounds", start + 1, F.col("__ord_width")), lambda b: b <= F.col("__ord_o")))
+        chunk = F.when(F.col("__ord_bounds").isNull() | (coarse == 0), 0).otherwise(start + fine)
         return joined.select(*[F.col(f"l.{c}") for c in cols], chunk.cast("int").alias(_CHUNK),
-                             F.col("__bounds").isNotNull().alias(_HOT))
+                             F.col("__ord_bounds").isNotNull().alias(_HOT))
 
     # -- adding columns --------------------------------------------------------
 
@@ -162,16 +162,16 @@ class Ordered:
         carries = self._carries(specs)
         edge = {}
         if any(k == "lag" for k, *_ in specs.values()):
-            edge["__head"] = F.row_number().over(inner) == 1
+            edge["__ord_head"] = F.row_number().over(inner) == 1
         if any(k == "lead" for k, *_ in specs.values()):
-            edge["__tail"] = F.row_number().over(inner_back) == 1
+            edge["__ord_tail"] = F.row_number().over(inner_back) == 1
         df = self.df.withColumns({**local, **edge})
         cols = df.columns
         joined = df.alias("l").join(F.broadcast(carries.alias("r")),
                                     null_safe("l", "r", self.keys + [_CHUNK]), "left")
         out = []
         for c in cols:
-            if c in ("__head", "__tail"):
+            if c in ("__ord_head", "__ord_tail"):
                 continue
             if c not in specs:
                 out.append(F.col(f"l.{c}"))
@@ -186,7 +186,7 @@ class Ordered:
             elif kind in ("last", "prior_last", "next"):
                 v = F.coalesce(mine, carry)
             else:
-                v = F.when(F.col("__head" if kind == "lag" else "__tail"), F.col(f"r.{c}.v")).otherwise(mine)
+                v = F.when(F.col("__ord_head" if kind == "lag" else "__ord_tail"), F.col(f"r.{c}.v")).otherwise(mine)
             out.append(v.alias(c))
         self.df = joined.select(*out)
         return self

@@ -194,17 +194,21 @@ def blank_evidence(pages: DataFrame, lines: DataFrame, keys: list[str], ink: str
     return j.withColumn("blank", (F.col("credible_lines") == 0) & (F.col(ink) < 0.0002))
 
 
-def region_disagreement(sources: DataFrame, pieces: DataFrame, region: list[str], source_text: str, order: list[str], text: str) -> DataFrame:
+def region_disagreement(sources: DataFrame, pieces: DataFrame, region: list[str], source_text: str, order: list[str], text: str, stretch: int = 4096) -> DataFrame:
     """Regions whose re-read pieces, put together, differ from the source apart from blanks and case.
 
-    Each piece is compared with its own stretch of the source, so no region is put together in one place.
+    The pieces are joined in stretches of about ``stretch`` characters, and each stretch is compared with
+    its own part of the source, so no region is put together in one place.
     """
     compact = lambda c: F.lower(F.regexp_replace(c, "\\s+", ""))
     p = pieces.select(*region, *order, compact(F.col(text)).alias("__t")).withColumn("__len", F.length("__t"))
-    run = Ordered(p, region, order).add(__end=("sum", "__len")).done()
+    run = Ordered(p, region, order).add(__end=("sum", "__len")).done().withColumn("__start", F.col("__end") - F.col("__len"))
+    parts = run.withColumn("__b", F.floor(F.col("__start") / stretch)).groupBy(*region, "__b").agg(
+        F.min("__start").alias("__start"), F.max("__end").alias("__end"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__start", *order, "__t"))), lambda x: x["__t"]), "").alias("__t"))
     s = sources.select(*region, compact(F.col(source_text)).alias("__s"))
-    j = run.alias("l").join(s.alias("r"), null_safe("l", "r", region)).select("l.*", "r.__s")
-    per = j.groupBy(*region).agg(F.bool_and(F.col("__t") == F.substring(F.col("__s"), F.col("__end") - F.col("__len") + 1, F.col("__len"))).alias("__same"), F.max("__end").alias("__total"))
+    j = parts.alias("l").join(s.alias("r"), null_safe("l", "r", region)).select("l.*", "r.__s")
+    per = j.groupBy(*region).agg(F.bool_and(F.col("__t") == F.substring(F.col("__s"), F.col("__start") + 1, F.length("__t"))).alias("__same"), F.max("__end").alias("__total"))
     k = s.alias("l").join(per.alias("r"), null_safe("l", "r", region), "left").select("l.*", "r.__same", "r.__total")
     agree = F.coalesce("__same", F.lit(True)) & (F.coalesce("__total", F.lit(0)) == F.length("__s"))
     return k.filter(~agree).select(*region, F.lit("recognition-disagreement").alias("kind"))

@@ -24,14 +24,12 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_on: Column, r
 
     Both sides go into one ordered pass, so the work is linear and a hot key is split.
     """
-    lcols = left.columns
-    # A right row at the same place comes first, unless the match has to be strictly earlier.
-    l = left.select(*keys, left_on.alias("__at"), F.lit(0 if strict else 1).alias("__side"), F.struct(*lcols).alias("__left"),
-                    F.monotonically_increasing_id().alias("__tie"))
-    r = right.select(*keys, right_on.alias("__at"), F.lit(1 if strict else 0).alias("__side"), value.alias("__value"),
-                     F.monotonically_increasing_id().alias("__tie"))
+    # A right row at the same place comes first, unless the match has to be strictly earlier.  Right rows
+    # that tie are put in order by their value, so every evaluation gives the same result.
+    l = left.select(*keys, left_on.alias("__at"), F.lit(0 if strict else 1).alias("__side"), F.struct(*left.columns).alias("__left"))
+    r = right.select(*keys, right_on.alias("__at"), F.lit(1 if strict else 0).alias("__side"), value.alias("__value"))
     both = l.unionByName(r, allowMissingColumns=True)
-    done = Ordered(both, keys, ["__at", "__side", "__tie"], bounded=bounded).add(__hit=("last", "__value")).done()
+    done = Ordered(both, keys, ["__at", "__side", "__value"], bounded=bounded).add(__hit=("last", "__value")).done()
     return done.filter(F.col("__left").isNotNull()).select("__left.*", F.col("__hit").alias(out))
 
 

@@ -42,19 +42,22 @@ def trace_score(traces: DataFrame, references: DataFrame, keys: list[str], ident
 
     ``points`` is array<struct<x, y>> on both sides.  A trace passes under max(13, .085 x size).
     """
-    joined = traces.select(*keys, *ident, "points").join(references.select(*keys, F.col("points").alias("reference")), keys)
+    def axis(points, of):
+        return F.transform(points, lambda p: p[of].cast("double"))
+    t, r = traces.filter(F.size("points") > 0), references.filter(F.size("points") > 0)
+    joined = t.select(*keys, *ident, axis("points", "x").alias("tx"), axis("points", "y").alias("ty")).join(
+        r.select(*keys, axis("points", "x").alias("rx"), axis("points", "y").alias("ry")), keys)
     out = [*keys, *ident]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*out).schema.fields) + ", distance double, passed boolean"
     limit = max(13.0, 0.085 * size)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def paths(col):
-            return np.stack([resample(np.array([(p["x"], p["y"]) for p in pts], float)) for pts in col])
+        def paths(xs, ys):
+            return np.stack([resample(np.column_stack([x, y])) for x, y in zip(xs, ys)])
         for pdf in batches:
             for start in range(0, len(pdf), 512):
                 part = pdf.iloc[start:start + 512]
-                distance = frechet(paths(part["points"]), paths(part["reference"]))
+                distance = frechet(paths(part["tx"], part["ty"]), paths(part["rx"], part["ry"]))
                 yield part[out].assign(distance=distance, passed=distance < limit)
 
-    both = joined.filter((F.size("points") > 0) & (F.size("reference") > 0))
-    return both.mapInPandas(score, schema)
+    return joined.mapInPandas(score, schema)

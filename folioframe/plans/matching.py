@@ -158,6 +158,13 @@ def _(t):
     return mt.merge_fill_empty(p.filter("c_custkey % 2 = 0"), new, "name", "c_custkey", ["role", "style"])
 
 
+@demo("merge_keep_existing", """
+SELECT p_partkey, p_name FROM part WHERE p_size <= 30 UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_size > 30""")
+def _(t):
+    current = t.part.filter("p_size <= 30").select("p_partkey", "p_name")
+    return mt.merge_keep_existing(current, t.part.filter("p_size > 20").select("p_partkey", F.col("p_brand").alias("p_name")), ["p_partkey"])
+
+
 _SKUS = """(SELECT 'm' || (s_suppkey % 7) AS model, CASE s_suppkey % 6 WHEN 0 THEN 'duration_seconds_720p' WHEN 1 THEN 'cents_per_second_with_audio' WHEN 2 THEN 'output_second_without_audio_1080p' WHEN 3 THEN 'video_tokens' WHEN 4 THEN 'minimum_cents' ELSE 'text_to_video_per_second' END AS sku, s_acctbal / 1000 AS price FROM supplier WHERE s_acctbal > 0)"""
 
 
@@ -168,7 +175,7 @@ c AS (SELECT DISTINCT model, res, audio FROM r), o AS (SELECT c.*, sku, price, C
   + CASE WHEN contains(sku, 'text_to_video') THEN 1 ELSE 0 END AS score, regexp_matches(sku, 'duration_seconds|per_second|output_second') AS sec FROM c JOIN {_SKUS} s ON s.model = c.model),
 b AS (SELECT model, res, audio, arg_max(price * CASE WHEN contains(sku, 'cents') THEN .01::DOUBLE ELSE 1 END, (audio AND contains(sku, 'with_audio'), score, -price, sku)) FILTER (sec) AS ps,
   arg_max(price, (score, -price, sku)) FILTER (sku = 'video_tokens') AS tp, min(price) FILTER (sku = 'minimum_cents') AS mn FROM o GROUP BY ALL)
-SELECT l_orderkey, l_linenumber, l_extendedprice, round(greatest(coalesce(ps * duration, tp * (CASE r.res WHEN '1080p' THEN 1920 * 1080 ELSE 1280 * 720 END * 24 * duration / 1024)), mn / 100), 6) AS usd FROM r LEFT JOIN b ON b.model = r.model AND b.res = r.res AND b.audio = r.audio""")
+SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN coalesce(ps, tp) IS NOT NULL THEN round(greatest(coalesce(ps * duration, tp * (CASE r.res WHEN '1080p' THEN 1920 * 1080 ELSE 1280 * 720 END * 24 * duration / 1024)), mn / 100), 6) END AS usd FROM r LEFT JOIN b ON b.model = r.model AND b.res = r.res AND b.audio = r.audio""")
 def _(t):
     k = F.col("s_suppkey") % 6
     sku = (F.when(k == 0, "duration_seconds_720p").when(k == 1, "cents_per_second_with_audio").when(k == 2, "output_second_without_audio_1080p").when(k == 3, "video_tokens")

@@ -214,11 +214,11 @@ def _(t):
 
 @demo("grid_scores", """
 WITH c AS (SELECT event_type, least(hour(ts) * 6 // 24, 5) AS row, least((isodow(ts) - 1) * 7 // 7, 6) AS col, avg(value) AS score FROM events GROUP BY ALL)
-SELECT event_type, row, col, round(score, 4) AS score, row_number() OVER (PARTITION BY event_type ORDER BY round(score, 6), row, col) AS rank,
+SELECT event_type, row, col, round(score, 9) AS score, row_number() OVER (PARTITION BY event_type ORDER BY round(score, 6), row, col) AS rank,
   row_number() OVER (PARTITION BY event_type ORDER BY round(score, 6), row, col) <= 4 AND score < 18 AS worst FROM c""")
 def _(t):
     x, y = F.weekday("ts") / 7 + 0.01, F.hour("ts") / 24
-    return ru.grid_scores(t.events, ["event_type"], x, y, "value", 6, 7, worst=4, below=18).withColumn("score", F.round("score", 4))
+    return ru.grid_scores(t.events, ["event_type"], x, y, "value", 6, 7, worst=4, below=18).withColumn("score", F.round("score", 9))
 
 
 @demo("array_similarity", """

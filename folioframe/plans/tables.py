@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.records import content_digest
 from ..operators import tables as tb
+from ..operators.contracts import violations
+from ..operators.lineage import work_folder
 from ..sources import pages as pg
+from ..sources.versions import VersionedTable
 from .demo import demo
 
 
@@ -107,6 +112,16 @@ def _(t):
     return tb.status_counts(tb.batch_status(items, done, ["o_orderkey"], "source_hash"))
 
 
+@demo("commit_version", "SELECT 1 + o_orderkey % 2 AS version, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL")
+def _(t):
+    table = VersionedTable(t.spark, f"{work_folder(t.spark)}/orders-{uuid.uuid4().hex}")
+    rules = lambda df: violations(df, ["o_orderkey"], {"price": F.col("o_totalprice") > 0})
+    table.commit(t.orders.filter("o_orderkey % 2 = 0"), "v1", rules)
+    table.commit(t.orders.filter("o_orderkey % 2 = 1"), "v2", rules, based_on="v1")
+    both = table.read("v1").withColumn("version", F.lit(1)).unionByName(table.read().withColumn("version", F.lit(2)))
+    return both.groupBy("version").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @demo("check_signatures")
 def _(t):
     done = pg.check_signatures(t.spark, t.path)
