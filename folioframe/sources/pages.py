@@ -45,10 +45,12 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 
 
-def check_signatures(spark: SparkSession, path: str, *, signatures: dict[str, str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+def check_signatures(spark: SparkSession, path: str, *, signatures: dict[str, str] | None = None, max_bytes: int = MAX_BYTES,
+                     listed: DataFrame | None = None) -> DataFrame:
     """Whether each file's content fits its extension, is not empty and keeps the size limit.
 
-    Files over the limit are judged by their size alone, so their content is never loaded.
+    Files over the limit are judged by their size alone, so their content is never loaded.  Spark reads no
+    rows from files of no length; they are found by a list of the expected files (column name).
     """
     signatures = signatures or SIGNATURES
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -58,9 +60,12 @@ def check_signatures(spark: SparkSession, path: str, *, signatures: dict[str, st
     head = F.hex(F.substring("content", 1, 12))
     fits = F.when(extension == "webp", head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250")).otherwise(head.startswith(wanted))
     checked = sized.select("path", "length", F.when(wanted.isNull(), "unknown type").when(~fits, "wrong content").otherwise("ok").alias("verdict"))
-    other = files.filter((F.col("length") == 0) | (F.col("length") > max_bytes)).select(
-        "path", "length", F.when(F.col("length") == 0, "empty").otherwise("too large").alias("verdict"))
-    return checked.unionByName(other)
+    done = checked.unionByName(files.filter(F.col("length") > max_bytes).select("path", "length", F.lit("too large").alias("verdict")))
+    if listed is None:
+        return done
+    there = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+    absent = listed.select("name").join(there, "name", "left_anti")
+    return done.unionByName(absent.select(F.col("name").alias("path"), F.lit(0).cast("long").alias("length"), F.lit("empty").alias("verdict")))
 
 
 LINK = "(?:src|href|data-src)=\"([^\"<>]+)\""
