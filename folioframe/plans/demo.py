@@ -34,7 +34,11 @@ class Tables:
         return spread(df) if name in TEXT_TABLES else df
 
 
-def demo(name: str, sql: str | None = None):
+def demo(name: str, sql: str | None = None, **types: str):
+    """Register a query and its SQL; ``types`` casts result columns of the SQL to the types Spark gives."""
+    if sql and types:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())}) FROM ({sql})"
+
     def register(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql:

@@ -154,7 +154,7 @@ def _(t):
 
 @demo("parse_json_column", """
 SELECT event_type, count(*) AS n, count(k) AS parsed, sum(k) AS total FROM (
-  SELECT event_type, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events) GROUP BY event_type""")
+  SELECT event_type, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events) GROUP BY event_type""", total="BIGINT")
 def _(t):
     broken = F.when(F.col("event_type") == "error", F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
     df = records.parse_json_column(t.events.withColumn("props", broken), "props", "k BIGINT")

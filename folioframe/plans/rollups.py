@@ -67,18 +67,18 @@ _DAY = "CAST(ts + INTERVAL 5 HOUR AS DATE)"
 
 
 @demo("daily_activity", f"""
-SELECT * FROM (SELECT user_id, {_DAY} AS day, round(sum(greatest(value - 5, 0)), 2) AS seconds, count(DISTINCT props) AS words FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day DESC) <= 20""")
+SELECT * FROM (SELECT user_id, {_DAY} AS day, round(sum(greatest(value - 5, 0)), 2) AS seconds, count(DISTINCT props) AS words FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day DESC) <= 20""", day="VARCHAR")
 def _(t):
     df = t.events.withColumn("seconds", F.col("value") - 5)
-    return ru.daily_activity(df, ["user_id"], "ts", "seconds", "props", keep=20).withColumn("seconds", F.round("seconds", 2))
+    return ru.daily_activity(df, ["user_id"], "ts", "seconds", "props", keep=20).withColumns({"seconds": F.round("seconds", 2), "day": F.col("day").cast("string")})
 
 
 @demo("week_series", f"""
 WITH a AS (SELECT max({_DAY}) AS d FROM events), w AS (SELECT CAST(d - CAST(isodow(d) - 1 AS INT) + CAST(i AS INT) AS DATE) AS day FROM a, generate_series(0, 6) AS g(i))
-SELECT day, CAST(floor(coalesce(sum(value), 0) / 60 + .5) AS BIGINT) AS minutes, count(DISTINCT props) AS words FROM w LEFT JOIN events ON {_DAY} = day GROUP BY day""")
+SELECT day, CAST(floor(coalesce(sum(value), 0) / 60 + .5) AS BIGINT) AS minutes, count(DISTINCT props) AS words FROM w LEFT JOIN events ON {_DAY} = day GROUP BY day""", day="VARCHAR")
 def _(t):
     anchor = t.events.agg(F.max(ru.local_day("ts"))).scalar()
-    return ru.week_series(t.events, "ts", "value", "props", anchor)
+    return ru.week_series(t.events, "ts", "value", "props", anchor).withColumn("day", F.col("day").cast("string"))
 
 
 @demo("month_buckets", f"""
@@ -112,7 +112,7 @@ def _(t):
 
 @demo("binned_mode", """
 SELECT l_returnflag, b * 8 + 4 AS centre, round(c / n, 6) AS share, n FROM (SELECT *, sum(c) OVER (PARTITION BY l_returnflag) AS n FROM (
-  SELECT l_returnflag, CAST(l_quantity AS BIGINT) >> 3 AS b, count(*) AS c FROM lineitem GROUP BY ALL)) QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY c DESC, b) = 1""")
+  SELECT l_returnflag, CAST(l_quantity AS BIGINT) >> 3 AS b, count(*) AS c FROM lineitem GROUP BY ALL)) QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY c DESC, b) = 1""", n="BIGINT")
 def _(t):
     return ru.binned_mode(t.lineitem, ["l_returnflag"], "l_quantity").withColumn("share", F.round("share", 6))
 
@@ -174,7 +174,7 @@ WITH c AS (SELECT l_orderkey, l_linenumber - 1 AS r, CAST(l_quantity AS INT) % 4
 f AS (SELECT *, r + rs <= 6 AND c + cs <= 5 AS ok FROM c),
 g AS (SELECT l_orderkey, a, b, count(*) AS n FROM (SELECT l_orderkey, a, unnest(generate_series(c, c + cs - 1)) AS b FROM (SELECT *, unnest(generate_series(r, r + rs - 1)) AS a FROM f WHERE ok)) GROUP BY ALL),
 s AS (SELECT l_orderkey, count(*) AS filled, sum(n - 1) AS extra FROM g GROUP BY ALL)
-SELECT f.l_orderkey, count(*) FILTER (NOT ok) AS invalid, coalesce(any_value(extra), 0) AS overlapping, 30 - coalesce(any_value(filled), 0) AS gaps FROM f LEFT JOIN s ON s.l_orderkey = f.l_orderkey GROUP BY f.l_orderkey""")
+SELECT f.l_orderkey, count(*) FILTER (NOT ok) AS invalid, coalesce(any_value(extra), 0) AS overlapping, 30 - coalesce(any_value(filled), 0) AS gaps FROM f LEFT JOIN s ON s.l_orderkey = f.l_orderkey GROUP BY f.l_orderkey""", overlapping="BIGINT")
 def _(t):
     pct = lambda c: F.round(F.col(c) * 100).cast("int")
     cells = t.lineitem.select("l_orderkey", (F.col("l_linenumber") - 1).alias("r"), (F.col("l_quantity").cast("int") % 4).alias("c"), (1 + pct("l_discount") % 2).alias("rs"),

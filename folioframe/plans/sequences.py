@@ -26,7 +26,7 @@ def _(t):
 @demo("gap_runs", """
 WITH a AS (SELECT user_id, (epoch_us(ts) // 1000) AS ms, event_id, lag((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
 b AS (SELECT *, sum(CASE WHEN p IS NULL OR ms - p > 7200000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS run FROM a)
-SELECT user_id, run, min(ms) AS start, max(ms) AS "end", count(*) AS n, count(*) / (max(ms) - min(ms) + 1) AS density FROM b GROUP BY user_id, run""")
+SELECT user_id, run, min(ms) AS start, max(ms) AS "end", count(*) AS n, count(*) / (max(ms) - min(ms) + 1) AS density FROM b GROUP BY user_id, run""", run="BIGINT")
 def _(t):
     return sq.gap_runs(t.events, ["user_id"], EV, sq.millis("ts"), 7_200_000)
 
@@ -50,7 +50,7 @@ def _lines(t):
 
 @demo("paragraphs", f"""
 WITH a AS (SELECT *, lag(y + h) OVER (PARTITION BY doc_id ORDER BY y, ln) AS e, min(x) OVER (PARTITION BY doc_id) AS lft FROM {_LINES})
-SELECT doc_id, ln, sum(CASE WHEN e IS NULL OR x > lft + .025 OR y > e + .025 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY y, ln) AS paragraph FROM a""")
+SELECT doc_id, ln, sum(CASE WHEN e IS NULL OR x > lft + .025 OR y > e + .025 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY y, ln) AS paragraph FROM a""", paragraph="BIGINT")
 def _(t):
     return sq.paragraphs(_lines(t), ["doc_id"], ["y", "ln"], "x", "y", "h").select("doc_id", "ln", "paragraph")
 
@@ -118,7 +118,7 @@ b AS (SELECT *, CAST(least(5, successes - coalesce(last_value(CASE WHEN NOT ok T
 SELECT user_id, event_id, ts, attempts, successes, level, (epoch_us(ts) // 1000) + CASE WHEN ok THEN [0, 1, 3, 7, 14, 30][level + 1]::BIGINT * 86400000 ELSE 60000 END AS due_ms FROM b)"""
 
 
-@demo("review_ladder", f"SELECT user_id, event_id, attempts, successes, level, due_ms FROM {_LADDER}")
+@demo("review_ladder", f"SELECT user_id, event_id, attempts, successes, level, due_ms FROM {_LADDER}", successes="BIGINT")
 def _(t):
     done = sq.review_ladder(t.events, ["user_id"], EV, "ts", ~kind("error"))
     return done.select("user_id", "event_id", "attempts", "successes", "level", "due_ms")
@@ -171,7 +171,7 @@ WITH k AS (SELECT doc_id, regexp_extract_all(text, '\\p{Latin}+(?:[''’]\\p{Lat
 p AS (SELECT doc_id, pos, k[pos] AS tok, regexp_matches(k[pos], '^[\\p{L}\\p{Nd}]') AS w FROM (SELECT doc_id, k, unnest(generate_series(1, len(k))) AS pos FROM k)),
 g AS (SELECT *, sum(w::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM p),
 f AS (SELECT *, g - min(g) OVER (PARTITION BY doc_id) + 1 AS piece FROM g)
-SELECT doc_id, piece, string_agg(tok, '' ORDER BY pos) AS text FROM f WHERE piece <= 12 GROUP BY ALL""")
+SELECT doc_id, piece, string_agg(tok, '' ORDER BY pos) AS text FROM f WHERE piece <= 12 GROUP BY ALL""", piece="BIGINT")
 def _(t):
     from ..functions.text import mixed_tokens
     tokens = t.documents.select("doc_id", F.posexplode(mixed_tokens(F.col("text"))).alias("pos", "tok"))

@@ -56,7 +56,7 @@ def _(t):
 
 
 @demo("drop_same_spot", """
-SELECT l_suppkey, l_returnflag, floor(l_quantity / 4 + .5) AS x, floor(l_linenumber * .7::DOUBLE + .5) AS y, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY ALL""")
+SELECT l_suppkey, l_returnflag, floor(l_quantity / 4 + .5) AS x, floor(l_linenumber * .7::DOUBLE + .5) AS y, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY ALL""", x="BIGINT", y="BIGINT")
 def _(t):
     b = t.lineitem.select("l_suppkey", "l_returnflag", (F.col("l_quantity") / 4).alias("x"), (F.col("l_linenumber") * 0.7).alias("y"), "l_orderkey")
     done = sp.drop_same_spot(b, ["l_suppkey"], "l_returnflag", "x", "y", ["l_orderkey", "x", "y"])

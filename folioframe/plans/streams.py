@@ -16,9 +16,9 @@ def _(t):
 
 
 @demo("activity_days", """
-SELECT user_id, CAST(ts + INTERVAL 5 HOUR AS DATE) AS day, round(sum(value), 2) AS seconds, count(DISTINCT props) AS words FROM events GROUP BY ALL""")
+SELECT user_id, CAST(ts + INTERVAL 5 HOUR AS DATE) AS day, round(sum(value), 2) AS seconds, count(DISTINCT props) AS words FROM events GROUP BY ALL""", day="VARCHAR")
 def _(t):
-    return ru.daily_activity(t.events, ["user_id"], "ts", "value", "props").withColumn("seconds", F.round("seconds", 2))
+    return ru.daily_activity(t.events, ["user_id"], "ts", "value", "props").withColumns({"seconds": F.round("seconds", 2), "day": F.col("day").cast("string")})
 
 
 @demo("feedback_rows", """
