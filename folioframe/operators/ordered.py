@@ -20,7 +20,7 @@ SPLIT_ROWS = 2_000_000
 MAX_HOT = 10_000
 MAX_CHUNKS = 1024
 _PER_CHUNK = 24  # sampled rows per chunk used to place the split points
-_CHUNK, _HOT, _ONE = "__ord_chunk", "__ord_hot", "__ord_one"
+_CHUNK, _HOT = "__ord_chunk", "__ord_hot"
 
 
 def set_split_rows(n: int) -> None:
@@ -49,6 +49,13 @@ def all_small(df: DataFrame, keys: list[str], split_rows: int | None = None) ->
     return (counts.agg(F.max("__n")).first()[0] or 0) <= (split_rows or SPLIT_ROWS)
 
 
+def _nulls_first(v):
+    """Sort key that orders values, and structs field by field, as Spark does."""
+    if isinstance(v, tuple):
+        return True, tuple(_nulls_first(x) for x in v)
+    return v is not None, 0 if v is None else v
+
+
 class Ordered:
     """Adds ordered columns to ``df`` within ``keys`` (none = the whole table).
 
@@ -96,7 +103,7 @@ class Ordered:
             samples[tuple(row[k] for k in self.keys)].append(tuple(row["__ord_o"]))
         table = []
         for k, points in samples.items():
-            points.sort(key=lambda p: tuple((v is not None, v if v is not None else 0) for v in p))
+            points.sort(key=_nulls_first)
             step = max(1, len(points) // chunks[k])
             bounds = points[step::step]
             # Two levels keep the search for a row's chunk near the square root of their number.

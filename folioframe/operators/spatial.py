@@ -156,20 +156,28 @@ def caption_candidates(owners: DataFrame, labels: DataFrame, page: list[str]) ->
     """Label and owner pairs that are near enough, with a score (lower is nearer).
 
     Owners have page, place, x, y, w, h; labels have page, label, x, y, w, h.  A label has to be centred
-    near the owner's middle, just below it or over its lowest part.  The join is on page and a strip of
-    the page height.
+    near the owner's middle, just below it or over its lowest part.  The join is on page and a cell of
+    the page.
     """
-    strip = 0.06
-    o = owners.withColumn("__s", F.explode(F.sequence(F.floor(F.col("y") / strip), F.floor((F.col("y") + F.col("h") + 0.055) / strip))))
-    l = labels.select(*page, "label", (F.col("x") + F.col("w") / 2).alias("lx"), F.col("y").alias("ltop"), (F.col("y") + F.col("h") / 2).alias("ly"),
-                      F.floor(F.col("y") / strip).alias("__s"))
-    j = o.join(l, [*page, "__s"])
-    cx, bottom = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h")
-    dy, reach = F.col("ltop") - bottom, F.greatest(F.lit(0.022), F.col("w") * 0.34)
-    over = (F.col("ly") > F.col("y") + F.col("h") * 0.72) & (F.col("ly") < bottom)
-    dx = F.abs(F.col("lx") - cx)
-    ok = ((dy >= -0.006) | over) & (dy <= 0.055) & (dx <= reach)
-    return j.filter(ok).select(*page, "place", "label", (dx / reach + F.when(over, 0.0).otherwise(F.abs(dy) / 0.055)).alias("score"))
+    cell = 0.06
+    def cells(lo, hi, way):
+        spots = F.sequence(F.floor(lo / cell), F.floor(hi / cell))
+        return F.transform(spots, lambda i: F.struct(F.lit(way).alias("way"), i.alias("i")))
+    x, y, w, h = (F.col(c) for c in "xywh")
+    cx, bottom, reach = x + w / 2, y + h, F.greatest(F.lit(0.022), w * 0.34)
+    # Way 0 meets labels by their top, way 1 those over the lowest part by their middle.
+    o = owners.select(*page, "place", cx.alias("cx"), bottom.alias("bottom"), (y + h * 0.72).alias("low"), reach.alias("reach"),
+                      F.explode(F.concat(cells(bottom - 0.006, bottom + 0.055, 0), cells(y + h * 0.72, bottom, 1))).alias("__s"))
+    o = o.withColumn("__c", F.explode(F.sequence(F.floor((F.col("cx") - F.col("reach")) / cell), F.floor((F.col("cx") + F.col("reach")) / cell))))
+    l = labels.select(*page, "label", cx.alias("lx"), y.alias("ltop"), (y + h / 2).alias("ly"), F.floor(cx / cell).alias("__c"),
+                      F.explode(F.concat(cells(y, y, 0), cells(y + h / 2, y + h / 2, 1))).alias("__s"))
+    j = o.join(l, [*page, "__s", "__c"])
+    dy, dx = F.col("ltop") - F.col("bottom"), F.abs(F.col("lx") - F.col("cx"))
+    over = (F.col("ly") > F.col("low")) & (F.col("ly") < F.col("bottom"))
+    below = ~over & (dy >= -0.006) & (dy <= 0.055)
+    hit = F.when(F.col("__s.way") == 1, over & (dy <= 0.055)).otherwise(below) & (dx <= F.col("reach"))
+    score = dx / F.col("reach") + F.when(over, 0.0).otherwise(F.abs(dy) / 0.055)
+    return j.filter(hit).select(*page, "place", "label", score.alias("score"))
 
 
 def attach_nearest(candidates: DataFrame, page: list[str], *, worst: float = 1.25, margin: float = 0.2) -> DataFrame:
