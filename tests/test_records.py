@@ -43,17 +43,17 @@ def test_revision_regressions(spark):
 
 
 def test_replace_partition_by_equality(spark):
-    t = spark.createDataFrame([("forma:hsk1", 1), ("forma:hsk1-workbook", 2)], "book string, n int")
-    s = spark.createDataFrame([("forma:hsk1", 9)], "book string, n int")
-    assert sorted(tuple(r) for r in tb.replace_partition(t, s, ["book"]).collect()) == [("forma:hsk1", 9), ("forma:hsk1-workbook", 2)]
+    t = spark.createDataFrame([("press:hsk1", 1), ("press:hsk1-workbook", 2)], "book string, n int")
+    s = spark.createDataFrame([("press:hsk1", 9)], "book string, n int")
+    assert sorted(tuple(r) for r in tb.replace_partition(t, s, ["book"]).collect()) == [("press:hsk1", 9), ("press:hsk1-workbook", 2)]
 
 
 def test_refuse_unlisted(spark):
-    df = spark.createDataFrame([("forma", "textbook"), ("forma", "workbook")], "source string, kind string")
-    rules = {"source": F.col("source") == "forma", "kind": F.col("kind").isin("textbook", "workbook")}
+    df = spark.createDataFrame([("press", "textbook"), ("press", "workbook")], "source string, kind string")
+    rules = {"source": F.col("source") == "press", "kind": F.col("kind").isin("textbook", "workbook")}
     assert tb.refuse_unlisted(df, rules).count() == 2
     with pytest.raises(ValueError, match="kind"):
-        tb.refuse_unlisted(df.unionByName(spark.createDataFrame([("forma", "x")], df.schema)), rules)
+        tb.refuse_unlisted(df.unionByName(spark.createDataFrame([("press", "x")], df.schema)), rules)
     with pytest.raises(ValueError, match="users"):
         tb.refuse_unlisted(df, rules, {"users": df})
 
