@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir`` or set with ``setCheckpointDir``.
 
-    Without that setting a local session gets a folder of its own; a cluster has to name a shared one.
+    Only a local session may leave it unset; it then works beside its own tables, in the warehouse folder.  A cluster has
+    to name a folder that the driver and all executors share.
     """
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="folioframe-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, kind: str = "tables") -> str:
+    return f"{work_folder(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -29,6 +30,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     A written table starts with a clean plan, without what the optimizer had derived for the old one.
     """
-    path = f"{work_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Empty the table behind a result of ``cut_lineage`` that nothing reads any more."""
+    path = df.inputFiles()
+    if path:
+        df.limit(0).write.mode("overwrite").parquet(path[0].rpartition("/")[0])

@@ -13,10 +13,9 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master("local[8]").appName("folioframe-tests").config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
-         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate())
+         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint"))).getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    if s.sparkContext.getCheckpointDir() is None:
-        s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield s
     s.stop()
 
