@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLAB = 1 << 22  # characters of text given to the library at once
-CACHE = 1 << 19  # pre-tokens remembered by a worker; when there are more, it starts afresh
+SLAB = 1 << 20  # characters of text given to the library at once
+CACHE = 1 << 17  # pre-tokens remembered by a worker; when there are more, it starts afresh
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,10 +83,10 @@ class Pieces:
         if len(self.known) > CACHE:
             self.known = {}
         new = [piece for piece in distinct if piece not in self.known]
-        self.known.update(zip(new, (np.array(x.ids, np.int32) for x in self.made.encode_batch_fast(new, add_special_tokens=False))))
+        self.known.update(zip(new, (array("i", x.ids).tobytes() for x in self.made.encode_batch_fast(new, add_special_tokens=False))))
         own = [self.known[piece] for piece in distinct]
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        flat, first, which = np.concatenate([*own, np.zeros(0, np.int32)]), np.cumsum(size) - size, coded.indices.to_numpy()
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat, first, which = np.frombuffer(b"".join(own), np.int32), np.cumsum(size) - size, coded.indices.to_numpy()
         ends = np.concatenate([[0], np.cumsum(size[which])])
         at = np.arange(ends[-1]) + np.repeat(first[which] - ends[:-1], size[which])
         cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from folioframe.operators.lineage import cut_lineage
 
 WINDOW = 10
-SMALL_BYTES = 32 << 20  # vocabulary up to this measured size is broadcast, a larger one is shuffled
+SMALL_BYTES = 8 << 20  # terms up to this measured size are broadcast, more are shuffled
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ["k1", "k2"]
 
@@ -41,12 +41,17 @@ def phrases(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Da
     return items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("phrase")).distinct()
 
 
+def _sent_whole(df: DataFrame) -> DataFrame:
+    """``df`` (a ``term`` and a few fixed columns) marked for broadcast if its measured size allows."""
+    size = df.agg(F.sum(F.octet_length("term") + 128)).first()[0] or 0
+    return F.broadcast(df) if size <= SMALL_BYTES else df
+
+
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index rows (term, k1, k2, pos) of ``terms``, and one row per document with term '' and pos its number of words."""
-    size = terms.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
-    terms = terms.union(terms.sparkSession.createDataFrame([("",)], "term string"))
+    terms = terms.union(terms.sparkSession.range(1).select(F.lit("").alias("term")))
     every = docs.select(*_keys(id_col, text_col), F.posexplode(F.array_append(words(F.col(text_col)), F.lit(""))).alias("pos", "term"))
-    return every.join(F.broadcast(terms) if size <= SMALL_BYTES else terms, "term")
+    return every.join(_sent_whole(terms), "term")
 
 
 def _rare_terms(known: DataFrame, index: DataFrame) -> DataFrame:
@@ -61,7 +66,7 @@ def _rare_terms(known: DataFrame, index: DataFrame) -> DataFrame:
 
 def _shifted(index: DataFrame, rare: DataFrame) -> DataFrame:
     """Where each phrase would have to start for its rare terms to be where the index has them."""
-    return (index.join(rare, "term").withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0"))
+    return (index.join(_sent_whole(rare), "term").withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0"))
 
 
 def _numbered(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:

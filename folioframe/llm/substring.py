@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from folioframe.llm.words import slabs
 
 WINDOW = 13
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 CELLS = 64  # counters of the sketch for each byte / 6 of text, about one word: one window in 64 is passed on needlessly
 _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _ESCAPE = 0xFFFF

@@ -10,7 +10,7 @@ import xxhash
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-SLAB = 4 << 20  # bytes of text handled at once; a longer text is a slab of its own
+SLAB = 1 << 20  # bytes of text handled at once; a longer text is a slab of its own
 LONG = 64  # a word of more bytes is hashed by xxhash; a shorter one as a polynomial over its bytes
 
 _U = np.uint64
