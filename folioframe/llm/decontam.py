@@ -71,7 +71,7 @@ def _shifted(index: DataFrame, rare: DataFrame) -> DataFrame:
 
 def _numbered(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     found = phrases(benchmark, id_col, text_col, window)
-    return cut_lineage(found.withColumn("phrase_id", F.sha2(F.concat_ws(" ", "phrase"), 256)))
+    return cut_lineage(found.withColumn("phrase_id", F.unhex(F.md5(F.concat_ws(" ", "phrase")))))
 
 
 def build(docs: DataFrame, benchmark: DataFrame, *, window: int, id_col: str, text_col: str, item_col: str,
