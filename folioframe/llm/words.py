@@ -37,7 +37,7 @@ class Words:
     """Bounds of the words of some texts that lie one after another in ``data``; ``between`` marks the bytes between words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLANK):
-        self.data, self.offsets = data, offsets
+        self.data, self.offsets, self._totals = data, offsets, {}
         blank = np.concatenate([[True], between[data], [True]])
         first = blank[:-1].copy()
         first[offsets[:-1]] = True  # a text's first byte starts a word though the byte before it belongs to another
@@ -48,15 +48,17 @@ class Words:
         self.bounds = np.searchsorted(self.start, offsets)  # of each text's words
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
 
-    def hashes(self, base: int) -> np.ndarray:
-        """A 64-bit hash of every word; ``base`` (odd) chooses the function."""
+    def hashes(self, base: int, first: int | None = None) -> np.ndarray:
+        """A 64-bit hash of every word, or of its ``first`` bytes; ``base`` (odd) chooses the function."""
         up, down = _powers(base, len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, _U)
-        np.cumsum((self.data.astype(_U) + _U(1)) * up[:len(self.data)], out=total[1:])
-        size = (self.end - self.start).astype(_U)
-        out = mix((total[self.end] - total[self.start]) * down[self.start] + size * _U(base ^ 0x9E3779B97F4A7C14))
+        if base not in self._totals:
+            self._totals[base] = np.zeros(len(self.data) + 1, _U)
+            np.cumsum((self.data.astype(_U) + _U(1)) * up[:len(self.data)], out=self._totals[base][1:])
+        total, end = self._totals[base], self.end if first is None else np.minimum(self.end, self.start + first)
+        size = (end - self.start).astype(_U)
+        out = mix((total[end] - total[self.start]) * down[self.start] + size * _U(base ^ 0x9E3779B97F4A7C14))
         for i in np.flatnonzero(size > LONG):
-            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i]:self.end[i]].tobytes(), seed=base & 0xFFFFFFFF)
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i]:end[i]].tobytes(), seed=base & 0xFFFFFFFF)
         return out
 
     def per_text(self, x: np.ndarray) -> np.ndarray:
@@ -76,6 +78,7 @@ class Words:
         out = np.zeros(len(h) - n + 1, _U)
         for k in range(n):
             out = out * _U(base) + h[k:len(h) - n + 1 + k]
+        self._totals.clear()  # a caller that keeps the words needs room rather than speed
         return mix(out[ok[:len(out)]])
 
     def joined(self, kept: np.ndarray) -> pa.Array:
