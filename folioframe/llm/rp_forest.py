@@ -22,7 +22,9 @@ from folioframe.operators.lineage import cut_lineage
 
 MIN_COSINE = 0.95
 TREES, LEAF, SPILL, SAMPLE, TILE = 8, 64, 0.08, 50_000, 1024
-DENSE = 0.7  # a split that would send more than this share to both sides is not made
+REACH = 0.4  # of the spread that a random direction gives to two vectors at the least cosine
+TRIES = 4  # directions tried before a node is left whole
+DENSE = 0.6  # a split that would send more than this share to both sides is not made
 
 
 @dataclass
@@ -36,21 +38,20 @@ class Tree:
     n_leaves: int
 
 
-def grow(x: np.ndarray, leaf: int, seed: int) -> Tree:
+def grow(x: np.ndarray, leaf: int, seed: int, reach: float) -> Tree:
+    """A tree over a sample; ``reach`` is the least spill on each side of a cut, set by how far linked vectors lie apart."""
     rng = np.random.default_rng(seed)
     directions, cuts, spills, children = [], [], [], []
     n_leaves = 0
 
     def node(rows: np.ndarray) -> int:
         nonlocal n_leaves
-        if len(rows) > leaf:
-            # Half the differences of two random rows, half free directions: the first follow the data, the second never fail.
-            d = rng.standard_normal(x.shape[1])
-            if rng.random() < 0.5:
-                d = x[rng.choice(rows)] - x[rng.choice(rows)]
+        for _ in range(TRIES if len(rows) > leaf else 0):
+            # Half differences of two random rows, half free directions: the first follow the data, the second never fail.
+            d = x[rng.choice(rows)] - x[rng.choice(rows)] if rng.random() < 0.5 else rng.standard_normal(x.shape[1])
             norm = np.linalg.norm(d)
             p = x[rows] @ (d / norm) if norm > 1e-6 else np.zeros(len(rows))
-            cut, spill = float(np.median(p)), SPILL * float(p.std())
+            cut, spill = float(np.median(p)), max(reach, SPILL * float(p.std()))
             left, right = rows[p <= cut + spill], rows[p >= cut - spill]
             if len(left) + len(right) < (1 + DENSE) * len(rows) and len(left) < len(rows) and len(right) < len(rows):
                 k = len(cuts)
@@ -170,7 +171,8 @@ def _links_of_width(single: DataFrame, width: int, min_cosine: float, trees: int
     share = min(1.0, sample / n)
     picked = single.filter(F.pmod("node", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("x").collect()
     x = np.array([r["x"] for r in picked]).reshape(-1, width)
-    forest = [grow(x, max(8, round(leaf * share)), seed) for seed in range(trees)]
+    reach = REACH * np.sqrt(2 * (1 - min_cosine) / width)
+    forest = [grow(x, max(8, round(leaf * share)), seed, reach) for seed in range(trees)]
     first = np.cumsum([0, *(t.n_leaves for t in forest)])
     forest = spark.sparkContext.broadcast((forest, first))  # its size follows from the sample's bound
 
