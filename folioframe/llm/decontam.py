@@ -66,7 +66,7 @@ def _rare_terms(known: DataFrame, index: DataFrame) -> DataFrame:
 
 def _shifted(index: DataFrame, rare: DataFrame) -> DataFrame:
     """Where each phrase would have to start for its rare terms to be where the index has them."""
-    return (index.join(_sent_whole(rare), "term").withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0"))
+    return index.join(_sent_whole(rare), "term").withColumn("start", F.col("pos") - F.col("off"))
 
 
 def _numbered(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -87,7 +87,7 @@ def build(docs: DataFrame, benchmark: DataFrame, *, window: int, id_col: str, te
 def exact_matches(docs: DataFrame, known: DataFrame, index: DataFrame, rare: DataFrame, window: int, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """(k1, k2, phrase_id, start, n): every occurrence of a phrase."""
-    meet = (_shifted(index, rare).groupBy("phrase_id", *KEY, "start")
+    meet = (_shifted(index, rare).filter("start >= 0").groupBy("phrase_id", *KEY, "start")
             .agg(F.count_distinct("off").alias("lists"), F.first("need").alias("need")).filter("lists = need"))
     spots = cut_lineage(meet.select("phrase_id", *KEY, "start"))
     read = (docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text")).join(spots.select(*KEY).distinct(), KEY, "left_semi")

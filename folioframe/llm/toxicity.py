@@ -179,15 +179,17 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(both[0] - both[1] + np.log(1 - self.prior) - np.log(self.prior), -500, 500)))
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, odds: np.ndarray | None = None) -> LabelModel:
     """From the distinct vote patterns and how many documents show each: no labels are used.
 
+    ``odds`` says how many times likelier each voter at least fires on toxic documents (1: not less likely), which is what is known of
+    voters chosen for that.
     After a first fit the voters' correlations within the classes are estimated; a voter's voice is one over its summed positive
     correlations with all voters, itself included, and the model is fitted again with these voices.
     """
     n = patterns.shape[1]
     total = counts.sum()
-    voice, correlation = np.ones(n), np.eye(n)
+    voice, correlation, odds = np.ones(n), np.eye(n), np.ones(n) if odds is None else odds
     for _ in range(2):
         start = np.minimum(0.5, patterns.T @ counts / total)
         fires, prior = np.clip(np.stack([0.2 * start, np.maximum(0.4, start)]), 1e-4, 0.95), 0.1
@@ -196,6 +198,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
             mass = np.stack([(1 - p) * counts, p * counts])
             new = np.clip((mass @ patterns + [[0.01], [0.5]]) / (mass.sum(1, keepdims=True) + 1), 1e-4, 1 - 1e-4)
             new[1] = np.maximum(new[1], new[0])  # a voter never speaks for the clean class
+            new[0] = np.minimum(new[0], new[1] / odds)
             prior = float(np.clip(mass[1].sum() / total, 1e-4, 0.5))
             if np.abs(new - fires).max() < 1e-7:
                 break
@@ -251,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = (seen.select(pattern.alias("p"), "c").groupBy("p")
             .agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.log1p(F.col("c")[i])) for i in range(k)]).alias("mean")).orderBy("p").collect())
     votes, counts = np.array([r["p"] for r in rows]).reshape(-1, k), np.array([r["n"] for r in rows], float)
-    model = fit_label_model(votes, counts)
+    model = fit_label_model(votes, counts, np.where(np.arange(k) < NAMES.index("words_a"), 1, RATIO))  # each marker was chosen for this ratio
     weights = fit_linear(votes, np.array([r["mean"] for r in rows]).reshape(-1, k), counts, model.posterior(votes))
     return Toxicity(markers, model, weights)
 

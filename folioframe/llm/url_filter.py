@@ -66,7 +66,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = No
     pages = pages.drop("host", "path", "rule", "verdict", "address")
     links = link_edges(pages, url_col, html_col)
     if edges is not None:
-        links = links.union(edges.select(address(F.col("u")), address(F.col("v"))).dropna())
+        links = links.union(edges.select(address(F.col("u")).alias("u"), address(F.col("v")).alias("v")).dropna())
     classes = connected_components(links)
     slim = pages.select("*", address(F.col(url_col)).alias("address"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     known = rules.select("host", "path", "verdict").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
