@@ -41,9 +41,9 @@ def phrases(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Da
     return items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("phrase")).distinct()
 
 
-def _sent_whole(df: DataFrame) -> DataFrame:
-    """``df`` (a ``term`` and a few fixed columns) marked for broadcast if its measured size allows."""
-    size = df.agg(F.sum(F.octet_length("term") + 128)).first()[0] or 0
+def _sent_whole(df: DataFrame, text: str) -> DataFrame:
+    """``df`` (the column ``text`` and a few fixed ones) marked for broadcast if its measured size allows; else it is shuffled."""
+    size = df.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
     return F.broadcast(df) if size <= SMALL_BYTES else df
 
 
@@ -51,22 +51,22 @@ def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
     """The index rows (term, k1, k2, pos) of ``terms``, and one row per document with term '' and pos its number of words."""
     terms = terms.union(terms.sparkSession.range(1).select(F.lit("").alias("term")))
     every = docs.select(*_keys(id_col, text_col), F.posexplode(F.array_append(words(F.col(text_col)), F.lit(""))).alias("pos", "term"))
-    return every.join(_sent_whole(terms), "term")
+    return every.join(_sent_whole(terms, "term"), "term")
 
 
 def _rare_terms(known: DataFrame, index: DataFrame) -> DataFrame:
-    """(phrase_id, term, off, need): the one or two rarest terms of each phrase whose terms all occur in the corpus."""
+    """(phrase_id, term, off, need, list): the one or two rarest terms of each phrase whose terms all occur in the corpus."""
     freq = index.filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
     placed = known.select("phrase_id", F.size("phrase").alias("n"), F.posexplode("phrase").alias("off", "term"))
     ranked = placed.join(freq, "term").withColumn("rank", F.row_number().over(Window.partitionBy("phrase_id").orderBy("freq", "off")))
     whole = Window.partitionBy("phrase_id")
     return (ranked.withColumn("found", F.count(F.lit(1)).over(whole)).filter("found = n and rank <= 2")
-            .select("phrase_id", "term", "off", F.least("n", F.lit(2)).alias("need")))
+            .select("phrase_id", "term", "off", F.least("n", F.lit(2)).alias("need"), F.col("rank").alias("list")))
 
 
 def _shifted(index: DataFrame, rare: DataFrame) -> DataFrame:
     """Where each phrase would have to start for its rare terms to be where the index has them."""
-    return index.join(_sent_whole(rare), "term").withColumn("start", F.col("pos") - F.col("off"))
+    return index.join(_sent_whole(rare, "term"), "term").withColumn("start", F.col("pos") - F.col("off"))
 
 
 def _numbered(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -88,9 +88,10 @@ def exact_matches(docs: DataFrame, known: DataFrame, index: DataFrame, rare: Dat
                   text_col: str = "text") -> DataFrame:
     """(k1, k2, phrase_id, start, n): every occurrence of a phrase."""
     meet = (_shifted(index, rare).filter("start >= 0").groupBy("phrase_id", *KEY, "start")
-            .agg(F.count_distinct("off").alias("lists"), F.first("need").alias("need")).filter("lists = need"))
+            .agg(F.bit_or("list").alias("lists"), F.max("need").alias("need")).filter("lists = 2 * need - 1"))  # 1 alone, or 1 and 2
     spots = cut_lineage(meet.select("phrase_id", *KEY, "start"))
-    read = (docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text")).join(spots.select(*KEY).distinct(), KEY, "left_semi")
+    wanted = _sent_whole(spots.select(*KEY).distinct(), "k1")
+    read = (docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text")).join(wanted, KEY, "left_semi")
             .dropDuplicates(KEY).select(*KEY, words(F.col("text")).alias("w")))
     # A document's spots are cut out of its words before they meet the phrases: the words are handed on no further.
     cut = (spots.groupBy(*KEY).agg(F.collect_list(F.struct("phrase_id", "start")).alias("spots")).join(read, KEY)
