@@ -52,8 +52,7 @@ def fields_by_suffix(df: DataFrame, json_col: str, suffix: str = "ru", *, skip:
     def fields(texts: pd.Series) -> pd.Series:
         return texts.map(lambda s: walk(json.loads(s), "", []))
 
-    # Only documents that can hold such a key reach Python.
-    held = df.filter(F.try_parse_json(json_col).isNotNull() & F.contains(F.col(json_col), F.lit(f'{suffix}"')))
+    held = df.filter(F.try_parse_json(json_col).isNotNull())
     found = held.withColumn("__f", F.explode(fields(json_col)))
     return found.select(*[c for c in df.columns if c != json_col], "__f.path", "__f.value")
 

@@ -47,20 +47,21 @@ CREDENTIALS = {
 }
 
 
-def _latin_letters():
-    """(letter, NFD form) for every precomposed Latin letter, from the Unicode tables."""
-    for cp in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
+def _composed_letters(*ranges):
+    """(letter, NFD form) for every precomposed letter of some ranges, from the Unicode tables."""
+    for cp in (cp for r in ranges for cp in r):
         ch = chr(cp)
         nfd = unicodedata.normalize("NFD", ch)
         if nfd != ch:
             yield ch, nfd
 
 
-_LETTERS = list(_latin_letters())
+_LATIN = list(_composed_letters(range(0x00C0, 0x0250), range(0x1E00, 0x1F00)))
+_LETTERS = [*_LATIN, *_composed_letters(range(0x0400, 0x0530))]  # and Cyrillic
 _ACCENTED = "".join(c for c, _ in _LETTERS)
 _BASES = "".join(d[0] for _, d in _LETTERS)
 _TWO_MARKS = "".join(c for c, d in _LETTERS if len(d) == 3)
-_TONED = [(c, d) for c, d in _LETTERS if any(m in d for m in TONE_MARKS)]
+_TONED = [(c, d) for c, d in _LATIN if any(m in d for m in TONE_MARKS)]
 _TONED_FROM = "".join(c for c, _ in _TONED) + TONE_MARKS
 # Control characters stand for tones and marks while counting: their classes are short ranges.
 _TONE_SIGNS = "\x01\x02\x03\x04"
@@ -80,7 +81,7 @@ def let(value: Column, body) -> Column:
 
 
 def nfc(col: Column) -> Column:
-    """Composed form of Latin letters; text without combining marks passes through untouched."""
+    """Composed form of Latin and Cyrillic letters; text without combining marks passes through untouched."""
     marked = "\\p{L}[\\x{0300}-\\x{036f}]"
     def compose(text):
         pairs = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({marked})"), F.lit(1)))
@@ -225,10 +226,9 @@ def transliterate(col: Column) -> Column:
         return F.array_join(pieces, "") == F.replace(w, F.lit("'"), F.lit(""))
     def ru(w):
         joined = F.array_join(F.transform(F.flatten(F.transform(F.split(w, "'"), parts)), _part_ru), "")
-        return F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 1000))
-    # Most text fails this cheap test and is never taken apart.
-    shape = bare_pinyin(col).rlike(f"^[^a-z]*(?:(?:{PINYIN_PART})+[^a-z]*)+$")
-    return F.when(shape & (F.size(words) > 0) & F.forall(words, parses), F.array_join(F.transform(words, ru), " "))
+        return F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, F.lit(2), F.length(joined)))
+    # The test ends at the first word that is not pinyin, so most text is never taken apart.
+    return F.when((F.size(words) > 0) & F.forall(words, parses), F.array_join(F.transform(words, ru), " "))
 
 
 def track_code(col: Column) -> Column:

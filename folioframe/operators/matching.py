@@ -9,22 +9,14 @@ from ..functions.text import memory_key
 from .ordered import Ordered, all_small, null_safe
 from .sequences import as_of
 
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only where a count proves the table small; otherwise Spark picks a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def _filled(c: str) -> Column:
     return F.nullif(F.col(c), F.lit(""))
 
 
 def dictionary_fill(df: DataFrame, dictionary: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The fixed dictionary wins over the value at hand."""
-    d = dictionary.select(*keys, F.col(value).alias("__dict"))
-    return df.join(broadcast_if_small(d), keys, "left").withColumn(value, F.coalesce("__dict", value)).drop("__dict")
+    """The fixed dictionary wins over the value at hand; of several entries of one key, the smallest value."""
+    d = dictionary.groupBy(*keys).agg(F.min(value).alias("__dict"))
+    return df.join(d, keys, "left").withColumn(value, F.coalesce("__dict", value)).drop("__dict")
 
 
 def _memory_keys(df: DataFrame, source: str, target: str) -> DataFrame:
@@ -107,7 +99,7 @@ def match_alias(speakers: DataFrame, aliases: DataFrame, manual: DataFrame | Non
     found = found.select(F.col("k").alias(key), "exact", "partial")
     j = speakers.join(found, key, "left")
     if manual is not None:
-        j = j.join(broadcast_if_small(manual.select(F.col("key").alias(key), F.col("character").alias("__chosen"))), key, "left")
+        j = j.join(manual.groupBy(F.col("key").alias(key)).agg(F.min("character").alias("__chosen")), key, "left")
     else:
         j = j.withColumn("__chosen", F.lit(None).cast("string"))
     ok = F.lit(True) if group is None else ~group
@@ -123,13 +115,18 @@ def match_alias(speakers: DataFrame, aliases: DataFrame, manual: DataFrame | Non
 def match_revision(new: DataFrame, old: DataFrame, page: list[str], ident: str, same: list[str], order: list[str]) -> DataFrame:
     """Old identity of each new block (column ``matched_id``) and its lasting id (column ``block_id``).
 
-    The same id matches first.  The rest pairs up, one to one and in reading order, with unmatched old
+    The same id matches first; rows that repeat an id match one to one in reading order.  The rest pairs up, one to one and in reading order, with unmatched old
     blocks that agree in ``same`` (type and source hash).  A new block gets an id from its content.
     """
-    old_ids = old.select(*page, F.col(ident).alias("__old"))
-    by_id = new.alias("l").join(old_ids.alias("r"), null_safe("l", "r", page) & (F.col(f"l.{ident}") == F.col("r.__old")), "left").select("l.*", "r.__old")
-    taken = by_id.filter("__old IS NOT NULL").select(*page, F.col("__old").alias(ident))
-    free_old = old.join(taken, [*page, ident], "left_anti")
+    numbered_new = Ordered(new, [*page, ident], order, bounded=all_small(new, [*page, ident])).add(__n=("row",)).done()
+    numbered_old = Ordered(old, [*page, ident], order, bounded=all_small(old, [*page, ident])).add(__n=("row",)).done()
+    old_ids = numbered_old.select(*page, F.col(ident).alias("__old"), "__n")
+    by_id = (numbered_new.alias("l").join(old_ids.alias("r"), null_safe("l", "r", [*page, "__n"]) & (F.col(f"l.{ident}") == F.col("r.__old")), "left")
+             .select("l.*", "r.__old"))
+    taken = by_id.filter("__old IS NOT NULL").select(*page, F.col("__old").alias(ident), "__n")
+    free_old = (numbered_old.alias("l").join(taken.alias("r"), null_safe("l", "r", [*page, "__n"]) & (F.col(f"l.{ident}") == F.col(f"r.{ident}")), "left_anti")
+                .drop("__n"))
+    by_id = by_id.drop("__n")
     ranked_old = Ordered(free_old, page + same, order, bounded=all_small(old, page + same)).add(__k=("row",)).done().select(*page, *same, "__k", F.col(ident).alias("__pair"))
     free_new = by_id.filter("__old IS NULL").drop("__old")
     ranked_new = Ordered(free_new, page + same, order, bounded=all_small(new, page + same)).add(__k=("row",)).done()
@@ -155,12 +152,12 @@ def is_subsequence(inner: Column, outer: Column) -> Column:
 
 
 def revision_regressions(new: DataFrame, old: DataFrame, page: list[str], ident: str, value: str, *, alternate: list[str], region: list[str], text: str,
-                         optional: Column | None = None) -> DataFrame:
+                         optional: Column | None = None, order: list[str] | None = None) -> DataFrame:
     """Values that were present before and are gone now, by page and id.
 
     A value survives when the block with its id, or one with the same alternate key, carries a value; or
-    when the translated pieces of its region hold its characters in order.  Optional rows (glossary terms)
-    may disappear.
+    when the translated pieces of its region, joined in ``order`` (default: by id), hold its characters in order.
+    Optional rows (glossary terms) may disappear.
     """
     had = old.filter(_filled(value).isNotNull())
     if optional is not None:
@@ -172,7 +169,7 @@ def revision_regressions(new: DataFrame, old: DataFrame, page: list[str], ident:
     # Only regions that still matter are put together.
     wanted = rest.select(*page, *region).distinct()
     pieces = (new.join(wanted, [*page, *region], "left_semi").groupBy(*page, *region)
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ident, text))), lambda p: p[text]), "").alias("__now"),
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([*(order or []), ident])], F.col(text).alias("t")))), lambda p: p["t"]), "").alias("__now"),
                    F.count_if(_filled(value).isNull()).alias("__bare")))
     j = rest.join(pieces, [*page, *region], "left")
     split = (F.col("__bare") == 0) & is_subsequence(letters(F.col(text)), letters(F.col("__now")))
@@ -255,7 +252,8 @@ def price_estimate(requests: DataFrame, skus: DataFrame) -> DataFrame:
     seconds = F.col("__s.price") * F.when(F.contains(F.col("__s.sku"), F.lit("cents")), 0.01).otherwise(1.0) * F.col("duration")
     height = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HEIGHTS.items() for x in kv]), F.col("res")), F.lit(720))
     parts = F.split(F.coalesce(_filled("aspect"), F.lit("16:9")), ":")
-    width = F.floor(height * (parts[0].cast("double") / parts[1].cast("double")) + 0.5)
+    ratio = F.get(parts, F.lit(0)).try_cast("double") / F.nullif(F.get(parts, F.lit(1)).try_cast("double"), F.lit(0.0))
+    width = F.floor(height * F.coalesce(ratio, F.lit(16 / 9)) + 0.5)  # an aspect that is no ratio counts as 16:9
     tokens = F.col("__t.price") * (width * height * 24 * F.col("duration") / 1024)
     usd = F.coalesce(seconds, tokens)
     return j.withColumn("usd", F.when(F.col("duration") > 0, F.when(usd.isNotNull(), F.greatest(usd, F.col("__min") / 100)))).select(*requests.columns, "usd")

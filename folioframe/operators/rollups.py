@@ -326,14 +326,20 @@ def novelty(docs: DataFrame, order: str, text: str, pattern: str, known: DataFra
 
 
 def unit_vote(boxes: DataFrame, page: list[str], x: str, y: str, w: str, h: str, width: Column, height: Column) -> DataFrame:
-    """Unit of a page's boxes by 70 percent majority, with the scales that bring them to 0..1."""
-    right, low = F.col(x) + F.col(w), F.col(y) + F.col(h)
+    """Unit of a page's boxes by 70 percent majority, with the scales that bring them to 0..1.
+
+    Boxes with a value that is null or not finite have no vote; a page with no other boxes is in fractions.
+    """
+    sound = F.lit(True)
+    for c in (x, y, w, h):
+        sound = sound & F.coalesce(F.abs(F.col(c).cast("double")) < F.lit(float("inf")), F.lit(False))
+    right, low, y = F.when(sound, F.col(x) + F.col(w)), F.when(sound, F.col(y) + F.col(h)), F.when(sound, F.col(y))
     def share(limit):
-        return F.avg(F.when((right <= limit) & (low <= limit), 1.0).otherwise(0.0))
+        return F.avg(F.when(sound, F.when((right <= limit) & (low <= limit), 1.0).otherwise(0.0)))
     v = boxes.groupBy(*page).agg(share(1.05).alias("__f"), share(101).alias("__p"), share(1005).alias("__g"), F.max(right).alias("__mx"),
                                  F.max(low).alias("__my"), F.max(y).alias("__sy"), F.max(width).alias("__w"), F.max(height).alias("__h"))
     grid = (F.col("__g") >= 0.7) & (F.col("__sy") <= 1000) & (~(F.col("__h") > 1050) | (F.col("__sy") < F.col("__h") * 0.66))
-    unit = (F.when(F.col("__f") >= 0.7, "fraction").when(F.col("__p") >= 0.7, "percent").when(grid, "grid1000")
+    unit = (F.when(F.col("__f").isNull() | (F.col("__f") >= 0.7), "fraction").when(F.col("__p") >= 0.7, "percent").when(grid, "grid1000")
             .when((F.col("__w") > 0) & (F.col("__h") > 0), "pixels").otherwise("scaled"))
     def scale(size, reach):
         return (F.when(F.col("unit") == "fraction", 1.0).when(F.col("unit") == "percent", 0.01).when(F.col("unit") == "grid1000", 0.001)

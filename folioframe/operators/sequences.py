@@ -225,8 +225,8 @@ def last_per_key(df: DataFrame, keys: list[str], created: list[str], active: Col
     return best.select(*keys, "__r.*")
 
 
-def attach_punctuation(df: DataFrame, part: list[str], order: list[str], token: str, word: Column, limit: int = 12) -> DataFrame:
-    """Pieces of a sentence: a word with the marks after it; only the first ``limit`` pieces are kept.
+def attach_punctuation(df: DataFrame, part: list[str], order: list[str], token: str, word: Column, limit: int | None = None) -> DataFrame:
+    """Pieces of a sentence: a word with the marks after it; all of them, or the first ``limit`` if given.
 
     Marks before the first word form a piece of their own.
     """
@@ -234,7 +234,9 @@ def attach_punctuation(df: DataFrame, part: list[str], order: list[str], token:
     tagged = o.done()
     leading = tagged.groupBy(*part).agg(F.min("__word").alias("__first"))
     pieces = (tagged.alias("l").join(leading.alias("r"), null_safe("l", "r", part)).select("l.*", "r.__first")
-              .withColumn("piece", F.col("__word") - F.col("__first") + 1).filter(F.col("piece") <= limit))
+              .withColumn("piece", F.col("__word") - F.col("__first") + 1))
+    if limit is not None:
+        pieces = pieces.filter(F.col("piece") <= limit)
     text = F.array_sort(F.collect_list(F.struct("__i", token)))
     return pieces.groupBy(*part, "piece").agg(F.array_join(F.transform(text, lambda p: p[token]), "").alias("text"))
 

@@ -58,8 +58,13 @@ def refuse_unlisted(df: DataFrame, rules: dict[str, Column], must_be_empty: dict
 
 
 def memo_join(work: DataFrame, cache: DataFrame, content: str, code: str, result: str, prompt: str) -> DataFrame:
-    """Reuse a cached result when content and code hash agree; a changed prompt keeps it but asks for review."""
-    c = cache.select(content, code, F.col(result).alias("__r"), F.col(prompt).alias("__p"), F.lit(True).alias("__hit"))
+    """Reuse a cached result when content and code hash agree; a changed prompt keeps it but asks for review.
+
+    Of several cached rows of one key the one with the smallest prompt (then result) counts.
+    """
+    one = F.min(F.struct(F.col(prompt).alias("p"), F.col(result).alias("r")))
+    c = (cache.groupBy(content, code).agg(one.alias("__c"))
+         .select(content, code, F.col("__c.r").alias("__r"), F.col("__c.p").alias("__p"), F.lit(True).alias("__hit")))
     j = work.join(c, [content, code], "left")
     hit = F.col("__hit").isNotNull()
     return j.select(*work.columns, hit.alias("reused"), F.col("__r").alias(result),
@@ -72,8 +77,12 @@ def memo_misses(work: DataFrame, cache: DataFrame, content: str, code: str) -> D
 
 
 def batch_status(items: DataFrame, done: DataFrame, keys: list[str], source_hash: str) -> DataFrame:
-    """State of every item of a resumable run: queued, done, error, or skipped when its source changed."""
-    d = done.select(*keys, F.col(source_hash).alias("__h"), F.col("state").alias("__s"))
+    """State of every item of a resumable run: queued, done, error, or skipped when its source changed.
+
+    Of several rows of one key the one with the smallest state (then hash) counts.
+    """
+    one = F.min(F.struct(F.col("state").alias("s"), F.col(source_hash).alias("h")))
+    d = done.groupBy(*keys).agg(one.alias("__d")).select(*keys, F.col("__d.h").alias("__h"), F.col("__d.s").alias("__s"))
     state = (F.when(F.col("__s").isNull(), "queued").when(~F.col("__h").eqNullSafe(F.col(source_hash)), "skipped").otherwise(F.col("__s")))
     return items.join(d, keys, "left").withColumn("state", state).drop("__h", "__s")
 

@@ -171,7 +171,7 @@ WITH k AS (SELECT doc_id, regexp_extract_all(text, '\\p{Latin}+(?:[''’]\\p{Lat
 p AS (SELECT doc_id, pos, k[pos] AS tok, regexp_matches(k[pos], '^[\\p{L}\\p{Nd}]') AS w FROM (SELECT doc_id, k, unnest(generate_series(1, len(k))) AS pos FROM k)),
 g AS (SELECT *, sum(w::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM p),
 f AS (SELECT *, g - min(g) OVER (PARTITION BY doc_id) + 1 AS piece FROM g)
-SELECT doc_id, piece, string_agg(tok, '' ORDER BY pos) AS text FROM f WHERE piece <= 12 GROUP BY ALL""", piece="BIGINT")
+SELECT doc_id, piece, string_agg(tok, '' ORDER BY pos) AS text FROM f GROUP BY ALL""", piece="BIGINT")
 def _(t):
     from ..functions.text import mixed_tokens
     tokens = t.documents.select("doc_id", F.posexplode(mixed_tokens(F.col("text"))).alias("pos", "tok"))
