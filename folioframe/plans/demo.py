@@ -10,6 +10,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a text table that is a single file, whose one row group a single task would read and work on.
+
+    A table of several files is read as it is.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 class Tables:
     """Lazy access to the tables of one directory: ``t.events`` reads events.parquet."""
 
@@ -18,7 +29,8 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
 
 def demo(name: str, sql: str | None = None, **types: str):
