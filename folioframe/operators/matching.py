@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import memory_key
-from .ordered import Ordered, all_small, null_safe
+from .lineage import cut_lineage
+from .ordered import Ordered, null_safe
 from .sequences import as_of
 
 def _filled(c: str) -> Column:
@@ -115,21 +116,22 @@ def match_alias(speakers: DataFrame, aliases: DataFrame, manual: DataFrame | Non
 def match_revision(new: DataFrame, old: DataFrame, page: list[str], ident: str, same: list[str], order: list[str]) -> DataFrame:
     """Old identity of each new block (column ``matched_id``) and its lasting id (column ``block_id``).
 
-    The same id matches first; rows that repeat an id match one to one in reading order.  The rest pairs up, one to one and in reading order, with unmatched old
-    blocks that agree in ``same`` (type and source hash).  A new block gets an id from its content.
+    The same id matches first; rows that repeat an id match one to one in reading order.  The rest pairs up, one
+    to one and in reading order, with unmatched old blocks that agree in ``same`` (type and source hash).  A new block gets an id from its content.
     """
-    numbered_new = Ordered(new, [*page, ident], order, bounded=all_small(new, [*page, ident])).add(__n=("row",)).done()
-    numbered_old = Ordered(old, [*page, ident], order, bounded=all_small(old, [*page, ident])).add(__n=("row",)).done()
+    numbered_new = Ordered(new, [*page, ident], order).add(__n=("row",)).done()
+    numbered_old = Ordered(old, [*page, ident], order).add(__n=("row",)).done()
     old_ids = numbered_old.select(*page, F.col(ident).alias("__old"), "__n")
     by_id = (numbered_new.alias("l").join(old_ids.alias("r"), null_safe("l", "r", [*page, "__n"]) & (F.col(f"l.{ident}") == F.col("r.__old")), "left")
              .select("l.*", "r.__old"))
+    by_id = cut_lineage(by_id)
     taken = by_id.filter("__old IS NOT NULL").select(*page, F.col("__old").alias(ident), "__n")
     free_old = (numbered_old.alias("l").join(taken.alias("r"), null_safe("l", "r", [*page, "__n"]) & (F.col(f"l.{ident}") == F.col(f"r.{ident}")), "left_anti")
                 .drop("__n"))
     by_id = by_id.drop("__n")
-    ranked_old = Ordered(free_old, page + same, order, bounded=all_small(old, page + same)).add(__k=("row",)).done().select(*page, *same, "__k", F.col(ident).alias("__pair"))
+    ranked_old = Ordered(free_old, page + same, order).add(__k=("row",)).done().select(*page, *same, "__k", F.col(ident).alias("__pair"))
     free_new = by_id.filter("__old IS NULL").drop("__old")
-    ranked_new = Ordered(free_new, page + same, order, bounded=all_small(new, page + same)).add(__k=("row",)).done()
+    ranked_new = Ordered(free_new, page + same, order).add(__k=("row",)).done()
     paired = (ranked_new.alias("l").join(ranked_old.alias("r"), null_safe("l", "r", page + same + ["__k"]), "left")
               .select(*[F.col(f"l.{c}") for c in new.columns], F.col("r.__pair").alias("matched_id")))
     both = by_id.filter("__old IS NOT NULL").withColumnRenamed("__old", "matched_id").select(*new.columns, "matched_id").unionByName(paired)

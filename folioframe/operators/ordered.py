@@ -1,13 +1,14 @@
 """Ordered per-key computations that stay balanced when one key is hot.
 
-A plain window puts all rows of a key into one task.  ``Ordered`` first asks, with one
-pre-aggregated count job, whether any key holds more than ``split_rows`` rows.  If none does, every
-column is an ordinary window expression.  Otherwise the rows of each hot key are cut into chunks at
-split points of the ordering; a window runs inside each (key, chunk), and what the earlier chunks
-contribute is a carry taken from one summary row per chunk.  Results are the same on both ways.
-
-The hot-key table is bounded: at most ``MAX_HOT`` keys can be over the threshold and each has at most
-``MAX_CHUNKS`` chunks, so it is safe on the driver and in a broadcast.
+A plain window puts all rows of a key into one task.  ``Ordered`` cuts the whole table, sorted by (keys, order), at about as
+many points as ``spark.sql.shuffle.partitions`` names, as a range partitioning does.  A key that such a point falls into is cut
+there; a key between two points stays whole, so no task gets much more than its share of the rows, whatever the keys.  A window
+runs inside each (key, chunk), and what a cut key's other chunks contribute is a carry taken from one summary row per chunk.
+There is one way for every size.
+
+The points come from a sample picked by a hash of the rows, about ``_PER_CHUNK`` rows a chunk: one job that reads keys and order
+columns only.  Points, cut keys and carries are no more than the chunks, so they are safe on the driver and in a broadcast.
+The rows are read once more for the summaries; a caller with a costly input writes it first (``cut_lineage``).
 """
 
 from __future__ import annotations
@@ -16,19 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SPLIT_ROWS = 2_000_000
-MAX_HOT = 10_000
-MAX_CHUNKS = 1024
 _PER_CHUNK = 24  # sampled rows per chunk used to place the split points
 _CHUNK, _HOT = "__ord_chunk", "__ord_hot"
 
 
-def set_split_rows(n: int) -> None:
-    """Change the default row count above which a key is split (tests use a small one)."""
-    global SPLIT_ROWS
-    SPLIT_ROWS = n
-
-
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -40,77 +32,53 @@ def null_safe(left: str, right: str, keys: list[str]) -> Column:
     return cond
 
 
-def all_small(df: DataFrame, keys: list[str], split_rows: int | None = None) -> bool:
-    """Whether no key holds more than ``split_rows`` rows; one pre-aggregated job over the keys.
-
-    Operators with several ordered steps ask once on their input and pass ``bounded`` to the steps.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return (counts.agg(F.max("__n")).first()[0] or 0) <= (split_rows or SPLIT_ROWS)
-
-
 def _nulls_first(v):
     """Sort key that orders values, and structs field by field, as Spark does."""
-    if isinstance(v, tuple):
+    if isinstance(v, (tuple, list)):
         return True, tuple(_nulls_first(x) for x in v)
+    if isinstance(v, float):
+        return True, (v != v, 0.0 if v != v else v)  # NaN is the largest number
     return v is not None, 0 if v is None else v
 
 
 class Ordered:
     """Adds ordered columns to ``df`` within ``keys`` (none = the whole table).
 
-    ``order`` lists ascending columns (nulls first) that must give a total order.  ``bounded=True``
-    skips the count job where a group is known to be small, e.g. the pieces of one text.
+    ``order`` lists ascending columns (nulls first) that must give a total order.  ``chunks`` is the number of parts the table
+    is cut into, by default the session's number of shuffle partitions.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str | Column], *,
-                 split_rows: int | None = None, bounded: bool = False):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str | Column], *, chunks: int | None = None):
         self.keys = list(keys)
         self.order = [_col(c) for c in order]
-        self.hot = None
-        if not bounded:
-            self.hot = self._split_points(df, split_rows or SPLIT_ROWS)
-        if self.hot is not None:
-            df = self._chunked(df)
-        self.df = df
+        self.hot = self._split_points(df, chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        self.df = df if self.hot is None else self._chunked(df)
 
     # -- choosing the chunks -------------------------------------------------
 
-    def _split_points(self, df: DataFrame, split_rows: int) -> DataFrame | None:
-        counts = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__n"))
-        total, top = counts.agg(F.sum("__n"), F.max("__n")).first()
-        if not top or top <= split_rows:
-            return None
-        threshold = max(split_rows, total // MAX_HOT)
-        hot_rows = counts.filter(F.col("__n") > threshold).collect()
-        if not hot_rows:
-            return None
+    def _split_points(self, df: DataFrame, chunks: int) -> DataFrame | None:
+        """The cut keys with their split points; None where nothing is to be cut."""
         spark = df.sparkSession
-        key_fields = [f for f in counts.schema.fields if f.name != "__n"]
-        sizes = {tuple(r[k] for k in self.keys): r["__n"] for r in hot_rows}
-        chunks = {k: min(MAX_CHUNKS, -(-n // threshold) * 2) for k, n in sizes.items()}
-        hot_keys = spark.createDataFrame(
-            [(*k, min(1.0, chunks[k] * _PER_CHUNK / sizes[k])) for k in sizes],
-            T.StructType([*key_fields, T.StructField("__ord_rate", T.DoubleType())]))
-        # A sample places the split points only; every row is kept and goes to exactly one chunk.
-        picked = (df.withColumn("__ord_o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)])).alias("l")
-                  .join(F.broadcast(hot_keys.alias("r")), null_safe("l", "r", self.keys))
-                  .filter(F.rand(7) < F.col("__ord_rate"))
-                  .select(*[F.col(f"l.{k}") for k in self.keys], "__ord_o"))
+        slim = df.select(*self.keys, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)]).alias("__ord_o"))
+        share = F.pmod(F.xxhash64(*slim.columns), F.lit(1 << 40)) / float(1 << 40)  # by content: any reading of the rows picks the same ones
+        wanted = F.lit(float(chunks * _PER_CHUNK)) / F.greatest(slim.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+        picked = slim.filter(share < wanted)
+        rows = [tuple(r) for r in picked.collect()]
+        rows.sort(key=_nulls_first)
+        step = max(1, -(-len(rows) // chunks))
+        points: dict[tuple, tuple[list, list]] = {}
+        for *key, at in rows[step::step]:
+            points.setdefault(_nulls_first(key), (key, []))[1].append(tuple(at))
+        if not points:
+            return None
         order_type = picked.schema["__ord_o"].dataType
-        samples: dict[tuple, list] = {k: [] for k in sizes}
-        for row in picked.collect():
-            samples[tuple(row[k] for k in self.keys)].append(tuple(row["__ord_o"]))
         table = []
-        for k, points in samples.items():
-            points.sort(key=_nulls_first)
-            step = max(1, len(points) // chunks[k])
-            bounds = points[step::step]
+        for key, bounds in points.values():
             # Two levels keep the search for a row's chunk near the square root of their number.
             width = max(1, int(len(bounds) ** 0.5))
-            table.append((*k, bounds, bounds[::width], width))
+            table.append((*key, bounds, bounds[::width], width))
         return spark.createDataFrame(table, T.StructType([
-            *key_fields, T.StructField("__ord_bounds", T.ArrayType(order_type)),
+            *[f for f in picked.schema.fields if f.name != "__ord_o"], T.StructField("__ord_bounds", T.ArrayType(order_type)),
             T.StructField("__ord_coarse", T.ArrayType(order_type)), T.StructField("__ord_width", T.IntegerType())]))
 
     def _chunked(self, df: DataFrame) -> DataFrame:
@@ -253,18 +221,15 @@ class Ordered:
         return self.df.drop(_CHUNK, _HOT)
 
 
-def weighted_rank_pick(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column], size: str = "n",
-                       bounded: bool | None = None) -> DataFrame:
+def weighted_rank_pick(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column], size: str = "n") -> DataFrame:
     """Values at given ranks per key, without gathering a key's rows in one task.
 
     Equal values are counted first, so the shuffle carries one row per (key, value).  ``picks`` maps an
     output name to a rank (1-based) written in terms of the count column ``__n``.
     """
-    if bounded is None:
-        bounded = all_small(df, keys)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     sizes = counted.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    run = Ordered(counted, keys, [value], bounded=bounded).add(__upto=("sum", "__c")).done()
+    run = Ordered(counted, keys, [value]).add(__upto=("sum", "__c")).done()
     joined = (run.alias("l").join(sizes.alias("r"), null_safe("l", "r", keys))
               .select("l.*", "r.__n"))
     def hit(rank: Column) -> Column:

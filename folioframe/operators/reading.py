@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import boxes
 from ..functions.alignment import line_texts, match_score, reading_gate
 from ..functions.text import HAN_RANGE, plain_key
-from .ordered import Ordered, all_small, null_safe
+from .lineage import cut_lineage
+from .ordered import Ordered, null_safe
 from .sequences import tag_runs
 
 
@@ -26,10 +27,9 @@ def group_words_to_lines(df: DataFrame, page: list[str], ident: str) -> DataFram
     """
     words = df.filter((F.trim("text") != "") & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull())
     words = words.select(*page, ident, "text", *[F.col(c).cast("double").alias(c) for c in "xywh"]).withColumn("cy", F.col("y") + F.col("h") / 2)
-    small = all_small(words, page)
     tallest = words.groupBy(*page).agg(F.max("h").alias("__tall"))
     reach = words.alias("l").join(tallest.alias("r"), null_safe("l", "r", page)).select("l.*", "r.__tall")
-    banded = tag_runs(reach, page, ["cy", "x", ident], F.col("cy"), F.col("__tall") * 0.6, out="band", bounded=small).drop("__tall")
+    banded = tag_runs(reach, page, ["cy", "x", ident], F.col("cy"), F.col("__tall") * 0.6, out="band").drop("__tall")
     key = [*page, "band"]
     keys = len(key)
 
@@ -61,10 +61,10 @@ def group_words_to_lines(df: DataFrame, page: list[str], ident: str) -> DataFram
             yield pdf.assign(row=out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in banded.schema.fields) + ", row bigint"
-    placed = banded.repartition(*key).sortWithinPartitions(*key, "cy", "x", ident).mapInPandas(follow, schema)
+    placed = cut_lineage(banded.repartition(*key).sortWithinPartitions(*key, "cy", "x", ident).mapInPandas(follow, schema))
     row = [*key, "row"]
     shape = placed.groupBy(*row).agg(F.median("h").alias("__height"), F.avg("cy").alias("__centre"))
-    o = Ordered(placed, row, ["x", ident], bounded=small).add(__end=("lag", F.col("x") + F.col("w")))
+    o = Ordered(placed, row, ["x", ident]).add(__end=("lag", F.col("x") + F.col("w")))
     o.df = o.df.alias("l").join(shape.alias("r"), null_safe("l", "r", row)).select("l.*", "r.__height", "r.__centre")
     split = F.col("__end").isNotNull() & (F.col("x") - F.col("__end") > F.greatest(F.col("__height") * 3, F.lit(0.025)))
     o.with_columns(__cut=split.cast("long")).add(seg=("sum", "__cut"), __i=("row",))
@@ -74,7 +74,7 @@ def group_words_to_lines(df: DataFrame, page: list[str], ident: str) -> DataFram
     lines = o.done().groupBy(*row, "seg").agg(
         F.when(han, F.array_join(text, "")).otherwise(F.array_join(text, " ")).alias("text"), F.min("x").alias("x"), F.min("y").alias("y"),
         F.max(F.col("x") + F.col("w")).alias("__x1"), F.max(F.col("y") + F.col("h")).alias("__y1"), F.max("__centre").alias("__centre"))
-    done = Ordered(lines, page, ["__centre", "band", "row", "seg"], bounded=small).add(__n=("row",)).done()
+    done = Ordered(cut_lineage(lines), page, ["__centre", "band", "row", "seg"]).add(__n=("row",)).done()
     return done.select(*page, F.concat(F.lit("line-"), F.col("__n")).alias("id"), "text", "x", "y", (F.col("__x1") - F.col("x")).alias("w"), (F.col("__y1") - F.col("y")).alias("h"))
 
 
@@ -125,15 +125,14 @@ def tiered_match(values: DataFrame, lines: DataFrame, page: list[str], order: li
     ``tiers`` lists (key of the value, key of the line, condition on the line).  Within a tier equal keys
     pair up in order.  ``page_ok`` tells whether enough of the page was matched.
     """
-    small = all_small(values, page) and all_small(lines, page)
     vid, lid = [c for c in values.columns if c not in page], [c for c in lines.columns if c not in page]
     v = values.withColumn("__v", F.struct(*vid))
     l = lines.withColumn("__l", F.struct(*lid))
     done = None
     for n, (vk, lk, ok) in enumerate(tiers, 1):
-        a = Ordered(v.withColumn("__k", vk).filter(F.col("__k").isNotNull()), [*page, "__k"], order, bounded=small).add(__i=("row",)).done().select(*page, "__k", "__i", "__v")
-        b = Ordered(l.withColumn("__k", lk).filter(ok & F.col("__k").isNotNull()), [*page, "__k"], order, bounded=small).add(__i=("row",)).done().select(*page, "__k", "__i", "__l")
-        hit = a.join(b, [*page, "__k", "__i"]).select(*page, "__v", "__l", F.lit(n).alias("tier"))
+        a = Ordered(v.withColumn("__k", vk).filter(F.col("__k").isNotNull()), [*page, "__k"], order).add(__i=("row",)).done().select(*page, "__k", "__i", "__v")
+        b = Ordered(l.withColumn("__k", lk).filter(ok & F.col("__k").isNotNull()), [*page, "__k"], order).add(__i=("row",)).done().select(*page, "__k", "__i", "__l")
+        hit = cut_lineage(a.join(b, [*page, "__k", "__i"]).select(*page, "__v", "__l", F.lit(n).alias("tier")))
         done = hit if done is None else done.unionByName(hit)
         if n < len(tiers):
             v = v.join(hit.select(*page, "__v"), [*page, "__v"], "left_anti")

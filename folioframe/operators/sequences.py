@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Ordered, all_small, null_safe, weighted_rank_pick
+from .lineage import cut_lineage
+from .ordered import Ordered, null_safe, weighted_rank_pick
 
 # Days until the next review per level, and the wait after a failed one.
 REVIEW_DAYS = [0, 1, 3, 7, 14, 30]
@@ -19,7 +20,7 @@ def millis(col: str | Column) -> Column:
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_on: Column, right_on: Column, value: Column, out: str,
-          strict: bool = False, bounded: bool = False) -> DataFrame:
+          strict: bool = False) -> DataFrame:
     """For each left row the value of the last right row at or before it (before it if ``strict``).
 
     Both sides go into one ordered pass, so the work is linear and a hot key is split.
@@ -29,7 +30,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_on: Column, r
     l = left.select(*keys, left_on.alias("__at"), F.lit(0 if strict else 1).alias("__side"), F.struct(*left.columns).alias("__left"))
     r = right.select(*keys, right_on.alias("__at"), F.lit(1 if strict else 0).alias("__side"), value.alias("__value"))
     both = l.unionByName(r, allowMissingColumns=True)
-    done = Ordered(both, keys, ["__at", "__side", "__value"], bounded=bounded).add(__hit=("last", "__value")).done()
+    done = Ordered(both, keys, ["__at", "__side", "__value"]).add(__hit=("last", "__value")).done()
     return done.filter(F.col("__left").isNotNull()).select("__left.*", F.col("__hit").alias(out))
 
 
@@ -41,9 +42,9 @@ def number_missing(df: DataFrame, number: str, order: list[str]) -> DataFrame:
     return df.filter(F.col(number).isNotNull()).unionByName(fresh.select(*df.columns))
 
 
-def tag_runs(df: DataFrame, part: list[str], order: list[str], value: Column, gap, *, out: str = "run", bounded: bool = False) -> DataFrame:
+def tag_runs(df: DataFrame, part: list[str], order: list[str], value: Column, gap, *, out: str = "run") -> DataFrame:
     """Number the runs of rows whose successive values are at most ``gap`` apart."""
-    o = Ordered(df.withColumn("__v", value), part, order, bounded=bounded).add(__prev=("lag", "__v"))
+    o = Ordered(df.withColumn("__v", value), part, order).add(__prev=("lag", "__v"))
     broken = F.col("__prev").isNull() | (F.col("__v") - F.col("__prev") > gap)
     o.with_columns(__break=broken.cast("long")).add(**{out: ("sum", "__break")})
     return o.done().drop("__v", "__prev", "__break")
@@ -56,9 +57,9 @@ def gap_runs(df: DataFrame, part: list[str], order: list[str], value: Column, ga
             .withColumn("density", F.col("n") / (F.col("end") - F.col("start") + 1)))
 
 
-def reading_order(df: DataFrame, part: list[str], order: list[str], out: str = "id", *, bounded: bool = False) -> DataFrame:
+def reading_order(df: DataFrame, part: list[str], order: list[str], out: str = "id") -> DataFrame:
     """Renumber rows from 0 in reading order."""
-    return Ordered(df, part, order, bounded=bounded).add(**{out: ("row",)}).done().withColumn(out, F.col(out) - 1)
+    return Ordered(df, part, order).add(**{out: ("row",)}).done().withColumn(out, F.col(out) - 1)
 
 
 def paragraphs(df: DataFrame, part: list[str], order: list[str], x: str, y: str, h: str, tolerance: float = 0.025) -> DataFrame:
@@ -106,14 +107,13 @@ def expansion_shift(df: DataFrame, part: list[str], ident: list[str], top: str,
     moves by the growth of every band that ends above it.
     """
     items = df.filter((F.col(height) > 0) & F.col(required).isNotNull())
-    small = all_small(df, part)
-    o = Ordered(items.withColumn("__end", F.col(top) + F.col(height)), part, [top, *ident], bounded=small).add(__reach=("prior_max", "__end"))
+    o = Ordered(items.withColumn("__end", F.col(top) + F.col(height)), part, [top, *ident]).add(__reach=("prior_max", "__end"))
     fresh = F.col("__reach").isNull() | (F.col(top) >= F.col("__reach") - 1)
     o.with_columns(__new=fresh.cast("long")).add(__band=("sum", "__new"))
     extra = F.greatest(F.lit(0.0), F.col(required) - F.col(height))
     bands = o.done().groupBy(*part, "__band").agg(F.max("__end").alias("__end"), F.max(extra).alias("__extra"))
-    grown = Ordered(bands.filter("__extra > 0"), part, ["__end", "__band"], bounded=small).add(__shift=("sum", "__extra")).done()
-    moved = as_of(df, grown, part, F.col(top) + 1, F.col("__end"), F.col("__shift"), "shift", bounded=small)
+    grown = Ordered(cut_lineage(bands.filter("__extra > 0")), part, ["__end", "__band"]).add(__shift=("sum", "__extra")).done()
+    moved = as_of(df, grown, part, F.col(top) + 1, F.col("__end"), F.col("__shift"), "shift")
     return moved.withColumn("shift", F.coalesce("shift", F.lit(0.0))).withColumn("shifted_top", F.col(top) + F.col("shift"))
 
 
@@ -179,23 +179,22 @@ def due_queue(items: DataFrame, part: list[str], due_ms: str, now_ms: Column, or
     return Ordered(ranked, part, ["rank", "__due", *order]).add(position=("row",)).done().drop("__due")
 
 
-def averaged_median(df: DataFrame, keys: list[str], value: str, out: str, bounded: bool | None = None) -> DataFrame:
+def averaged_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     n = F.col("__n")
-    m = weighted_rank_pick(df, keys, value, {"__lo": F.floor((n + 1) / 2), "__hi": F.floor(n / 2) + 1}, bounded=bounded)
+    m = weighted_rank_pick(df, keys, value, {"__lo": F.floor((n + 1) / 2), "__hi": F.floor(n / 2) + 1})
     return m.select(*keys, "n", ((F.col("__lo") + F.col("__hi")) / 2).alias(out))
 
 
 def lattice(df: DataFrame, part: list[str], row: str, y: str) -> DataFrame:
     """Row centres, pitch and start of an evenly spaced grid, all as medians."""
-    small = all_small(df, part) or None
-    centres = averaged_median(df, part + [row], y, "centre", small).drop("n")
-    o = Ordered(centres, part, [row], bounded=bool(small)).add(__prev=("lag", "centre"), __i=("row",))
-    steps = o.done().withColumn("__step", F.col("centre") - F.col("__prev"))
-    pitch = averaged_median(steps, part, "__step", "pitch", small).drop("n")
+    centres = cut_lineage(averaged_median(df, part + [row], y, "centre").drop("n"))
+    o = Ordered(centres, part, [row]).add(__prev=("lag", "centre"), __i=("row",))
+    steps = cut_lineage(o.done().withColumn("__step", F.col("centre") - F.col("__prev")))
+    pitch = averaged_median(steps, part, "__step", "pitch").drop("n")
     placed = (steps.alias("l").join(pitch.alias("r"), null_safe("l", "r", part), "left").select("l.*", "r.pitch")
               .withColumn("pitch", F.coalesce("pitch", F.lit(0.0)))
               .withColumn("__origin", F.col("centre") - (F.col("__i") - 1) * F.col("pitch")))
-    start = averaged_median(placed, part, "__origin", "start", small).withColumnRenamed("n", "rows")
+    start = averaged_median(placed, part, "__origin", "start").withColumnRenamed("n", "rows")
     return start.alias("l").join(pitch.alias("r"), null_safe("l", "r", part), "left").select(
         "l.*", F.coalesce("r.pitch", F.lit(0.0)).alias("pitch"))
 
@@ -243,13 +242,12 @@ def attach_punctuation(df: DataFrame, part: list[str], order: list[str], token:
 
 def threshold_segments(df: DataFrame, part: list[str], order: list[str], value: str, *, pause: int = 7, shortest: int = 8) -> DataFrame:
     """Stretches above p20 + .3 (p95 - p20) of their series, joined over short pauses; short ones are dropped."""
-    small = all_small(df, part)
     n = F.col("__n")
-    levels = weighted_rank_pick(df, part, value, {"__p20": F.floor(n * 0.2) + 1, "__p95": F.least(F.floor(n * 0.95) + 1, n)}, "__size", small or None)
-    indexed = reading_order(df, part, order, "__i", bounded=small)
+    levels = weighted_rank_pick(df, part, value, {"__p20": F.floor(n * 0.2) + 1, "__p95": F.least(F.floor(n * 0.95) + 1, n)}, "__size")
+    indexed = reading_order(df, part, order, "__i")
     loud = (indexed.alias("l").join(levels.alias("r"), null_safe("l", "r", part)).select("l.*", "r.__p20", "r.__p95", "r.__size")
             .filter(F.col(value) > F.col("__p20") + (F.col("__p95") - F.col("__p20")) * 0.3))
-    runs = tag_runs(loud, part, ["__i"], F.col("__i"), pause + 1, out="segment", bounded=small)
+    runs = tag_runs(cut_lineage(loud.select(*part, "__i", "__size")), part, ["__i"], F.col("__i"), pause + 1, out="segment")
     # A series that ends within a pause keeps its last stretch open to the end.
     end = F.when(F.max("__size") - 1 - F.max("__i") <= pause, F.max("__size") - 1).otherwise(F.max("__i"))
     segments = runs.groupBy(*part, "segment").agg(F.min("__i").alias("start"), end.alias("end"))
@@ -262,16 +260,16 @@ def adjust_segments(segments: DataFrame, part: list[str], count: int) -> DataFra
     Joining removes the smallest gaps, which is a rank over the gaps.  Splitting only runs where there are
     fewer than ``count`` stretches, so a group there has fewer than ``count`` rows.
     """
-    small = all_small(segments, part)
     sizes = segments.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
-    o = Ordered(segments, part, ["start"], bounded=small).add(__prev=("lag", "end")).done()
+    o = Ordered(segments, part, ["start"]).add(__prev=("lag", "end")).done()
     sized = o.alias("l").join(sizes.alias("r"), null_safe("l", "r", part)).select("l.*", "r.__n")
+    sized = cut_lineage(sized)
     many = sized.filter(F.col("__n") >= count).withColumn("__gap", F.col("start") - F.col("__prev"))
-    ranked = Ordered(many.filter("__gap IS NOT NULL"), part, ["__gap", "start"], bounded=small).add(__rank=("row",)).done()
+    ranked = Ordered(many.filter("__gap IS NOT NULL"), part, ["__gap", "start"]).add(__rank=("row",)).done()
     joins = ranked.select(*part, "start", (F.col("__rank") > F.col("__n") - count).cast("long").alias("__cut"))
     tagged = many.select(*part, "start", "end", "__gap").alias("l").join(
         joins.alias("r"), null_safe("l", "r", part + ["start"]), "left").select("l.*", F.coalesce("r.__cut", F.lit(0)).alias("__cut"))
-    grouped = Ordered(tagged, part, ["start"], bounded=small).add(__g=("sum", "__cut")).done()
+    grouped = Ordered(cut_lineage(tagged), part, ["start"]).add(__g=("sum", "__cut")).done()
     joined = grouped.groupBy(*part, "__g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__g")
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut_lineage
-from .ordered import Ordered, all_small, null_safe
+from .ordered import Ordered, null_safe
 from .sequences import as_of
 
 _NODES = "array<struct<l:int,i:bigint>>"
@@ -93,14 +93,14 @@ def assign_to_region(tokens: DataFrame, regions: DataFrame, page: list[str], cx:
 def uncovered(components: DataFrame, cover: DataFrame, keys: list[str], comp: tuple[str, str], span: tuple[str, str], threshold: float = 0.2) -> DataFrame:
     """Components whose share covered by the union of the spans is under the threshold."""
     a, b = span
-    small = all_small(cover, keys) and all_small(components, keys)
-    o = Ordered(cover.select(*keys, a, b), keys, [a, b], bounded=small).add(__reach=("prior_max", b))
+    o = Ordered(cover.select(*keys, a, b), keys, [a, b]).add(__reach=("prior_max", b))
     o.with_columns(__new=(F.col("__reach").isNull() | (F.col(a) > F.col("__reach"))).cast("long")).add(__island=("sum", "__new"))
     merged = o.done().groupBy(*keys, "__island").agg(F.min(a).alias("__a"), F.max(b).alias("__b"))
-    run = Ordered(merged.withColumn("__len", F.col("__b") - F.col("__a")), keys, ["__a"], bounded=small).add(__upto=("sum", "__len")).done()
+    merged = cut_lineage(merged.withColumn("__len", F.col("__b") - F.col("__a")))
+    run = cut_lineage(Ordered(merged, keys, ["__a"]).add(__upto=("sum", "__len")).done())
     seg = F.struct("__a", "__b", "__upto")
     lo, hi = comp
-    both = as_of(as_of(components, run, keys, F.col(lo), F.col("__a"), seg, "__s0", bounded=small), run, keys, F.col(hi), F.col("__a"), seg, "__s1", bounded=small)
+    both = as_of(as_of(components, run, keys, F.col(lo), F.col("__a"), seg, "__s0"), run, keys, F.col(hi), F.col("__a"), seg, "__s1")
     def covered(s, t):
         s = F.col(s)
         return F.when(s.isNull(), 0.0).otherwise(s["__upto"] - (s["__b"] - s["__a"]) + F.least(t, s["__b"]) - s["__a"])
@@ -139,9 +139,8 @@ def reconcile_cells(cells: DataFrame, readings: DataFrame, keys: list[str], x: s
     ``keys`` name the row of the grid; the nearest reading is the one just before or just after the cell.
     """
     r = F.struct(F.col(x).alias("x"), F.col(read).alias("t"), F.col(confidence).alias("c"))
-    small = all_small(cells, keys) and all_small(readings, keys)
-    before = as_of(cells, readings, keys, F.col(x), F.col(x), r, "__b", bounded=small)
-    both = as_of(before, readings, keys, -F.col(x), -F.col(x), r, "__a", strict=True, bounded=small)
+    before = cut_lineage(as_of(cells, readings, keys, F.col(x), F.col(x), r, "__b"))
+    both = as_of(before, readings, keys, -F.col(x), -F.col(x), r, "__a", strict=True)
     db, da = F.col(x) - F.col("__b.x"), F.col("__a.x") - F.col(x)
     near = F.when(F.col("__b").isNotNull() & (F.col("__a").isNull() | (db <= da)), F.col("__b")).otherwise(F.col("__a"))
     j = both.withColumn("__n", near)

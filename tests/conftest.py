@@ -31,7 +31,8 @@ def events(spark, sf):
 
 
 @pytest.fixture
-def hot_split(monkeypatch):
-    """Makes every key over 40 rows a hot one."""
-    from folioframe.operators import ordered
-    monkeypatch.setattr(ordered, "SPLIT_ROWS", 40)
+def hot_split(spark):
+    """Cuts every ordered table into four times as many chunks as the other tests do."""
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")

@@ -173,7 +173,33 @@ def test_read_documents(spark, tmp_path):
 def test_hot_group_is_split(spark):
     from folioframe.operators.ordered import Ordered
     df = spark.range(20000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("k"), "id")
-    o = Ordered(df, ["k"], ["id"], split_rows=1000)
-    assert o.hot is not None
+    o = Ordered(df, ["k"], ["id"], chunks=20)
     sizes = o.df.groupBy("k", "__ord_chunk").count().agg(F.max("count")).first()[0]
     assert sizes < 2000
+
+
+def test_global_order_is_never_one_task(spark, sf):
+    """Whole-table numberings are cut like any other table: none of their plans gathers the rows in one partition."""
+    from folioframe.operators.ordered import Ordered
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    done = Ordered(df, [], ["l_orderkey", "l_linenumber"]).add(i=("row",), top=("max", F.col("l_linenumber"))).done()
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("__ord_chunk" in line for line in windows)
+    rows = done.orderBy("i").collect()
+    assert [r["i"] for r in rows] == list(range(1, df.count() + 1))
+    assert [(r[0], r[1]) for r in rows] == sorted((r[0], r[1]) for r in rows)
+
+
+def test_split_points_of_odd_keys(spark):
+    """NaN, null and empty keys, nulls and ties in the order, and an empty table."""
+    from folioframe.operators.ordered import Ordered
+    data = [(k, v) for k in (float("nan"), None, 0.0, 2.5) for v in [None, *range(40), 39]]
+    df = spark.createDataFrame(data, "k double, v long")
+    got = Ordered(df, ["k"], ["v"], chunks=9).add(n=("row",), total=("sum", F.coalesce("v", F.lit(0)))).done().collect()
+    assert len(got) == len(data)
+    for key in ("nan", "None", "0.0", "2.5"):
+        mine = [r for r in got if str(r["k"]) == key]
+        assert sorted(r["n"] for r in mine) == list(range(1, 43))
+        assert max(r["total"] for r in mine) == sum(range(40)) + 39
+    assert Ordered(df.limit(0), ["k"], ["v"]).add(n=("row",)).done().collect() == []
