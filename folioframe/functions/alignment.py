@@ -132,12 +132,13 @@ def cut_lines(clean: str, lines: list[str], ratio: float = math.inf) -> list[str
 def line_texts(clean: Column, lines: Column, ratio: float) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(texts: pd.Series, readings: pd.Series) -> pd.Series:
-        return pd.Series([cut_lines(c, list(l), ratio) for c, l in zip(texts, readings)], dtype=object)
+        return pd.Series([None if c is None or l is None else cut_lines(c, list(l), ratio) for c, l in zip(texts, readings)], dtype=object)
     # Not to be repeated by a filter on its result.
     return cut.asNondeterministic()(clean, lines)
 
 
 def reading_gate(clean: Column, joined: Column, ratio: float, limit: int) -> Column:
-    """Whether a noisy reading can be near enough, by the lengths alone; both without blanks."""
+    """Why a noisy reading cannot be aligned, by the lengths alone (both without blanks); null where it may be."""
     longest = F.greatest(F.length(clean), F.length(joined))
-    return (longest > 0) & (longest <= limit) & (F.abs(F.length(clean) - F.length(joined)) <= longest * ratio)
+    apart = F.abs(F.length(clean) - F.length(joined)) > longest * ratio
+    return F.when(clean.isNull() | joined.isNull() | (longest == 0), "empty").when(longest > limit, "long").when(apart, "far")

@@ -262,13 +262,24 @@ _CJK_RUN = (f"[①-⑳0-9]*\\s*[{HAN_RANGE}]+(?:[0-9\\s，。！？：；、“
 
 
 def split_language_layers(source: Column, pinyin: Column) -> Column:
-    """Mixed text as struct(native, pinyin, english)."""
+    """Mixed text as struct(native, pinyin, english).
+
+    Native runs are joined by a blank.  The English layer loses the tokens of the reading, whatever their case, and circled
+    digits; a reading without any tone mark is none.
+    """
     runs = F.regexp_extract_all(source, F.lit(_CJK_RUN), F.lit(0))
-    english = F.trim(F.regexp_replace(F.regexp_replace(source, _CJK_RUN, " "), "\\s+", " "))
+    def tidy(c):
+        return F.trim(F.regexp_replace(c, "\\s+", " "))
+    latin = tidy(F.regexp_replace(source, _CJK_RUN, " "))
     pieces = F.regexp_extract_all(pinyin, F.lit("[A-Z]{2,}|\\p{L}+|[①-⑳]|[0-9]+|\\S"), F.lit(0))
     toned = F.filter(pieces, lambda t: (F.length(_tone_digits(t)) > 0) | t.rlike("^[A-Z]{2,}$") | t.rlike("^[①-⑳]$"))
-    return F.struct(F.array_join(F.transform(runs, lambda r: F.trim(r)), "").alias("native"),
-                    F.array_join(toned, " ").alias("pinyin"), english.alias("english"))
+    toned = F.when(F.length(_tone_digits(pinyin)) > 0, toned).otherwise(F.array().cast("array<string>"))
+    read = F.coalesce(F.array_distinct(F.transform(F.filter(toned, lambda t: t.rlike("\\p{L}")), F.lower)), F.array().cast("array<string>"))
+    # The list of one struct computes both arrays once, not once per word.
+    both = F.array(F.struct(F.split(latin, " ").alias("words"), read.alias("read")))
+    english = F.array_join(F.transform(both, lambda s: F.filter(s["words"], lambda w: ~F.array_contains(s["read"], F.lower(w))))[0], " ")
+    return F.struct(F.regexp_replace(F.array_join(runs, " "), "^\\s+|\\s+$", "").alias("native"),
+                    F.coalesce(F.array_join(toned, " "), F.lit("")).alias("pinyin"), tidy(F.regexp_replace(english, "[①-⑳]", " ")).alias("english"))
 
 
 def proximity_flag(col: Column, trigger: str, target: str, negation: str, near: int = 70, before: int = 35) -> Column:

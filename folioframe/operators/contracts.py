@@ -61,25 +61,41 @@ def draft_contract(pages: DataFrame, expected: DataFrame, vocab: DataFrame, draf
     return rows.unionByName(out_of_range).unionByName(twice).unionByName(lost).unionByName(vocab_contract(vocab, report))
 
 
-def lesson_contract(blocks: DataFrame, lesson: str, page: str) -> DataFrame:
-    """Blocks (lesson, page, page_type, scan, id, type, text, translation, x, y, w, h) that break the rules of a lesson."""
+def lesson_contract(blocks: DataFrame, pages: DataFrame, lesson: str, page: str) -> DataFrame:
+    """Pages and blocks that break the rules of a lesson; electronic pages have more rules than scanned ones.
+
+    ``pages``: lesson, page, page_type, scan (number of the scan), width, height; ``blocks``: lesson, page, page_type, book, id,
+    type, text, translation, alt, image, x, y, w, h.  Blocks of a page of unknown type are not judged, the page is.
+    """
     report = [lesson, page]
-    n = {c: F.col(c) for c in "xywh"}
-    finite = lambda c: c.isNotNull() & ~F.isnan(c) & c.between(0, 1)
-    rules = {
-        "page.type": F.col("page_type").isin("scanned", "electronic"), "block.id": present("id"), "block.type": F.col("type").isin("text", "image"),
-        "block.text": (F.col("type") != "text") | present("text"),
-        "block.length": (F.length(F.coalesce("text", F.lit(""))) <= 2000) & (F.length(F.coalesce("translation", F.lit(""))) <= 2000),
-        "block.number": finite(n["x"]) & finite(n["y"]) & finite(n["w"]) & finite(n["h"]),
-        "block.box": (n["w"] > 0) & (n["h"] > 0) & (n["x"] + n["w"] <= 1.001) & (n["y"] + n["h"] <= 1.001),
-    }
-    rows = violations(blocks, report, rules)
-    ids = repeated(blocks.filter(present("id")), report, [*report, "id"], "block.unique")
-    sizes = over_limit(blocks, report, 500, "blocks.count", minimum=1)
-    scans = blocks.select(lesson, page, "scan").distinct()
-    twice = scans.groupBy(lesson, "scan").agg(F.count(F.lit(1)).alias("__n"), F.min(page).alias(page)).filter("__n > 1").select(
+    def size(c):
+        return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.col(c) > 0)
+    page_rules = {"page.type": F.col("page_type").isin("scanned", "electronic"), "scan.number": F.col("scan") >= 1, "scan.size": size("width") & size("height")}
+    per_page = violations(pages, report, page_rules)
+    twice = pages.groupBy(lesson, "scan").agg(F.count(F.lit(1)).alias("__n"), F.min(page).alias(page)).filter("__n > 1").select(
         *report, F.lit("scan.unique").alias("rule"), F.lit("error").alias("severity"))
-    return rows.unionByName(ids).unionByName(sizes).unionByName(twice)
+
+    electronic = F.coalesce(F.col("page_type") == "electronic", F.lit(False))
+    text, image = (F.coalesce(F.col("type") == kind, F.lit(False)) for kind in ("text", "image"))
+    n = {c: F.col(c) for c in "xywh"}
+    within = lambda c: c.isNotNull() & ~F.isnan(c) & c.between(0, 1)
+    upload = F.concat(F.lit("^/assets/\\Q"), F.col("book"), F.lit("\\E/[a-f0-9]{32}\\.(?:png|jpe?g|webp)$"))
+    of_electronic = {
+        "block.id": present("id"), "block.type": text | image,
+        "block.text": ~text | (present("text") & F.col("translation").isNotNull()),
+        "block.length": ~text | ((F.length(F.coalesce("text", F.lit(""))) <= 2000) & (F.length(F.coalesce("translation", F.lit(""))) <= 2000)),
+        "block.alt": ~image | present("alt"), "block.image": ~image | F.regexp_like(F.col("image"), upload),
+        "block.box": (n["w"] > 0) & (n["h"] > 0) & (n["x"] + n["w"] <= 1.001) & (n["y"] + n["h"] <= 1.001)}
+    rules = {name: ~electronic | ok for name, ok in of_electronic.items()}
+    rules["block.text"] = F.when(electronic, of_electronic["block.text"]).otherwise(present("text"))
+    rules["block.number"] = within(n["x"]) & within(n["y"]) & within(n["w"]) & within(n["h"])
+    rows = violations(blocks.filter(F.col("page_type").isin("scanned", "electronic")), report, rules)
+    own = blocks.filter(electronic)
+    ids = repeated(own.filter(present("id")), report, [*report, "id"], "block.unique")
+    sizes = own.groupBy(*report).agg(F.count(F.lit(1)).alias("__n"))
+    counted = pages.filter(electronic).select(*report).distinct().join(sizes, report, "left")
+    count = violations(counted, report, {"blocks.count": F.coalesce("__n", F.lit(0)).between(1, 500)})
+    return per_page.unionByName(twice).unionByName(rows).unionByName(ids).unionByName(count)
 
 
 def publish_contract(pages: DataFrame, files: DataFrame, words: DataFrame, vocab: DataFrame, slug: str, n: str) -> DataFrame:

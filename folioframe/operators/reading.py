@@ -104,19 +104,25 @@ def fuzzy_assign(lines: DataFrame, blocks: DataFrame, page: list[str], accept: f
     # A line with a contained match can only lose to another block by rank, so all candidates are scored.
     rest = near.filter(~F.col("__in") & (F.length("__text") > 0)).select(*cols, match_score(F.col("__key"), F.col("__text"), accept).alias("score"))
     scored = sure.unionByName(rest).filter(F.col("score") >= accept).withColumn("rank", F.col("score") + F.col("__lift"))
-    best = scored.groupBy(*page, "line").agg(F.max_by(F.struct("block", "score", "rank"), F.struct(F.col("rank"), F.col("score"))).alias("__b"))
+    first = F.struct(-F.col("rank"), -F.col("score"), F.col("block"))  # of equal blocks the first
+    best = scored.groupBy(*page, "line").agg(F.min_by(F.struct("block", "score", "rank"), first).alias("__b"))
     return best.select(*page, "line", "__b.*")
 
 
 def align_lines(df: DataFrame, clean: str, lines: str, *, ratio: float = 0.3, limit: int = 1500, out: str = "aligned") -> DataFrame:
     """Cut the clean text at the line breaks of a noisy reading (an array of lines).
 
-    Readings too far from the text, or longer than ``limit`` characters without blanks, are left out; the
-    lengths are tested first, and only what passes reaches Python.
+    Every row stays.  One that cannot be cut has null, with the reason in ``<out>_reason``: ``empty`` (no text on either
+    side, or a null), ``long`` (over ``limit`` characters without blanks) or ``far`` (more than ``ratio`` of it differs).
+    The lengths are tested first, and only what passes is aligned.
     """
     bare = lambda c: F.regexp_replace(c, "\\s+", "")
-    gate = reading_gate(bare(F.col(clean)), bare(F.array_join(lines, "")), ratio, limit)
-    return df.filter(gate).withColumn(out, line_texts(F.col(clean), F.col(lines), ratio)).filter(F.col(out).isNotNull())
+    early = reading_gate(bare(F.col(clean)), bare(F.array_join(lines, "")), ratio, limit)
+    reason = f"{out}_reason"
+    asked = df.withColumn(reason, early)
+    open_ = F.col(reason).isNull()
+    cut = asked.withColumn(out, line_texts(F.when(open_, F.col(clean)), F.when(open_, F.col(lines)), ratio))
+    return cut.withColumn(reason, F.when(F.col(reason).isNull() & F.col(out).isNull(), "far").otherwise(F.col(reason)))
 
 
 def tiered_match(values: DataFrame, lines: DataFrame, page: list[str], order: list[str], tiers: list[tuple[Column, Column, Column]], *, accept: float = 0.7) -> DataFrame:

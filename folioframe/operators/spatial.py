@@ -59,34 +59,23 @@ def covering_intervals(points: DataFrame, intervals: DataFrame, keys: list[str],
     return points.join(hits, [*keys, at], "left").withColumn(out, F.col("__best.__v")).drop("__best")
 
 
-def _code(v: Column, unit: float) -> Column:
-    """Even numbers are lattice points, odd ones lie between two of them."""
-    q = v / unit
-    r = F.round(q)
-    return F.when(F.abs(q - r) < 1e-6, r.cast("long") * 2).otherwise(F.floor(q).cast("long") * 2 + 1)
-
-
 def assign_to_region(tokens: DataFrame, regions: DataFrame, page: list[str], cx: Column, cy: Column, box: tuple[str, str, str, str], order: str,
-                     value: list[str], unit: float, out: str = "region") -> DataFrame:
-    """First region in order whose box (x0, y0, x1, y1) holds the token's centre; null for leftovers.
+                     value: list[str], cell: float, out: str = "region") -> DataFrame:
+    """First region in order whose box (x0, y0, x1, y1; edges included) holds the token's centre; null for leftovers.
 
-    Region edges lie on multiples of ``unit``; token centres may lie anywhere.
+    Regions and centres meet in the cells of a grid and are then compared exactly, so edges may lie anywhere.  ``cell`` changes
+    the cost only: about the size of a common region is best.  Equal centres of a page are looked up once.
     """
-    x0, y0, x1, y1 = (_code(F.col(c), unit) for c in box)
-    r = regions.select(*page, order, F.struct(*value).alias("__v"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
-    lx, ly, hx, hy = r.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
-    if lx is None:
-        lx = ly = hx = hy = 0
-    bx, by = max(1, int(hx - lx).bit_length()), max(1, int(hy - ly).bit_length())
-    nodes = (r.select(*page, order, "__v", F.explode(interval_nodes(F.col("x0") - lx, F.col("x1") - lx, bx)).alias("nx"), "y0", "y1")
-             .select(*page, order, "__v", "nx", F.explode(interval_nodes(F.col("y0") - ly, F.col("y1") - ly, by)).alias("ny"))
-             .groupBy(*page, "nx", "ny").agg(F.min(F.struct(order, "__v")).alias("__first")))
-    used = nodes.select(F.col("nx.l").alias("a"), F.col("ny.l").alias("b")).distinct().collect()
-    xs, ys = sorted({u[0] for u in used}) or [0], sorted({u[1] for u in used}) or [0]
-    placed = tokens.withColumns({"__px": _code(cx, unit) - lx, "__py": _code(cy, unit) - ly})
-    spots = placed.select(*page, "__px", "__py").distinct().filter(F.col("__px").between(0, hx - lx) & F.col("__py").between(0, hy - ly))
-    hits = (spots.withColumn("nx", F.explode(_at_levels(F.col("__px"), xs))).withColumn("ny", F.explode(_at_levels(F.col("__py"), ys)))
-            .join(nodes, [*page, "nx", "ny"]).groupBy(*page, "__px", "__py").agg(F.min("__first").alias("__first")))
+    def cells(low, high):
+        return F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
+    x0, y0, x1, y1 = box
+    r = (regions.select(*page, F.col(x0).alias("__x0"), F.col(y0).alias("__y0"), F.col(x1).alias("__x1"), F.col(y1).alias("__y1"), F.struct(order, F.struct(*value).alias("__v")).alias("__r"))
+         .filter((F.col("__x0") <= F.col("__x1")) & (F.col("__y0") <= F.col("__y1")))
+         .withColumn("__gx", cells("__x0", "__x1")).withColumn("__gy", cells("__y0", "__y1")))
+    placed = tokens.withColumns({"__px": cx.cast("double"), "__py": cy.cast("double")})
+    spots = placed.select(*page, "__px", "__py").distinct().withColumns({"__gx": F.floor(F.col("__px") / cell), "__gy": F.floor(F.col("__py") / cell)})
+    inside = F.col("__px").between(F.col("__x0"), F.col("__x1")) & F.col("__py").between(F.col("__y0"), F.col("__y1"))
+    hits = spots.join(r, [*page, "__gx", "__gy"]).filter(inside).groupBy(*page, "__px", "__py").agg(F.min("__r").alias("__first"))
     return placed.join(hits, [*page, "__px", "__py"], "left").withColumn(out, F.col("__first.__v")).drop("__px", "__py", "__first")
 
 
@@ -279,7 +268,7 @@ def cluster_by_gap(boxes: DataFrame, page: list[str], ident: str, join: float) -
         "a", "b", (F.col("x1") + join).alias("k"), F.lit(0).alias("side"), (F.when(F.col("j") > 0, F.col("y1")).otherwise(-F.col("y0")) + join).alias("limit"), F.lit(None).cast("double").alias("v"))
     b_rows = corner.join(parts.select(F.col("node").alias("b"), "x0", "y0", "y1"), "b").select(
         "a", "b", F.col("x0").alias("k"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("limit"), F.when(F.col("j") > 0, F.col("y0")).otherwise(-F.col("y1")).alias("v"))
-    swept = Ordered(a_rows.unionByName(b_rows), ["a", "b"], ["k", "side", "limit", "v"]).add(__low=("min", "v")).done()
+    swept = Ordered(cut_lineage(a_rows.unionByName(b_rows)), ["a", "b"], ["k", "side", "limit", "v"]).add(__low=("min", "v")).done()
     touching = swept.filter((F.col("side") == 0) & (F.col("__low") < F.col("limit"))).select("a", "b").distinct()
 
     groups = connected_components(reduce(DataFrame.unionByName, [spans, sure, touching]))

@@ -202,12 +202,16 @@ _RUN = "[①-⑳0-9]*\\s*[\\x{3400}-\\x{9fff}]+(?:[0-9\\s，。！？：；、
 
 
 @demo("split_language_layers", f"""
-SELECT doc_id, md5(trim(regexp_replace(regexp_replace(h, '{_RUN}', ' ', 'g'), '\\s+', ' ', 'g'))) AS english,
-  md5(regexp_replace(array_to_string(regexp_extract_all(h, '{_RUN}'), ''), '\\s+', '', 'g')) AS native
-FROM (SELECT doc_id, translate(text, 'aou', '汉字页') AS h FROM documents)""")
+WITH d AS (SELECT doc_id, translate(text, 'aou', '汉字页') AS h, text AS r FROM documents),
+k AS (SELECT *, CASE WHEN regexp_matches(r, '[{tx._TONED_FROM}]') THEN list_filter(regexp_extract_all(r, '[A-Z]{{2,}}|\\p{{L}}+|[①-⑳]|[0-9]+|\\S'),
+    lambda x: regexp_matches(x, '[{tx._TONED_FROM}]|^[A-Z]{{2,}}$|^[①-⑳]$')) ELSE [] END AS kept FROM d),
+s AS (SELECT doc_id, h, kept, list_distinct(list_transform(list_filter(kept, lambda x: regexp_matches(x, '\\p{{L}}')), lambda x: lower(x))) AS gone,
+    string_split(trim(regexp_replace(regexp_replace(h, '{_RUN}', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS words FROM k)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(array_to_string(list_filter(words, lambda w: NOT list_contains(gone, lower(w))), ' '), '[①-⑳]', ' ', 'g'), '\\s+', ' ', 'g'))) AS english,
+  md5(regexp_replace(array_to_string(regexp_extract_all(h, '{_RUN}'), ' '), '^\\s+|\\s+$', '', 'g')) AS native, md5(array_to_string(kept, ' ')) AS pinyin FROM s""")
 def _(t):
     s = tx.split_language_layers(han_text(), F.col("text"))
-    return t.documents.select("doc_id", F.md5(s["english"]).alias("english"), F.md5(F.regexp_replace(s["native"], "\\s+", "")).alias("native"))
+    return t.documents.select("doc_id", F.md5(s["english"]).alias("english"), F.md5(s["native"]).alias("native"), F.md5(s["pinyin"]).alias("pinyin"))
 
 
 _TRIGGER, _TARGET, _NEGATION = " (?:with|that|dans|und) ", " (?:are|le|die) ", " (?:the|la|not) [^.;\\n]{0,30}$"

@@ -46,14 +46,15 @@ def _(t):
 
 
 @demo("align_lines", """
-SELECT doc_id, n, true AS whole FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, regexp_replace(text, '\\s+', '', 'g') AS z,
-  regexp_replace(CASE WHEN doc_id % 4 = 0 THEN translate(text, 'aeno', 'xyzw') ELSE translate(text, 'e', '') END, '\\s+', '', 'g') AS a FROM documents)
-WHERE length(z) <= 1500 AND length(a) <= 1500 AND greatest(length(z), length(a)) > 0 AND levenshtein(z, a) <= greatest(length(z), length(a)) * 3e-1""")
+SELECT doc_id, CASE WHEN reason IS NULL THEN n END AS n, CASE WHEN reason IS NULL THEN true END AS whole, reason FROM (SELECT doc_id, n, CASE WHEN greatest(length(z), length(a)) = 0 THEN 'empty'
+  WHEN greatest(length(z), length(a)) > 1500 THEN 'long' WHEN abs(length(z) - length(a)) > greatest(length(z), length(a)) * 3e-1 THEN 'far'
+  WHEN levenshtein(z, a) > greatest(length(z), length(a)) * 3e-1 THEN 'far' END AS reason FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, regexp_replace(text, '\\s+', '', 'g') AS z,
+  regexp_replace(CASE WHEN doc_id % 4 = 0 THEN translate(text, 'aeno', 'xyzw') ELSE translate(text, 'e', '') END, '\\s+', '', 'g') AS a FROM documents))""")
 def _(t):
     noisy = F.when(F.col("doc_id") % 4 == 0, F.translate("text", "aeno", "xyzw")).otherwise(F.translate("text", "e", ""))
     done = rd.align_lines(t.documents.select("doc_id", "text", F.split(noisy, "\n").alias("lines")), "text", "lines")
     whole = F.array_join("aligned", "") == F.replace("text", F.lit("\n"), F.lit(""))
-    return done.select("doc_id", F.size("aligned").cast("long").alias("n"), whole.alias("whole"))
+    return done.select("doc_id", F.when(F.col("aligned").isNotNull(), F.size("aligned")).cast("long").alias("n"), whole.alias("whole"), F.col("aligned_reason").alias("reason"))
 
 
 _V = "(SELECT p_brand AS page, p_partkey AS no, p_name AS text FROM part WHERE p_size <= 25)"
@@ -158,21 +159,35 @@ def _(t):
     return ct.draft_contract(pages, expected, vocab, "conv_id").drop("severity")
 
 
-_BLOCKS = """(SELECT l_orderkey AS lesson, l_linenumber AS page, CASE WHEN l_tax > 7e-2 THEN 'video' ELSE 'electronic' END AS page_type, l_linenumber % 6 AS scan, CAST(l_partkey % 9 AS VARCHAR) AS id,
-  CASE l_returnflag WHEN 'A' THEN 'text' WHEN 'R' THEN 'image' ELSE 'table' END AS type, l_linestatus AS text, l_discount * 5 AS x, l_quantity / 60 AS y, l_tax * 8 AS w, l_discount * 5 AS h FROM lineitem)"""
+_BLOCKS = """(SELECT l_orderkey AS lesson, l_linenumber AS page, CASE l_linenumber % 4 WHEN 0 THEN 'video' WHEN 1 THEN 'scanned' ELSE 'electronic' END AS page_type, CAST(l_partkey % 9 AS VARCHAR) AS id,
+  CASE l_returnflag WHEN 'A' THEN 'text' WHEN 'R' THEN 'image' ELSE 'table' END AS type, CASE WHEN l_suppkey % 7 = 0 THEN ' ' ELSE l_linestatus END AS text, CASE WHEN l_suppkey % 6 > 0 THEN '' END AS translation,
+  md5(CAST(l_partkey AS VARCHAR)) || CASE WHEN l_suppkey % 5 = 0 THEN '.gif' ELSE '.png' END AS file, l_discount * 15 AS x, l_quantity / 60 AS y, l_tax * 8 AS w, l_discount * 5 AS h FROM lineitem WHERE l_quantity > 5)"""
+_LEAVES = "(SELECT DISTINCT l_orderkey AS lesson, l_linenumber AS page, CASE l_linenumber % 4 WHEN 0 THEN 'video' WHEN 1 THEN 'scanned' ELSE 'electronic' END AS page_type, l_linenumber % 6 AS scan, l_linenumber - 2 AS width FROM lineitem)"
+_E = "page_type = 'electronic'"
 
 
 @demo("lesson_contract", f"""
-WITH b AS {_BLOCKS}
-{_rules('lesson, page', 'b', {'page.type': "page_type <> 'video'", 'block.type': "type <> 'table'", 'block.box': 'w > 0 AND h > 0 AND x + w <= 1.001::DOUBLE AND y + h <= 1.001::DOUBLE'})}
-UNION ALL SELECT lesson, page, 'block.unique' FROM b GROUP BY lesson, page, id HAVING count(*) > 1 UNION ALL SELECT lesson, min(page), 'scan.unique' FROM (SELECT DISTINCT lesson, page, scan FROM b) GROUP BY lesson, scan HAVING count(*) > 1""")
+WITH b AS {_BLOCKS}, p AS {_LEAVES}
+{_rules('lesson, page', 'p', {'page.type': "page_type <> 'video'", 'scan.number': 'scan >= 1', 'scan.size': 'width > 0'})}
+UNION ALL {_rules('lesson, page', 'b', {'block.type': "type <> 'table'", 'block.text': "type <> 'text' OR (trim(text) <> '' AND translation IS NOT NULL)", 'block.alt': "type <> 'image' OR trim(text) <> ''",
+                                        'block.image': "type <> 'image' OR file LIKE '%.png'", 'block.box': 'w > 0 AND h > 0 AND x + w <= 1.001::DOUBLE AND y + h <= 1.001::DOUBLE'}, _E)}
+UNION ALL {_rules('lesson, page', 'b', {'block.text': "trim(text) <> ''"}, "page_type = 'scanned'")}
+UNION ALL {_rules('lesson, page', 'b', {'block.number': 'x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1 AND w BETWEEN 0 AND 1 AND h BETWEEN 0 AND 1'}, "page_type <> 'video'")}
+UNION ALL SELECT lesson, page, 'block.unique' FROM b WHERE {_E} GROUP BY lesson, page, id HAVING count(*) > 1 UNION ALL SELECT lesson, min(page), 'scan.unique' FROM p GROUP BY lesson, scan HAVING count(*) > 1
+UNION ALL SELECT lesson, page, 'blocks.count' FROM p WHERE {_E} AND (SELECT count(*) FROM b WHERE b.lesson = p.lesson AND b.page = p.page) NOT BETWEEN 1 AND 500""")
 def _(t):
     c = F.col
     kinds = F.when(c("l_returnflag") == "A", "text").when(c("l_returnflag") == "R", "image").otherwise("table")
-    b = t.lineitem.select(c("l_orderkey").alias("lesson"), c("l_linenumber").alias("page"), F.when(c("l_tax") > 0.07, "video").otherwise("electronic").alias("page_type"), (c("l_linenumber") % 6).alias("scan"),
-                          (c("l_partkey") % 9).cast("string").alias("id"), kinds.alias("type"), c("l_linestatus").alias("text"), F.lit("").alias("translation"), (c("l_discount") * 5).alias("x"),
-                          (c("l_quantity") / 60).alias("y"), (c("l_tax") * 8).alias("w"), (c("l_discount") * 5).alias("h"))
-    return ct.lesson_contract(b, "lesson", "page").drop("severity")
+    number = c("l_linenumber")
+    leaf = F.when(number % 4 == 0, "video").when(number % 4 == 1, "scanned").otherwise("electronic").alias("page_type")
+    pages = t.lineitem.select(c("l_orderkey").alias("lesson"), number.alias("page"), leaf, (number % 6).alias("scan"), (number - 2).alias("width"), F.lit(1).alias("height")).distinct()
+    said = F.when(c("l_suppkey") % 7 == 0, " ").otherwise(c("l_linestatus"))
+    file = F.concat(F.lit("/assets/a.b/"), F.md5(c("l_partkey").cast("string")), F.when(c("l_suppkey") % 5 == 0, ".gif").otherwise(".png"))
+    b = t.lineitem.filter("l_quantity > 5").select(
+        c("l_orderkey").alias("lesson"), number.alias("page"), leaf, F.lit("a.b").alias("book"), (c("l_partkey") % 9).cast("string").alias("id"), kinds.alias("type"), said.alias("text"),
+        F.when(c("l_suppkey") % 6 > 0, "").alias("translation"), said.alias("alt"), file.alias("image"), (c("l_discount") * 15).alias("x"), (c("l_quantity") / 60).alias("y"), (c("l_tax") * 8).alias("w"),
+        (c("l_discount") * 5).alias("h"))
+    return ct.lesson_contract(b, pages, "lesson", "page").drop("severity")
 
 
 @demo("publish_contract", f"""

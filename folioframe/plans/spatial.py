@@ -22,14 +22,14 @@ def _(t):
 
 
 @demo("assign_to_region", f"""
-WITH b AS (SELECT p_size % 8 AS page, p_partkey, p_partkey % 45 AS x0, p_partkey % 45 + p_size // 6 AS x1, p_size % 9 AS y0, p_size % 9 + 2 AS y1 FROM part),
+WITH b AS (SELECT p_size % 8 AS page, p_partkey, p_partkey % 45 + 3e-1 AS x0, p_partkey % 45 + p_size // 6 + 2e-1 AS x1, p_size % 9 AS y0, p_size % 9 + 2 AS y1 FROM part),
 s AS (SELECT DISTINCT l_linenumber, l_quantity, l_discount FROM lineitem), h AS (SELECT s.*, min(p_partkey) AS region FROM s JOIN b ON page = l_linenumber AND l_quantity + .25 BETWEEN x0 AND x1 AND round(l_discount * 100, 6) BETWEEN y0 AND y1 GROUP BY ALL)
 SELECT {', '.join('l.' + c for c in IDENT)}, region FROM lineitem l LEFT JOIN h ON h.l_linenumber = l.l_linenumber AND h.l_quantity = l.l_quantity AND h.l_discount = l.l_discount""")
 def _(t):
     k, s = F.col("p_partkey") % 45, F.col("p_size")
-    regions = t.part.select((s % 8).alias("l_linenumber"), "p_partkey", k.alias("x0"), (k + F.floor(s / 6)).alias("x1"), (s % 9).alias("y0"), (s % 9 + 2).alias("y1"))
-    done = sp.assign_to_region(t.lineitem.select(*IDENT, "l_quantity", "l_discount"), regions, ["l_linenumber"], F.col("l_quantity") + 0.25, F.col("l_discount") * 100,
-                               ("x0", "y0", "x1", "y1"), "p_partkey", ["p_partkey"], 1.0)
+    regions = t.part.select((s % 8).alias("l_linenumber"), "p_partkey", (k + F.lit(0.3)).alias("x0"), (k + F.floor(s / 6) + F.lit(0.2)).alias("x1"), (s % 9).alias("y0"), (s % 9 + 2).alias("y1"))
+    done = sp.assign_to_region(t.lineitem.select(*IDENT, "l_quantity", "l_discount"), regions, ["l_linenumber"], F.col("l_quantity") + 0.25, F.round(F.col("l_discount") * 100, 6),
+                               ("x0", "y0", "x1", "y1"), "p_partkey", ["p_partkey"], 4.0)
     return done.select(*IDENT, F.col("region.p_partkey").alias("region"))
 
 

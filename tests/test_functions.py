@@ -98,9 +98,9 @@ def test_glyphs_only_in_phonetic_context(spark):
 
 
 def test_language_layers(spark):
-    df = spark.createDataFrame([("你好 Hello there 朋友", "nǐ hǎo Hello péngyou")], "s string, p string")
-    r = df.select(tx.split_language_layers(F.col("s"), F.col("p")).alias("x")).select("x.*").first()
-    assert (r.native, r.pinyin, r.english) == ("你好朋友", "nǐ hǎo péngyou", "Hello there")
+    df = spark.createDataFrame([("你好 Hello there 朋友", "nǐ hǎo Hello péngyou"), ("你好 hello Nǐ hǎo ① again", "nǐ hǎo hello"), ("你好 HSK one", "HSK one")], "s string, p string")
+    got = [tuple(r) for r in df.select(tx.split_language_layers(F.col("s"), F.col("p")).alias("x")).select("x.native", "x.pinyin", "x.english").collect()]
+    assert got == [("你好  朋友", "nǐ hǎo péngyou", "Hello there"), ("你好", "nǐ hǎo", "hello again"), ("你好", "", "HSK one")]
 
 
 def test_normalize_box(spark):

@@ -59,3 +59,25 @@ def test_repeated_lookup_keys_do_not_multiply_rows(spark):
     items, done = spark.createDataFrame([(1, "h")], "id long, h string"), spark.createDataFrame([(1, "h", "error"), (1, "h", "done")], "id long, h string, state string")
     assert [r.state for r in tb.batch_status(items, done, ["id"], "h").collect()] == ["done"]
     assert mt.dictionary_fill(spark.createDataFrame([("a", "")], "k string, v string"), spark.createDataFrame([("a", "x"), ("a", "y")], "k string, v string"), ["k"], "v").count() == 1
+
+
+def test_regions_with_edges_anywhere(spark):
+    from folioframe.operators import spatial as sp
+    regions = spark.createDataFrame([(1, 1, 0.105, 0.0, 0.2, 1.0), (1, 2, 0.0, 0.0, 1.0, 1.0), (1, 3, 0.5, 0.5, 0.4, 0.9)], "page int, id int, x0 double, y0 double, x1 double, y1 double")
+    tokens = spark.createDataFrame([(1, 1, 0.1041, 0.5), (1, 2, 0.105, 0.5), (1, 3, 0.2, 1.0), (1, 4, 1.01, 0.5), (2, 5, 0.15, 0.5), (1, 6, None, 0.5)], "page int, t int, cx double, cy double")
+    for cell in (0.01, 0.3, 5.0):
+        done = sp.assign_to_region(tokens, regions, ["page"], F.col("cx"), F.col("cy"), ("x0", "y0", "x1", "y1"), "id", ["id"], cell)
+        assert {r.t: r.region and r.region.id for r in done.collect()} == {1: 2, 2: 1, 3: 1, 4: None, 5: None, 6: None}
+
+
+def test_lesson_rules_by_page_type(spark):
+    from folioframe.operators import contracts as ct
+    pages = spark.createDataFrame([(1, 1, "scanned", 4, 10.0, 10.0), (1, 2, "electronic", 5, 10.0, 10.0), (1, 3, "electronic", 5, 10.0, 0.0)], "lesson int, page int, page_type string, scan int, width double, height double")
+    box = (0.1, 0.1, 0.2, 0.2)
+    file = "/assets/b/" + "a" * 32
+    blocks = [(1, 1, "scanned", "b", None, None, "t", None, None, None, *box), (1, 1, "scanned", "b", None, None, "t", None, None, None, 0.9, 0.9, 0.0, 0.9), (1, 1, "scanned", "b", None, None, " ", None, None, None, *box),
+              (1, 2, "electronic", "b", "1", "text", "t", "", None, None, *box), (1, 2, "electronic", "b", "2", "image", None, None, "a", file + ".jpeg", *box),
+              (1, 2, "electronic", "b", "3", "image", None, None, "", file + ".gif", *box), (1, 2, "electronic", "b", "3", None, "t", "", None, None, *box)]
+    df = spark.createDataFrame(blocks, "lesson int, page int, page_type string, book string, id string, type string, text string, translation string, alt string, image string, x double, y double, w double, h double")
+    got = sorted((r.page, r.rule) for r in ct.lesson_contract(df, pages, "lesson", "page").collect())
+    assert got == [(1, "block.text"), (2, "block.alt"), (2, "block.image"), (2, "block.type"), (2, "block.unique"), (2, "scan.unique"), (3, "blocks.count"), (3, "scan.size")]

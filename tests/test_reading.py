@@ -63,9 +63,10 @@ def test_fuzzy_assign(spark):
 
 
 def test_align_lines(spark):
-    rows = [(1, "你好 世界朋友", ["你好世", "界朋"]), (2, "abcdefgh", ["zzzz", "yyyy"]), (3, "x" * 1600, ["x" * 1600])]
+    rows = [(1, "你好 世界朋友", ["你好世", "界朋"]), (2, "abcdefgh", ["zzzz", "yyyy"]), (3, "x" * 1600, ["x" * 1600]), (4, None, ["a"]), (5, " ", [" "])]
     df = spark.createDataFrame(rows, "id int, clean string, lines array<string>")
-    assert {r.id: r.aligned for r in rd.align_lines(df, "clean", "lines").collect()} == {1: ["你好 世", "界朋友"]}
+    got = {r.id: (r.aligned, r.aligned_reason) for r in rd.align_lines(df, "clean", "lines").collect()}
+    assert got == {1: (["你好 世", "界朋友"], None), 2: (None, "far"), 3: (None, "long"), 4: (None, "empty"), 5: (None, "empty")}
 
 
 def test_arbitrate_and_reads(spark):
