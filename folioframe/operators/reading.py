@@ -28,7 +28,7 @@ def group_words_to_lines(df: DataFrame, page: list[str], ident: str) -> DataFram
     words = df.filter((F.trim("text") != "") & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull())
     words = words.select(*page, ident, "text", *[F.col(c).cast("double").alias(c) for c in "xywh"]).withColumn("cy", F.col("y") + F.col("h") / 2)
     tallest = words.groupBy(*page).agg(F.max("h").alias("__tall"))
-    reach = words.alias("l").join(tallest.alias("r"), null_safe("l", "r", page)).select("l.*", "r.__tall")
+    reach = cut_lineage(words.alias("l").join(tallest.alias("r"), null_safe("l", "r", page)).select("l.*", "r.__tall"))
     banded = tag_runs(reach, page, ["cy", "x", ident], F.col("cy"), F.col("__tall") * 0.6, out="band").drop("__tall")
     key = [*page, "band"]
     keys = len(key)
