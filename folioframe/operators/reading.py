@@ -22,8 +22,8 @@ def group_words_to_lines(df: DataFrame, page: list[str], ident: str) -> DataFram
 
     A word joins the nearest row within .6 of the larger height; the centre and median height of a row
     follow its words.  A row is split at gaps over max(3 heights, .025).  Words farther apart than any
-    row can reach never meet, so each page is first cut into independent bands; only the rows of one band
-    are followed in order, in a stream of batches.
+    row can reach never meet, so each page is first cut into independent bands; only the bands that may
+    hold several rows are followed in order, in a stream of batches.
     """
     words = df.filter((F.trim("text") != "") & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull())
     words = words.select(*page, ident, "text", *[F.col(c).cast("double").alias(c) for c in "xywh"]).withColumn("cy", F.col("y") + F.col("h") / 2)
@@ -61,7 +61,13 @@ def group_words_to_lines(df: DataFrame, page: list[str], ident: str) -> DataFram
             yield pdf.assign(row=out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in banded.schema.fields) + ", row bigint"
-    placed = cut_lineage(banded.repartition(*key).sortWithinPartitions(*key, "cy", "x", ident).mapInPandas(follow, schema))
+    # Where the centres of a band span no more than .6 of its smallest height, every word is within reach of the first row.
+    banded = cut_lineage(banded)
+    spread = banded.groupBy(*key).agg(((F.max("cy") - F.min("cy")) <= F.min("h") * 0.6).alias("__one"))
+    told = banded.alias("l").join(spread.alias("r"), null_safe("l", "r", key)).select("l.*", "r.__one")
+    one_row = told.filter("__one").drop("__one").withColumn("row", F.lit(0).cast("long"))
+    several = told.filter("NOT __one").drop("__one").repartition(*key).sortWithinPartitions(*key, "cy", "x", ident)
+    placed = cut_lineage(one_row.unionByName(several.mapInPandas(follow, schema)))
     row = [*key, "row"]
     shape = placed.groupBy(*row).agg(F.median("h").alias("__height"), F.avg("cy").alias("__centre"))
     o = Ordered(placed, row, ["x", ident]).add(__end=("lag", F.col("x") + F.col("w")))
