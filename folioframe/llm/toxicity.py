@@ -77,10 +77,9 @@ def count_hits(words: Words, markers: Markers) -> np.ndarray:
     tokens, raw = _tokens(words)
     whole, *begins = _hashes(tokens)
     abuse, contempt, marked = _among(whole, _lexicon(ABUSE)), _among(whole, _lexicon(CONTEMPT)), _among(whole, markers.words)
-    told = np.cumsum(np.concatenate([[0, 0, 0, 0], _among(whole, _lexicon(ADDRESS))]))
-    near = (told[3:-1] - told[:-4]) > 0 if len(whole) else np.zeros(0, bool)  # an address among the three words before, of whichever text
-    first = tokens.bounds[tokens.text]
-    near &= np.arange(len(whole)) > first
+    told = np.concatenate([[0], np.cumsum(_among(whole, _lexicon(ADDRESS)))])
+    at = np.arange(len(whole))
+    near = told[at] > told[np.maximum(at - 3, tokens.bounds[tokens.text])]  # an address among the text's own three words before
     capitals = np.concatenate([[0], np.cumsum((raw >= 65) & (raw <= 90))])
     loud = (capitals[tokens.end] - capitals[tokens.start] == tokens.end - tokens.start) & (tokens.end - tokens.start > 2)
     hit = [abuse, contempt, near & (abuse | contempt | marked), loud]

@@ -8,6 +8,7 @@ import string
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -220,6 +221,21 @@ def test_toxicity_finds_markers(spark):
     assert toxicity.classify(table.limit(0), model).count() == 0
 
 
+def test_address_stays_within_its_text():
+    none = np.zeros(0, np.uint64)
+    markers = toxicity.Markers(none, (none,) * len(toxicity.BEGINNINGS))
+    votes = np.arange(len(toxicity.NAMES)) == toxicity.NAMES.index("addressed")
+    model = toxicity.Toxicity(markers, None, np.concatenate([2.0 * votes, 2.0 * votes, [-1.0]]))
+
+    def counted(*texts):
+        return np.concatenate([toxicity.count_hits(words, markers) for _, words in toxicity.slabs(pa.array(texts))])
+
+    for text, addressed in [("idiot", 0), ("an idiot", 0), ("such an idiot", 0), ("oh you idiot", 1), ("you a b idiot", 1), ("you a b c idiot", 0)]:
+        alone, beside = counted(text), counted("this is for you", text, "", text)[[1, 3]]
+        assert alone[0][votes] == addressed
+        assert (beside == alone).all() and (model.score(beside) == model.score(alone)).all()
+
+
 def test_label_model_recovers_voters():
     rng = np.random.default_rng(9)
     y = rng.random(20_000) < 0.1
