@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioframe.llm.quality import held_out
-from folioframe.llm.words import Words, slabs
+from folioframe.llm.words import Words, mix, slabs
 from folioframe.operators.lineage import cut_lineage
 
 SAMPLE = 20_000  # labelled documents (about) that markers are learned from
@@ -90,12 +90,19 @@ def count_hits(words: Words, markers: Markers) -> np.ndarray:
 
 @F.arrow_udf(T.LongType())
 def signature(texts: pa.Array) -> pa.Array:
-    """Column function: the smallest hash of a text's shingles, which near copies mostly share."""
+    """Column function: the smallest hash of a text's shingles, which near copies mostly share; of a shorter text that of all its words."""
     out = np.full(len(texts), (1 << 64) - 1, np.uint64)
     for row, words in slabs(texts):
         tokens, _ = _tokens(words)
-        n = min(SHINGLE, max(1, int(np.diff(tokens.bounds).max(initial=0))))
-        np.minimum.at(out, row + tokens.text[tokens.windows(n)], tokens.window_hashes(n, _BASE))
+        size = np.diff(tokens.bounds)
+        short = np.flatnonzero((size > 0) & (size < SHINGLE))
+        if len(short):
+            h, whole = tokens.hashes(_BASE), np.zeros(len(short), np.uint64)
+            for k in range(SHINGLE - 1):
+                has = size[short] > k
+                whole[has] = whole[has] * np.uint64(_BASE) + h[tokens.bounds[short[has]] + k]
+            out[row + short] = mix(whole + size[short].astype(np.uint64))
+        np.minimum.at(out, row + tokens.text[tokens.windows(SHINGLE)], tokens.window_hashes(SHINGLE, _BASE))
     return pa.array(out.view(np.int64))
 
 
@@ -113,8 +120,9 @@ def learn_markers(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     chosen = (usable.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) <= int(min(1.0, sample / n) * (1 << 20)))
               .groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col)).cast("int").alias("__label")))
     known = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__label", F.col(text_col).alias("text"))
-    # One document of a group of copies: else the words of a copied toxic text would all look like markers.
-    known = cut_lineage(known.withColumn("s", signature("text")).dropDuplicates(["__label", "s"]))
+    # One document of a group of copies, that of the smallest hash: else the words of a copied toxic text would all look like markers.
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")
+    known = cut_lineage(known.withColumn("s", signature("text")).groupBy("__label", "s").agg(one))
 
     def counted(candidates: list[np.ndarray] | None):
         """Per batch and word: in how many of its texts it stands."""

@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from folioframe.llm import byte_bpe, chat, components, decontam, quality, rp_forest, simhash, substring, toxicity, url_filter, warc
 
@@ -236,6 +237,27 @@ def test_address_stays_within_its_text():
         assert (beside == alone).all() and (model.score(beside) == model.score(alone)).all()
 
 
+def test_short_texts_have_signatures_of_their_own():
+    def signed(*texts):
+        return [*toxicity.signature.func(pa.array(texts, pa.string())).to_pylist()]
+
+    texts = ["idiot", "Idiot!", "you", "you idiot", "idiot you", "you you", "", None, "three words here"]
+    one, upper, you, two, turned, twice, empty, null, long = signed(*texts)
+    assert one == upper and empty == null
+    assert len({one, you, two, turned, twice, empty, long}) == 7
+    assert [signed(t)[0] for t in texts] == [one, upper, you, two, turned, twice, empty, null, long]  # whatever lies in the same slab
+
+
+def test_short_toxic_posts_teach_markers(spark):
+    clean = [(i, f"plain word number {i} and more") for i in range(300)]
+    toxic = [(1000 + i, f"zorgik w{i:03d}") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i, _ in clean + toxic], "doc_id long, toxic int")
+    learned = [toxicity.learn_markers(docs(spark, clean + toxic).repartition(n), labels, "doc_id", "text", "toxic") for n in (1, 7)]
+    zorgik = toxicity._lexicon("zorgik")
+    assert all(toxicity._among(zorgik, m.words).all() for m in learned)
+    assert (learned[0].words == learned[1].words).all()
+
+
 def test_label_model_recovers_voters():
     rng = np.random.default_rng(9)
     y = rng.random(20_000) < 0.1
