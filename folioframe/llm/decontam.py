@@ -54,13 +54,16 @@ def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
     return every.join(_sent_whole(terms, "term"), "term")
 
 
-def _rare_terms(known: DataFrame, index: DataFrame) -> DataFrame:
-    """(phrase_id, term, off, need, list): the one or two rarest terms of each phrase whose terms all occur in the corpus."""
+def _rare_terms(known: DataFrame, index: DataFrame, whole_only: bool = True) -> DataFrame:
+    """(phrase_id, term, off, need, list): the one or two rarest terms of each phrase whose terms all occur in the corpus.
+
+    Without ``whole_only`` those of every phrase, among its terms that do occur.
+    """
     freq = index.filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
     placed = known.select("phrase_id", F.size("phrase").alias("n"), F.posexplode("phrase").alias("off", "term"))
     ranked = placed.join(freq, "term").withColumn("rank", F.row_number().over(Window.partitionBy("phrase_id").orderBy("freq", "off")))
     whole = Window.partitionBy("phrase_id")
-    return (ranked.withColumn("found", F.count(F.lit(1)).over(whole)).filter("found = n and rank <= 2")
+    return (ranked.withColumn("found", F.count(F.lit(1)).over(whole)).filter("found = n and rank <= 2" if whole_only else "rank <= 2")
             .select("phrase_id", "term", "off", F.least("n", F.lit(2)).alias("need"), F.col("rank").alias("list")))
 
 
@@ -75,13 +78,13 @@ def _numbered(benchmark: DataFrame, id_col: str, text_col: str, window: int) ->
 
 
 def build(docs: DataFrame, benchmark: DataFrame, *, window: int, id_col: str, text_col: str, item_col: str,
-          item_text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+          item_text_col: str, whole_only: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(items of phrases, phrases, index, rare terms), each written once and read by all that follows."""
     of_items = _numbered(benchmark, item_col, item_text_col, window)
     known = of_items.select("phrase_id", "phrase").dropDuplicates(["phrase_id"])
     terms = known.select(F.explode("phrase").alias("term")).distinct()
     index = cut_lineage(postings(docs, terms, id_col, text_col))
-    return of_items, known, index, cut_lineage(_rare_terms(known, index))
+    return of_items, known, index, cut_lineage(_rare_terms(known, index, whole_only))
 
 
 def exact_matches(docs: DataFrame, known: DataFrame, index: DataFrame, rare: DataFrame, window: int, id_col: str = "doc_id",
@@ -106,18 +109,23 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, *, slack: int = 5,
                       text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(k1, item, distance): documents in which a phrase's two rarest terms stand at most ``slack`` words from their places.
 
-    distance is the smallest shift between the two; 0 means that both stand exactly as in the phrase.  Posting lists meet in
+    Two terms alone decide, the rarest of those that the corpus has: the phrase's other words are not compared, and may be changed or
+    occur nowhere.  A phrase of several words of which the corpus has only one matches nothing; one of a single word matches where that
+    stands, at distance 0.  distance is the smallest shift between the two; 0 means that both stand exactly as in the phrase.  Posting lists meet in
     blocks of ``slack + 1`` positions and their two neighbours, never as whole lists.
     """
-    of_items, _, index, rare = build(docs, benchmark, window=window, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col)
+    of_items, _, index, rare = build(docs, benchmark, window=window, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col,
+                                     whole_only=False)
     spots = _shifted(index, rare.filter("need = 2")).withColumn("block", F.floor(F.col("start") / (slack + 1)))
     first = F.min("off").over(Window.partitionBy("phrase_id"))
     sides = rare.filter("need = 2").withColumn("side", F.col("off") == first).select("phrase_id", "off", "side")
     spots = spots.join(sides, ["phrase_id", "off"])
     left = spots.filter("side").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    right = spots.filter("not side").select("phrase_id", *KEY, "block", F.col("start").alias("other"))
-    near = (left.join(right, ["phrase_id", *KEY, "block"]).withColumn("distance", F.abs(F.col("start") - F.col("other"))).filter(F.col("distance") <= slack)
+    right = spots.filter("not side").select("phrase_id", *KEY, "block", F.col("start").alias("other"), F.col("pos").alias("other_pos"))
+    near = (left.join(right, ["phrase_id", *KEY, "block"]).withColumn("distance", F.abs(F.col("start") - F.col("other"))).filter((F.col("distance") <= slack) & (F.col("pos") != F.col("other_pos")))
             .groupBy("phrase_id", *KEY).agg(F.min("distance").alias("distance")))
+    alone = _shifted(index, rare.filter("need = 1")).select("phrase_id", *KEY, F.lit(0).alias("distance"))
+    near = near.select("phrase_id", *KEY, "distance").union(alone)
     return near.join(of_items.select("phrase_id", "item"), "phrase_id").groupBy("k1", "item").agg(F.min("distance").alias("distance"))
 
 

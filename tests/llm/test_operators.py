@@ -132,6 +132,13 @@ def test_proximity(spark):
     assert got == {("1", 9, 0), ("2", 9, 3), ("4", 9, 4)}
 
 
+def test_proximity_by_the_terms_that_occur(spark):
+    table = spark.createDataFrame([(1, "rare1 changed rare2"), (2, "twin"), (3, "twin x x twin"), (4, "a solo b"), (5, "only")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, "rare1 absent rare2"), (10, "twin y twin"), (11, "solo"), (12, "only absent")], "item_id long, text string")
+    got = {(r.k1, r.item, r.distance) for r in decontam.proximity_matches(table, bench, slack=5).collect()}
+    assert got == {("1", 9, 0), ("3", 10, 1), ("4", 11, 0)}
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------------
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
