@@ -11,7 +11,7 @@ from ..operators import tables as tb
 from ..operators.contracts import violations
 from ..operators.lineage import work_folder
 from ..sources import pages as pg
-from ..sources.versions import VersionedTable
+from ..sources.versions import write_checked
 from .demo import demo
 
 
@@ -114,15 +114,19 @@ def _(t):
 
 @demo("commit_version", "SELECT 1 + o_orderkey % 2 AS version, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL")
 def _(t):
-    table = VersionedTable(t.spark, f"{work_folder(t.spark)}/orders-{uuid.uuid4().hex}")
+    path = f"{work_folder(t.spark)}/orders-{uuid.uuid4().hex}"
     rules = lambda df: violations(df, ["o_orderkey"], {"price": F.col("o_totalprice") > 0})
-    table.commit(t.orders.filter("o_orderkey % 2 = 0"), "v1", rules)
-    table.commit(t.orders.filter("o_orderkey % 2 = 1"), "v2", rules, based_on="v1")
-    both = table.read("v1").withColumn("version", F.lit(1)).unionByName(table.read().withColumn("version", F.lit(2)))
-    return both.groupBy("version").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    for version in (1, 2):
+        write_checked(t.orders.filter(F.col("o_orderkey") % 2 == version - 1), path, version, rules)
+    return t.spark.read.parquet(path).groupBy("version").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @demo("check_signatures")
 def _(t):
-    done = pg.check_signatures(t.spark, t.path)
-    return done.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", "verdict")
+    # Each document as a file: some with the leading bytes that their names promise, others without, of another type or empty.
+    kind = F.element_at(F.array(*map(F.lit, ("png", "jpg", "webp", "parquet", "txt"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    marks = F.element_at(F.array(*map(F.lit, ("89504E470D0A1A0A", "FFD8FF", "524946460000000057454250", "50415231", ""))), (F.col("doc_id") % 7 % 5 + 1).cast("int"))
+    body = F.when(F.col("doc_id") % 11 == 0, F.lit("").cast("binary")).otherwise(F.concat(F.unhex(marks), F.coalesce("text", F.lit("")).cast("binary")))
+    files = t.documents.select(F.concat(F.col("doc_id").cast("string"), F.lit("."), kind).alias("file"), body.alias("body"))
+    heads = files.select("file", F.octet_length("body").cast("long").alias("length"), F.substring("body", 1, 12).alias("head"))
+    return heads.select("file", "length", pg.signature_verdict(F.col("file"), F.col("head"), F.col("length")).alias("verdict"))

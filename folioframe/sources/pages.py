@@ -45,6 +45,16 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 
 
+def signature_verdict(name: Column, head: Column, length: Column, *, signatures: dict[str, str] | None = None, max_bytes: int = MAX_BYTES) -> Column:
+    """ok, or why a file is not accepted: from its name, its first 12 bytes and its length."""
+    extension = F.lower(F.regexp_extract(name, "\\.([A-Za-z0-9]+)$", 1))
+    wanted = F.element_at(F.create_map(*[F.lit(x) for kv in (signatures or SIGNATURES).items() for x in kv]), extension)
+    start = F.hex(head)
+    fits = F.when(extension == "webp", start.startswith("52494646") & (F.substring(start, 17, 8) == "57454250")).otherwise(start.startswith(wanted))
+    return (F.when(F.coalesce(length, F.lit(0)) == 0, "empty").when(length > max_bytes, "too large").when(wanted.isNull(), "unknown type")
+            .when(F.coalesce(fits, F.lit(False)), "ok").otherwise("wrong content"))
+
+
 def check_signatures(spark: SparkSession, path: str, *, signatures: dict[str, str] | None = None, max_bytes: int = MAX_BYTES,
                      listed: DataFrame | None = None) -> DataFrame:
     """Whether each file's content fits its extension, is not empty and keeps the size limit.
@@ -52,14 +62,10 @@ def check_signatures(spark: SparkSession, path: str, *, signatures: dict[str, st
     Files over the limit are judged by their size alone, so their content is never loaded.  Spark reads no
     rows from files of no length; they are found by a list of the expected files (column name).
     """
-    signatures = signatures or SIGNATURES
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    extension = F.lower(F.regexp_extract("path", "\\.([A-Za-z0-9]+)$", 1))
-    wanted = F.element_at(F.create_map(*[F.lit(x) for kv in signatures.items() for x in kv]), extension)
     sized = files.filter((F.col("length") > 0) & (F.col("length") <= max_bytes))
-    head = F.hex(F.substring("content", 1, 12))
-    fits = F.when(extension == "webp", head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250")).otherwise(head.startswith(wanted))
-    checked = sized.select("path", "length", F.when(wanted.isNull(), "unknown type").when(~fits, "wrong content").otherwise("ok").alias("verdict"))
+    verdict = signature_verdict(F.col("path"), F.substring("content", 1, 12), F.col("length"), signatures=signatures, max_bytes=max_bytes)
+    checked = sized.select("path", "length", verdict.alias("verdict"))
     done = checked.unionByName(files.filter(F.col("length") > max_bytes).select("path", "length", F.lit("too large").alias("verdict")))
     if listed is None:
         return done

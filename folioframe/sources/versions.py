@@ -12,6 +12,14 @@ class VersionConflict(Exception):
     """The active version is not the one the new version was built on."""
 
 
+def write_checked(df: DataFrame, path: str, version: int, validate: Callable[[DataFrame], DataFrame]) -> None:
+    """Write ``df`` as the partition ``version`` of a table unless ``validate`` returns violations of its rows; an existing one stays."""
+    problems = validate(df).count()
+    if problems:
+        raise ValueError(f"version {version} refused: {problems} violations")
+    df.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/version={version}")
+
+
 class VersionedTable:
     """A folder with ``version=<id>`` data and an append-only pointer log.
 

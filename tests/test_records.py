@@ -12,7 +12,7 @@ from folioframe.operators import sequences as sq
 from folioframe.operators import tables as tb
 from folioframe.sources import pages as pg
 from folioframe.sources import schemas
-from folioframe.sources.versions import VersionConflict, VersionedTable
+from folioframe.sources.versions import VersionConflict, VersionedTable, write_checked
 
 
 def test_translation_memory(spark):
@@ -144,6 +144,28 @@ def test_versions(spark, tmp_path):
     assert table.read().first().n == 1 and [h[1:] for h in table.history()] == [("v1", "commit"), ("v2", "commit"), ("v1", "rollback")]
 
 
+def test_checked_write(spark, tmp_path):
+    path, ok = str(tmp_path / "book"), lambda df: df.filter("n < 0")
+    good, bad = (spark.createDataFrame([(n,)], "n int") for n in (1, -1))
+    write_checked(good, path, 1, ok)
+    with pytest.raises(ValueError):
+        write_checked(bad, path, 2, ok)
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        write_checked(good, path, 1, ok)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(1, 1)]
+
+
+def test_signatures_of_all_rows(spark, sf):
+    from folioframe.plans import QUERIES
+    rows = QUERIES["check_signatures"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert {r.verdict for r in rows} == {"ok", "wrong content", "unknown type", "empty"}
+    heads = [("a.png", b"\x89PNG\r\n\x1a\n", 9), ("b.jpg", b"not a pictur", 13), ("c.webp", b"RIFF1234WEBP", 13), ("d.png", b"", 0), ("e.png", b"x", 50), ("f", b"x", 1), ("g.png", None, None)]
+    df = spark.createDataFrame(heads, "name string, head binary, length long")
+    got = {r.name: r.verdict for r in df.select("name", pg.signature_verdict(F.col("name"), F.col("head"), F.col("length"), max_bytes=40).alias("verdict")).collect()}
+    assert got == {"a.png": "ok", "b.jpg": "wrong content", "c.webp": "ok", "d.png": "empty", "e.png": "too large", "f": "unknown type", "g.png": "empty"}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(bytes.fromhex("89504E470D0A1A0A") + b"x")
     (tmp_path / "b.jpg").write_bytes(b"not a picture")
