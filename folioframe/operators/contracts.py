@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,17 +100,19 @@ def lesson_contract(blocks: DataFrame, pages: DataFrame, lesson: str, page: str)
     return per_page.unionByName(twice).unionByName(rows).unionByName(ids).unionByName(count)
 
 
-def publish_contract(pages: DataFrame, files: DataFrame, words: DataFrame, vocab: DataFrame, slug: str, n: str) -> DataFrame:
+def publish_contract(pages: DataFrame, files: DataFrame, words: DataFrame, vocab: DataFrame, slug: str, n: str, *,
+                     required: Collection[str] = ()) -> DataFrame:
     """Published pages that break the rules.
 
     ``pages``: slug, n, aspect, crop_left, crop_right, lesson_number, title and the text fields of
-    ``TEXT_LIMITS`` that are at hand; ``files``: slug, n, path; ``words``: slug, n, word; ``vocab`` as above.
+    ``TEXT_LIMITS`` that are at hand (every page breaks the rule of a ``required`` one that is not); ``files``: slug, n, path; ``words``: slug, n, word; ``vocab`` as above.
     """
     report = [slug, n]
     crop = lambda c: F.col(c).isNull() | F.col(c).between(0, 0.2)
     rules = {"book.slug": F.col(slug).rlike(SLUG), "page.n": F.col(n).between(1, 999), "page.aspect": F.col("aspect").rlike(ASPECT), "page.crop": crop("crop_left") & crop("crop_right"),
              "lesson.number": F.col("lesson_number").between(0, 999), "lesson.title": present("title") & (F.length("title") <= 160)}
     rules |= {f"page.{c}": present(c) & (F.length(c) <= limit) for c, limit in TEXT_LIMITS.items() if c in pages.columns}
+    rules |= {f"page.{c}": F.lit(False) for c in required if c not in pages.columns}
     rows = violations(pages, report, rules)
     own = F.concat(F.lit("pages/"), F.lpad(F.col(n).cast("string"), 3, "0"), F.lit("/"))
     paths = violations(files, report, {"file.path": F.col("path").rlike(FILE_PATH), "file.page": ~F.col("path").startswith("pages/") | F.col("path").startswith(own)})

@@ -199,14 +199,17 @@ UNION ALL {_rules('slug, n', 'f', {'file.path': f"regexp_matches(path, '{ct.FILE
 UNION ALL {_rules('slug, n', 'w', {'builder.word': 'length(word) BETWEEN 1 AND 40'})} UNION ALL SELECT slug, n, 'builder.count' FROM w GROUP BY ALL HAVING count(*) > 12 UNION ALL SELECT slug, n, 'files.count' FROM f GROUP BY ALL HAVING count(*) > 80""")
 def _(t):
     n = F.col("n")
-    p = t.pages.select(F.regexp_extract("url", "://([^/]+)", 1).alias("slug"), F.col("page_id").alias("n"), "html")
+    p = t.pages.select(F.regexp_extract("url", "://([^/]+)", 1).alias("slug"), F.col("page_id").alias("n"), "html", "url")
+    heading = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     pages = p.select("slug", "n", F.when(n % 9 == 0, "2342x3190").otherwise("2342/3190").alias("aspect"), F.when(n % 5 == 0, 0.3).otherwise(0.1).alias("crop_left"),
-                     F.lit(None).cast("double").alias("crop_right"), n.alias("lesson_number"), F.lit("title").alias("title"))
+                     F.lit(None).cast("double").alias("crop_right"), n.alias("lesson_number"), F.lit("title").alias("title"),
+                     n.cast("string").alias("pageNum"), F.col("slug").alias("navLabel"), heading.alias("chaoIntro"), F.col("url").alias("task"),
+                     F.concat_ws(" ", heading, "url").alias("systemPrompt"))
     links = p.select("slug", "n", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"/]+)"'), F.lit(1))).alias("f"))
     files = links.select("slug", "n", F.concat(F.lit("pages/"), F.lpad(F.when(n % 4 == 0, 1).otherwise(n).cast("string"), 3, "0"), F.lit("/"), "f").alias("path"))
     words = p.select("slug", "n", F.explode(F.split(F.regexp_extract("html", "<title>([^<]*)</title>", 1), " ")).alias("word"))
     vocab = words.select("slug", "n", F.lit("w").alias("word"), F.lit("p").alias("py"), F.lit("").alias("pos"), F.lit("t").alias("trans"))
-    return ct.publish_contract(pages, files, words, vocab, "slug", "n").drop("severity")
+    return ct.publish_contract(pages, files, words, vocab, "slug", "n", required=ct.TEXT_LIMITS).drop("severity")
 
 
 @demo("trace_score")

@@ -86,6 +86,23 @@ def test_publish_contract(spark):
                           ("hsk1", "file.path"), ("hsk1", "builder.count")])
 
 
+def test_publish_contract_needs_its_text_columns(spark):
+    pages = spark.createDataFrame([("hsk1", 3, "2342/3190", 0.1, None, 1, "t", "x" * 41)],
+                                  "slug string, n int, aspect string, crop_left double, crop_right double, lesson_number int, title string, pageNum string")
+    files, words = (spark.createDataFrame([], f"slug string, n int, {c} string") for c in ("path", "word"))
+    vocab = spark.createDataFrame([], "slug string, n int, word string, py string, pos string, trans string")
+    got = sorted(r.rule for r in ct.publish_contract(pages, files, words, vocab, "slug", "n", required=ct.TEXT_LIMITS).collect())
+    assert got == sorted(f"page.{c}" for c in ct.TEXT_LIMITS)
+
+
+def test_publish_query_gives_every_text_field(spark, sf, monkeypatch):
+    from folioframe.plans import QUERIES
+    monkeypatch.setattr(ct, "TEXT_LIMITS", dict.fromkeys(ct.TEXT_LIMITS, 0))  # no text is short enough
+    n = spark.read.parquet(f"{sf}/pages.parquet").count()
+    rules = {r.rule: r["count"] for r in QUERIES["publish_contract"](spark, sf).groupBy("rule").count().collect()}
+    assert all(rules.get(f"page.{c}") == n for c in ct.TEXT_LIMITS)
+
+
 def test_activity_days_and_buckets(spark):
     rows = [("2024-02-29 18:59:59", 60.0, "a"), ("2024-02-29 19:00:00", 30.0, "a"), ("2024-03-01 03:00:00", -5.0, "b"), ("2024-03-30 10:00:00", 90.0, "a")]
     df = spark.createDataFrame(rows, "ts string, seconds double, word string").withColumn("ts", F.col("ts").cast("timestamp"))
