@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from folioframe.llm.components import connected_components
 from folioframe.operators.lineage import cut_lineage
 
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+_REL = r"""\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))"""  # one of its values
+_CANONICAL = rf"""(?is)<link\b(?=[^>]*{_REL})[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[0-9.]*\s*;\s*url\s*=\s*["']?([^"'\s>]+)"""
+_BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 RULES = "host string, path string, verdict string"
 
 
@@ -36,13 +38,42 @@ def address(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host(url), rest))
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its segments . and .., each .. taking the one before it along."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    parts = F.when(last.isin(".", ".."), F.array_append(parts, F.lit(""))).otherwise(parts)  # a dot at the end names a folder
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1)), F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(
+        x == "..", F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).otherwise(F.array_append(done, x)))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """``target``, a link as it stands in html, as an absolute URL seen from the page ``base``; null where it names no page."""
+    link = F.regexp_replace(target, "(?i)&(?:amp|#38|#x26);", "&")
+    ahead, tail = F.regexp_extract(link, r"(?s)\A([^?#]*)", 1), F.regexp_extract(link, r"(?s)\A[^?#]*(.*)\z", 1)
+    root = F.concat(F.regexp_extract(base, r"(?s)\A(.*?)://", 1), F.lit("://"), host(base))
+    folder = F.regexp_extract(F.concat(F.lit("/"), F.substring(path(base), 2, 1 << 30)), r"(?s)\A(.*/)", 1)
+    here = F.regexp_extract(base, r"(?s)\A([^?#]*)", 1)
+    found = (F.when(link.rlike(r"(?i)\A[a-z][a-z0-9+.-]*://"), link).when(link.rlike(r"(?i)\A[a-z][a-z0-9+.-]*:"), F.lit(None))
+             .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)\A(.*?)://", 1), F.lit(":"), link))
+             .when(ahead == "", F.when(link.startswith("?"), F.concat(here, tail)))
+             .otherwise(F.concat(root, _without_dots(F.when(ahead.startswith("/"), ahead).otherwise(F.concat(folder, ahead))), tail)))
+    return F.when(base.contains("://") | link.rlike(r"(?i)\A[a-z][a-z0-9+.-]*://"), found)
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v): a page's address and that of its canonical link or its refresh target; only absolute ones name a host."""
-    html = F.col(html_col)
+    """(u, v): a page's address and that of its canonical link or its refresh target.
+
+    Relative targets are resolved against the page's URL, or against its first base element.
+    """
+    html, url = F.col(html_col), F.col(url_col)
     target = F.explode(F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), 1), F.regexp_extract_all(html, F.lit(_REFRESH), 1)))
     near = html.rlike("(?i)canonical|refresh")
-    return (pages.filter(near).select(address(F.col(url_col)).alias("u"), target.alias("target")).select("u", address(F.col("target")).alias("v"))
-            .filter("u is not null and v is not null").distinct())
+    stated = F.regexp_extract(html, _BASE, 1)
+    base = F.when(stated != "", F.coalesce(resolve(url, stated), url)).otherwise(url)
+    return (pages.filter(near).select(address(url).alias("u"), base.alias("base"), target.alias("target"))
+            .select("u", address(resolve(F.col("base"), F.col("target"))).alias("v")).filter("u is not null and v is not null").distinct())
 
 
 def judge(addresses: DataFrame, rules: DataFrame) -> DataFrame:

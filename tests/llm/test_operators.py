@@ -298,6 +298,23 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages, rules.limit(0)).filter("verdict = 'block'").count() == 0
 
 
+def test_url_filter_resolves_links(spark):
+    rules = spark.createDataFrame([("bad.org", "", "block"), ("a.org", "/de/", "block")], url_filter.RULES)
+    link = '<link rel="alternate canonical" href="{}">'.format
+    jump = "<meta http-equiv=refresh content='0; url={}'>".format
+    rows = [(1, "http://a.org/x/y", link("/de/x"), "block"), (2, "http://a.org/x/z?q", link("../de/./x"), "block"), (3, "https://b.org", jump("//BAD.org/y"), "block"),
+            (4, "http://c.org/p", jump("q?a=1&amp;b=2"), "block"), (5, "http://c.org/q?a=1&b=2", link("http://bad.org/"), "block"), (6, "http://d.org/", link("mailto:x@bad.org"), "allow"),
+            (7, "http://e.org/", link("/go?to=http://bad.org/"), "allow"), (8, "http://f.org/a", '<base href="//bad.org/n/">' + link("m"), "block"), (9, "http://g.org/", link("#top"), "allow"),
+            (10, "http://h.org/x", link("?p=1"), "block"), (11, "http://h.org/x?p=1", link("//bad.org"), "block"), (12, "no address", link("de/x"), "allow"),
+            (13, "http://i.org/", '<link rel="canonical-not" href="http://bad.org/">', "allow"), (14, "http://j.org/", "<link rel=canonical href=http://bad.org/>", "block")]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.filter_urls(pages, rules).collect()} == {r[0]: r[3] for r in rows}
+    ways = [("http://a/b/c/d?q", t) for t in ("g", "./g", "g/", "/g", "//g", "?y", "g?y", ".", "..", "../g", "../../..", "../../../g", "http://h/x/../y", "g?y=../x")]
+    from urllib.parse import urljoin
+    seen = spark.createDataFrame(ways, "b string, t string").select("t", url_filter.resolve(F.col("b"), F.col("t")).alias("r")).collect()
+    assert {r.t: r.r for r in seen} == {t: t if "://" in t else urljoin(b, t) for b, t in ways}
+
+
 # --- 8 ------------------------------------------------------------------------------------------------------------------
 
 def test_fingerprint():
