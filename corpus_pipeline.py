@@ -18,7 +18,7 @@ from folioframe.operators.lineage import cut_lineage
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones among them, does not reject."""
-    model = quality.fit_documents(docs, table(spark, sf_dir, "labels"))
+    model = quality.fit_documents(docs, table(spark, sf_dir, "labels"), one_class=True)
     return quality.classify(docs, model).filter("predicted = 1").select(*docs.columns)
 
 

@@ -119,9 +119,11 @@ class Discriminant:
 
 
 def fit(rows: DataFrame, label_col: str, features_col: str = "features", *, own: float = SHRINK_OWN,
-        pooled: float = SHRINK_POOLED) -> Discriminant:
-    """The model of all ``rows`` with label 0 or 1 (others, nulls included, are left out); both must occur.
+        pooled: float = SHRINK_POOLED, one_class: bool = False) -> Discriminant:
+    """The model of all ``rows`` with label 0 or 1 (others, nulls included, are left out).
 
+    Without any such row every text scores 0.5.  Where one label only occurs, ``one_class`` gives every text that label's score (0 or 1);
+    else it is an error.
     Sums and products are aggregated by Spark; the driver gets one row a class, whatever the number of rows.
     """
     d = len(NAMES)
@@ -130,8 +132,11 @@ def fit(rows: DataFrame, label_col: str, features_col: str = "features", *, own:
     sums = (rows.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("label"))
             .agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(f[i]) for i in range(d)]).alias("s"), F.array(*[F.sum(f[i] * f[j]) for i, j in pairs]).alias("p")).collect())
     by = {r["label"]: r for r in sums}
-    if set(by) != {0, 1}:
+    if len(by) == 1 and not one_class:
         raise ValueError("both labels are needed to fit")
+    if len(by) < 2:
+        flat = np.zeros(d), np.zeros((d, d))
+        return Discriminant((flat[0],) * 2, (flat[1],) * 2, (0.0, 0.0), 500.0 * ((1 in by) - (0 in by)))
     means, scatter = [], []
     for k in (0, 1):
         mean = np.array(by[k]["s"]) / by[k]["n"]
@@ -166,11 +171,12 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Discriminant:
-    """The model of the labelled documents that are not held out.  Repeated rows and repeated labels each count."""
+def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *,
+                  one_class: bool = False) -> Discriminant:
+    """The model of the labelled documents that are not held out (see ``fit``).  Repeated rows and repeated labels each count."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("label in (0, 1)")
     own = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), features(F.col(text_col)).alias("features"))
-    return fit(own.join(marks, "id"), "label")
+    return fit(own.join(marks, "id"), "label", one_class=one_class)
 
 
 def classify(docs: DataFrame, model: Discriminant, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -66,7 +66,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit_documents(docs, table(spark, sf_dir, "labels"))
+    model = quality.fit_documents(docs, table(spark, sf_dir, "labels"), one_class=True)
     return quality.classify(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 

@@ -26,6 +26,7 @@ SUPPORT, RATIO = 0.01, 50.0  # a marker's least share of toxic documents, and ho
 THRESHOLD = 0.5
 BEGINNINGS = (4, 5, 6)  # bytes of a word
 ROUNDS = 200
+PRIOR = 0.1  # share of toxic documents that the label model starts from
 SHINGLE = 3  # words; documents that agree in the smallest hash of their shingles count once when markers are learned
 
 # Common words of abuse and of contempt, and words of address, in four languages.
@@ -111,12 +112,13 @@ def learn_markers(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """Markers from about ``sample`` labelled documents that are not held out, chosen by a hash of their ids.
 
     The sample's ids are broadcast (their number is bounded), so no text is shuffled.  Candidates are the words that
-    toxic documents share; the other documents count those only.
+    toxic documents share; the other documents count those only.  Without labelled documents there are none.
     """
     usable = labels.filter(F.col(label_col).isin(0, 1)).filter(~held_out(id_col))
     n = usable.count()
     if not n:
-        raise ValueError("no labelled documents to learn from")
+        none = np.zeros(0, np.uint64)
+        return Markers(none, (none,) * len(BEGINNINGS))
     chosen = (usable.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) <= int(min(1.0, sample / n) * (1 << 20)))
               .groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col)).cast("int").alias("__label")))
     known = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__label", F.col(text_col).alias("text"))
@@ -199,7 +201,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, odds: np.ndarray |
     voice, correlation, odds = np.ones(n), np.eye(n), np.ones(n) if odds is None else odds
     for _ in range(2):
         start = np.minimum(0.5, patterns.T @ counts / total)
-        fires, prior = np.clip(np.stack([0.2 * start, np.maximum(0.4, start)]), 1e-4, 0.95), 0.1
+        fires, prior = np.clip(np.stack([0.2 * start, np.maximum(0.4, start)]), 1e-4, 0.95), PRIOR
         for _ in range(ROUNDS):
             p = LabelModel(fires, voice, prior, correlation).posterior(patterns)
             mass = np.stack([(1 - p) * counts, p * counts])
@@ -253,6 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model: markers from labelled documents, everything else from the votes on all documents that are not held out.
 
     Vote patterns come to the driver with their numbers of documents and mean counts: at most 2 to the number of voters rows.
+    Without a document that is not held out every text scores ``PRIOR``.
     """
     markers = learn_markers(docs, labels, id_col, text_col, label_col, sample=sample)
     seen = docs.filter(~held_out(id_col)).select(hits(markers, F.col(text_col)).alias("c"))
@@ -260,6 +263,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     k = len(NAMES)
     rows = (seen.select(pattern.alias("p"), "c").groupBy("p")
             .agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.log1p(F.col("c")[i])) for i in range(k)]).alias("mean")).orderBy("p").collect())
+    if not rows:
+        return Toxicity(markers, LabelModel(np.full((2, k), 0.5), np.ones(k), PRIOR, np.eye(k)), np.append(np.zeros(2 * k), np.log(PRIOR / (1 - PRIOR))))
     votes, counts = np.array([r["p"] for r in rows]).reshape(-1, k), np.array([r["n"] for r in rows], float)
     model = fit_label_model(votes, counts, np.where(np.arange(k) < NAMES.index("words_a"), 1, RATIO))  # each marker was chosen for this ratio
     weights = fit_linear(votes, np.array([r["mean"] for r in rows]).reshape(-1, k), counts, model.posterior(votes))

@@ -265,6 +265,20 @@ def test_short_toxic_posts_teach_markers(spark):
     assert (learned[0].words == learned[1].words).all()
 
 
+def test_fits_without_labels(spark):
+    table = docs(spark, [(i, f"you idiot number {i}") for i in range(40)])
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    for marks, want in [(labels, 1), (labels.withColumn("quality", F.lit(0)), 0), (labels.limit(0), 0.5)]:
+        model = quality.fit_documents(table, marks, one_class=True)
+        assert all(abs(r.score - want) < 1e-9 for r in quality.classify(table, model).collect())
+    assert quality.classify(table, quality.fit_documents(table.limit(0), labels)).filter("score = 0.5").count() == 40
+    marks = labels.withColumnRenamed("quality", "toxic")
+    for known, given in [(table, marks.limit(0)), (table, marks), (table, marks.withColumn("toxic", F.lit(0))), (table.limit(0), marks), (table.limit(0), marks.limit(0))]:
+        model = toxicity.fit(known, given)
+        assert all(0 <= r.score <= 1 for r in toxicity.classify(table, model).collect())
+    assert all(abs(r.score - toxicity.PRIOR) < 1e-9 for r in toxicity.classify(table, model).collect())
+
+
 def test_label_model_recovers_voters():
     rng = np.random.default_rng(9)
     y = rng.random(20_000) < 0.1

@@ -69,6 +69,20 @@ def test_held_out_accuracy(spark, name, label, least):
     assert sum(r.predicted == r[label] for r in held) >= least * len(held)
 
 
+@pytest.mark.parametrize("empty", [("documents",), ("labels",), ("documents", "labels")])
+def test_empty_tables(spark, sf, tmp_path, empty):
+    for name in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{sf}/{name}.parquet")
+        (rows.limit(0) if name in empty else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    n = spark.read.parquet(f"{tmp_path}/documents.parquet").count()
+    for name in ("op5_quality", "op6_toxicity"):
+        assert QUERIES[name](spark, str(tmp_path)).count() == n
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:1] if n else corpus_pipeline.STAGES:
+        docs = corpus_pipeline.cut_lineage(stage(spark, docs, str(tmp_path)))
+        assert docs.count() == n
+
+
 def test_pipeline(spark, sf):
     """Each stage on what the one before it left, by brute force where the stage is not a fitted model."""
     def rows(df):
