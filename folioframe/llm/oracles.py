@@ -72,3 +72,33 @@ kept AS (SELECT doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER B
          FROM words LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(({0})::VARCHAR))::VARCHAR || ':' || ({0})::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+#: Level by level: a node's leaf-to-node path is kept as (leaf, node), so each level joins runs and adds the sibling to the leaves below.
+ORACLES["op12_merkle"] = f"""
+WITH RECURSIVE crc AS (SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS c
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+d AS (SELECT doc_id, lang, {_LEAF} AS leaf, sha256({" || ".join(_FIELD.format("n_chars + 1" if c == "n_chars" else c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS changed,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+l AS (SELECT d.*, CASE WHEN xor(c, 4294967295) % 7 = 0 THEN changed ELSE leaf END AS told, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM d LEFT JOIN crc USING (doc_id)),
+up(g, pos, n, digest) AS (
+  SELECT g, pos, n, leaf FROM l
+  UNION ALL SELECT g, pos // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY g, pos // 2),
+sub AS (SELECT g, digest, count(*) OVER () AS n FROM up WHERE n = 1),
+top(pos, n, digest) AS (
+  SELECT g, n, digest FROM sub
+  UNION ALL SELECT pos // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY pos // 2),
+path(doc_id, g, pos, n, proof, cur) AS (
+  SELECT doc_id, g, pos, n, '', told FROM l
+  UNION ALL SELECT p.doc_id, p.g, p.pos // 2, (p.n + 1) // 2, p.proof || coalesce(s.digest, ''),
+    sha256(CASE WHEN p.pos % 2 = 1 THEN s.digest || p.cur ELSE p.cur || coalesce(s.digest, '') END)
+  FROM path p LEFT JOIN up s ON s.g = p.g AND s.n = p.n AND s.pos = xor(p.pos, 1) WHERE p.n > 1),
+whole(doc_id, g, pos, n, proof, cur) AS (
+  SELECT p.doc_id, p.g, p.g, sub.n, p.proof, p.cur FROM path p JOIN sub USING (g) WHERE p.n = 1
+  UNION ALL SELECT p.doc_id, p.g, p.pos // 2, (p.n + 1) // 2, p.proof || coalesce(s.digest, ''),
+    sha256(CASE WHEN p.pos % 2 = 1 THEN s.digest || p.cur ELSE p.cur || coalesce(s.digest, '') END)
+  FROM whole p LEFT JOIN top s ON s.n = p.n AND s.pos = xor(p.pos, 1) WHERE p.n > 1)
+SELECT l.doc_id, l.leaf, sub.digest AS subroot, r.digest AS root, sha256(w.proof) AS proof_sha256, w.cur AS folded_root, w.cur = r.digest AS verified
+FROM l JOIN whole w ON w.doc_id IS NOT DISTINCT FROM l.doc_id AND w.n = 1 JOIN sub ON sub.g = l.g CROSS JOIN (SELECT digest FROM top WHERE n = 1) r"""

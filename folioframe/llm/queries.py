@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import byte_bpe, chat, decontam, quality, rp_forest, simhash, substring, toxicity, url_filter, warc
+from folioframe.llm import byte_bpe, chat, decontam, merkle, quality, rp_forest, simhash, substring, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -109,3 +109,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.dedup_windows(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = merkle.leaf_digest([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    told = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, changed).otherwise(merkle.leaf_digest([F.col(c) for c in fields]))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), columns=fields, told=told)
+    found = found.withColumn("folded_root", merkle.fold(F.col("told"), F.col("proof"), F.col("steps")))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))
