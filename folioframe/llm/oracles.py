@@ -102,3 +102,13 @@ whole(doc_id, g, pos, n, proof, cur) AS (
   FROM whole p LEFT JOIN top s ON s.n = p.n AND s.pos = xor(p.pos, 1) WHERE p.n > 1)
 SELECT l.doc_id, l.leaf, sub.digest AS subroot, r.digest AS root, sha256(w.proof) AS proof_sha256, w.cur AS folded_root, w.cur = r.digest AS verified
 FROM l JOIN whole w ON w.doc_id IS NOT DISTINCT FROM l.doc_id AND w.n = 1 JOIN sub ON sub.g = l.g CROSS JOIN (SELECT digest FROM top WHERE n = 1) r"""
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.e::DOUBLE[], b.e::DOUBLE[])::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b AS p, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT a AS anchor_id, p AS positive_id, row_number() OVER (PARTITION BY a, p ORDER BY score DESC, b)::INT AS rank, b AS negative_id, ps AS positive_score, score AS negative_score
+FROM p JOIN s USING (a) WHERE NOT same AND 30 * ps <= 100 * score AND 100 * score <= 90 * ps
+QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY score DESC, b) <= 10"""

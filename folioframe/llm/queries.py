@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import byte_bpe, chat, decontam, merkle, quality, rp_forest, simhash, substring, toxicity, url_filter, warc
+from folioframe.llm import byte_bpe, chat, decontam, hard_negatives, merkle, quality, rp_forest, simhash, substring, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -120,3 +120,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.withColumn("folded_root", merkle.fold(F.col("told"), F.col("proof"), F.col("steps")))
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root",
                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchor=F.col("id") % 100 == 0, label=label)
+    return found.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("negative").alias("negative_id"),
+                        "positive_score", "negative_score")
