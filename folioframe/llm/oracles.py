@@ -112,3 +112,46 @@ p AS (SELECT a, b AS p, score AS ps FROM s WHERE same QUALIFY row_number() OVER
 SELECT a AS anchor_id, p AS positive_id, row_number() OVER (PARTITION BY a, p ORDER BY score DESC, b)::INT AS rank, b AS negative_id, ps AS positive_score, score AS negative_score
 FROM p JOIN s USING (a) WHERE NOT same AND 30 * ps <= 100 * score AND 100 * score <= 90 * ps
 QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY score DESC, b) <= 10"""
+
+
+def _pii_sql() -> str:
+    """Places of the matches of one kind come from the pieces between them; validators and scores are conditions on each match."""
+    from folioframe.llm import pii
+
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
+                r"\+[0-9][\x20().0-9-]+[0-9]", pii.IBAN_HEAD, pii.SSN, pii.TEL]
+    raw = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, t, unnest(regexp_extract_all(t, '{p}')) AS x, unnest(regexp_split_to_array(t, '{p}')) AS b,"
+                             f" unnest(range(len(regexp_extract_all(t, '{p}')) + 1)) AS i FROM d" for k, (kind, p) in enumerate(zip(pii.KINDS, patterns)))
+    lengths = ", ".join(f"'{c}': {n}" for c, n in pii.IBAN_LENGTHS.items())
+    words = " ".join(f"WHEN '{kind}' THEN regexp_matches(context, '(^|[^a-z])({w})([^a-z]|$)')" for kind, w in pii.WORDS.items())
+    scores = " ".join(f"WHEN '{kind}' THEN {n}" for kind, n in pii.SCORES.items())
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+raw AS ({raw}),
+m0 AS (SELECT doc_id, k, kind, t, x, (sum(len(b)) OVER w + coalesce(sum(len(x)) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS s
+      FROM raw WINDOW w AS (PARTITION BY doc_id, k ORDER BY i ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT * REPLACE (CASE WHEN kind = 'iban' THEN regexp_extract(substr(t, s + 1, 70), '^{pii.IBAN}') ELSE x END AS x) FROM m0 WHERE x IS NOT NULL),
+cut AS (SELECT *, regexp_replace(x, '[^0-9]', '', 'g') AS digits,
+          CASE WHEN kind = 'iban' THEN list_filter(range(1, len(x) + 1), lambda i: substr(x, i, 1) <> ' ')[MAP {{{lengths}}}[x[1:2]]] ELSE len(x) END AS size FROM m WHERE x <> ''),
+e AS (SELECT *, (s + size)::INT AS stop, CASE WHEN s > 0 THEN substr(t, s, 1) ELSE '' END || substr(t, s + size::INT + 1, 1) AS sides,
+             {lower.format('substr(t, greatest(s - 40, 0) + 1, least(s, 40))')} AS context, replace(x[1:size], ' ', '') AS y FROM cut WHERE size IS NOT NULL),
+ok AS (SELECT doc_id, k, kind, s, stop, greatest(0, least(10, CASE kind {scores} END + 2 * (CASE kind {words} END)::INT
+          - 3 * regexp_matches(context, '(^|[^a-z])({pii.OTHER_NUMBERS})([^a-z]|$)')::INT)) AS score FROM e WHERE CASE kind
+  WHEN 'email' THEN true
+  WHEN 'ip' THEN len(list_filter(string_split(x, '.'), lambda p: CASE WHEN len(ltrim(p, '0')) > 3 THEN true ELSE ('0' || ltrim(p, '0'))::INT > 255 END)) = 0
+  WHEN 'card' THEN len(digits) BETWEEN 14 AND 19 AND list_sum([CASE WHEN (len(digits) - i) % 2 = 0 THEN substr(digits, i, 1)::INT
+       ELSE 2 * substr(digits, i, 1)::INT - CASE WHEN substr(digits, i, 1) > '4' THEN 9 ELSE 0 END END FOR i IN range(1, len(digits) + 1)]) % 10 = 0
+  WHEN 'phone' THEN len(digits) BETWEEN 10 AND 15
+  WHEN 'iban' THEN NOT regexp_matches(sides, '[A-Za-z0-9]') AND list_reduce(list_prepend(0, [CASE WHEN c <= '9' THEN c::INT ELSE ascii(c) - 55 END FOR c IN string_split(y[5:] || y[1:4], '')]),
+       lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) = 1
+  WHEN 'ssn' THEN NOT regexp_matches(sides, '[A-Za-z0-9-]') AND x[1:3] NOT IN ('000', '666') AND x[1:3] < '900' AND x[5:6] <> '00' AND x[8:] <> '0000'
+  ELSE NOT regexp_matches(sides, '[A-Za-z0-9+./(-]') AND len(digits) BETWEEN 9 AND 11 END),
+f AS (SELECT * FROM ok a WHERE k < {pii.BASE} OR score >= {pii.LEAST} AND NOT EXISTS (FROM ok b WHERE b.k < {pii.BASE} AND b.doc_id = a.doc_id AND b.s <= a.s AND b.stop >= a.stop)),
+g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in pii.KINDS[:pii.BASE])},
+        string_agg(kind || ':' || s || ':' || stop, ',' ORDER BY s, k) FILTER (WHERE k < {pii.BASE}) AS base, string_agg(kind || ':' || s || ':' || stop, ',' ORDER BY s, k) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in pii.KINDS[:pii.BASE])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+ORACLES["op11_pii"] = _pii_sql()

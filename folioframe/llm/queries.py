@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import byte_bpe, chat, decontam, hard_negatives, merkle, quality, rp_forest, simhash, substring, toxicity, url_filter, warc
+from folioframe.llm import byte_bpe, chat, decontam, hard_negatives, merkle, pii, quality, rp_forest, simhash, substring, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -128,3 +128,12 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchor=F.col("id") % 100 == 0, label=label)
     return found.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("negative").alias("negative_id"),
                         "positive_score", "negative_score")
+
+
+@query
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS[:pii.BASE]), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
