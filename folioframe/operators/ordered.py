@@ -1,23 +1,28 @@
-"""Ordered per-key computations that stay balanced when one key is hot.
+"""Ordered per-key computations that stay balanced when one key, or one value of the order, is hot.
 
-A plain window puts all rows of a key into one task.  ``Ordered`` cuts the whole table, sorted by (keys, order), at about as
-many points as ``spark.sql.shuffle.partitions`` names, as a range partitioning does.  A key that such a point falls into is cut
-there; a key between two points stays whole, so no task gets much more than its share of the rows, whatever the keys.  A window
-runs inside each (key, chunk), and what a cut key's other chunks contribute is a carry taken from one summary row per chunk.
-There is one way for every size.
+A plain window puts all rows of a key into one task.  ``Ordered`` looks at a sample of (keys, order), about ``_PER_CHUNK`` rows for
+each of the session's shuffle partitions, and cuts every key that has more than a partition's share: into chunks of about that
+share, at sampled places of its order.  A place that alone fills a chunk is shared out over several by a hash of the rows.  All
+other keys stay whole.  A window runs inside each (key, chunk), and what a cut key's other chunks contribute is a carry taken from
+one summary row per chunk.  There is one way for every size; without keys the whole table is one key.
 
-The points come from a sample picked by a hash of the rows, about ``_PER_CHUNK`` rows a chunk: one job that reads keys and order
-columns only.  Points, cut keys and carries are no more than the chunks, so they are safe on the driver and in a broadcast.
-The rows are read once more for the summaries; a caller with a costly input writes it first (``cut_lineage``).
+The sample is one small job that reads keys and order columns only.  Split points, cut keys and carries are no more than the
+sampled rows, so they are safe on the driver and in a broadcast.  Rows alike in all columns share a chunk.  The rows of cut
+keys are read once more for the summaries; a caller with a costly input writes it first (``cut_lineage``).
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lineage import cut_lineage
+
 _PER_CHUNK = 24  # sampled rows per chunk used to place the split points
+_SEED = 11
 _CHUNK, _HOT = "__ord_chunk", "__ord_hot"
 
 
@@ -41,45 +46,65 @@ def _nulls_first(v):
     return v is not None, 0 if v is None else v
 
 
+def _bounds(places: list[tuple]) -> list[tuple[tuple, float]]:
+    """First (place, share of its rows) of every chunk after the first, from a key's sampled places in order."""
+    out, filled = [], 0
+    for place, same in itertools.groupby(places):
+        n = len(list(same))
+        if filled >= _PER_CHUNK or n >= _PER_CHUNK and filled:
+            out.append((place, 0.0))
+            filled = 0
+        if n >= _PER_CHUNK:
+            out += [(place, k / (n // _PER_CHUNK)) for k in range(1, n // _PER_CHUNK)]
+            filled = _PER_CHUNK
+        else:
+            filled += n
+    return out
+
+
 class Ordered:
     """Adds ordered columns to ``df`` within ``keys`` (none = the whole table).
 
-    ``order`` lists ascending columns (nulls first) that must give a total order.  ``chunks`` is the number of parts the table
+    ``order`` lists ascending columns (nulls first); rows that it leaves tied come in any order.  ``chunks`` is the number of parts the table
     is cut into, by default the session's number of shuffle partitions.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str | Column], *, chunks: int | None = None):
         self.keys = list(keys)
         self.order = [_col(c) for c in order]
-        self.hot = self._split_points(df, chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        self.hot, shared = self._split_points(df, chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        if shared:
+            self.order.append(F.xxhash64(*df.columns))
         self.df = df if self.hot is None else self._chunked(df)
 
     # -- choosing the chunks -------------------------------------------------
 
-    def _split_points(self, df: DataFrame, chunks: int) -> DataFrame | None:
-        """The cut keys with their split points; None where nothing is to be cut."""
+    def _split_points(self, df: DataFrame, chunks: int) -> tuple[DataFrame | None, bool]:
+        """The cut keys with their split points (None where nothing is to be cut), and whether a place is shared out by a hash."""
         spark = df.sparkSession
         slim = df.select(*self.keys, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)]).alias("__ord_o"))
-        share = F.pmod(F.xxhash64(*slim.columns), F.lit(1 << 40)) / float(1 << 40)  # by content: any reading of the rows picks the same ones
         wanted = F.lit(float(chunks * _PER_CHUNK)) / F.greatest(slim.agg(F.count(F.lit(1))).scalar(), F.lit(1))
-        picked = slim.filter(share < wanted)
-        rows = [tuple(r) for r in picked.collect()]
+        rows = [tuple(r) for r in slim.filter(F.rand(_SEED) < wanted).collect()]  # read once, so no later reading has to pick the same ones
         rows.sort(key=_nulls_first)
-        step = max(1, -(-len(rows) // chunks))
-        points: dict[tuple, tuple[list, list]] = {}
-        for *key, at in rows[step::step]:
-            points.setdefault(_nulls_first(key), (key, []))[1].append(tuple(at))
-        if not points:
-            return None
-        order_type = picked.schema["__ord_o"].dataType
-        table = []
-        for key, bounds in points.values():
-            # Two levels keep the search for a row's chunk near the square root of their number.
-            width = max(1, int(len(bounds) ** 0.5))
-            table.append((*key, bounds, bounds[::width], width))
+        table, shared = [], False
+        for _, of_key in itertools.groupby(rows, key=lambda r: _nulls_first(r[:-1])):
+            of_key = list(of_key)
+            bounds = _bounds([tuple(r[-1]) for r in of_key])
+            if bounds:
+                shared |= any(share for _, share in bounds)
+                # Two levels keep the search for a row's chunk near the square root of their number.
+                width = max(1, int(len(bounds) ** 0.5))
+                table.append([*of_key[0][:-1], bounds, width])
+        if not table:
+            return None, False
+        least = -(1 << 63)
+        for row in table:
+            full = [(*at, least + int(share * 2.0 ** 64)) if shared else at for at, share in row[-2]]
+            row[-2:] = [full, full[::row[-1]], row[-1]]
+        order_type = T.StructType([*slim.schema["__ord_o"].dataType.fields, *[T.StructField(f"o{len(self.order)}", T.LongType())] * shared])
         return spark.createDataFrame(table, T.StructType([
-            *[f for f in picked.schema.fields if f.name != "__ord_o"], T.StructField("__ord_bounds", T.ArrayType(order_type)),
-            T.StructField("__ord_coarse", T.ArrayType(order_type)), T.StructField("__ord_width", T.IntegerType())]))
+            *[f for f in slim.schema.fields if f.name != "__ord_o"], T.StructField("__ord_bounds", T.ArrayType(order_type)),
+            T.StructField("__ord_coarse", T.ArrayType(order_type)), T.StructField("__ord_width", T.IntegerType())])), shared
 
     def _chunked(self, df: DataFrame) -> DataFrame:
         order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)])
@@ -105,10 +130,10 @@ class Ordered:
         row                  1, 2, 3 ... in order (no column)
         """
         specs = {n: (s if isinstance(s, tuple) else (s,)) for n, s in specs.items()}
-        parts = self.keys + ([_CHUNK] if self.hot is not None else [])
-        inner = Window.partitionBy(*parts).orderBy(*self.order) if parts else Window.orderBy(*self.order)
+        parts = self.keys + ([_CHUNK] if self.hot is not None else []) or [F.lit(0)]  # less than a chunk in all: one group
+        inner = Window.partitionBy(*parts).orderBy(*self.order)
         back_order = [c.desc_nulls_last() for c in self.order]
-        inner_back = Window.partitionBy(*parts).orderBy(*back_order) if parts else Window.orderBy(*back_order)
+        inner_back = Window.partitionBy(*parts).orderBy(*back_order)
         upto = inner.rowsBetween(Window.unboundedPreceding, 0)
         before = inner.rowsBetween(Window.unboundedPreceding, -1)
         after = inner_back.rowsBetween(Window.unboundedPreceding, -1)
@@ -227,7 +252,7 @@ def weighted_rank_pick(df: DataFrame, keys: list[str], value: str, picks: dict[s
     Equal values are counted first, so the shuffle carries one row per (key, value).  ``picks`` maps an
     output name to a rank (1-based) written in terms of the count column ``__n``.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    counted = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
     sizes = counted.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     run = Ordered(counted, keys, [value]).add(__upto=("sum", "__c")).done()
     joined = (run.alias("l").join(sizes.alias("r"), null_safe("l", "r", keys))

@@ -19,19 +19,32 @@ def millis(col: str | Column) -> Column:
     return F.unix_millis((F.col(col) if isinstance(col, str) else col).cast("timestamp"))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_on: Column, right_on: Column, value: Column, out: str,
-          strict: bool = False) -> DataFrame:
-    """For each left row the value of the last right row at or before it (before it if ``strict``).
+def last_before(spots: DataFrame, right: DataFrame, keys: list[str], right_on: Column, value: Column, strict: bool = False) -> DataFrame:
+    """(keys, __at, __out): for each row (keys, __at) of ``spots``, once, the value of the last right row at or before it.
+
+    The ordered pass has one row a place and side, however many rows are there, so no two of them tie.
+    """
+    mine, theirs = (0, 1) if strict else (1, 0)
+    r = right.select(*keys, right_on.alias("__at"), value.alias("__value")).groupBy(*keys, "__at").agg(F.max("__value").alias("__value"))
+    both = cut_lineage(spots.select(*keys, "__at").distinct().withColumn("__side", F.lit(mine)).unionByName(r.withColumn("__side", F.lit(theirs)), allowMissingColumns=True))
+    done = Ordered(both, keys, ["__at", "__side"]).add(__out=("last", "__value")).done()
+    return done.filter(F.col("__side") == mine).select(*keys, "__at", "__out")
+
 
-    Both sides go into one ordered pass, so the work is linear and a hot key is split.
+def with_places(left: DataFrame, found: DataFrame, keys: list[str], left_on: Column, out: str) -> DataFrame:
+    """``left`` with the result of ``last_before`` at its places.
+
+    A place of many rows is a skewed key on the left side only, which adaptive execution splits, or broadcasts past.
     """
-    # A right row at the same place comes first, unless the match has to be strictly earlier.  Right rows
-    # that tie are put in order by their value, so every evaluation gives the same result.
-    l = left.select(*keys, left_on.alias("__at"), F.lit(0 if strict else 1).alias("__side"), F.struct(*left.columns).alias("__left"))
-    r = right.select(*keys, right_on.alias("__at"), F.lit(1 if strict else 0).alias("__side"), value.alias("__value"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    done = Ordered(both, keys, ["__at", "__side", "__value"]).add(__hit=("last", "__value")).done()
-    return done.filter(F.col("__left").isNotNull()).select("__left.*", F.col("__hit").alias(out))
+    return (left.withColumn("__at", left_on).alias("l").join(found.alias("r"), null_safe("l", "r", [*keys, "__at"]), "left")
+            .select(*[F.col(f"l.`{c}`") for c in left.columns], F.col("r.__out").alias(out)))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_on: Column, right_on: Column, value: Column, out: str,
+          strict: bool = False) -> DataFrame:
+    """For each left row the value of the last right row at or before it (before it if ``strict``); of right rows at one place the largest value."""
+    found = last_before(left.select(*keys, left_on.alias("__at")), right, keys, right_on, value, strict)
+    return with_places(left, found, keys, left_on, out)
 
 
 def number_missing(df: DataFrame, number: str, order: list[str]) -> DataFrame:
@@ -176,7 +189,7 @@ def due_queue(items: DataFrame, part: list[str], due_ms: str, now_ms: Column, or
     """Position in the review queue: due first, then new (no due time), then later ones."""
     rank = F.when(F.col(due_ms).isNull(), 1).when(F.col(due_ms) <= now_ms, 0).otherwise(2)
     ranked = items.withColumn("rank", rank).withColumn("__due", F.coalesce(due_ms, F.lit(0)))
-    return Ordered(ranked, part, ["rank", "__due", *order]).add(position=("row",)).done().drop("__due")
+    return Ordered(cut_lineage(ranked), part, ["rank", "__due", *order]).add(position=("row",)).done().drop("__due")
 
 
 def averaged_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .lineage import cut_lineage
 from .ordered import Ordered, null_safe
-from .sequences import as_of
+from .sequences import as_of, last_before, with_places
 
 _NODES = "array<struct<l:int,i:bigint>>"
 
@@ -89,7 +89,9 @@ def uncovered(components: DataFrame, cover: DataFrame, keys: list[str], comp: tu
     run = cut_lineage(Ordered(merged, keys, ["__a"]).add(__upto=("sum", "__len")).done())
     seg = F.struct("__a", "__b", "__upto")
     lo, hi = comp
-    both = as_of(as_of(components, run, keys, F.col(lo), F.col("__a"), seg, "__s0"), run, keys, F.col(hi), F.col("__a"), seg, "__s1")
+    ends = components.select(*keys, F.explode(F.array(lo, hi)).alias("__at"))
+    found = cut_lineage(last_before(ends, run, keys, F.col("__a"), seg))
+    both = with_places(with_places(components, found, keys, F.col(lo), "__s0"), found, keys, F.col(hi), "__s1")
     def covered(s, t):
         s = F.col(s)
         return F.when(s.isNull(), 0.0).otherwise(s["__upto"] - (s["__b"] - s["__a"]) + F.least(t, s["__b"]) - s["__a"])
