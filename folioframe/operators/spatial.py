@@ -1,8 +1,8 @@
 """Spatial operators: region lookup, covering intervals, overlap, clusters.
 
 None of them lists all pairs of a page.  Intervals are cut into at most two nodes per level of a binary
-tree and the best interval per node is kept, so a point meets one row per level.  Clusters work on grid
-cells: boxes that share a small cell belong together, so only cells are compared.
+tree and the best interval per node is kept, so a point meets one row per level.  Clusters and absorption work on
+islands of boxes that cannot meet others; in a crowded island, boxes that share a small cell belong together, so only cells are compared.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .islands import BAND, ISLAND, SIDE, UNDER, absorb_islands, cluster_islands, islands, placed
 from .lineage import cut_lineage
 from .ordered import Ordered, null_safe
 from .sequences import as_of, last_before, with_places
@@ -232,12 +233,37 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+ISLAND_ROWS = 4096  # boxes of one island that a task compares; larger islands go through the cells of a grid
+
+
 def cluster_by_gap(boxes: DataFrame, page: list[str], ident: str, join: float) -> DataFrame:
     """Cluster of every box (columns page, ident, x, y, w, h): boxes closer than ``join`` belong together.
 
+    The cluster is named by its smallest ident; idents are unique in the table.  Pages are cut into islands that lie at least ``join`` apart.  An
+    island of up to ``ISLAND_ROWS`` boxes is one task's work, a larger one is spread over the cells of a grid; both ways are exact.
+    Boxes without a finite place and size are clusters of their own.
+    """
+    at = cut_lineage(boxes.select(*page, ident, *[F.col(c).cast("double").alias(c) for c in "xywh"]).filter(placed()))
+    cut = islands(at, page, [ident], join, join)
+    whole = [*page, BAND, ISLAND]
+    big = cut_lineage(cut.groupBy(*whole).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > ISLAND_ROWS))
+    found = cut
+    if crowded := not big.isEmpty():
+        found = cut.alias("l").join(big.alias("r"), null_safe("l", "r", whole), "left_anti")
+    named = cluster_islands(found, page, ident, join).select(*page, ident, "cluster")
+    if crowded:
+        rest = cut.alias("l").join(big.alias("r"), null_safe("l", "r", whole), "left_semi").drop(BAND, ISLAND)
+        named = named.unionByName(_cluster_cells(rest, page, ident, join).select(*page, ident, "cluster"))
+    return (boxes.alias("l").join(named.alias("r"), null_safe("l", "r", [*page, ident]), "left")
+            .select(*[F.col(f"l.`{c}`") for c in boxes.columns], F.coalesce("r.cluster", F.col(f"l.{ident}")).alias("cluster")))
+
+
+def _cluster_cells(boxes: DataFrame, page: list[str], ident: str, join: float) -> DataFrame:
+    """``cluster_by_gap`` without a task that holds an island.
+
     The grid cell is half the join distance wide, so boxes in the same or in touching cells are always
     close enough.  Cells two apart are compared by the edges of their contents, and cells two apart in
-    both directions by one ordered pass over their boxes.  The cluster is named by its smallest ident.
+    both directions by one ordered pass over their boxes.
     """
     s = join / 2
     placed = boxes.select(*page, ident, "x", "y", (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
@@ -287,30 +313,19 @@ def cluster_boxes(clustered: DataFrame, page: list[str]) -> DataFrame:
     return c.select(*page, "cluster", "n", "x", "y", (F.col("__x1") - F.col("x")).alias("w"), (F.col("__y1") - F.col("y")).alias("h"))
 
 
-def absorb_adjacent(targets: DataFrame, pieces: DataFrame, page: list[str], ident: str, piece: str, strip: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """Grow targets over the pieces beside or just below them until nothing changes.
+def absorb_adjacent(targets: DataFrame, pieces: DataFrame, page: list[str], ident: str, piece: str) -> tuple[DataFrame, DataFrame]:
+    """Grow targets over the pieces beside or just below them until nothing changes; the grown targets and the pieces left over.
 
-    Returns the grown targets and the pieces left over.  A piece next to several targets goes to the one
-    with the smallest ident.  Targets and pieces meet by page and strip of the page height.
+    Pieces are taken one at a time: always the smallest ``piece`` that touches a target, by the target of the smallest ``ident`` that
+    it touches as that has grown so far.  Pages are cut into islands that no growth can leave, and an island's order is followed in one
+    task.  Boxes without a finite place and size stay as they are.
     """
     cols = ["x", "y", "w", "h"]
-    grown, left = cut_lineage(targets.select(*page, ident, *cols)), cut_lineage(pieces.select(*page, piece, *cols))
-    margin = 0.012
-    while True:
-        t = grown.select(*page, ident, *[F.col(c).alias(f"t{c}") for c in cols],
-                         F.explode(F.sequence(F.floor((F.col("y") - margin) / strip), F.floor((F.col("y") + F.col("h") + margin) / strip))).alias("__s"))
-        p = left.withColumn("__s", F.explode(F.sequence(F.floor(F.col("y") / strip), F.floor((F.col("y") + F.col("h")) / strip))))
-        j = t.join(p, [*page, "__s"])
-        bottom, tbottom = F.col("y") + F.col("h"), F.col("ty") + F.col("th")
-        gap = F.greatest(F.col("tx") - (F.col("x") + F.col("w")), F.col("x") - (F.col("tx") + F.col("tw")), F.lit(0.0))
-        vgap = F.greatest(F.col("ty") - bottom, F.col("y") - tbottom, F.lit(0.0))
-        overlap = F.least(bottom, tbottom) - F.greatest("y", "ty")
-        beside = (gap <= 0.03) & (overlap >= F.col("h") * 0.8) & (F.col("h") >= F.col("th") * 0.04)
-        below = (vgap <= margin) & (gap <= 0.03) & (F.col("w") <= F.col("tw"))
-        hit = cut_lineage(j.filter(beside | below).groupBy(*page, piece, *cols).agg(F.min(ident).alias(ident)))
-        if hit.isEmpty():
-            return grown, left
-        both = grown.unionByName(hit.select(*page, ident, *cols))
-        g = both.groupBy(*page, ident).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("__x1"), F.max(F.col("y") + F.col("h")).alias("__y1"))
-        grown = cut_lineage(g.select(*page, ident, "x", "y", (F.col("__x1") - F.col("x")).alias("w"), (F.col("__y1") - F.col("y")).alias("h")))
-        left = cut_lineage(left.join(hit.select(*page, piece), [*page, piece], "left_anti"))
+    box = [F.col(c).cast("double").alias(c) for c in cols]
+    t, p = targets.select(*page, F.col(ident).alias("__t"), *box), pieces.select(*page, F.col(piece).alias("__p"), *box)
+    both = cut_lineage(t.unionByName(p, allowMissingColumns=True))
+    cut = islands(both.filter(placed()), page, ["__t", "__p"], SIDE + 1e-9, UNDER + 1e-9)
+    done = cut_lineage(absorb_islands(cut, page, "__t", "__p").drop(BAND, ISLAND).unionByName(both.filter(~placed()), allowMissingColumns=True))
+    grown = done.filter("__t IS NOT NULL").select(*page, F.col("__t").alias(ident), *cols)
+    left = done.filter("__p IS NOT NULL AND owner IS NULL").select(*page, F.col("__p").alias(piece), *cols)
+    return grown, left

@@ -8,6 +8,12 @@ from ..operators import spatial as sp
 from .demo import demo
 
 IDENT = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+SQL_SPOT = f"concat_ws('-', {', '.join(IDENT[:4])}, CAST(round(l_extendedprice * 100) AS BIGINT))"
+
+
+def _spot():
+    """One name a line item."""
+    return F.concat_ws("-", *IDENT[:4], F.round(F.col("l_extendedprice") * 100).cast("bigint"))
 
 
 @demo("covering_intervals", """
@@ -95,21 +101,43 @@ def _(t):
 
 
 def _parts(t):
-    spot = F.xxhash64(*IDENT)
-    return t.lineitem.select("l_suppkey", spot.alias("id"), (F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").alias("y"),
+    return t.lineitem.select("l_suppkey", _spot().alias("id"), (F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").alias("y"),
                              (F.col("l_discount") * 5).alias("w"), (F.col("l_tax") * 5).alias("h"))
 
 
-@demo("cluster_by_gap")
+@demo("cluster_by_gap", f"""
+WITH RECURSIVE b AS (SELECT l_suppkey, {SQL_SPOT} AS id, l_extendedprice / 1000 AS x, CAST(l_quantity AS DOUBLE) AS y, l_discount * 5 AS w, l_tax * 5 AS h FROM lineitem),
+near AS (SELECT a.id AS a, c.id AS b FROM b a JOIN b c ON a.l_suppkey = c.l_suppkey AND a.id <> c.id
+  AND greatest(0, greatest(a.x, c.x) - least(a.x + a.w, c.x + c.w), greatest(a.y, c.y) - least(a.y + a.h, c.y + c.h)) < 1.5),
+low(id, step, root) AS (
+  SELECT id, 0, id FROM b
+  UNION ALL SELECT id, any_value(step) + 1, min(least(root, coalesce(other, root))) FROM (
+    SELECT l.id, l.step, l.root, m.root AS other, bool_or(l.root > m.root) OVER () AS moving FROM low l LEFT JOIN near ON near.a = l.id LEFT JOIN low m ON m.id = near.b) WHERE moving GROUP BY id)
+SELECT l_suppkey, root AS cluster, count(*) AS n, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h
+FROM b JOIN (SELECT id, min(root) AS root FROM low GROUP BY id) USING (id) GROUP BY ALL""", n="BIGINT")
 def _(t):
     done = sp.cluster_by_gap(_parts(t), ["l_suppkey"], "id", 1.5)
     return sp.cluster_boxes(done, ["l_suppkey"])
 
 
-@demo("absorb_adjacent")
+@demo("absorb_adjacent", f"""
+WITH RECURSIVE b AS (SELECT l_orderkey AS page, {SQL_SPOT} AS id, l_linestatus, (l_partkey * 7 + l_suppkey * 3 + l_linenumber * 31) % 97 / 100 AS x, (l_partkey * 11 + l_suppkey + l_linenumber * 17) % 91 / 100 AS y FROM lineitem),
+s(page, step, t, p) AS (
+  SELECT page, 0, coalesce(list({{'id': id, 'x': x, 'y': y, 'w': .2::DOUBLE, 'h': .15::DOUBLE}} ORDER BY id) FILTER (l_linestatus = 'O'), []),
+         coalesce(list({{'id': id, 'x': x, 'y': y, 'w': .05::DOUBLE, 'h': .04::DOUBLE}} ORDER BY id) FILTER (l_linestatus = 'F'), []) FROM b GROUP BY page
+  UNION ALL
+  SELECT page, step + 1, [CASE WHEN j = owners[i] THEN {{'id': t[j].id, 'x': least(t[j].x, p[i].x), 'y': least(t[j].y, p[i].y),
+      'w': greatest(t[j].x + t[j].w, p[i].x + p[i].w) - least(t[j].x, p[i].x), 'h': greatest(t[j].y + t[j].h, p[i].y + p[i].h) - least(t[j].y, p[i].y)}} ELSE t[j] END FOR j IN range(1, len(t) + 1)],
+      [p[k] FOR k IN range(1, len(p) + 1) IF k <> i]
+  FROM (SELECT *, list_filter(range(1, len(p) + 1), lambda k: owners[k] IS NOT NULL)[1] AS i FROM (
+    SELECT page, step, t, p, [list_filter(range(1, len(t) + 1), lambda j: greatest(t[j].x, q.x) - least(t[j].x + t[j].w, q.x + q.w) <= .03 AND (
+        least(t[j].y + t[j].h, q.y + q.h) - greatest(t[j].y, q.y) >= .8 * q.h AND q.h >= .04 * t[j].h
+        OR greatest(t[j].y, q.y) - least(t[j].y + t[j].h, q.y + q.h) <= .012 AND q.w <= t[j].w))[1] FOR q IN p] AS owners FROM s)) WHERE i IS NOT NULL)
+SELECT page, u.id, round(u.x, 6) AS x, round(u.y, 6) AS y, round(u.w, 6) AS w, round(u.h, 6) AS h
+FROM (SELECT page, unnest(arg_max(t, step)) AS u FROM s GROUP BY page)""")
 def _(t):
-    spot = F.xxhash64(*IDENT)
-    b = t.lineitem.select(F.col("l_orderkey").alias("page"), spot.alias("id"), "l_linestatus", (F.pmod(spot, F.lit(97)) / 100).alias("x"), (F.pmod(spot, F.lit(91)) / 100).alias("y"))
+    k, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    b = t.lineitem.select(F.col("l_orderkey").alias("page"), _spot().alias("id"), "l_linestatus", ((k * 7 + s * 3 + n * 31) % 97 / 100).alias("x"), ((k * 11 + s + n * 17) % 91 / 100).alias("y"))
     targets = b.filter("l_linestatus = 'O'").select("page", "id", "x", "y", F.lit(0.2).alias("w"), F.lit(0.15).alias("h"))
     pieces = b.filter("l_linestatus = 'F'").select("page", F.col("id").alias("piece"), "x", "y", F.lit(0.05).alias("w"), F.lit(0.04).alias("h"))
     grown, left = sp.absorb_adjacent(targets, pieces, ["page"], "id", "piece")

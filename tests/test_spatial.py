@@ -94,6 +94,53 @@ def test_absorb_adjacent(spark):
     assert [round(v, 4) for v in grown.select("x", "y", "w", "h").first()] == [0.2, 0.2, 0.4, 0.255]
 
 
+def absorbed(targets, pieces):
+    """One page, one piece at a time: boxes by id."""
+    t, left = {i: list(b) for i, b in sorted(targets)}, dict(sorted(pieces))
+    def owner(d):
+        for i, b in t.items():
+            dx = max(b[0] - (d[0] + d[2]), d[0] - (b[0] + b[2]), 0)
+            dy = max(b[1] - (d[1] + d[3]), d[1] - (b[1] + b[3]), 0)
+            shared = min(b[1] + b[3], d[1] + d[3]) - max(b[1], d[1])
+            if dx <= 0.03 and (shared >= d[3] * 0.8 and d[3] >= b[3] * 0.04 or dy <= 0.012 and d[2] <= b[2]):
+                return i
+    while (hit := next(((k, o) for k, d in left.items() if (o := owner(d)) is not None), None)):
+        d, b = left.pop(hit[0]), t[hit[1]]
+        x, y = min(b[0], d[0]), min(b[1], d[1])
+        t[hit[1]] = [x, y, max(b[0] + b[2], d[0] + d[2]) - x, max(b[1] + b[3], d[1] + d[3]) - y]
+    return t, left
+
+
+def test_absorb_adjacent_one_at_a_time(spark):
+    """Targets that compete, pieces that a target reaches only after growing, places on a coarse grid for ties."""
+    rnd = random.Random(4)
+    pages = {p: ([(i, (round(rnd.random(), 2), round(rnd.random(), 2), rnd.choice([0.1, 0.2]), rnd.choice([0.1, 0.9]))) for i in range(rnd.randint(0, 4))],
+                 [(i, (round(rnd.random(), 2), round(rnd.random(), 2), 0.05, rnd.choice([0.02, 0.06]))) for i in range(rnd.randint(0, 25))]) for p in range(300)}
+    pages[1000] = ([(1, (0.1, 0.1, 0.2, 0.2)), (2, (0.45, 0.1, 0.2, 0.2))], [(1, (0.31, 0.12, 0.07, 0.1)), (2, (0.40, 0.12, 0.03, 0.1))])
+    schema = "page int, {} int, x double, y double, w double, h double"
+    t = spark.createDataFrame([(p, i, *b) for p, (ts, _) in pages.items() for i, b in ts], schema.format("id"))
+    d = spark.createDataFrame([(p, i, *b) for p, (_, ps) in pages.items() for i, b in ps] + [(7, 99, None, 0.1, 0.1, 0.1), (8, 99, float("nan"), 0.1, 0.1, 0.1)], schema.format("piece"))
+    grown, left = sp.absorb_adjacent(t, d, ["page"], "id", "piece")
+    got_t = {(r.page, r.id): [r.x, r.y, r.w, r.h] for r in grown.collect()}
+    got_left = {(r.page, r.piece) for r in left.collect()}
+    want = {p: absorbed(*both) for p, both in pages.items()}
+    assert got_left == {(p, i) for p, (_, rest) in want.items() for i in rest} | {(7, 99), (8, 99)}
+    assert got_t == {(p, i): b for p, (ts, _) in want.items() for i, b in ts.items()}
+    assert got_t[1000, 1][2] > 0.3 and sum(len(ps) for _, ps in pages.values()) > len(got_left) + 500
+
+
+def test_cluster_ways_agree(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(p, p * 1000 + i, rnd.random() * 4, rnd.random(), rnd.random() * 0.05, rnd.random() * 0.05) for p in range(3) for i in range(90)]
+    rows += [(1, 5000, None, 0.1, 0.1, 0.1), (1, 5001, 0.1, float("inf"), 0.1, 0.1)]
+    df = spark.createDataFrame(rows, "page int, id int, x double, y double, w double, h double")
+    ways = []
+    for most in (4096, 20, 0):
+        monkeypatch.setattr(sp, "ISLAND_ROWS", most)
+        ways.append(sorted((r.id, r.cluster) for r in sp.cluster_by_gap(df, ["page"], "id", 0.08).collect()))
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) == len(rows) and (5000, 5000) in ways[0]
+
+
 def test_covering_intervals(spark):
     jobs = spark.createDataFrame([("a", 1, 9, False, 1), ("a", 4, 6, True, 2), ("a", 5, 20, False, 3), ("b", 1, 99, True, 4)], "engine string, lo int, hi int, active boolean, id int")
     points = spark.createDataFrame([("a", n) for n in range(0, 24)], "engine string, page int")
