@@ -75,32 +75,50 @@ def next_larger(values: DataFrame, steps: DataFrame, need: str, step: str, out:
     return found.withColumn(out, F.coalesce(out, largest))
 
 
-def match_alias(speakers: DataFrame, aliases: DataFrame, manual: DataFrame | None, *, key: str = "key", group: Column | None = None, min_partial: int = 3) -> DataFrame:
+def _grams(df: DataFrame, text: str, size: int) -> DataFrame:
+    """Every distinct run of ``size`` characters of each text, as (text, __g)."""
+    chars = df.select(text).withColumn("__c", F.filter(F.split(text, ""), lambda c: c != ""))
+    run = lambda c, i: F.concat(c, *[F.get("__c", i + k) for k in range(1, size)])
+    starts = F.slice("__c", 1, F.greatest(F.size("__c") - (size - 1), F.lit(0)))
+    return chars.select(text, F.explode(F.array_distinct(F.transform(starts, run))).alias("__g"))
+
+
+def contained(short: DataFrame, long: DataFrame, size: int) -> DataFrame:
+    """Pairs (s, l) of distinct texts in which ``l`` holds ``s``, for texts ``s`` of at least ``size`` characters.
+
+    An inverted index of the runs of ``size`` characters of ``long``: a text is looked up by the rarest of its runs only, and not at all if
+    the index lacks one of them; the few texts that share that run are compared.
+    """
+    index = _grams(long, "l", size)
+    known = index.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    rare = (_grams(short, "s", size).join(known, "__g", "left").groupBy("s")
+            .agg(F.min(F.struct("__n", "__g")).alias("__r"), F.count_if(F.col("__n").isNull()).alias("__gone")).filter("__gone = 0"))
+    return rare.select("s", F.col("__r.__g").alias("__g")).join(index, "__g").filter(F.contains("l", "s")).select("s", "l")
+
+
+def match_alias(speakers: DataFrame, aliases: DataFrame, manual: DataFrame | None, *, key: str | list[str] = "key", group: Column | None = None, min_partial: int = 3) -> DataFrame:
     """Character of each speaker: manual choice, then an exact alias, then a partial one.
 
-    ``aliases`` has the columns character, place (order of the characters) and alias.  A manual choice of
-    ``none`` means no character.  A partial match holds one text inside the other; both sides are looked
-    up by their substrings, so every key meets at most one row.
+    A speaker has one or several keys (columns); the first that is not empty finds its manual choice, and all of at least two
+    characters are compared with the aliases.  ``aliases`` has the columns character, place (order of the characters) and alias.  A manual
+    choice of ``none`` means no character.  In a partial match one text holds the other, the shorter of which has at least ``min_partial``
+    characters; the first character in order wins.
     """
-    def subs(c):
-        sizes = F.sequence(F.lit(min_partial), F.length(c))
-        starts = lambda n: F.sequence(F.lit(1), F.length(c) - n + 1)
-        every = F.flatten(F.transform(sizes, lambda n: F.transform(starts(n), lambda i: F.substring(c, i, n))))
-        return F.explode(F.array_distinct(F.when(F.length(c) >= min_partial, every).otherwise(F.array().cast("array<string>"))))
+    names = [key] if isinstance(key, str) else list(key)
     first = F.min(F.struct("place", "character")).alias("hit")
-    named = aliases.filter(F.length("alias") >= 2)
+    named = aliases.filter(F.length("alias") >= 2).groupBy("alias").agg(first)
     people = speakers.filter(~group) if group is not None else speakers
-    keys = people.select(F.col(key).alias("k")).filter(F.length("k") >= 2).distinct()
-    exact = named.groupBy(F.col("alias").alias("k")).agg(first)
-    inside_alias = named.select("place", "character", subs(F.col("alias")).alias("k")).groupBy("k").agg(first)
-    inside_key = (keys.select("k", subs(F.col("k")).alias("alias")).join(named, "alias").groupBy("k").agg(first))
-    part = (keys.join(inside_alias.filter(F.length("k") >= min_partial), "k").select("k", "hit").unionByName(inside_key)
-            .groupBy("k").agg(F.min("hit").alias("partial")))
-    found = keys.join(exact.withColumnRenamed("hit", "exact"), "k", "left").join(part, "k", "left")
-    found = found.select(F.col("k").alias(key), "exact", "partial")
-    j = speakers.join(found, key, "left")
+    each = people.select(*names, F.explode(F.array_distinct(F.array(*names))).alias("k")).filter(F.length("k") >= 2).distinct()
+    keys, texts = each.select("k").distinct(), named.select("alias")
+    inside_alias = contained(keys.select(F.col("k").alias("s")), texts.select(F.col("alias").alias("l")), min_partial).select(F.col("s").alias("k"), F.col("l").alias("alias"))
+    inside_key = contained(texts.select(F.col("alias").alias("s")), keys.select(F.col("k").alias("l")), min_partial).select(F.col("l").alias("k"), F.col("s").alias("alias"))
+    part = inside_alias.unionByName(inside_key).join(named, "alias").groupBy("k").agg(F.min("hit").alias("partial"))
+    hits = each.join(named.select(F.col("alias").alias("k"), F.col("hit").alias("exact")), "k", "left").join(part, "k", "left")
+    found = hits.groupBy(*names).agg(F.min("exact").alias("exact"), F.min("partial").alias("partial"))
+    j = (speakers.withColumn("__key", F.coalesce(*[_filled(n) for n in names])).alias("l")
+         .join(found.alias("r"), null_safe("l", "r", names), "left").select("l.*", "r.exact", "r.partial"))
     if manual is not None:
-        j = j.join(manual.groupBy(F.col("key").alias(key)).agg(F.min("character").alias("__chosen")), key, "left")
+        j = j.join(manual.groupBy(F.col("key").alias("__key")).agg(F.min("character").alias("__chosen")), "__key", "left")
     else:
         j = j.withColumn("__chosen", F.lit(None).cast("string"))
     ok = F.lit(True) if group is None else ~group

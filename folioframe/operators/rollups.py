@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tone_count, toneless
+from .lineage import cut_lineage
 from .ordered import Ordered, null_safe, weighted_rank_pick
 
 LOCAL_ZONE = "Asia/Qyzylorda"
@@ -52,20 +53,43 @@ def group_rollup(entries: DataFrame, groups: DataFrame, on: str, group: str, num
     return rolled.orderBy(F.col(group).isNull(), group)
 
 
+def key_holders(df: DataFrame, source_key: str, digest: str, order: list[str]) -> DataFrame:
+    """(source key, __since): when each source key was taken, going through the rows in order.
+
+    A row takes its key if nobody holds that and its content has no key yet.  So the taken pairs are the greedy matching of keys and
+    contents: a pair that is the earliest left of both its key and its content is taken, and pairs with either of them are out.  A round takes all
+    such pairs at once; rounds grow with the longest chain of pairs that wait for each other.
+    """
+    at = F.struct(*order)
+    loose = F.when(_filled(digest).isNull(), at)  # a row without content is a content of its own
+    pairs = df.filter(_filled(source_key).isNotNull()).groupBy(F.col(source_key).alias("__k"), _filled(digest).alias("__h"), loose.alias("__own")).agg(F.min(at).alias("__at"))
+    pairs, taken = cut_lineage(pairs), None
+    while True:
+        of_key = pairs.groupBy("__k").agg(F.min("__at").alias("__at"))
+        of_content = pairs.groupBy("__h", "__own").agg(F.min("__at").alias("__at"))
+        first = pairs.join(of_key, ["__k", "__at"]).alias("l").join(of_content.alias("r"), null_safe("l", "r", ["__h", "__own", "__at"])).select("l.*")
+        first = cut_lineage(first)
+        if first.isEmpty():
+            return (taken if taken is not None else first).select(F.col("__k").alias(source_key), F.col("__at").alias("__since"))
+        taken = first if taken is None else taken.unionByName(first)
+        rest = pairs.join(first.select("__k"), "__k", "left_anti").alias("l")
+        pairs = cut_lineage(rest.join(first.alias("r"), null_safe("l", "r", ["__h", "__own"]), "left_anti"))
+
+
 def dedup_richest(df: DataFrame, source_key: str, digest: str, order: list[str], fill: list[str],
                   linked: dict[str, list[str]] | None = None, unknown: str = "^unknown") -> DataFrame:
     """One row per content hash: the earliest one, with each empty field filled by the first later value.
 
-    A repeated source key is dropped first.  ``linked`` names fields that are taken together with a main
-    field; text matching ``unknown`` counts as empty there.
+    Rows count in order (``order`` has no ties).  A row whose source key an earlier row holds is dropped; otherwise it is merged into the row of
+    the same content, which takes over its key if it has none; otherwise it stays and holds its key.  ``linked`` names fields that are taken
+    together with a main field; text matching ``unknown`` counts as empty there.
     """
     at = F.struct(*order)
     linked = linked or {}
-    keyed = df.filter(_filled(source_key).isNotNull())
-    rest = [c for c in df.columns if c != source_key]
-    first_per_key = (keyed.groupBy(source_key).agg(F.min_by(F.struct(*rest), at).alias("__r"))
-                     .select(source_key, "__r.*").select(*df.columns))
-    rows = first_per_key.unionByName(df.filter(_filled(source_key).isNull()))
+    since = key_holders(df, source_key, digest, order)
+    held = df.alias("l").join(since.alias("r"), F.col(f"l.{source_key}") == F.col(f"r.{source_key}"), "left")
+    rows = held.filter(F.col("__since").isNull() | (F.struct(*[F.col(f"l.{c}") for c in order]) <= F.col("__since"))).select("l.*")
+    fill = [source_key, *fill]
     plain = [c for c in df.columns if c not in (digest, *fill, *linked, *[x for v in linked.values() for x in v])]
     aggs = [F.min_by(F.struct(*plain), at).alias("__id"), F.count(F.lit(1)).alias("copies")]
     for c in fill:

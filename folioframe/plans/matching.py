@@ -72,18 +72,19 @@ def _(t):
 
 
 @demo("match_alias", """
-WITH s AS (SELECT c_custkey, lower(c_mktsegment) || (c_custkey % 40) AS key FROM customer), a AS (SELECT DISTINCT p_type || p_size AS character, p_size * 10 + length(p_type) AS place, CASE WHEN p_size % 2 = 0 THEN 'household' || p_size ELSE left('furniture', 4) || CASE WHEN p_size > 25 THEN '' ELSE 'x' END END AS alias FROM part),
-e AS (SELECT c_custkey, min((place, character)) AS h FROM s JOIN a ON alias = key GROUP BY 1), p AS (SELECT c_custkey, min((place, character)) AS h FROM s JOIN a ON (contains(alias, key) AND length(key) >= 3) OR (contains(key, alias) AND length(alias) >= 3) GROUP BY 1)
+WITH s AS (SELECT c_custkey, lower(c_mktsegment) || (c_custkey % 40) AS key, CASE WHEN c_custkey % 3 = 0 THEN 'household' || (c_nationkey % 7) END AS second FROM customer), a AS (SELECT DISTINCT p_type || p_size AS character, p_size * 10 + length(p_type) AS place, CASE WHEN p_size % 2 = 0 THEN 'household' || p_size ELSE left('furniture', 4) || CASE WHEN p_size > 25 THEN '' ELSE 'x' END END AS alias FROM part),
+e AS (SELECT c_custkey, min((place, character)) AS h FROM s JOIN a ON alias IN (key, second) GROUP BY 1), p AS (SELECT c_custkey, min((place, character)) AS h FROM s JOIN a ON (contains(alias, key) AND length(key) >= 3) OR (length(alias) >= 3 AND (contains(key, alias) OR contains(second, alias))) OR contains(alias, second) GROUP BY 1)
 SELECT s.c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN key = 'building3' THEN NULL WHEN key = 'machinery7' THEN 'PROMO1' ELSE coalesce(e.h[2], p.h[2]) END AS character,
   CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN key = 'building3' THEN NULL WHEN key = 'machinery7' THEN 'manual' WHEN e.h IS NOT NULL THEN 'exact' WHEN p.h IS NOT NULL THEN 'partial' END AS tier
 FROM s LEFT JOIN e USING (c_custkey) LEFT JOIN p USING (c_custkey)""")
 def _(t):
-    s = t.customer.select("c_custkey", F.concat(F.lower("c_mktsegment"), (F.col("c_custkey") % 40)).alias("key"))
+    s = t.customer.select("c_custkey", F.concat(F.lower("c_mktsegment"), (F.col("c_custkey") % 40)).alias("key"),
+                            F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("household"), F.col("c_nationkey") % 7)).alias("second"))
     size = F.col("p_size")
     alias = F.when(size % 2 == 0, F.concat(F.lit("household"), size)).otherwise(F.concat(F.lit("furn"), F.when(size > 25, "").otherwise("x")))
     a = t.part.select(F.concat("p_type", size).alias("character"), (size * 10 + F.length("p_type")).alias("place"), alias.alias("alias")).distinct()
     manual = t.spark.createDataFrame([("building3", "none"), ("machinery7", "PROMO1")], "key string, character string")
-    return mt.match_alias(s, a, manual, group=F.col("c_custkey") % 11 == 0).select("c_custkey", "character", "tier")
+    return mt.match_alias(s, a, manual, key=["key", "second"], group=F.col("c_custkey") % 11 == 0).select("c_custkey", "character", "tier")
 
 
 def _revision(t):

@@ -48,19 +48,22 @@ def _(t):
 
 
 @demo("dedup_richest", """
-WITH d AS (SELECT doc_id, sha1(text) AS digest, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE lang END AS model, source AS provider, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS purpose,
+WITH RECURSIVE d AS (SELECT doc_id, sha1(text) AS digest, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE lang END AS model, source AS provider, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS purpose,
    CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS page, CASE WHEN doc_id % 10 = 0 THEN 'k' || (doc_id % 50) ELSE '' END AS skey FROM documents),
-u AS (SELECT * FROM d QUALIFY skey = '' OR row_number() OVER (PARTITION BY skey ORDER BY doc_id) = 1)
+e AS (SELECT doc_id, skey, digest, row_number() OVER (ORDER BY doc_id) AS n FROM d WHERE skey <> ''),
+r(n, ks, hs) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[] UNION ALL SELECT e.n, CASE WHEN list_contains(ks, skey) OR list_contains(hs, digest) THEN ks ELSE list_append(ks, skey) END,
+  CASE WHEN list_contains(ks, skey) OR list_contains(hs, digest) THEN hs ELSE list_append(hs, digest) END FROM r JOIN e ON e.n = r.n + 1),
+u AS (SELECT * FROM d WHERE doc_id NOT IN (SELECT doc_id FROM e JOIN r ON r.n = e.n - 1 WHERE list_contains(ks, skey)))
 SELECT min(doc_id) AS doc_id, digest, arg_min(purpose, doc_id) FILTER (purpose <> '') AS purpose, arg_min(page, doc_id) FILTER (page IS NOT NULL) AS page,
   coalesce(arg_min(model, doc_id) FILTER (model <> 'unknown'), 'unknown') AS model,
-  coalesce(arg_min(provider, doc_id) FILTER (model <> 'unknown'), arg_min(provider, doc_id)) AS provider, count(*) AS copies FROM u GROUP BY digest""")
+  coalesce(arg_min(provider, doc_id) FILTER (model <> 'unknown'), arg_min(provider, doc_id)) AS provider, arg_min(skey, doc_id) FILTER (skey <> '') AS skey, count(*) AS copies FROM u GROUP BY digest""")
 def _(t):
     i = F.col("doc_id")
     d = t.documents.select("doc_id", F.sha1("text").alias("digest"), F.when(i % 3 == 0, "unknown").otherwise(F.col("lang")).alias("model"), F.col("source").alias("provider"),
                            F.when(i % 4 == 0, "").otherwise(F.col("source")).alias("purpose"), F.when(i % 5 != 0, F.col("n_chars")).alias("page"),
                            F.when(i % 10 == 0, F.concat(F.lit("k"), i % 50)).otherwise("").alias("skey"))
     done = ru.dedup_richest(d, "skey", "digest", ["doc_id"], ["purpose", "page"], {"model": ["provider"]})
-    return done.select("doc_id", "digest", "purpose", "page", "model", "provider", "copies")
+    return done.select("doc_id", "digest", "purpose", "page", "model", "provider", "skey", "copies")
 
 
 _DAY = "CAST(ts + INTERVAL 5 HOUR AS DATE)"

@@ -30,8 +30,11 @@ def _(t):
 
 
 @demo("journal_dedup", """
-SELECT doc_id FROM (SELECT doc_id, sha1(text) AS h, CASE WHEN doc_id % 10 = 0 THEN 'k' || (doc_id % 50) ELSE 's' || doc_id END AS k FROM documents QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1)
-QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id) = 1""")
+WITH RECURSIVE d AS (SELECT doc_id, sha1(text) AS h, CASE WHEN doc_id % 10 = 0 THEN 'k' || (doc_id % 50) ELSE '' END AS k FROM documents),
+e AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM d WHERE k <> ''),
+r(n, ks, hs) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[] UNION ALL SELECT e.n, CASE WHEN list_contains(ks, k) OR list_contains(hs, h) THEN ks ELSE list_append(ks, k) END,
+  CASE WHEN list_contains(ks, k) OR list_contains(hs, h) THEN hs ELSE list_append(hs, h) END FROM r JOIN e ON e.n = r.n + 1)
+SELECT min(doc_id) AS doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM e JOIN r ON r.n = e.n - 1 WHERE list_contains(ks, k)) GROUP BY h""")
 def _(t):
     i = F.col("doc_id")
     d = t.documents.select("doc_id", F.sha1("text").alias("digest"), F.when(i % 10 == 0, F.concat(F.lit("k"), i % 50)).otherwise("").alias("skey"), "lang")
