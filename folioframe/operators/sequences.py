@@ -89,16 +89,16 @@ def parse_choices(df: DataFrame, part: list[str], order: list[str], text: str) -
     """Answer parts of numbered questions: question, letter and text.
 
     A number carries forward to the following rows, a letter A-D opens a part and later text joins it,
-    until the next letter or number.
+    until the next letter or number.  Lines that have places on a page are read by ``choices.page_choices``.
     """
     t = F.col(text)
     number = F.regexp_extract(t, "^\\s*(\\d+)\\s*[.．]", 1)
-    letter = F.regexp_extract(t, "^\\s*(?:\\d+\\s*[.．]\\s*)?([ABCD])(?![A-Za-z])\\s*", 1)
+    letter = F.regexp_extract(t, "^\\s*(?:\\d+\\s*[.．]\\s*)?([ABCD])\\s*", 1)
     marked = df.withColumns({
         "__q": F.when(number != "", number.cast("long")),
         # A number without a letter closes the part before it.
         "__l": F.when(letter != "", letter).when(number != "", ""),
-        "__t": F.when(letter != "", F.regexp_replace(t, "^\\s*(?:\\d+\\s*[.．]\\s*)?[ABCD](?![A-Za-z])\\s*", "")).otherwise(t)})
+        "__t": F.when(letter != "", F.regexp_replace(t, "^\\s*(?:\\d+\\s*[.．]\\s*)?[ABCD]\\s*", "")).otherwise(t)})
     o = Ordered(marked, part, order).add(question=("last", "__q"), letter=("last", "__l"), __i=("row",))
     rows = o.done().filter(F.col("question").isNotNull() & (F.col("letter") != ""))
     # The text of one answer is the value of the output row.

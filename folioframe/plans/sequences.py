@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import choices as ch
 from ..operators import sequences as sq
 from .demo import demo
 
@@ -251,3 +252,17 @@ SELECT event_id, CASE WHEN b = 'open' THEN 'absorbed' ELSE 'accepted' END AS out
 def _(t):
     request, finish = F.col("event_type").isin("click", "view"), F.col("event_type").isin("purchase", "error")
     return sq.idempotent_queue(t.events, ["user_id"], EV, request, finish).select("event_id", "outcome")
+
+
+def choice_lines(t):
+    """Lines of exercise pages: numbered letters, other letters and words, a few lines a page."""
+    n, key = F.col("l_linenumber"), F.col("l_orderkey")
+    text = (F.when((n == 1) & (F.col("l_suppkey") % 3 > 0), F.concat(key % 9 + 1, F.lit(". A "), key)).when(n == 1, F.concat(key % 9 + 1, F.lit(". Choose")))
+            .when(n <= 4, F.concat(F.expr("char(64 + l_linenumber)"), F.lit(" "), key)).otherwise(F.concat(F.lit("word"), key)))
+    return t.lineitem.select("l_suppkey", (F.col("l_partkey") % 40).alias("sheet"), (F.col("l_quantity") % 10 / 10).alias("x"),
+                             (F.floor("l_extendedprice") % 12 * 0.03 + n % 3 * 0.002).alias("y"), text.alias("line"))
+
+
+@demo("page_choices")
+def _(t):
+    return ch.page_choices(choice_lines(t), ["l_suppkey", "sheet"], "line", "x", "y")
