@@ -57,10 +57,8 @@ def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def each_island(df: DataFrame, page: list[str], order: list[Column], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType) -> DataFrame:
-    """``work`` on sorted rows of whole islands and the places where they begin, as many islands at a time as come in one batch."""
-    whole = [*page, BAND, ISLAND]
-
+def each_group(df: DataFrame, whole: list[str], order: list[Column], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType) -> DataFrame:
+    """``work`` on sorted rows of whole groups and the places where they begin, as many groups at a time as come in one batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -87,6 +85,10 @@ def _apart(a: np.ndarray, b: np.ndarray, axis: int) -> np.ndarray:
     return np.maximum(a[axis], b[:, axis]) - np.minimum(a[axis] + a[axis + 2], b[:, axis] + b[:, axis + 2])
 
 
+def each_island(df: DataFrame, page: list[str], order: list[Column], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType) -> DataFrame:
+    return each_group(df, [*page, BAND, ISLAND], order, work, schema)
+
+
 # -- clusters of one island ----------------------------------------------------------------
 
 def chained(box: np.ndarray, join: float) -> np.ndarray:

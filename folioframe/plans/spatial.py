@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import coverage as cv
 from ..operators import spatial as sp
 from .demo import demo
 
@@ -142,3 +143,22 @@ def _(t):
     pieces = b.filter("l_linestatus = 'F'").select("page", F.col("id").alias("piece"), "x", "y", F.lit(0.05).alias("w"), F.lit(0.04).alias("h"))
     grown, left = sp.absorb_adjacent(targets, pieces, ["page"], "id", "piece")
     return grown.select("page", "id", *[F.round(c, 6).alias(c) for c in "xywh"])
+
+
+_BOXES = f"""b AS (SELECT l_suppkey % 50 AS page, {SQL_SPOT} AS id, l_returnflag, l_linenumber, (l_partkey * 7 + l_orderkey) % 300 AS x0, (l_orderkey * 11 + l_partkey) % 200 AS y0, l_quantity::INT % 9 + 1 AS w, l_linenumber * 2 AS h FROM lineitem)"""
+
+
+@demo("uncovered_boxes", f"""
+WITH {_BOXES},
+e AS (SELECT DISTINCT page, unnest(range(x0, x0 + w * 4)) AS x, y FROM (SELECT page, x0, w, unnest(range(y0, y0 + h * 6)) AS y FROM b WHERE l_returnflag = 'A' AND l_linenumber > 4)),
+c AS (SELECT DISTINCT page, unnest(range(x0, x0 + w)) AS x, y FROM (SELECT page, x0, w, unnest(range(y0, y0 + h)) AS y FROM b WHERE l_returnflag = 'N')),
+p AS (SELECT page, id, unnest(range(x0, x0 + w)) AS x, y FROM (SELECT page, id, x0, w, unnest(range(y0, y0 + h)) AS y FROM b WHERE l_returnflag = 'R'))
+SELECT id, count(*)::DOUBLE AS area, round(count(c.x) / count(*), 6) AS share FROM p JOIN e USING (page, x, y) LEFT JOIN c USING (page, x, y) GROUP BY id HAVING share < .2""")
+def _(t):
+    k, o, n = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
+    x, y, w, h = (k * 7 + o) % 300, (o * 11 + k) % 200, F.col("l_quantity").cast("int") % 9 + 1, n * 2
+    b = t.lineitem.select((F.col("l_suppkey") % 50).alias("page"), _spot().alias("id"), "l_returnflag", n, x.alias("x0"), y.alias("y0"), w.alias("w"), h.alias("h"))
+    sized = lambda df, sx, sy: df.withColumns({"x1": F.col("x0") + F.col("w") * sx, "y1": F.col("y0") + F.col("h") * sy})
+    regions = sized(b.filter("l_returnflag = 'A' AND l_linenumber > 4"), 4, 6)
+    done = cv.uncovered_boxes(sized(b.filter("l_returnflag = 'R'"), 1, 1), sized(b.filter("l_returnflag = 'N'"), 1, 1), ["page"], "id", regions=regions, cell=16.0)
+    return done.select("id", "area", F.round("share", 6).alias("share"))
