@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import memory_key
+from ..functions.text import let, memory_key
 from .lineage import cut_lineage
 from .ordered import Ordered, null_safe
 from .sequences import as_of
@@ -166,9 +166,11 @@ def carry_translations(matched: DataFrame, old: DataFrame, page: list[str], iden
 
 
 def is_subsequence(inner: Column, outer: Column) -> Column:
-    """All characters of ``inner`` occur in ``outer`` in this order."""
-    at = F.aggregate(F.split(outer, ""), F.lit(0), lambda n, ch: n + F.when(ch == F.substring(inner, n + 1, 1), 1).otherwise(0))
-    return (F.length(inner) > 0) & (at == F.length(inner))
+    """All characters of ``inner`` occur in ``outer`` in this order; one step a character of ``outer``."""
+    chars = lambda c: F.filter(F.split(c, ""), lambda ch: ch != "")
+    def reached(wanted: Column) -> Column:
+        return F.aggregate(chars(outer), F.lit(0), lambda n, ch: n + F.when(ch == F.get(wanted, n), 1).otherwise(0)) == F.size(wanted)
+    return (F.length(inner) > 0) & (F.length(inner) <= F.length(outer)) & let(chars(inner), reached)
 
 
 def revision_regressions(new: DataFrame, old: DataFrame, page: list[str], ident: str, value: str, *, alternate: list[str], region: list[str], text: str,

@@ -65,3 +65,15 @@ def test_dedup_richest_against_one_entry_at_a_time(spark, seed):
     got = ru.dedup_richest(df, "skey", "digest", ["id"], ["note"]).select("id", F.nullif("skey", F.lit("")), F.nullif("digest", F.lit("")), F.nullif("note", F.lit("")), "copies").collect()
     assert sorted(map(tuple, got)) == journal(rows)
     assert (202, "q", "y", "late", 1) in journal(rows)
+
+
+def test_is_subsequence_of_long_texts(spark):
+    import time
+
+    rows = [("abc", "xaxbxcx"), ("abc", "acb"), ("", "a"), ("aé", "éaé"), ("ab", "a"), (None, "a")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [r[0] for r in df.select(mt.is_subsequence(F.col("a"), F.col("b"))).collect()] == [True, False, False, True, False, None]
+    long = spark.createDataFrame([("é" * 400_000 + "x", "éy" * 400_000 + "x"), ("é" * 400_000 + "x", "éy" * 400_000)], "a string, b string")
+    start = time.perf_counter()
+    assert [r[0] for r in long.select(mt.is_subsequence(F.col("a"), F.col("b"))).collect()] == [True, False]
+    assert time.perf_counter() - start < 30
