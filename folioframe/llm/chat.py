@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.functions.text import let
+
 _MARK = r"(?=/?INST|/?s>|\+\])"
 _TO_ESCAPE, _ESCAPED = rf"([\[<]\\*){_MARK}", rf"([\[<]\\*)\\{_MARK}"
 
@@ -71,9 +73,14 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
+def text_under(formatted: Column, mask: Column) -> Column:
+    """The texts of the mask's runs with loss, cut out of ``formatted`` by the runs' lengths and unescaped, one after another."""
+    nothing = F.struct(F.lit(1).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all"))
+    starts = F.aggregate(mask, nothing, lambda acc, r: F.struct((acc["at"] + r["chars"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+    cut = lambda at: F.transform(mask, lambda r, i: F.when(r["loss"], unescape(F.substr(formatted, F.get(at, i).cast("int"), r["chars"].cast("int")))).otherwise(F.lit("")))
+    return F.array_join(let(starts, cut), "")
+
+
 def read_back(talks: DataFrame) -> DataFrame:
-    """``talks`` (as formatted) with ``turns`` and ``loss_text``: all text under the mask, unescaped."""
-    read = talks.withColumn("turns", read_turns(F.col("formatted")))
-    # A turn is two runs, marks and text: the mask's odd runs say which texts count.
-    under = F.transform("turns", lambda t, i: F.when(F.get("mask", i * 2 + 1)["loss"], t["text"]).otherwise(F.lit("")))
-    return read.withColumn("loss_text", F.array_join(under, ""))
+    """``talks`` (as formatted) with ``turns``, read from the marks, and ``loss_text``, all text under the mask, unescaped."""
+    return talks.withColumns({"turns": read_turns(F.col("formatted")), "loss_text": text_under(F.col("formatted"), F.col("mask"))})

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioframe.llm.components import connected_components
+from folioframe.functions.text import let
 from folioframe.operators.lineage import cut_lineage
 
 MIN_COSINE = 0.95
@@ -139,9 +140,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     v = F.col(vector_col).cast("array<double>")
     good = v.isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(v, lambda e: e != 0)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e))
-    rows = cut_lineage(vectors.select(F.col(id_col).alias("id"), F.when(F.coalesce(good, F.lit(False)), F.transform(v, lambda e: e / norm)).alias("x"))
-                       .withColumn("key", F.xxhash64("x")))
+    # Divided by a power of two near its largest component first, a vector's squares neither overflow nor vanish; no digit of it changes.
+    scale = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform(v, F.abs)))))
+    scaled = vectors.select(F.col(id_col).alias("id"), F.when(F.coalesce(good, F.lit(False)), let(scale, lambda m: F.transform(v, lambda e: e / m))).alias("u"))
+    norm = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, e: s + e * e))
+    rows = cut_lineage(scaled.select("id", let(norm, lambda n: F.transform("u", lambda e: e / n)).alias("x")).withColumn("key", F.xxhash64("x")))
     # Equal vectors are one row; a vector's hash stands for it from here on (with its length and first value against chance).
     single = rows.filter("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
     single = cut_lineage(single.withColumn("node", F.xxhash64("x", F.reverse("x"))))
