@@ -137,7 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     an item without words never matches.  Repeated rows each get their result; rows sharing an id are told apart by text.
     Input columns with the result's names are replaced, others pass unchanged.  An empty benchmark contaminates nothing.
     """
-    docs = docs.drop("n_words", "n_hit", "n_items", "item_ids", "contaminated", "k1", "k2")
+    docs = docs.drop("n_words", "n_hit", "n_items", "item_ids", "contaminated")
     of_items, known, index, rare = build(docs, benchmark, window=window, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col)
     found = cut_lineage(exact_matches(docs, known, index, rare, window, id_col, text_col))
     order = Window.partitionBy(*KEY).orderBy("start", "n")
@@ -148,8 +148,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     items = (found.select(*KEY, "phrase_id").distinct().join(of_items.select("phrase_id", "item"), "phrase_id").select(*KEY, "item").distinct()
              .groupBy(*KEY).agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("item_ids")))
     lengths = index.filter("term = ''").select(*KEY, F.col("pos").cast("bigint").alias("n_words")).dropDuplicates(KEY)
-    facts = lengths.join(hits.join(items, KEY, "left"), KEY, "left")
-    return (docs.select("*", *_keys(id_col, text_col)).join(facts, KEY).select(
+    own = [f"__leak_{k}" for k in KEY]  # a column of the documents may be called k1
+    facts = lengths.join(hits.join(items, KEY, "left"), KEY, "left").withColumnsRenamed(dict(zip(KEY, own)))
+    return (docs.select("*", *[c.alias(k) for c, k in zip(_keys(id_col, text_col), own)]).join(facts, own).select(
         *[F.col(f"`{c}`") for c in docs.columns], "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce(F.array_size("item_ids"), F.lit(0)).cast("bigint").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")))
