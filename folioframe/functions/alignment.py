@@ -1,11 +1,13 @@
 """Edit-distance helpers that need a full table: shared runs, common characters, line boundaries.
 
-Each works on one pair of short texts; Spark decides which pairs get here.
+Each works on one pair of texts; Spark decides which pairs get here.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,62 +73,111 @@ def match_score(line: Column, text: Column, floor: float = 0.0) -> Column:
     return score.asNondeterministic()(line, text)
 
 
+BAND, KEPT = 64, 1024  # edits that the first band allows, and rows of the table that are held at once (more for very long texts)
+
+
+def _table_rows(a: str, places: dict[str, int], n: int, band: int, state: tuple[int, int, int, int], start: int) -> Iterator[tuple]:
+    """Rows of the edit table from ``a[start]`` on, each within ``band`` of its diagonal.
+
+    A row is (first column, rises and falls of the row above, rises and falls against it, state); differences between neighbouring
+    cells are bits.  What lies outside the band counts as one edit more than its neighbour, which is never too little.
+    """
+    low, base, up, down = state  # the row above: column before its first bit, value there, where it rises and falls
+    for i in range(start + 1, len(a) + 1):
+        width = min(n, i - 1 + band) - low
+        if i - band > low:
+            base += (up & 1) - (down & 1)
+            up, down, low, width = up >> 1, down >> 1, low + 1, width - 1
+        if i + band <= n:
+            up, width = up | 1 << width, width + 1
+        full = (1 << width) - 1
+        hit = (places.get(a[i - 1], 0) >> low) & full
+        flat = ((((hit & up) + up) ^ up) | hit | down) & full
+        more, less = (down | ~(flat | up)) & full, flat & up
+        above = up, down
+        rise, fall = (more << 1 | 1) & full, less << 1 & full
+        up, down = (fall | ~(flat | rise)) & full, rise & flat
+        base += 1
+        yield low, *above, more, less, (low, base, up, down)
+
+
+def _banded_path(a: str, z: str, places: dict[str, int], band: int) -> dict[int, int] | None:
+    """``edit_path`` if fewer than ``band`` edits are enough, else None.
+
+    The way back needs every row once.  Rows are kept at even distances only and those between are made again, so memory
+    grows with the square root of the text's length times the band.
+    """
+    m, n = len(a), len(z)
+    if abs(m - n) >= band:
+        return None
+    step = max(KEPT, math.isqrt(m))
+    state = 0, 0, (1 << min(n, band)) - 1, 0
+    marks, held = [], []
+    for i, row in enumerate(_table_rows(a, places, n, band, state, 0)):
+        if i % step == 0:
+            marks.append(state)
+            held = []
+        held.append(row)
+        state = row[-1]
+    low, base, up, down = state
+    if base + up.bit_count() - down.bit_count() >= band:
+        return None
+    i, j = m, n
+    ends = {i: j}
+    while i:
+        first = (i - 1) // step * step
+        if i < m and i == first + step:  # the rows before a mark, from the mark before it
+            held = list(_table_rows(a[:i], places, n, band, marks[first // step], first))
+        while i > first:
+            low, above_up, above_down, more, less, (_, _, up, _) = held[i - 1 - first]
+            if j:
+                bit = 1 << (j - 1 - low)
+                change = bool(more & bit) - bool(less & bit) + bool(above_up & bit) - bool(above_down & bit)
+                if change == (a[i - 1] != z[j - 1]):
+                    i, j = i - 1, j - 1
+                elif up & bit:
+                    j -= 1
+                else:
+                    i -= 1
+            else:
+                i -= 1
+            ends[i] = j
+    ends[0] = 0
+    return ends
+
+
 def edit_path(a: str, z: str, most: float = math.inf) -> dict[int, int] | None:
     """For every prefix length of ``a`` the prefix length of ``z`` it is aligned with; None beyond ``most`` edits.
 
-    The differences between neighbouring cells of the edit table are kept as bits of one integer per row.
+    Bands around the diagonal are widened until the least number of edits fits; the path inside such a band is that of the whole table.
     """
     places: dict[str, int] = {}
     for j, c in enumerate(z):
         places[c] = places.get(c, 0) | 1 << j
-    full = (1 << len(z)) - 1
-    up, down, rows = full, 0, []  # where the row rises and falls along z
-    for c in a:
-        hit = places.get(c, 0)
-        flat = ((((hit & up) + up) ^ up) | hit | down) & full
-        more, less = (down | ~(flat | up)) & full, flat & up  # against the row above
-        rows.append((up, down, more, less))
-        more, less = (more << 1 | 1) & full, less << 1 & full
-        up, down = (less | ~(flat | more)) & full, more & flat
-    if len(a) + up.bit_count() - down.bit_count() > most:
-        return None
-    rows.append((up, down, 0, 0))
-    i, j = len(a), len(z)
-    ends = {i: j}
-    while i or j:
-        bit = 1 << (j - 1) if j else 0
-        if i and j:
-            above_up, above_down, more, less = rows[i - 1]
-            change = bool(more & bit) - bool(less & bit) + bool(above_up & bit) - bool(above_down & bit)
-            if change == (a[i - 1] != z[j - 1]):
-                i, j = i - 1, j - 1
-                ends[i] = j
-                continue
-        if j and rows[i][0] & bit:
-            j -= 1
-        else:
-            i -= 1
-        ends[i] = j
-    return ends
+    most = math.floor(min(most, max(len(a), len(z))))
+    band = BAND
+    while True:
+        ends = _banded_path(a, z, places, min(band, most + 1))
+        if ends is not None or band > most:
+            return ends
+        band *= 4
 
 
 def cut_lines(clean: str, lines: list[str], ratio: float = math.inf) -> list[str] | None:
-    """The clean text cut at the line boundaries of a noisy reading of it; None when they are too far apart."""
-    raw = clean.replace("\n", "")
-    at = [i for i, c in enumerate(raw) if not c.isspace()]
-    z, parts = "".join(raw[i] for i in at), ["".join(l.split()) for l in lines]
-    a = "".join(parts)
-    ends = edit_path(a, z, ratio * max(len(a), len(z)))
-    if ends is None:
+    """The clean text cut at the line boundaries of a noisy reading of it; None when they are too far apart.
+
+    Each boundary is taken to the place among the clean text's letters that the alignment gives it; blanks stay with the line before.
+    """
+    text = clean.replace("\n", "")
+    letters = [i for i, c in enumerate(text) if not c.isspace()]
+    read = ["".join(line.split()) for line in lines]
+    noisy, wanted = "".join(read), "".join(text[i] for i in letters)
+    path = edit_path(noisy, wanted, ratio * max(len(noisy), len(wanted)))
+    if path is None:
         return None
-    out, seen, start = [], 0, 0
-    for k, part in enumerate(parts):
-        seen += len(part)
-        j = ends[seen]
-        stop = len(raw) if k == len(parts) - 1 or j >= len(at) else at[j]
-        out.append(raw[start:stop])
-        start = stop
-    return out
+    letters.append(len(text))
+    borders = [letters[path[k]] for k in accumulate(map(len, read))][:-1]
+    return [text[i:j] for i, j in pairwise([0, *borders, len(text)])]
 
 
 def line_texts(clean: Column, lines: Column, ratio: float) -> Column:
@@ -137,8 +188,8 @@ def line_texts(clean: Column, lines: Column, ratio: float) -> Column:
     return cut.asNondeterministic()(clean, lines)
 
 
-def reading_gate(clean: Column, joined: Column, ratio: float, limit: int) -> Column:
+def reading_gate(clean: Column, joined: Column, ratio: float, limit: int | None) -> Column:
     """Why a noisy reading cannot be aligned, by the lengths alone (both without blanks); null where it may be."""
     longest = F.greatest(F.length(clean), F.length(joined))
     apart = F.abs(F.length(clean) - F.length(joined)) > longest * ratio
-    return F.when(clean.isNull() | joined.isNull() | (longest == 0), "empty").when(longest > limit, "long").when(apart, "far")
+    return F.when(clean.isNull() | joined.isNull() | (longest == 0), "empty").when(F.lit(False) if limit is None else longest > limit, "long").when(apart, "far")

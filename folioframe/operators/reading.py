@@ -115,12 +115,12 @@ def fuzzy_assign(lines: DataFrame, blocks: DataFrame, page: list[str], accept: f
     return best.select(*page, "line", "__b.*")
 
 
-def align_lines(df: DataFrame, clean: str, lines: str, *, ratio: float = 0.3, limit: int = 1500, out: str = "aligned") -> DataFrame:
+def align_lines(df: DataFrame, clean: str, lines: str, *, ratio: float = 0.3, limit: int | None = None, out: str = "aligned") -> DataFrame:
     """Cut the clean text at the line breaks of a noisy reading (an array of lines).
 
     Every row stays.  One that cannot be cut has null, with the reason in ``<out>_reason``: ``empty`` (no text on either
-    side, or a null), ``long`` (over ``limit`` characters without blanks) or ``far`` (more than ``ratio`` of it differs).
-    The lengths are tested first, and only what passes is aligned.
+    side, or a null), ``far`` (more than ``ratio`` of it differs) or, only if a ``limit`` is given, ``long`` (over that many
+    characters without blanks).  The lengths are tested first, and what passes is aligned whole, in a band as wide as its edits ask for.
     """
     bare = lambda c: F.regexp_replace(c, "\\s+", "")
     early = reading_gate(bare(F.col(clean)), bare(F.array_join(lines, "")), ratio, limit)
@@ -208,21 +208,31 @@ def blank_evidence(pages: DataFrame, lines: DataFrame, keys: list[str], ink: str
 def region_disagreement(sources: DataFrame, pieces: DataFrame, region: list[str], source_text: str, order: list[str], text: str, stretch: int = 4096) -> DataFrame:
     """Regions whose re-read pieces, put together, differ from the source apart from blanks and case.
 
-    The pieces are joined in stretches of about ``stretch`` characters, and each stretch is compared with
-    its own part of the source, so no region is put together in one place.
+    Source and pieces are cut at the same places, every ``stretch`` characters of the region, so that each character travels once and
+    no region is put together in one place.  A null source is no disagreement, null pieces are empty, and a source without pieces
+    disagrees unless it is empty.
     """
     compact = lambda c: F.lower(F.regexp_replace(c, "\\s+", ""))
-    p = pieces.select(*region, *order, compact(F.col(text)).alias("__t")).withColumn("__len", F.length("__t"))
+    chunks = lambda c: F.regexp_extract_all(c, F.lit(f"(?s).{{1,{stretch}}}"), F.lit(0))
+    p = pieces.select(*region, *order, compact(F.col(text)).alias("__t")).withColumn("__len", F.length("__t")).filter("__len > 0")
     run = Ordered(p, region, order).add(__end=("sum", "__len")).done().withColumn("__start", F.col("__end") - F.col("__len"))
-    parts = run.withColumn("__b", F.floor(F.col("__start") / stretch)).groupBy(*region, "__b").agg(
-        F.min("__start").alias("__start"), F.max("__end").alias("__end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__start", *order, "__t"))), lambda x: x["__t"]), "").alias("__t"))
+    # A piece fills up the stretch that it begins in; the rest of it is cut from there on.
+    room = (stretch - F.col("__start") % stretch).cast("int")
+    bits = F.concat(F.array(F.substring(F.col("__t"), F.lit(1), room)), chunks(F.substring(F.col("__t"), room + 1, F.length("__t"))))
+    cut = run.select(*region, "__start", F.posexplode(bits).alias("__i", "__t")).withColumn("__b", F.floor(F.col("__start") / stretch) + F.col("__i"))
+    # At most ``stretch`` bits meet, as none is empty; their order is that of the pieces they come from.
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__start", "__t"))), lambda x: x["__t"]), "")
+    parts = cut.groupBy(*region, "__b").agg(joined.alias("__t"))
     s = sources.select(*region, compact(F.col(source_text)).alias("__s"))
-    j = parts.alias("l").join(s.alias("r"), null_safe("l", "r", region)).select("l.*", "r.__s")
-    per = j.groupBy(*region).agg(F.bool_and(F.col("__t") == F.substring(F.col("__s"), F.col("__start") + 1, F.length("__t"))).alias("__same"), F.max("__end").alias("__total"))
-    k = s.alias("l").join(per.alias("r"), null_safe("l", "r", region), "left").select("l.*", "r.__same", "r.__total")
-    agree = F.coalesce("__same", F.lit(True)) & (F.coalesce("__total", F.lit(0)) == F.length("__s"))
-    return k.filter(~agree).select(*region, F.lit("recognition-disagreement").alias("kind"))
+    asked = s.filter("__s IS NOT NULL").select(*region, F.posexplode_outer(chunks(F.col("__s"))).alias("__b", "__s"))
+    asked = asked.withColumn("__b", F.coalesce(F.col("__b").cast("bigint"), F.lit(0)))
+    on = null_safe("l", "r", [*region, "__b"])
+    bad = asked.alias("l").join(parts.alias("r"), on, "left").filter(~F.coalesce("l.__s", F.lit("")).eqNullSafe(F.coalesce("r.__t", F.lit("")))).select("l.*")
+    # Text beyond the source's end differs as well.
+    total = run.groupBy(*region).agg(F.max("__end").alias("__total"))
+    longer = s.alias("l").join(total.alias("r"), null_safe("l", "r", region)).filter(F.col("__total") > F.length("__s")).select("l.*")
+    found = bad.select(*region).unionByName(longer.select(*region)).distinct()
+    return s.alias("l").join(found.alias("r"), null_safe("l", "r", region), "left_semi").select(*region, F.lit("recognition-disagreement").alias("kind"))
 
 
 def flag_regions(pieces: DataFrame, issues: DataFrame, region: list[str]) -> DataFrame:

@@ -47,7 +47,7 @@ def _(t):
 
 @demo("align_lines", """
 SELECT doc_id, CASE WHEN reason IS NULL THEN n END AS n, CASE WHEN reason IS NULL THEN true END AS whole, reason FROM (SELECT doc_id, n, CASE WHEN greatest(length(z), length(a)) = 0 THEN 'empty'
-  WHEN greatest(length(z), length(a)) > 1500 THEN 'long' WHEN abs(length(z) - length(a)) > greatest(length(z), length(a)) * 3e-1 THEN 'far'
+  WHEN abs(length(z) - length(a)) > greatest(length(z), length(a)) * 3e-1 THEN 'far'
   WHEN levenshtein(z, a) > greatest(length(z), length(a)) * 3e-1 THEN 'far' END AS reason FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, regexp_replace(text, '\\s+', '', 'g') AS z,
   regexp_replace(CASE WHEN doc_id % 4 = 0 THEN translate(text, 'aeno', 'xyzw') ELSE translate(text, 'e', '') END, '\\s+', '', 'g') AS a FROM documents))""")
 def _(t):

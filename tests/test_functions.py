@@ -1,5 +1,7 @@
 """Text, box and record functions on small literal cases."""
 
+import unittest.mock
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +139,10 @@ def test_edit_path(seed):
         best = d[-1][-1]
         assert alignment.edit_path(a, z) == want == alignment.edit_path(a, z, best)
         assert alignment.edit_path(a, z, best - 1) is None
+        # Narrow bands and rows made again from marks give the same path.
+        for band, kept in ((1, 2), (3, 5)):
+            with unittest.mock.patch.multiple(alignment, BAND=band, KEPT=kept):
+                assert alignment.edit_path(a, z) == want
 
 
 @pytest.mark.parametrize("seed", range(5))

@@ -66,7 +66,31 @@ def test_align_lines(spark):
     rows = [(1, "你好 世界朋友", ["你好世", "界朋"]), (2, "abcdefgh", ["zzzz", "yyyy"]), (3, "x" * 1600, ["x" * 1600]), (4, None, ["a"]), (5, " ", [" "])]
     df = spark.createDataFrame(rows, "id int, clean string, lines array<string>")
     got = {r.id: (r.aligned, r.aligned_reason) for r in rd.align_lines(df, "clean", "lines").collect()}
-    assert got == {1: (["你好 世", "界朋友"], None), 2: (None, "far"), 3: (None, "long"), 4: (None, "empty"), 5: (None, "empty")}
+    assert got == {1: (["你好 世", "界朋友"], None), 2: (None, "far"), 3: (["x" * 1600], None), 4: (None, "empty"), 5: (None, "empty")}
+    short = {r.id: r.aligned_reason for r in rd.align_lines(df, "clean", "lines", limit=1500).collect()}
+    assert short == {1: None, 2: "far", 3: "long", 4: "empty", 5: "empty"}
+
+
+def test_align_long_text(spark):
+    r = random.Random(4)
+    clean = "".join(r.choice("abcdefgh ") for _ in range(60_000))
+    cuts = [0, *sorted(r.sample(range(60_000), 400)), 60_000]
+    lines = ["".join(c if r.random() > 0.03 else "z" for c in clean[i:j]) for i, j in zip(cuts, cuts[1:])]
+    df = spark.createDataFrame([(clean, lines)], "clean string, lines array<string>")
+    got = rd.align_lines(df, "clean", "lines").first()
+    assert got.aligned_reason is None and "".join(got.aligned) == clean and len(got.aligned) == len(lines)
+    same = sum(a.split() == b.split() for a, b in zip(got.aligned, [clean[i:j] for i, j in zip(cuts, cuts[1:])]))
+    assert same > 350  # a mark misread at a border can move it by a letter
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 4096])
+def test_region_disagreement_stretches(spark, stretch):
+    sources = [("same", "Ab cdefg hij"), ("late", "abcdefghij"), ("short", "abcdefgh"), ("more", "abc"), ("none", "abc"), ("empty", " "), ("null", None), ("marks", "a😀b你c")]
+    pieces = [("same", 1, "abC"), ("same", 2, ""), ("same", 3, "defghi j"), ("late", 1, "abcdefgh"), ("late", 2, "iX"), ("short", 1, "abcdefg"), ("more", 1, "ab"), ("more", 2, "cdefgh"),
+              ("null", 1, "a"), ("marks", 1, "a😀"), ("marks", 2, None), ("marks", 3, "b你C")]
+    s, p = spark.createDataFrame(sources, "region string, text string"), spark.createDataFrame(pieces, "region string, pos int, piece string")
+    got = {r.region for r in rd.region_disagreement(s, p, ["region"], "text", ["pos"], "piece", stretch).collect()}
+    assert got == {"late", "short", "more", "none"}
 
 
 def test_arbitrate_and_reads(spark):
