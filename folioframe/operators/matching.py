@@ -243,6 +243,11 @@ def merge_keep_existing(current: DataFrame, incoming: DataFrame, keys: list[str]
 # Frame height per resolution name.
 HEIGHTS = {"480p": 480, "720p": 720, "768p": 768, "1080p": 1080, "2k": 1440, "4k": 2160}
 
+# What a mark in a price's name is worth; the first mark found of each line counts.
+SKU_WEIGHTS = [[("own resolution", 4), ("any resolution", -3)],
+               [("wanted sound", 2), ("other sound", -2)],
+               [("from text", 1)]]
+
 
 def price_estimate(requests: DataFrame, skus: DataFrame) -> DataFrame:
     """Estimated price of each request from the price list of its model.
@@ -256,10 +261,10 @@ def price_estimate(requests: DataFrame, skus: DataFrame) -> DataFrame:
     usable = skus.filter((F.col("price") > 0)).withColumn("sku", k)
     combos = requests.select("model", F.lower("resolution").alias("res"), "audio").distinct()
     s = F.col("sku")
-    score = (F.when((F.col("res") != "") & F.contains(s, F.col("res")), 4).when(s.rlike("\\d+p|4k|2k"), -3).otherwise(0)
-             + F.when(F.col("audio"), F.when(F.contains(s, F.lit("with_audio")), 2).when(F.contains(s, F.lit("without_audio")), -2).otherwise(0))
-             .otherwise(F.when(F.contains(s, F.lit("without_audio")), 2).when(F.contains(s, F.lit("with_audio")), -2).otherwise(0))
-             + F.when(F.contains(s, F.lit("text_to_video")), 1).otherwise(0))
+    marks = {"own resolution": (F.col("res") != "") & F.contains(s, F.col("res")), "any resolution": s.rlike("\\d+p|4k|2k"),
+             "wanted sound": F.contains(s, F.when(F.col("audio"), "with_audio").otherwise("without_audio")),
+             "other sound": F.contains(s, F.when(F.col("audio"), "without_audio").otherwise("with_audio")), "from text": F.contains(s, F.lit("text_to_video"))}
+    score = sum(F.coalesce(*[F.when(marks[mark], weight) for mark, weight in rule], F.lit(0)) for rule in SKU_WEIGHTS)
     offers = combos.join(usable, "model").withColumns({
         "score": score, "second": s.rlike("duration_seconds|per_second|output_second") & ~F.contains(s, F.lit("megapixel")),
         "token": s.startswith("video_tokens") & ~F.contains(s, F.lit("video_input")), "sound": F.contains(s, F.lit("with_audio"))})

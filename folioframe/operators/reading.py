@@ -115,6 +115,38 @@ def fuzzy_assign(lines: DataFrame, blocks: DataFrame, page: list[str], accept: f
     return best.select(*page, "line", "__b.*")
 
 
+def claim_rest(lines: DataFrame, blocks: DataFrame, claimed: DataFrame, page: list[str], accept: float = 0.8) -> DataFrame:
+    """Lines that no block has claimed, for the blocks that claimed none: (page, line, block, score).
+
+    Looks at the whole page, as such a block's box may be far off.  ``blocks`` have page, block and text (short labels only: the caller
+    leaves others out); ``claimed`` has page, line and block.  At least ``accept`` of the block's text has to be found in the line; a line
+    goes to the first such block.  Texts under two letters take no part.  Lines and blocks meet by letters: a block's text may
+    lack only some of its letters in a line, so one of one more of its rarest letters has to be there.
+    """
+    free = lines.select(*page, "line", plain_key(F.col("text")).alias("__line")).filter(F.length("__line") >= 2)
+    free = cut_lineage(free.alias("l").join(claimed.alias("r"), null_safe("l", "r", [*page, "line"]), "left_anti"))
+    open_ = blocks.select(*page, "block", plain_key(F.col("text")).alias("__key")).filter(F.length("__key") >= 2)
+    open_ = open_.alias("l").join(claimed.alias("r"), null_safe("l", "r", [*page, "block"]), "left_anti")
+    letters = lambda c: F.array_distinct(F.split(c, ""))
+    places = free.select(*page, "line", F.explode(letters(F.col("__line"))).alias("__c"))
+    often = places.groupBy(*page, "__c").agg(F.count(F.lit(1)).alias("__often"))
+    asked = open_.withColumn("__c", F.explode(letters(F.col("__key")))).alias("l")
+    asked = asked.join(often.alias("r"), null_safe("l", "r", [*page, "__c"]), "left").select("l.*", F.coalesce("r.__often", F.lit(0)).alias("__often"))
+    # One letter of a text at most is one row here, so the list is no longer than the text.
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("__often", "__c"))), F.lit(1), F.floor(F.length("__key") * (1 - accept) + 1e-9).cast("int") + 1)
+    asked = asked.groupBy(*page, "block", "__key").agg(F.filter(rarest, lambda r: r["__often"] > 0).alias("__r")).withColumn("__r", F.explode("__r"))
+    asked = asked.select(*page, "block", "__key", F.col("__r.__c").alias("__c"))
+    met = asked.alias("l").join(places.alias("r"), null_safe("l", "r", [*page, "__c"])).select("l.*", "r.line").drop("__c").distinct()
+    met = met.alias("l").join(free.alias("r"), null_safe("l", "r", [*page, "line"])).select("l.*", "r.__line")
+    # A run of that share covers the text's middle; long texts may also share letters in order.
+    run = F.ceil(F.length("__key") * accept - 1e-9).cast("int")
+    middle = F.substring(F.col("__key"), F.length("__key") - run + 1, 2 * run - F.length("__key"))
+    likely = met.filter((F.length("__line") >= run) & ((F.length("__key") >= 12) | F.contains("__line", middle)))
+    scored = likely.select(*page, "line", "block", match_score(F.col("__key"), F.col("__line"), accept).alias("score")).filter(F.col("score") >= accept - 1e-9)
+    best = scored.groupBy(*page, "line").agg(F.min(F.struct("block", (-F.col("score")).alias("s"))).alias("__b"))
+    return best.select(*page, "line", F.col("__b.block").alias("block"), (-F.col("__b.s")).alias("score"))
+
+
 def align_lines(df: DataFrame, clean: str, lines: str, *, ratio: float = 0.3, limit: int | None = None, out: str = "aligned") -> DataFrame:
     """Cut the clean text at the line breaks of a noisy reading (an array of lines).
 

@@ -269,10 +269,12 @@ def revert_regressions(chosen: DataFrame, after: Column, before: Column, chosen_
     return chosen.withColumns({"reverted": F.coalesce(worse, F.lit(False)), chosen_col: F.when(~F.coalesce(worse, F.lit(False)), F.col(chosen_col))})
 
 
-def regression_report(now: DataFrame, base: DataFrame, page: list[str], cell: list[str], score: str, page_drop: float = 0.5, cell_drop: float = 4.0) -> DataFrame:
-    """Status per page against its accepted scores: new, worse, better or same.
+def regression_report(now: DataFrame, base: DataFrame, page: list[str], cell: list[str], score: str, page_drop: float = 0.5, cell_drop: float = 4.0,
+                      error: str | None = None) -> DataFrame:
+    """Status per page against its accepted scores: error, new, worse, better or same.
 
-    Both inputs hold one row per cell; the score of a page is given by the row whose cell columns are null.
+    Both inputs hold one row per cell; the score of a page is given by the row whose cell columns are null.  ``error`` names a text column
+    of ``now``: a page with any filled value there could not be built and is compared with nothing; the text is kept.
     """
     both = now.alias("l").join(base.select(*page, *cell, F.col(score).alias("__base")).alias("r"), null_safe("l", "r", page + cell), "left").select("l.*", "r.__base")
     whole = F.col(cell[0]).isNull()
@@ -282,7 +284,19 @@ def regression_report(now: DataFrame, base: DataFrame, page: list[str], cell: li
     delta = F.round(F.col("score") - F.col("base"), 1)
     status = (F.when(F.col("base").isNull(), "new").when((delta <= -page_drop) | (F.col("dropped_cells") > 0), "worse")
               .when(delta >= page_drop, "better").otherwise("same"))
-    return agg.withColumns({"delta": delta, "status": status})
+    done = agg.withColumns({"delta": delta, "status": status})
+    if error is None:
+        return done
+    failed = now.groupBy(*page).agg(F.min(_filled(error)).alias(error))
+    told = done.alias("l").join(failed.alias("r"), null_safe("l", "r", page)).select("l.*", f"r.{error}")
+    bad, measured = F.col(error).isNotNull(), ["score", "base", "dropped_cells", "delta"]
+    return told.withColumns({"status": F.when(bad, "error").otherwise(F.col("status")), **{c: F.when(~bad, F.col(c)) for c in measured}})
+
+
+def regression_totals(report: DataFrame, keys: list[str]) -> DataFrame:
+    """Pages per status, and the regressions: pages that became worse or could not be built."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("error", "new", "worse", "better", "same")]
+    return report.groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"), *counts, F.count_if(F.col("status").isin("worse", "error")).alias("regressions"))
 
 
 def grid_scores(df: DataFrame, part: list[str], x: Column, y: Column, value: str, rows: int, cols: int, *, worst: int = 6, below: float | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -286,14 +288,15 @@ def adjust_segments(segments: DataFrame, part: list[str], count: int) -> DataFra
     joined = grouped.groupBy(*part, "__g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__g")
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans = sorted(zip(pdf["start"], pdf["end"]))
-        while len(spans) < count:
-            k = max(range(len(spans)), key=lambda i: (spans[i][1] - spans[i][0], -i))
-            a, b = spans[k]
-            mid = int((a + b) / 2 + 0.5)
-            spans[k:k + 1] = [(a, mid), (mid + 1, b)]
-        head = pdf[part].iloc[[0] * len(spans)].reset_index(drop=True)
-        return head.assign(start=[a for a, _ in spans], end=[b for _, b in spans])
+        longest = [(a - b, a, b) for a, b in zip(pdf["start"].tolist(), pdf["end"].tolist())]  # of equal ones the first
+        heapq.heapify(longest)
+        while len(longest) < count:
+            _, first, last = longest[0]
+            half = (first + last + 1) // 2
+            heapq.heapreplace(longest, (first - half, first, half))
+            heapq.heappush(longest, (half + 1 - last, half + 1, last))
+        head = pdf[part].iloc[[0] * len(longest)].reset_index(drop=True)
+        return head.assign(start=[a for _, a, _ in longest], end=[b for _, _, b in longest])
 
     few = sized.filter(F.col("__n") < count).select(*part, "start", "end")
     return joined.select(*part, "start", "end").unionByName(few.groupBy(*part).applyInPandas(split, few.schema))
@@ -340,15 +343,21 @@ def carry_forward(df: DataFrame, part: list[str], order: list[str], opener: Colu
     return done.withColumn(out, F.coalesce("__opener", "__head", default)).drop("__o", "__h", "__opener", "__head")
 
 
-def lookahead(df: DataFrame, part: list[str], order: list[str], match: Column, stop: Column, value: Column, out: str, k: int = 2) -> DataFrame:
-    """Value of the first match in the next ``k`` rows, not past a stop row; null on rows that match themselves."""
-    o = Ordered(df.withColumn("__s0", F.struct(match.alias("m"), stop.alias("s"), value.alias("v"))), part, order)
+def lookahead(df: DataFrame, part: list[str], order: list[str], match: Column, stop: Column, value: Column, out: str, k: int = 2,
+              number: str | None = None) -> DataFrame:
+    """Value of the first match in the next ``k`` rows, not past a stop row; null on rows that match themselves.
+
+    With ``number`` (a whole number that the order follows) the next rows are those of the next ``k`` numbers: a missing number ends the search.
+    """
+    at = F.lit(0) if number is None else F.col(number)
+    o = Ordered(df.withColumn("__s0", F.struct(match.alias("m"), stop.alias("s"), value.alias("v"), at.alias("n"))), part, order)
     for i in range(1, k + 1):
         o.add(**{f"__s{i}": ("lead", f"__s{i - 1}")})
     found = F.lit(None)
     for i in range(k, 0, -1):
         s = F.col(f"__s{i}")
-        found = F.when(s.isNull() | s["s"], None).when(s["m"], s["v"]).otherwise(found)
+        gap = F.lit(False) if number is None else s["n"] != F.col(number) + i
+        found = F.when(s.isNull() | s["s"] | gap, None).when(s["m"], s["v"]).otherwise(found)
     return o.done().withColumn(out, F.when(~match, found)).drop(*[f"__s{i}" for i in range(k + 1)])
 
 

@@ -143,32 +143,33 @@ def reconcile_cells(cells: DataFrame, readings: DataFrame, keys: list[str], x: s
 
 # -- captions --------------------------------------------------------------------------
 
+# How far a label's top may be above and below the owner's edge, where the owner's lowest part begins, how far aside a label may be.
+ABOVE, BELOW, FOOT, ASIDE, ASIDE_SHARE = 0.006, 0.055, 0.72, 0.022, 0.34
+
+
 def caption_candidates(owners: DataFrame, labels: DataFrame, page: list[str]) -> DataFrame:
     """Label and owner pairs that are near enough, with a score (lower is nearer).
 
-    Owners have page, place, x, y, w, h; labels have page, label, x, y, w, h.  A label has to be centred
-    near the owner's middle, just below it or over its lowest part.  The join is on page and a cell of
-    the page.
+    Owners have page, place, x, y, w, h; labels have page, label, x, y, w, h.  An owner has two zones around its lower edge: labels whose
+    middle lies in its lowest part cost nothing beyond their distance from the owner's middle line, others count by how far their top is
+    from the edge.  Zones and labels meet by page and cells of the page.
     """
-    cell = 0.06
-    def cells(lo, hi, way):
-        spots = F.sequence(F.floor(lo / cell), F.floor(hi / cell))
-        return F.transform(spots, lambda i: F.struct(F.lit(way).alias("way"), i.alias("i")))
-    x, y, w, h = (F.col(c) for c in "xywh")
-    cx, bottom, reach = x + w / 2, y + h, F.greatest(F.lit(0.022), w * 0.34)
-    # Way 0 meets labels by their top, way 1 those over the lowest part by their middle.
-    o = owners.select(*page, "place", cx.alias("cx"), bottom.alias("bottom"), (y + h * 0.72).alias("low"), reach.alias("reach"),
-                      F.explode(F.concat(cells(bottom - 0.006, bottom + 0.055, 0), cells(y + h * 0.72, bottom, 1))).alias("__s"))
-    o = o.withColumn("__c", F.explode(F.sequence(F.floor((F.col("cx") - F.col("reach")) / cell), F.floor((F.col("cx") + F.col("reach")) / cell))))
-    l = labels.select(*page, "label", cx.alias("lx"), y.alias("ltop"), (y + h / 2).alias("ly"), F.floor(cx / cell).alias("__c"),
-                      F.explode(F.concat(cells(y, y, 0), cells(y + h / 2, y + h / 2, 1))).alias("__s"))
-    j = o.join(l, [*page, "__s", "__c"])
-    dy, dx = F.col("ltop") - F.col("bottom"), F.abs(F.col("lx") - F.col("cx"))
-    over = (F.col("ly") > F.col("low")) & (F.col("ly") < F.col("bottom"))
-    below = ~over & (dy >= -0.006) & (dy <= 0.055)
-    hit = F.when(F.col("__s.way") == 1, over & (dy <= 0.055)).otherwise(below) & (dx <= F.col("reach"))
-    score = dx / F.col("reach") + F.when(over, 0.0).otherwise(F.abs(dy) / 0.055)
-    return j.filter(hit).select(*page, "place", "label", score.alias("score"))
+    cell, x, y, w, h = 0.06, *(F.col(c) for c in "xywh")
+    edge, middle = y + h, x + w / 2
+    spots = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+    zone = lambda name, lo, hi: F.struct(F.lit(name).alias("name"), lo.alias("lo"), hi.alias("hi"))
+    zones = F.array(zone("edge", edge - ABOVE, edge + BELOW), zone("foot", y + h * FOOT, edge))
+    o = owners.select(*page, "place", middle.alias("__middle"), edge.alias("__edge"), F.greatest(F.lit(ASIDE), w * ASIDE_SHARE).alias("__reach"), F.explode(zones).alias("__zone"), (y + h * FOOT).alias("__foot"))
+    o = o.withColumn("__x", spots(F.col("__middle") - F.col("__reach"), F.col("__middle") + F.col("__reach"))).withColumn("__y", spots(F.col("__zone.lo"), F.col("__zone.hi")))
+    points = F.array(F.struct(F.lit("edge").alias("name"), y.alias("at")), F.struct(F.lit("foot").alias("name"), (y + h / 2).alias("at")))
+    l = labels.select(*page, "label", middle.alias("__lx"), y.alias("__top"), (y + h / 2).alias("__ly"), F.floor(middle / cell).alias("__x"), F.explode(points).alias("__point"))
+    l = l.withColumn("__y", F.floor(F.col("__point.at") / cell))
+    met = o.withColumn("__name", F.col("__zone.name")).join(l.withColumn("__name", F.col("__point.name")), [*page, "__name", "__x", "__y"])
+    aside = F.abs(F.col("__lx") - F.col("__middle"))
+    in_foot = (F.col("__ly") > F.col("__foot")) & (F.col("__ly") < F.col("__edge"))
+    near = (aside <= F.col("__reach")) & F.col("__point.at").between(F.col("__zone.lo"), F.col("__zone.hi")) & (in_foot == (F.col("__name") == "foot"))
+    off = F.when(in_foot, 0.0).otherwise(F.abs(F.col("__top") - F.col("__edge")) / BELOW)
+    return met.filter(near).select(*page, "place", "label", (aside / F.col("__reach") + off).alias("score"))
 
 
 def attach_nearest(candidates: DataFrame, page: list[str], *, worst: float = 1.25, margin: float = 0.2) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from ..functions.text import plain_key
 from ..operators import contracts as ct
 from ..operators import reading as rd
 from ..operators import strokes
@@ -45,6 +46,20 @@ def _(t):
     return done.select("doc_id", "line", "block", F.round("score", 6).alias("score"), F.round("rank", 6).alias("rank"))
 
 
+@demo("claim_rest", """
+WITH p AS (SELECT doc_id, ln, s[ln] AS line FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS ln FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+l AS (SELECT doc_id, ln, regexp_replace(lower(strip_accents(line)), '[^\\p{L}\\p{N}]+', '', 'g') AS k FROM p WHERE ln % 3 <> 1),
+b AS (SELECT doc_id, ln, k, ceil(length(k) * 8e-1 - 1e-9) AS r FROM (SELECT doc_id, ln, regexp_replace(lower(strip_accents(replace(string_split(line, ' ')[1], 'e', 'c'))), '[^\\p{L}\\p{N}]+', '', 'g') AS k FROM p WHERE ln % 3 <> 1) WHERE length(k) BETWEEN 2 AND 11),
+runs AS (SELECT DISTINCT doc_id, ln, k, substr(k, CAST(i AS BIGINT), CAST(r AS BIGINT)) AS run FROM (SELECT *, unnest(generate_series(1, CAST(length(k) - r + 1 AS BIGINT))) AS i FROM b))
+SELECT l.doc_id, l.ln - 1 AS line, min(runs.ln) - 1 AS block FROM l JOIN runs ON runs.doc_id = l.doc_id AND contains(l.k, runs.run) WHERE length(l.k) >= 2 GROUP BY l.doc_id, l.ln""")
+def _(t):
+    rows = _doc_lines(t)
+    lines = rows.select("doc_id", F.col("ln").alias("line_no"), F.col("line").alias("text")).withColumnRenamed("line_no", "line")
+    labels = rows.select("doc_id", F.col("ln").alias("block"), F.replace(F.split("line", " ")[0], F.lit("e"), F.lit("c")).alias("text")).filter(F.length(plain_key(F.col("text"))).between(2, 11))
+    claimed = rows.filter("ln % 3 = 0").select("doc_id", F.col("ln").alias("line"), F.col("ln").alias("block"))
+    return rd.claim_rest(lines, labels, claimed, ["doc_id"]).select("doc_id", "line", "block")
+
+
 @demo("align_lines", """
 SELECT doc_id, CASE WHEN reason IS NULL THEN n END AS n, CASE WHEN reason IS NULL THEN true END AS whole, reason FROM (SELECT doc_id, n, CASE WHEN greatest(length(z), length(a)) = 0 THEN 'empty'
   WHEN abs(length(z) - length(a)) > greatest(length(z), length(a)) * 3e-1 THEN 'far'

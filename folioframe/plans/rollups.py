@@ -215,6 +215,20 @@ def _(t):
     return ru.regression_report(_scores(t.events.filter(half == 1)), _scores(t.events.filter(half == 0)), ["user_id"], ["cell"], "score")
 
 
+@demo("regression_totals", """
+WITH c AS (SELECT user_id, event_type, max(value) FILTER (event_id % 2 = 0) AS b, max(value) FILTER (event_id % 2 = 1) AS n FROM events GROUP BY GROUPING SETS ((user_id, event_type), (user_id))),
+r AS (SELECT user_id, event_type, b, n FROM c WHERE n IS NOT NULL),
+p AS (SELECT user_id, max(n) FILTER (event_type IS NULL) AS score, max(b) FILTER (event_type IS NULL) AS base, count(*) FILTER (event_type IS NOT NULL AND n - b <= -4) AS dropped FROM r GROUP BY user_id),
+s AS (SELECT user_id, CASE WHEN user_id % 11 = 0 THEN 'error' WHEN base IS NULL THEN 'new' WHEN round(score - base, 1) <= -.5 OR dropped > 0 THEN 'worse' WHEN round(score - base, 1) >= .5 THEN 'better' ELSE 'same' END AS status FROM p)
+SELECT user_id % 5 AS book, count(*) AS pages, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'new') AS new, count(*) FILTER (status = 'worse') AS worse,
+  count(*) FILTER (status = 'better') AS better, count(*) FILTER (status = 'same') AS same, count(*) FILTER (status IN ('worse', 'error')) AS regressions FROM s GROUP BY ALL""")
+def _(t):
+    half = F.col("event_id") % 2
+    now = _scores(t.events.filter(half == 1)).withColumn("error", F.when(F.col("user_id") % 11 == 0, "no page was built").otherwise(""))
+    report = ru.regression_report(now, _scores(t.events.filter(half == 0)), ["user_id"], ["cell"], "score", error="error")
+    return ru.regression_totals(report.withColumn("book", F.col("user_id") % 5), ["book"])
+
+
 @demo("grid_scores", """
 WITH c AS (SELECT event_type, least(hour(ts) * 6 // 24, 5) AS row, least((isodow(ts) - 1) * 7 // 7, 6) AS col, avg(value) AS score FROM events GROUP BY ALL)
 SELECT event_type, row, col, round(score, 9) AS score, row_number() OVER (PARTITION BY event_type ORDER BY round(score, 6), row, col) AS rank,

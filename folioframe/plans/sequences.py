@@ -240,6 +240,16 @@ def _(t):
     return done.select("conv_id", "turn", "answer")
 
 
+@demo("lookahead_pages", """
+WITH a AS (SELECT conv_id, turn, role FROM conversations WHERE (conv_id + turn) % 4 <> 3)
+SELECT a.conv_id, a.turn, CASE WHEN a.role = 'assistant' OR x.role IS NULL OR x.role = 'system' THEN NULL WHEN x.role = 'assistant' THEN x.turn WHEN y.role = 'assistant' THEN y.turn END AS answer
+FROM a LEFT JOIN a AS x ON x.conv_id = a.conv_id AND x.turn = a.turn + 1 LEFT JOIN a AS y ON y.conv_id = a.conv_id AND y.turn = a.turn + 2""")
+def _(t):
+    role, kept = F.col("role"), t.conversations.filter("(conv_id + turn) % 4 <> 3")
+    done = sq.lookahead(kept, ["conv_id"], ["turn"], role == "assistant", role == "system", F.col("turn"), "answer", number="turn")
+    return done.select("conv_id", "turn", "answer")
+
+
 @demo("debounce", f"""
 SELECT user_id, event_id FROM (SELECT *, lead((epoch_us(ts) // 1000)) OVER ({U}) AS n FROM events) WHERE n IS NULL OR n - (epoch_us(ts) // 1000) > 1800000""")
 def _(t):

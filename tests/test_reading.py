@@ -6,6 +6,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from folioframe.functions.alignment import match_share
 from folioframe.operators import reading as rd
 
 
@@ -62,6 +63,23 @@ def test_fuzzy_assign(spark):
     assert {r.line: r.block for r in rd.fuzzy_assign(l, b, ["page"]).collect()} == {1: 1, 2: 2, 3: 3}
 
 
+def test_claim_rest(spark):
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("abc") for _ in range(n))
+    blocks = [(p, b, word(r.choice([1, 2, 3, 5, 8, 13, 20]))) for p in range(6) for b in range(12)]
+    lines = [(p, n, word(r.choice([1, 4, 9, 30]))) for p in range(6) for n in range(25)]
+    claimed = [(p, n, b) for p in range(6) for n, b in ((1, 2), (5, 2), (7, 9))]
+    want = {}
+    for p, n, line in lines:
+        if not any(c[:2] == (p, n) for c in claimed):
+            fits = [b for q, b, key in blocks if q == p and len(key) >= 2 and (p, b) not in {(c[0], c[2]) for c in claimed} and match_share(key, line) >= 0.8]
+            if fits and len(line) >= 2:
+                want[p, n] = min(fits)
+    l, b = spark.createDataFrame(lines, "page int, line int, text string"), spark.createDataFrame(blocks, "page int, block int, text string")
+    got = {(x.page, x.line): x.block for x in rd.claim_rest(l, b, spark.createDataFrame(claimed, "page int, line int, block int"), ["page"]).collect()}
+    assert len(want) > 40 and got == want
+
+
 def test_align_lines(spark):
     rows = [(1, "你好 世界朋友", ["你好世", "界朋"]), (2, "abcdefgh", ["zzzz", "yyyy"]), (3, "x" * 1600, ["x" * 1600]), (4, None, ["a"]), (5, " ", [" "])]
     df = spark.createDataFrame(rows, "id int, clean string, lines array<string>")
