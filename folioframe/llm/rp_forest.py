@@ -1,13 +1,15 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-Trees split at the median of a random projection; vectors near the split go to both sides.  They are grown on a bounded sample
-and every vector is put into its leaves.  Leaves are compared by themselves, in tiles of blocks if they are large, by cosine
+Trees split at the median of a random projection; vectors near the split go to both sides.  Their upper levels are grown on a bounded
+sample and every vector is put into its leaves; leaves that hold too many of all vectors are split again, each by a tree over a sample of
+its own, until no leaf over the limit can be split.  Leaves are compared by themselves, in tiles of blocks if they are large, by cosine
 in double precision.  Equal directions are one row before that.  A leaf sends on counts and a spanning forest, never its pairs:
 a pair that meets in several leaves is counted in the first one only, which the leaf sees from the leaf lists of both rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +25,9 @@ from folioframe.operators.lineage import cut_lineage
 
 MIN_COSINE = 0.95
 TREES, LEAF, SPILL, SAMPLE, TILE = 8, 64, 0.08, 50_000, 1024
+SAMPLE_BYTES = 64 << 20  # of the sample's vectors, whatever its number of rows
+CROWD = 4  # a leaf of more than this times ``LEAF`` vectors is split again
+PART, BATCH = 2048, 4096  # vectors of a leaf that its own tree is grown on, and vectors sorted into leaves at once
 REACH = 0.4  # of the spread that a random direction gives to two vectors at the least cosine
 TRIES = 4  # directions tried before a node is left whole
 DENSE = 0.6  # a split that would send more than this share to both sides is not made
@@ -136,7 +141,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and vectors of different lengths
     never link.  Repeated ids are separate vectors.  Rows with a null id take part in links; kept is false for them unless their component has no other id.
     Other columns are not looked at.  An empty table gives an empty result.  Trees are grown on at most about ``sample`` distinct vectors
-    per length; all vectors are put into leaves.  A pair is found if it shares a leaf in any tree.
+    (of ``SAMPLE_BYTES``) per length; all vectors are put into leaves, and crowded leaves are split again from samples of theirs.  A pair is found if it shares a leaf in any tree.
     """
     v = F.col(vector_col).cast("array<double>")
     good = v.isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(v, lambda e: e != 0)
@@ -171,9 +176,9 @@ def _links_of_width(single: DataFrame, width: int, min_cosine: float, trees: int
     """(node, links, root): newly counted links of each row of each tile, and a row that its links reach."""
     spark = single.sparkSession
     n = single.count()
-    share = min(1.0, sample / n)
-    picked = single.filter(F.pmod("node", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("x").collect()
-    x = np.array([r["x"] for r in picked]).reshape(-1, width)
+    share = min(1.0, sample / n, SAMPLE_BYTES / (8 * width * n))
+    picked = single.filter(F.pmod("node", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("x").toArrow()
+    x = _matrix(picked["x"].combine_chunks(), width)
     reach = REACH * np.sqrt(2 * (1 - min_cosine) / width)
     forest = [grow(x, max(8, round(leaf * share)), seed, reach) for seed in range(trees)]
     first = np.cumsum([0, *(t.n_leaves for t in forest)])
@@ -192,7 +197,7 @@ def _links_of_width(single: DataFrame, width: int, min_cosine: float, trees: int
             leaf_of, row_of = (np.concatenate(y) if y else np.zeros(0, np.int64) for y in (leaf_of, row_of))
             order = np.lexsort((leaf_of, row_of))
             cuts = np.searchsorted(row_of[order], np.arange(len(x) + 1)).astype(np.int32)
-            leaves = pa.ListArray.from_arrays(pa.array(cuts), pa.array(leaf_of[order].astype(np.int32)))
+            leaves = pa.ListArray.from_arrays(pa.array(cuts), pa.array(leaf_of[order].astype(np.int64)))
             yield pa.record_batch([batch.column("node"), batch.column("n"), batch.column("x"), leaves], names=["node", "n", "x", "leaves"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +226,57 @@ def _links_of_width(single: DataFrame, width: int, min_cosine: float, trees: int
 
     placed = cut_lineage(single.select("node", "n", "x").mapInArrow(place, T.StructType([
         T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType())),
-        T.StructField("leaves", T.ArrayType(T.IntegerType()))])))
+        T.StructField("leaves", T.ArrayType(T.LongType()))])))
+    placed = _split_crowds(placed, width, leaf, reach)
     spread = placed.withColumn("leaf", F.explode("leaves"))
-    sizes = spread.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")  # one row a leaf: bounded by the forest
+    sizes = spread.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     blocks = F.ceil(F.col("m") / F.lit(tile)).cast("int")
-    tiles = (spread.join(F.broadcast(sizes), "leaf").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "leaf"), F.col("blocks")).cast("int"))
+    tiles = (spread.join(sizes, "leaf").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "leaf"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other", "m"))
     return tiles.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j").mapInArrow(link, "node bigint, links bigint, root bigint")
+
+
+def _split_crowds(placed: DataFrame, width: int, leaf: int, reach: float) -> DataFrame:
+    """``placed`` with crowded leaves replaced by the leaves of trees of their own, until no crowded leaf can be split.
+
+    A leaf's tree is grown in one task on about ``PART`` of its vectors; its vectors are then sorted in by tasks of about ``BATCH``.
+    New leaves are named by a hash; two of one name would be compared together, which loses no pair.
+    """
+    def tree(table: pa.Table) -> pa.Table:
+        x = _matrix(table["x"].combine_chunks(), width)
+        name, rows = table["leaf"][0].as_py(), table["m"][0].as_py()
+        grown = grow(x, max(8, round(leaf * min(1.0, PART / rows))), name & 0xFFFFFFFF, reach)
+        return pa.table({"leaf": [name], "m": [rows], "tree": pa.array([pickle.dumps(grown) if grown.n_leaves > 1 else None], pa.binary())})
+
+    def sort_in(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        node, at, k = rows["node"].to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(rows) and len(trees):
+            for number, found in enumerate(leaves_of(pickle.loads(trees["tree"][0].as_py()), _matrix(rows["x"].combine_chunks(), width))):
+                at.append(found)
+                k.append(np.full(len(found), number))
+        at, k = np.concatenate(at), np.concatenate(k)
+        return pa.table({"node": pa.array(node[at], pa.int64()), "leaf": rows["leaf"].take(pa.array(at)), "k": pa.array(k, pa.int64())})
+
+    stuck = None  # crowded leaves that no direction divides: dense groups, which are compared in tiles
+    while True:
+        spread = placed.select("node", "x", F.explode("leaves").alias("leaf"))
+        crowded = spread.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > CROWD * leaf)
+        crowded = cut_lineage(crowded if stuck is None else crowded.join(stuck, "leaf", "left_anti"))
+        if crowded.isEmpty():
+            return placed
+        rows = spread.join(crowded, "leaf")
+        picked = rows.filter(F.pmod(F.xxhash64("leaf", "node"), F.col("m")) < PART).select("leaf", "m", "x")
+        trees = cut_lineage(picked.groupBy("leaf").applyInArrow(tree, "leaf bigint, m bigint, tree binary"))
+        whole = trees.filter("tree IS NULL").select("leaf")
+        stuck = whole if stuck is None else stuck.union(whole)
+        trees = trees.filter("tree IS NOT NULL").withColumn("tasks", F.ceil(F.col("m") / BATCH))
+        if trees.isEmpty():
+            return placed
+        dealt = spread.join(trees.select("leaf", "tasks"), "leaf").withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks"))).select("leaf", "task", "node", "x")
+        each = trees.withColumn("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1))).select("leaf", "task", "tree")
+        new = dealt.groupBy("leaf", "task").cogroup(each.groupBy("leaf", "task")).applyInArrow(sort_in, "node bigint, leaf bigint, k bigint")
+        kept = spread.select("node", "leaf").join(trees.select("leaf"), "leaf", "left_anti").select("node", "leaf")
+        # The leaves of one vector: as many as the trees and their overlap give it.
+        told = kept.union(new.select("node", F.xxhash64("leaf", "k").alias("leaf"))).groupBy("node").agg(F.collect_set("leaf").alias("leaves"))
+        placed = cut_lineage(placed.drop("leaves").join(told, "node"))
