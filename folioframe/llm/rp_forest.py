@@ -229,7 +229,8 @@ def _links_of_width(single: DataFrame, width: int, min_cosine: float, trees: int
         T.StructField("leaves", T.ArrayType(T.LongType()))])))
     placed = _split_crowds(placed, width, leaf, reach)
     spread = placed.withColumn("leaf", F.explode("leaves"))
-    sizes = spread.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # Written, so that Spark knows how large they are and moves the vectors for them only where it has to.
+    sizes = cut_lineage(spread.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     blocks = F.ceil(F.col("m") / F.lit(tile)).cast("int")
     tiles = (spread.join(sizes, "leaf").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "leaf"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -273,10 +274,11 @@ def _split_crowds(placed: DataFrame, width: int, leaf: int, reach: float) -> Dat
         trees = trees.filter("tree IS NOT NULL").withColumn("tasks", F.ceil(F.col("m") / BATCH))
         if trees.isEmpty():
             return placed
-        dealt = spread.join(trees.select("leaf", "tasks"), "leaf").withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks"))).select("leaf", "task", "node", "x")
+        split = cut_lineage(trees.select("leaf", "tasks"))
+        dealt = spread.join(split, "leaf").withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks"))).select("leaf", "task", "node", "x")
         each = trees.withColumn("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1))).select("leaf", "task", "tree")
         new = dealt.groupBy("leaf", "task").cogroup(each.groupBy("leaf", "task")).applyInArrow(sort_in, "node bigint, leaf bigint, k bigint")
-        kept = spread.select("node", "leaf").join(trees.select("leaf"), "leaf", "left_anti").select("node", "leaf")
+        kept = spread.select("node", "leaf").join(split, "leaf", "left_anti").select("node", "leaf")
         # The leaves of one vector: as many as the trees and their overlap give it.
         told = kept.union(new.select("node", F.xxhash64("leaf", "k").alias("leaf"))).groupBy("node").agg(F.collect_set("leaf").alias("leaves"))
         placed = cut_lineage(placed.drop("leaves").join(told, "node"))
