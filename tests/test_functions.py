@@ -167,3 +167,28 @@ def test_match_share(seed):
 def test_cut_lines():
     assert alignment.cut_lines("你好 世界朋友", ["你好世", "界朋"]) == ["你好 世", "界朋友"]
     assert alignment.cut_lines("abcdef", ["xxxxxx"], 0.3) is None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_edit_paths_of_groups(seed):
+    import random
+    rnd = random.Random(seed)
+    pairs, most = [], []
+    for _ in range(40):
+        z = "".join(rnd.choices("abcdefgh世", k=rnd.choice([0, 1, 63, 64, 65, 300, 900])))
+        pairs.append(("".join(c if rnd.random() > 0.15 else rnd.choice(["", "x", "ab"]) for c in z), z))
+        most.append(rnd.choice([float("inf"), 0.3 * len(z), 5]))
+    want = [alignment.edit_path(a, z, m) for (a, z), m in zip(pairs, most)]
+    # Together and one by one, with and without windows by letter counts, and without room for either.
+    for few, wide, group in ((1, 0, 1 << 30), (99, 0, 1 << 30), (1, 1 << 30, 1 << 30), (1, 0, 0)):
+        with unittest.mock.patch.multiple(alignment, FEW=few, WIDE=wide, GROUP=group):
+            assert alignment.edit_paths(pairs, most) == want
+
+
+def test_edit_paths_work_on_few_cells():
+    """Letters that one side lacks leave a narrow window around the path, however many they are."""
+    z = "".join("abcdefghij"[i * i % 7 + i % 3] + ("e" if i % 9 == 0 else "") for i in range(40_000))
+    a = z.replace("e", "")
+    first, last = alignment._window(a, z, len(z) - len(a) + 1)
+    assert (last - first).max() <= 12 < (len(z) - len(a)) // 64
+    assert alignment.edit_paths([(a, z)], [float("inf")])[0][len(a)] == len(z)
