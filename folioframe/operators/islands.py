@@ -57,8 +57,12 @@ def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def each_group(df: DataFrame, whole: list[str], order: list[Column], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType) -> DataFrame:
-    """``work`` on sorted rows of whole groups and the places where they begin, as many groups at a time as come in one batch."""
+def each_group(df: DataFrame, whole: list[str], order: list[Column], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType,
+               sent: list[str] | None = None) -> DataFrame:
+    """``work`` on sorted rows of whole groups and the places where they begin, as many groups at a time as come in one batch.
+
+    ``sent`` names the columns that ``work`` gets, by default all; others are there to sort by.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -73,7 +77,8 @@ def each_group(df: DataFrame, whole: list[str], order: list[Column], work: Calla
         if held is not None:
             yield from work(held, np.zeros(1, int)).to_batches()
 
-    return df.repartition(*whole).sortWithinPartitions(*whole, *order).mapInArrow(run, schema)
+    rows = df.repartition(*whole).sortWithinPartitions(*whole, *order)
+    return (rows if sent is None else rows.select(*sent)).mapInArrow(run, schema)
 
 
 def _boxes(table: pa.Table) -> np.ndarray:

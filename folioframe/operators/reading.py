@@ -5,28 +5,134 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import boxes
 from ..functions.alignment import line_texts, match_score, reading_gate
 from ..functions.text import HAN_RANGE, plain_key
+from .islands import each_group
 from .lineage import cut_lineage
 from .ordered import Ordered, null_safe
 from .sequences import tag_runs
 
 
+class _Rows:
+    """Rows of a band, as its words come from the top down."""
+
+    def __init__(self):
+        self.rows = []  # [row number, centre, count, heights in order]
+
+    def place(self, cy: float, h: float) -> int:
+        """Number of the row that a word joins: the nearest within reach, else a new one."""
+        best, gap = None, None
+        for r in self.rows:
+            hs = r[3]
+            m = len(hs) // 2
+            height = hs[m] if len(hs) % 2 else (hs[m - 1] + hs[m]) / 2
+            d = abs(cy - r[1])
+            if d <= max(h, height) * 0.6 and (gap is None or d < gap):
+                best, gap = r, d
+        if best is None:
+            best = [len(self.rows), cy, 1, [h]]
+            self.rows.append(best)
+        else:
+            best[1] = (best[1] * best[2] + cy) / (best[2] + 1)
+            best[2] += 1
+            bisect.insort(best[3], h)
+        return best[0]
+
+
+LONG_PAGE = 200_000  # words of a page that one task reads; longer pages are cut into bands by ordered passes
+
+
 def group_words_to_lines(df: DataFrame, page: list[str], ident: str) -> DataFrame:
     """Word boxes (text, x, y, w, h) as lines in reading order: id, text and box.
 
     A word joins the nearest row within .6 of the larger height; the centre and median height of a row
     follow its words.  A row is split at gaps over max(3 heights, .025).  Words farther apart than any
     row can reach never meet, so each page is first cut into independent bands; only the bands that may
-    hold several rows are followed in order, in a stream of batches.
+    hold several rows are followed in order.  Pages of up to ``LONG_PAGE`` words are read whole, in one shuffle of the words.
     """
     words = df.filter((F.trim("text") != "") & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull())
-    words = words.select(*page, ident, "text", *[F.col(c).cast("double").alias(c) for c in "xywh"]).withColumn("cy", F.col("y") + F.col("h") / 2)
+    words = words.select(*page, ident, "text", *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    long = cut_lineage(words.groupBy(*page).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LONG_PAGE))
+    if long.isEmpty():
+        return _page_lines(words, page, ident)
+    part = lambda how: words.alias("l").join(long.alias("r"), null_safe("l", "r", page), how)
+    return _page_lines(part("left_anti"), page, ident).unionByName(_long_page_lines(part("left_semi"), page, ident))
+
+
+def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a > b as Spark has it: not-a-number is the largest number."""
+    return (a > b) | (np.isnan(a) & ~np.isnan(b))
+
+
+def _page_lines(words: DataFrame, page: list[str], ident: str) -> DataFrame:
+    """``group_words_to_lines`` of whole pages, many pages at a time."""
+    def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        count = np.diff([*starts, len(table)])
+        x, y, w, h = (table[c].to_numpy() for c in "xywh")
+        cy, of = y + h / 2, np.repeat(np.arange(len(starts)), count)
+        order = np.lexsort((x, cy, of))  # rows come by ident, and the sort keeps that
+        x, y, w, h, cy, of = (v[order] for v in (x, y, w, h, cy, of))
+        tallest = np.maximum.reduceat(h, starts)[of]
+        first = np.zeros(len(of), bool)
+        first[starts] = True
+        with np.errstate(invalid="ignore"):
+            first[1:] |= _over(np.diff(cy), tallest[1:] * 0.6)
+            begin = np.flatnonzero(first)
+            # Where the centres of a band span no more than .6 of its smallest height, every word is within reach of the first row.
+            several = _over(np.maximum.reduceat(cy, begin) - np.fmin.reduceat(cy, begin), np.fmin.reduceat(h, begin) * 0.6)
+        band, row = np.cumsum(first), np.zeros(len(of), np.int64)
+        ends = np.append(begin[1:], len(of))
+        for a, b in zip(begin[several].tolist(), ends[several].tolist()):
+            rows = _Rows()
+            row[a:b] = [rows.place(*word) for word in zip(cy[a:b].tolist(), h[a:b].tolist())]
+
+        # Bands count on over the pages, so a band and a row tell the page.
+        def row_starts(order: np.ndarray) -> np.ndarray:
+            return np.flatnonzero(np.append(True, (np.diff(band[order]) != 0) | (np.diff(row[order]) != 0)))
+
+        by_height = np.lexsort((h, row, band))
+        at = row_starts(by_height)
+        size = np.diff(np.append(at, len(of)))
+        height = (h[by_height[at + (size - 1) // 2]] + h[by_height[at + size // 2]]) / 2
+        centre = np.add.reduceat(cy[by_height], at) / size
+        sort = np.lexsort((order, x, row, band))  # in a row by x, then by ident
+        at = row_starts(sort)
+        x, y, w, h, of, place = (v[sort] for v in (x, y, w, h, of, order))
+        of_row = np.repeat(np.arange(len(at)), size)
+        cut = np.zeros(len(of), bool)
+        with np.errstate(invalid="ignore"):
+            cut[1:] = _over(x[1:] - (x + w)[:-1], np.maximum(height[of_row] * 3, 0.025)[1:])
+        cut[at] = True
+        line = np.flatnonzero(cut)
+        x1, y1 = np.maximum.reduceat(x + w, line), np.maximum.reduceat(y + h, line)
+        x0, y0 = np.fmin.reduceat(x, line), np.fmin.reduceat(y, line)
+        pieces = pa.ListArray.from_arrays(pa.array(np.append(line, len(of)), pa.int32()), table["text"].combine_chunks().take(pa.array(place)))
+        text = pc.binary_join(pieces, " ")
+        han = pc.match_substring_regex(text, f"[{HAN_RANGE}]")
+        text = pc.if_else(han, pc.binary_join(pieces, ""), text)
+        of = of[line]
+        reading = np.lexsort((np.arange(len(line)), centre[of_row[line]], of))
+        number = np.arange(len(line)) - np.searchsorted(of, of) + 1
+        here = pa.array(starts[of])
+        return pa.table({**{c: table[c].take(here) for c in page}, "id": pc.binary_join_element_wise("line", pa.array(number).cast(pa.string()), "-"),
+                          "text": text.take(pa.array(reading)), **{c: pa.array(v[reading]) for c, v in (("x", x0), ("y", y0), ("w", x1 - x0), ("h", y1 - y0))}})
+
+    schema = T.StructType([*[words.schema[c] for c in page], T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in "xywh"]])
+    return each_group(words, page, [F.col(ident)], work, schema, [*page, "text", *"xywh"])
+
+
+def _long_page_lines(words: DataFrame, page: list[str], ident: str) -> DataFrame:
+    """``group_words_to_lines`` without a task that holds a page."""
+    words = words.withColumn("cy", F.col("y") + F.col("h") / 2)
     tallest = words.groupBy(*page).agg(F.max("h").alias("__tall"))
     reach = cut_lineage(words.alias("l").join(tallest.alias("r"), null_safe("l", "r", page)).select("l.*", "r.__tall"))
     banded = tag_runs(reach, page, ["cy", "x", ident], F.col("cy"), F.col("__tall") * 0.6, out="band").drop("__tall")
@@ -34,30 +140,14 @@ def group_words_to_lines(df: DataFrame, page: list[str], ident: str) -> DataFram
     keys = len(key)
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        band, rows, n = None, [], 0
+        band, rows = None, _Rows()
         for pdf in batches:
             out = []
             for rec in zip(*[pdf[c] for c in key], pdf["cy"], pdf["h"]):
-                here, cy, h = rec[:keys], rec[keys], rec[keys + 1]
+                here = [None if v != v else v for v in rec[:keys]]  # a null number of a page is not-a-number here
                 if here != band:
-                    band, rows, n = here, [], 0
-                best, gap = None, None
-                for r in rows:  # r = [row number, centre, count, heights in order]
-                    hs = r[3]
-                    m = len(hs) // 2
-                    height = hs[m] if len(hs) % 2 else (hs[m - 1] + hs[m]) / 2
-                    d = abs(cy - r[1])
-                    if d <= max(h, height) * 0.6 and (gap is None or d < gap):
-                        best, gap = r, d
-                if best is None:
-                    best = [n, cy, 1, [h]]
-                    rows.append(best)
-                    n += 1
-                else:
-                    best[1] = (best[1] * best[2] + cy) / (best[2] + 1)
-                    best[2] += 1
-                    bisect.insort(best[3], h)
-                out.append(best[0])
+                    band, rows = here, _Rows()
+                out.append(rows.place(*rec[keys:]))
             yield pdf.assign(row=out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in banded.schema.fields) + ", row bigint"

@@ -121,3 +121,19 @@ def test_arbitrate_and_reads(spark):
     assert {r.id: r.accepted for r in rd.agreeing_reads(reads, ["id"], "t", "c").collect()} == {1: True, 2: False, 3: False, 4: False}
     han = spark.createDataFrame([(1, "好", 0.95), (1, "好", 0.9), (2, "好", 0.95), (2, "好", 0.8), (3, "ab", 0.95), (3, "ab", 0.95)], "id int, t string, c double")
     assert {r.id: r.kind for r in rd.agreeing_reads(han, ["id"], "t", "c", rule="han").collect()} == {1: "recovered-caption", 2: "unresolved-caption-component", 3: "unresolved-caption-component"}
+
+
+def test_long_pages_read_as_short_ones(spark, monkeypatch):
+    rnd = random.Random(7)
+    words = [(p, i, rnd.choice(["a", "你", " ", "bc"]), round(rnd.random(), 1), rnd.random(), 0.05, 0.01 + rnd.random() * 0.02) for p in (None, 1, 2) for i in range(30 if p == 2 else 90)]
+    df = spark.createDataFrame(words, "page int, i int, text string, x double, y double, w double, h double")
+    read = lambda: sorted(((r.page or 0, r.id, r.text, *[round(r[c], 9) for c in "xywh"]) for r in rd.group_words_to_lines(df, ["page"], "i").collect()))
+    whole = read()
+    monkeypatch.setattr(rd, "LONG_PAGE", 50)
+    assert read() == whole
+
+
+def test_short_pages_are_shuffled_once(spark):
+    df = spark.range(100).selectExpr("id % 3 AS page", "id AS i", "'w' AS text", "0.1 AS x", "id / 100 AS y", "0.1 AS w", "0.01 AS h")
+    plan = rd.group_words_to_lines(df, ["page"], "i")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
