@@ -39,3 +39,33 @@ def test_uncovered_boxes(spark):
         for cell in (7.0, 64.0):
             got = cv.uncovered_boxes(own, cover, ["page"], "id", regions=eligible, threshold=0.5, cell=cell).withColumn("share", F.round("share", 9)).collect()
             assert {(r.page, r.id): (r.area, r.share) for r in got} == want and len(got) == len(want)
+
+
+def test_covered_parts_of_any_sides(monkeypatch):
+    rng = np.random.default_rng(3)
+    def some(n):
+        low = rng.random((n, 2)) * 8 - 1
+        return cv._clip(np.column_stack([low, low + rng.random((n, 2)) * 3]), to)[0]
+    to = np.array([0.0, 0.0, 8.0, 8.0])
+    own, region, cover = some(20), some(5), some(30)
+    def shared(box, *others):
+        """Area of the places that the box and some box of each of the others take, on the grid of all sides."""
+        xs, ys = (np.unique(np.concatenate([b[:, [k, k + 2]].ravel() for b in (box[None], *others)])) for k in (0, 1))
+        held = cv._inside(box[None], xs, ys)
+        for o in others:
+            held &= cv._inside(o, xs, ys)
+        return (held * np.diff(xs)[:, None] * np.diff(ys)).sum()
+    for grid in (1 << 18, 40):
+        monkeypatch.setattr(cv, "GRID", grid)
+        area, both = cv.covered_parts(own, region, cover, to)
+        assert np.allclose(area, [shared(b, region) for b in own]) and np.allclose(both, [shared(b, region, cover) for b in own])
+        assert np.allclose(cv.covered_parts(own, None, cover, to)[1], [shared(b, cover) for b in own])
+
+
+def test_crowded_page_lists_no_pairs(spark):
+    """2,000 boxes over one spot and as many covers: the rows stay those of the boxes, and boxes of one ident count as their union."""
+    own = spark.range(2000).selectExpr("1 AS page", "id % 1000 AS id", "0.0 AS x0", "0.0 AS y0", "4.0 AS x1", "2.0 AS y1")
+    cover = spark.range(2000).selectExpr("1 AS page", "0.0 AS x0", "0.0 AS y0", "1.0 AS x1", "2.0 - id / 2000 AS y1")
+    done = cv.uncovered_boxes(own, cover, ["page"], "id", threshold=0.5)
+    assert "Join" not in done._jdf.queryExecution().executedPlan().toString()
+    assert {(r.area, r.share) for r in done.collect()} == {(8.0, 0.25)} and done.count() == 1000
