@@ -225,17 +225,17 @@ def bare_pinyin(col: Column) -> Column:
 
 def transliterate(col: Column) -> Column:
     """Pinyin to Russian letters word by word; null when any part is not pinyin."""
-    words = F.filter(F.split(bare_pinyin(col), "[^a-zv']+"), lambda w: w != "")
+    bare = bare_pinyin(col)
+    words = F.filter(F.split(bare, "[^a-zv']+"), lambda w: w != "")
     def parts(w):
         return F.regexp_extract_all(w, F.lit(PINYIN_PART), F.lit(0))
-    def parses(w):
-        pieces = F.flatten(F.transform(F.split(w, "'"), parts))
-        return F.array_join(pieces, "") == F.replace(w, F.lit("'"), F.lit(""))
+    # Nothing is left if every letter lies in a syllable that begins where the last one ends.
+    parses = F.regexp_replace(bare, f"\\G(?:[^a-zv]|{PINYIN_PART})", "") == ""
     def ru(w):
         joined = F.array_join(F.transform(F.flatten(F.transform(F.split(w, "'"), parts)), _part_ru), "")
         return F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, F.lit(2), F.length(joined)))
-    # The test ends at the first word that is not pinyin, so most text is never taken apart.
-    return F.when((F.size(words) > 0) & F.forall(words, parses), F.array_join(F.transform(words, ru), " "))
+    # Text that is not pinyin is never taken apart.
+    return F.when(bare.rlike("[a-zv']") & parses, F.array_join(F.transform(words, ru), " "))
 
 
 def track_code(col: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, records, text as tx
 from ..operators import layout
+from ..operators.lineage import cut_lineage
 from .demo import demo
 
 HAN = ("aou", "汉字页")  # gives the Latin test documents some Han characters
@@ -104,7 +105,8 @@ def _(t):
 
 @demo("transliterate")
 def _(t):
-    return words(t).select("word", tx.transliterate(F.col("word")).alias("russian")).filter("russian IS NOT NULL")
+    # Written first, as the filter would else be pushed below the distinct and work on every occurrence.
+    return cut_lineage(words(t)).select("word", tx.transliterate(F.col("word")).alias("russian")).filter("russian IS NOT NULL")
 
 
 @demo("track_code", """

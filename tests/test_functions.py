@@ -192,3 +192,11 @@ def test_edit_paths_work_on_few_cells():
     first, last = alignment._window(a, z, len(z) - len(a) + 1)
     assert (last - first).max() <= 12 < (len(z) - len(a)) // 64
     assert alignment.edit_paths([(a, z)], [float("inf")])[0][len(a)] == len(z)
+
+
+def test_transliterate_looks_at_each_word_once(spark, tmp_path):
+    from folioframe.plans import QUERIES
+    spark.createDataFrame([(1, "nǐ hǎo hello nǐ"), (2, "nǐ xyz")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    done = QUERIES["transliterate"](spark, str(tmp_path))
+    assert "Aggregate" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.word, r.russian) for r in done.collect()} == {("nǐ", "Ни"), ("hǎo", "Хао")}
