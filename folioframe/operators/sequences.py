@@ -245,10 +245,8 @@ def attach_punctuation(df: DataFrame, part: list[str], order: list[str], token:
     Marks before the first word form a piece of their own.
     """
     o = Ordered(df.withColumn("__w", word.cast("long")), part, order).add(__word=("sum", "__w"), __i=("row",))
-    tagged = o.done()
-    leading = tagged.groupBy(*part).agg(F.min("__word").alias("__first"))
-    pieces = (tagged.alias("l").join(leading.alias("r"), null_safe("l", "r", part)).select("l.*", "r.__first")
-              .withColumn("piece", F.col("__word") - F.col("__first") + 1))
+    # The number of words never falls, so the least one so far is that of the first token.
+    pieces = o.add(__first=("min", "__word")).done().withColumn("piece", F.col("__word") - F.col("__first") + 1)
     if limit is not None:
         pieces = pieces.filter(F.col("piece") <= limit)
     text = F.array_sort(F.collect_list(F.struct("__i", token)))
