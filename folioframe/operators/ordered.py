@@ -128,6 +128,7 @@ class Ordered:
         next                 first non-null value of the later rows
         lag, lead            the row directly before or after
         row                  1, 2, 3 ... in order (no column)
+        total                sum over all rows of the key
         """
         specs = {n: (s if isinstance(s, tuple) else (s,)) for n, s in specs.items()}
         parts = self.keys + ([_CHUNK] if self.hot is not None else []) or [F.lit(0)]  # less than a chunk in all: one group
@@ -142,6 +143,8 @@ class Ordered:
             c = _col(arg[0]) if arg else None
             if kind == "row":
                 local[name] = F.row_number().over(inner).cast("long")
+            elif kind == "total":
+                local[name] = F.sum(c).over(inner.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
             elif kind in ("sum", "max", "min"):
                 local[name] = getattr(F, kind)(c).over(upto)
             elif kind == "last":
@@ -185,6 +188,8 @@ class Ordered:
                 v = F.least(mine, carry)
             elif kind in ("last", "prior_last", "next"):
                 v = F.coalesce(mine, carry)
+            elif kind == "total":  # the carry is that of all chunks
+                v = F.coalesce(carry, mine)
             else:
                 v = F.when(F.col("__ord_head" if kind == "lag" else "__ord_tail"), F.col(f"r.{c}.v")).otherwise(mine)
             out.append(v.alias(c))
@@ -199,7 +204,7 @@ class Ordered:
             c = _col(arg[0]) if arg else None
             if kind == "row":
                 a = F.count(F.lit(1))
-            elif kind == "sum":
+            elif kind in ("sum", "total"):
                 a = F.sum(c)
             elif kind in ("max", "prior_max"):
                 a = F.max(c)
@@ -219,11 +224,14 @@ class Ordered:
         wb = (Window.partitionBy(*self.keys) if self.keys else Window.partitionBy(F.lit(0))).orderBy(F.desc(_CHUNK))
         before = w.rowsBetween(Window.unboundedPreceding, -1)
         after = wb.rowsBetween(Window.unboundedPreceding, -1)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         cols = []
         for name, (kind, *_) in specs.items():
             c = F.col(name)
             if kind in ("sum", "row"):
                 v = F.sum(c).over(before)
+            elif kind == "total":
+                v = F.sum(c).over(whole)
             elif kind in ("max", "prior_max"):
                 v = F.max(c).over(before)
             elif kind == "min":

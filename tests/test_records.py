@@ -242,3 +242,26 @@ def test_split_points_of_odd_keys(spark):
         assert sorted(r["n"] for r in mine) == list(range(1, 43))
         assert max(r["total"] for r in mine) == sum(range(40)) + 39
     assert Ordered(df.limit(0), ["k"], ["v"]).add(n=("row",)).done().collect() == []
+
+
+def test_ordered_total(spark):
+    """The total of a key is the same in all of its rows, whether the key is cut or not."""
+    from folioframe.operators.ordered import Ordered
+    rows = [(1 if i < 900 else None if i < 950 else i, i, i % 7 if i % 5 else None) for i in range(1000)]
+    o = Ordered(spark.createDataFrame(rows, "k int, i int, v int"), ["k"], ["i"], chunks=9).add(t=("total", "v"), n=("total", F.lit(1)))
+    assert o.hot is not None
+    for r in o.done().collect():
+        mine = [v for k, _, v in rows if k == r.k]
+        assert (r.t, r.n) == (sum(v for v in mine if v is not None) if any(v is not None for v in mine) else None, len(mine))
+
+
+def test_pieces_and_widths_need_no_join(spark):
+    from folioframe.operators import layout
+    df = spark.createDataFrame([(1, 0, ","), (1, 1, "a"), (1, 2, "!"), (1, 3, "b"), (None, 0, "c"), (None, 1, "?")], "d int, i int, t string")
+    pieces = sq.attach_punctuation(df, ["d"], ["i"], "t", F.col("t").rlike("[a-z]"))
+    assert {tuple(r) for r in pieces.collect()} == {(1, 1, ","), (1, 2, "a!"), (1, 3, "b"), (None, 1, "c?")}
+    widths = layout.allocate_width(df.withColumns({"x": F.lit(0.1), "w": F.lit(0.8)}), ["d"], "i", "t", "x", "w")
+    assert {r.i: round(r.x + r.w, 9) for r in widths.collect() if r.d == 1}[3] == 0.9
+    for done in (pieces, widths):
+        plan = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert "SortMergeJoin" not in plan and plan.count("Exchange") == 1
