@@ -137,3 +137,12 @@ def test_short_pages_are_shuffled_once(spark):
     df = spark.range(100).selectExpr("id % 3 AS page", "id AS i", "'w' AS text", "0.1 AS x", "id / 100 AS y", "0.1 AS w", "0.01 AS h")
     plan = rd.group_words_to_lines(df, ["page"], "i")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_text_beyond_a_full_stretch(spark):
+    sources = spark.createDataFrame([(1, "abcd"), (2, "abcd"), (3, ""), (4, ""), (5, None), (6, "abcd"), (6, "abcdefgh"), (None, "ab"), (7, "abcdefgh")], "r int, s string")
+    pieces = spark.createDataFrame([(1, 0, "ab"), (1, 1, "C d"), (2, 0, "abcd"), (2, 1, "e"), (4, 0, "x"), (5, 0, "x"), (6, 0, "abcdefgh"), (None, 0, "ab"), (7, 0, "abcd"), (9, 0, "x")], "r int, i int, t string")
+    done = rd.region_disagreement(sources, pieces, ["r"], "s", ["i"], "t", stretch=4)
+    assert sorted(r.r for r in done.collect()) == [2, 4, 6, 6, 7]
+    # The pieces are put in order once.
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1
