@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import boxes
-from ..functions.alignment import line_texts, match_score, reading_gate
+from ..functions.alignment import best_match_score, line_texts, match_score, reading_gate
 from ..functions.text import HAN_RANGE, plain_key
 from .islands import each_group
 from .lineage import cut_lineage
@@ -185,21 +185,23 @@ def fuzzy_assign(lines: DataFrame, blocks: DataFrame, page: list[str], accept: f
     """
     strip = 0.1
     l = lines.withColumns({"__key": plain_key(F.col("text")), "__cx": F.col("box.x") + F.col("box.w") / 2, "__cy": F.col("box.y") + F.col("box.h") / 2})
+    l = l.withColumn("__key", F.explode(F.array("__key")))  # so that the filter does not make the key again
     l = l.filter(F.length("__key") >= 2).select(*page, "line", "__key", "__cx", "__cy", F.col("box").alias("__lb"), F.floor(F.col("__cy") / strip).alias("__s"))
-    b = blocks.withColumns({"__text": plain_key(F.col("text")), "__own": F.transform(F.split("text", "\n"), plain_key), "__g": boxes.grow(F.col("box"), 0.15, 0.1)})
+    own = F.when(F.contains("text", F.lit("\n")), F.transform(F.split("text", "\n"), plain_key))  # a single line is the text itself
+    b = blocks.withColumns({"__text": plain_key(F.col("text")), "__own": own, "__g": boxes.grow(F.col("box"), 0.15, 0.1)})
     b = b.select(*page, "block", "__text", "__own", F.col("box").alias("__bb"), "__g",
                  F.explode(F.sequence(F.floor(F.col("__g.y") / strip), F.floor((F.col("__g.y") + F.col("__g.h")) / strip))).alias("__s"))
     near = l.join(b, [*page, "__s"]).filter(F.col("__cx").between(F.col("__g.x"), F.col("__g.x") + F.col("__g.w")) & F.col("__cy").between(F.col("__g.y"), F.col("__g.y") + F.col("__g.h")))
-    whole = F.array_contains("__own", F.col("__key"))
+    whole = F.when(F.col("__own").isNull(), F.col("__text") == F.col("__key")).otherwise(F.array_contains("__own", F.col("__key")))
     dist = boxes.center_dist(F.col("__lb"), F.col("__bb"))
     bonus = F.when(whole, 0.5).otherwise(0.0) + F.when(F.col("__cx").between(F.col("__bb.x"), F.col("__bb.x") + F.col("__bb.w"))
                                                        & F.col("__cy").between(F.col("__bb.y"), F.col("__bb.y") + F.col("__bb.h")), 0.75).otherwise(0.0)
     near = near.select(*page, "line", "block", "__key", "__text", (bonus - dist * 1.5).alias("__lift"), F.contains("__text", F.col("__key")).alias("__in"))
-    cols = [*page, "line", "block", "__lift"]
-    sure = near.filter("__in").select(*cols, F.lit(1.0).alias("score"))
-    # A line with a contained match can only lose to another block by rank, so all candidates are scored.
-    rest = near.filter(~F.col("__in") & (F.length("__text") > 0)).select(*cols, match_score(F.col("__key"), F.col("__text"), accept).alias("score"))
-    scored = sure.unionByName(rest).filter(F.col("score") >= accept).withColumn("rank", F.col("score") + F.col("__lift"))
+    # A line's candidates come one after the other, and a candidate whose lift leaves it behind another one is not compared.
+    asked = F.when(~F.col("__in"), F.col("__text"))
+    near = near.filter(F.col("__in") | (F.length("__text") > 0))
+    near = near.select(*page, "line", "block", "__lift", best_match_score(F.to_json(F.struct(*page, "line")), F.when(~F.col("__in"), F.col("__key")), asked, F.col("__lift"), accept).alias("score"))
+    scored = near.filter(F.col("score") >= accept).withColumn("rank", F.col("score") + F.col("__lift"))
     first = F.struct(-F.col("rank"), -F.col("score"), F.col("block"))  # of equal blocks the first
     best = scored.groupBy(*page, "line").agg(F.min_by(F.struct("block", "score", "rank"), first).alias("__b"))
     return best.select(*page, "line", "__b.*")

@@ -164,6 +164,33 @@ def test_match_share(seed):
         assert floored == pytest.approx(want) if want >= 0.6 else floored < 0.6
 
 
+def test_match_scores_compare_what_can_win(monkeypatch):
+    """The best pair of each owner is that of comparing all, but neighbours that cannot win are not compared."""
+    import random
+
+    import pandas as pd
+    rnd = random.Random(4)
+    rows = []
+    for owner in range(60):
+        texts = ["".join(rnd.choices("abcdefgh汉", k=rnd.choice([5, 20, 64, 150, 1100]))) for _ in range(3)]
+        rows += [(str(owner), "".join(rnd.choice("xy") if rnd.random() < 0.1 else c for c in texts[1]), t, lift) for t, lift in zip(texts, (-0.18, 0.75, -0.18))]
+    rnd.shuffle(rows)
+    assert alignment._commons([r[1:3] for r in rows]) == [alignment._common(*r[1:3]) for r in rows]
+    full = [alignment.match_share(line, text, 0.6) for _, line, text, _ in rows]
+    calls = []
+    monkeypatch.setattr(alignment, "match_share", lambda *a, f=alignment.match_share: calls.append(1) or f(*a))
+    owners, lines, texts, lifts = (pd.Series(c) for c in zip(*rows))
+    got = alignment.match_scores(owners, lines, texts.where([b not in t for b, t in zip(lines, texts)], None), lifts, 0.6).tolist()
+    def best(scores):
+        kept = {}
+        for k, (s, r) in enumerate(zip(scores, rows)):
+            if s >= 0.6:
+                kept[r[0]] = max(kept.get(r[0], (-9.0, 0)), (s + r[3], -k))
+        return kept
+    assert best(got) == best(full) and len(best(full)) > 40
+    assert len(calls) < len(rows) * 0.7
+
+
 def test_cut_lines():
     assert alignment.cut_lines("你好 世界朋友", ["你好世", "界朋"]) == ["你好 世", "界朋友"]
     assert alignment.cut_lines("abcdef", ["xxxxxx"], 0.3) is None
