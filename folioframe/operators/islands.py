@@ -96,33 +96,104 @@ def each_island(df: DataFrame, page: list[str], order: list[Column], work: Calla
 
 # -- clusters of one island ----------------------------------------------------------------
 
-def chained(box: np.ndarray, join: float) -> np.ndarray:
-    """Of each box the place of the first one that a chain of gaps under ``join`` connects it to."""
-    first = np.full(len(box), -1)
-    for i in range(len(box)):
-        if first[i] >= 0:
-            continue
-        first[i], waiting = i, [i]
-        while waiting:
-            k = waiting.pop()
-            open_ = np.flatnonzero(first < 0)
-            rest = box[open_]
-            near = open_[np.maximum(np.maximum(_apart(box[k], rest, 0), _apart(box[k], rest, 1)), 0) < join]
-            first[near] = i
-            waiting.extend(near.tolist())
+EDGES = 1 << 18  # close pairs that are held before they are joined
+
+
+def chained(box: np.ndarray, of: np.ndarray, join: float) -> np.ndarray:
+    """Of each box the place of the first one that a chain of gaps under ``join`` connects it to; boxes of different ``of`` (in order) stay apart.
+
+    From left to right, each box is compared with the next one, the one after it and so on, as long as those begin within reach: all boxes at a time.
+    """
+    first = np.arange(len(box))
+    if not len(box) or join <= 0:
+        return first
+
+    def joined(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal first
+        while len(a):
+            low, high = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
+            apart = low < high
+            a, b = a[apart], b[apart]
+            np.minimum.at(first, high[apart], low[apart])
+            while True:
+                up = first[first]
+                if (up == first).all():
+                    break
+                first = up
+
+    order = np.lexsort((box[:, 0], of))
+    x0, y0, of = box[order, 0], box[order, 1], of[order]
+    x1, y1 = x0 + box[order, 2], y0 + box[order, 3]
+    open_, step, held, count = np.arange(len(box)), 0, [], 0
+    while len(open_):
+        step += 1
+        open_ = open_[open_ + step < len(box)]
+        other = open_ + step
+        reach = (of[open_] == of[other]) & (x0[other] - x1[open_] < join)  # later boxes begin no farther left
+        open_, other = open_[reach], other[reach]
+        near = (x0[other] - x1[other] < join) & (np.maximum(y0[open_], y0[other]) - np.minimum(y1[open_], y1[other]) < join)
+        a, b = order[open_[near]], order[other[near]]
+        new = first[a] != first[b]
+        held.append((a[new], b[new]))
+        count += len(held[-1][0])
+        if count > EDGES or not len(open_):
+            joined(*(np.concatenate(side) for side in zip(*held)))
+            held, count = [], 0
+    if held:
+        joined(*(np.concatenate(side) for side in zip(*held)))
     return first
 
 
 def cluster_islands(cut: DataFrame, page: list[str], ident: str, join: float) -> DataFrame:
     """The rows of ``islands`` with ``cluster``, the smallest ident of those that a chain of gaps under ``join`` connects."""
     def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
-        box, ends = _boxes(table), [*starts[1:], len(table)]
-        first = np.concatenate([a + chained(box[a:b], join) for a, b in zip(starts, ends)])
+        first = chained(_boxes(table), np.repeat(np.arange(len(starts)), np.diff([*starts, len(table)])), join)
         return table.append_column("cluster", table[ident].take(pa.array(first)))
 
     return each_island(cut, page, [F.col(ident)], work, T.StructType([*cut.schema.fields, T.StructField("cluster", cut.schema[ident].dataType)]))
 
 
+def cluster_pages(boxes: DataFrame, page: list[str], ident: str, join: float) -> DataFrame:
+    """``boxes`` with ``cluster``, as ``cluster_islands`` names it, many whole pages at a time; boxes without a place are clusters of their own.
+
+    Rows of one page and ident get the clusters of all of them that have a place, one row each.
+    """
+    kept, sides = boxes.columns, [f"__{c}" for c in "xywh"]
+    asked = boxes.withColumns({"__placed": placed(), **{f"__{c}": F.col(c).cast("double") for c in "xywh"}})
+
+    def flat(table: pa.Table) -> pa.Table:
+        while any(pa.types.is_struct(f.type) for f in table.schema):
+            table = table.flatten()
+        return table.rename_columns([str(n) for n in range(table.num_columns)])
+
+    def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        n = len(table)
+        at = np.flatnonzero(table["__placed"].to_numpy())
+        of = np.repeat(np.arange(len(starts)), np.diff([*starts, n]))
+        box = np.column_stack([table[c].to_numpy().astype(np.float64) for c in sides])[at]
+        named = np.arange(n)
+        named[at] = at[chained(box, of[at], join)]
+        keys = flat(table.select([*page, ident]))
+        begin = _starts(keys, keys.column_names)
+        alike = np.repeat(np.arange(len(begin)), np.diff([*begin, n]))
+        have = np.bincount(alike[at], minlength=len(begin))
+        times = np.maximum(have, 1)[alike]
+        row = np.repeat(np.arange(n), times)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        among = (np.cumsum(have) - have)[alike[row]] + nth
+        known = have[alike[row]] > 0
+        source = row.copy()
+        source[known] = named[at[among[known]]]
+        empty = pc.is_null(table[ident]).to_numpy()
+        source = np.where(empty[source], row, source)
+        out = table.select(kept)
+        out = out if len(row) == n else out.take(pa.array(row))
+        return out.append_column("cluster", table[ident].take(pa.array(source)))
+
+    schema = T.StructType([*boxes.schema.fields, T.StructField("cluster", boxes.schema[ident].dataType)])
+    return each_group(asked, page, [F.col(ident)], work, schema)
+
+
 # -- absorption inside one island ------------------------------------------------------------
 
 # How near a piece lies, and how much of it has to stand beside a target.

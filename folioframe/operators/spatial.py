@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .islands import BAND, ISLAND, SIDE, UNDER, absorb_islands, cluster_islands, islands, placed
+from .islands import BAND, ISLAND, SIDE, UNDER, absorb_islands, cluster_islands, cluster_pages, islands, placed
 from .lineage import cut_lineage
 from .ordered import Ordered, null_safe
 from .sequences import as_of, last_before, with_places
@@ -240,10 +240,19 @@ ISLAND_ROWS = 4096  # boxes of one island that a task compares; larger islands g
 def cluster_by_gap(boxes: DataFrame, page: list[str], ident: str, join: float) -> DataFrame:
     """Cluster of every box (columns page, ident, x, y, w, h): boxes closer than ``join`` belong together.
 
-    The cluster is named by its smallest ident; idents are unique in the table.  Pages are cut into islands that lie at least ``join`` apart.  An
-    island of up to ``ISLAND_ROWS`` boxes is one task's work, a larger one is spread over the cells of a grid; both ways are exact.
-    Boxes without a finite place and size are clusters of their own.
+    The cluster is named by its smallest ident; idents are unique in the table.  Pages of up to ``ISLAND_ROWS`` boxes are read whole, in one shuffle of
+    the boxes.  Larger ones are cut into islands that lie at least ``join`` apart.  An island of up to ``ISLAND_ROWS`` boxes is one task's work, a larger
+    one is spread over the cells of a grid; all ways are exact.  Boxes without a finite place and size are clusters of their own.
     """
+    long = cut_lineage(boxes.groupBy(*page).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > ISLAND_ROWS))
+    if long.isEmpty():
+        return cluster_pages(boxes, page, ident, join)
+    part = lambda how: boxes.alias("l").join(long.alias("r"), null_safe("l", "r", page), how)
+    return cluster_pages(part("left_anti"), page, ident, join).unionByName(_cluster_long(part("left_semi"), page, ident, join))
+
+
+def _cluster_long(boxes: DataFrame, page: list[str], ident: str, join: float) -> DataFrame:
+    """``cluster_by_gap`` without a task that holds a page."""
     at = cut_lineage(boxes.select(*page, ident, *[F.col(c).cast("double").alias(c) for c in "xywh"]).filter(placed()))
     cut = islands(at, page, [ident], join, join)
     whole = [*page, BAND, ISLAND]

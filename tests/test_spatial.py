@@ -155,3 +155,16 @@ def test_trace_score(spark):
     t, r = spark.createDataFrame(traces, schema), spark.createDataFrame([("a", line)], "stroke string, points array<struct<x:double,y:double>>")
     got = {x.n: (round(x.distance, 2), x.passed) for x in strokes.trace_score(t, r, ["stroke"], ["n"], 100.0).collect()}
     assert got == {1: (0.0, True), 2: (30.0, False), 3: (100.0, False), 4: (5.0, True)}
+
+
+def test_clusters_of_whole_pages(spark, monkeypatch):
+    """Pages of few boxes need no islands; rows without a place, without a name and given twice come out as by the islands of long pages."""
+    rnd = random.Random(6)
+    rows = [(rnd.choice([None, 1, 2]), rnd.choice([None, i, i]), rnd.choice([None, rnd.random(), rnd.random(), float("nan")]), rnd.random(), rnd.random() * 0.1, 0.02) for i in range(120)]
+    df = spark.createDataFrame(rows + rows[::5], "page int, id int, x double, y double, w double, h double")
+    take = lambda: sorted(map(repr, sp.cluster_by_gap(df, ["page"], "id", 0.08).collect()))
+    monkeypatch.setattr(sp, "ISLAND_ROWS", 20)
+    want = take()
+    monkeypatch.undo()
+    monkeypatch.setattr(sp, "islands", None)
+    assert take() == want
