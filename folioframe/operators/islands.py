@@ -57,6 +57,13 @@ def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _flat(table: pa.Table) -> pa.Table:
+    """The table with a column for each field of its structs."""
+    while any(pa.types.is_struct(f.type) for f in table.schema):
+        table = table.flatten()
+    return table.rename_columns([str(n) for n in range(table.num_columns)])
+
+
 def each_group(df: DataFrame, whole: list[str], order: list[Column], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType,
                sent: list[str] | None = None) -> DataFrame:
     """``work`` on sorted rows of whole groups and the places where they begin, as many groups at a time as come in one batch.
@@ -161,11 +168,6 @@ def cluster_pages(boxes: DataFrame, page: list[str], ident: str, join: float) ->
     kept, sides = boxes.columns, [f"__{c}" for c in "xywh"]
     asked = boxes.withColumns({"__placed": placed(), **{f"__{c}": F.col(c).cast("double") for c in "xywh"}})
 
-    def flat(table: pa.Table) -> pa.Table:
-        while any(pa.types.is_struct(f.type) for f in table.schema):
-            table = table.flatten()
-        return table.rename_columns([str(n) for n in range(table.num_columns)])
-
     def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
         n = len(table)
         at = np.flatnonzero(table["__placed"].to_numpy())
@@ -173,7 +175,7 @@ def cluster_pages(boxes: DataFrame, page: list[str], ident: str, join: float) ->
         box = np.column_stack([table[c].to_numpy().astype(np.float64) for c in sides])[at]
         named = np.arange(n)
         named[at] = at[chained(box, of[at], join)]
-        keys = flat(table.select([*page, ident]))
+        keys = _flat(table.select([*page, ident]))
         begin = _starts(keys, keys.column_names)
         alike = np.repeat(np.arange(len(begin)), np.diff([*begin, n]))
         have = np.bincount(alike[at], minlength=len(begin))
@@ -248,3 +250,31 @@ def absorb_islands(cut: DataFrame, page: list[str], target: str, piece: str) ->
 
     schema = T.StructType([*cut.schema.fields, T.StructField("owner", cut.schema[target].dataType)])
     return each_island(cut, page, [F.col(target).asc_nulls_last(), F.col(piece)], work, schema)
+
+
+# -- labels of whole pages -------------------------------------------------------------------
+
+def attach_pages(candidates: DataFrame, page: list[str], worst: float, margin: float) -> DataFrame:
+    """(page, place, label, score) of the owners that get a label, many whole pages at a time; an owner's candidates come from the nearest on."""
+    def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        keys = _flat(table.select([*page, "place"]))
+        begin = _starts(keys, keys.column_names)
+        label = table["label"].combine_chunks()
+        if pa.types.is_nested(label.type):
+            label = pa.array([repr(v) for v in label.to_pylist()])
+        label = label.dictionary_encode().indices.to_numpy()
+        name = (np.repeat(np.arange(len(starts)), np.diff([*starts, len(table)])) * (int(label.max(initial=0)) + 1) + label).tolist()
+        score, unknown = table["score"].to_numpy().tolist(), pc.is_null(table["score"]).to_pylist()
+        taken, won = set(), []
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(table)]):
+            free = (k for k in range(a, b) if name[k] not in taken)
+            best = next(free, None)
+            if best is None or unknown[best] or not score[best] <= worst:
+                continue
+            second = next((k for k in free if name[k] != name[best]), None)
+            if second is None or not score[second] - score[best] < margin:
+                taken.add(name[best])
+                won.append(best)
+        return table.take(pa.array(won, pa.int64()))
+
+    return each_group(candidates, page, [F.col("place"), F.col("score"), F.col("label")], work, candidates.schema)

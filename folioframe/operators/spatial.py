@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .islands import BAND, ISLAND, SIDE, UNDER, absorb_islands, cluster_islands, cluster_pages, islands, placed
+from .islands import BAND, ISLAND, SIDE, UNDER, absorb_islands, attach_pages, cluster_islands, cluster_pages, islands, placed
 from .lineage import cut_lineage
 from .ordered import Ordered, null_safe
 from .sequences import as_of, last_before, with_places
@@ -145,6 +145,8 @@ def reconcile_cells(cells: DataFrame, readings: DataFrame, keys: list[str], x: s
 
 # How far a label's top may be above and below the owner's edge, where the owner's lowest part begins, how far aside a label may be.
 ABOVE, BELOW, FOOT, ASIDE, ASIDE_SHARE = 0.006, 0.055, 0.72, 0.022, 0.34
+FEW_LABELS = 16  # labels of a page that meet all its owners; about the cells that an owner's zones take
+LONG_PAGE = 100_000  # candidates of a page that one task goes through; longer pages are settled in rounds
 
 
 def caption_candidates(owners: DataFrame, labels: DataFrame, page: list[str]) -> DataFrame:
@@ -152,8 +154,31 @@ def caption_candidates(owners: DataFrame, labels: DataFrame, page: list[str]) ->
 
     Owners have page, place, x, y, w, h; labels have page, label, x, y, w, h.  An owner has two zones around its lower edge: labels whose
     middle lies in its lowest part cost nothing beyond their distance from the owner's middle line, others count by how far their top is
-    from the edge.  Zones and labels meet by page and cells of the page.
+    from the edge.  On pages of over ``FEW_LABELS`` labels zones and labels meet by cells of the page.
     """
+    crowded = cut_lineage(labels.groupBy(*page).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > FEW_LABELS))
+    if crowded.isEmpty():
+        return _candidates(owners, labels, page)
+    part = lambda df, how: df.alias("l").join(crowded.alias("r"), null_safe("l", "r", page), how)
+    few, many = ([part(df, how) for df in (owners, labels)] for how in ("left_anti", "left_semi"))
+    return _candidates(*few, page).unionByName(_candidates_by_cell(*many, page))
+
+
+def _candidates(owners: DataFrame, labels: DataFrame, page: list[str]) -> DataFrame:
+    """``caption_candidates`` of pages with few labels: all of a page meet."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+    edge, middle = y + h, x + w / 2
+    o = owners.select(*page, "place", middle.alias("__middle"), edge.alias("__edge"), F.greatest(F.lit(ASIDE), w * ASIDE_SHARE).alias("__reach"), (y + h * FOOT).alias("__foot"))
+    l = labels.select(*page, "label", middle.alias("__lx"), y.alias("__top"), (y + h / 2).alias("__ly"))
+    aside = F.abs(F.col("__lx") - F.col("__middle"))
+    in_foot = (F.col("__ly") > F.col("__foot")) & (F.col("__ly") < F.col("__edge"))
+    near = (aside <= F.col("__reach")) & (in_foot | F.col("__top").between(F.col("__edge") - ABOVE, F.col("__edge") + BELOW))
+    off = F.when(in_foot, 0.0).otherwise(F.abs(F.col("__top") - F.col("__edge")) / BELOW)
+    return o.join(l, page).filter(near).select(*page, "place", "label", (aside / F.col("__reach") + off).alias("score"))
+
+
+def _candidates_by_cell(owners: DataFrame, labels: DataFrame, page: list[str]) -> DataFrame:
+    """``caption_candidates`` by cells of the page."""
     cell, x, y, w, h = 0.06, *(F.col(c) for c in "xywh")
     edge, middle = y + h, x + w / 2
     spots = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
@@ -176,10 +201,26 @@ def attach_nearest(candidates: DataFrame, page: list[str], *, worst: float = 1.2
     """One label per owner, owners in order of place, each label used once.
 
     An owner takes its nearest free label if the score is good enough and the runner-up clearly worse.
+    Pages of up to ``LONG_PAGE`` candidates are gone through whole.  Candidates without a page, an owner or a label count for nothing.
+    """
+    told = F.lit(True)
+    for c in (*page, "place", "label"):
+        told = told & F.col(c).isNotNull()
+    open_ = cut_lineage(candidates.select(*page, "place", "label", "score").filter(told))
+    long = cut_lineage(open_.groupBy(*page).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LONG_PAGE))
+    if long.isEmpty():
+        return attach_pages(open_, page, worst, margin)
+    part = lambda how: open_.alias("l").join(long.alias("r"), null_safe("l", "r", page), how)
+    return attach_pages(part("left_anti"), page, worst, margin).unionByName(_attach_rounds(cut_lineage(part("left_semi")), page, worst, margin))
+
+
+def _attach_rounds(open_: DataFrame, page: list[str], worst: float, margin: float) -> DataFrame:
+    """``attach_nearest`` without a task that holds a page.
+
     Every round settles all owners that share no candidate with an earlier open owner, so the result is
     that of going through the owners one by one.
     """
-    open_, taken = cut_lineage(candidates.select(*page, "place", "label", "score")), None
+    taken = None
     while not open_.isEmpty():
         first = open_.groupBy(*page, "label").agg(F.min("place").alias("__first"))
         ready = (open_.join(first, [*page, "label"]).groupBy(*page, "place").agg(

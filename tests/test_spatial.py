@@ -168,3 +168,24 @@ def test_clusters_of_whole_pages(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(sp, "islands", None)
     assert take() == want
+
+
+def test_attach_ways_agree(spark, monkeypatch):
+    """Whole pages come out as by cells and rounds, which short pages no longer need; candidates without a name or a score end no search."""
+    rnd = random.Random(9)
+    box = lambda: (round(rnd.random(), 2), round(rnd.random(), 2))
+    o = spark.createDataFrame([(p, i, *box(), 0.3, 0.2) for p in range(5) for i in range(14)], "page int, place int, x double, y double, w double, h double")
+    l = spark.createDataFrame([(p, f"l{i}", *box(), 0.06, 0.02) for p in range(5) for i in range(20)] + [(1, "l1", 0.3, 0.3, 0.06, 0.02)], "page int, label string, x double, y double, w double, h double")
+    def take():
+        near = sp.caption_candidates(o, l, ["page"])
+        return sorted(map(repr, near.collect())), sorted(map(repr, sp.attach_nearest(near, ["page"], margin=0.05).collect()))
+    monkeypatch.setattr(sp, "FEW_LABELS", 0)
+    monkeypatch.setattr(sp, "LONG_PAGE", 0)
+    want = take()
+    monkeypatch.undo()
+    monkeypatch.setattr(sp, "_candidates_by_cell", None)
+    monkeypatch.setattr(sp, "_attach_rounds", None)
+    monkeypatch.setattr(sp, "FEW_LABELS", 100)
+    assert take() == want and len(want[1]) > 5
+    odd = spark.createDataFrame([(1, 1, None, 0.1), (1, None, "a", 0.1), (None, 1, "a", 0.1), (1, 2, "b", None), (1, 3, "c", 0.2), (1, 3, "c", 0.25)], "page int, place int, label string, score double")
+    assert [tuple(r) for r in sp.attach_nearest(odd, ["page"]).collect()] == [(1, 3, "c", 0.2)]
