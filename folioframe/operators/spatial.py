@@ -65,19 +65,24 @@ def assign_to_region(tokens: DataFrame, regions: DataFrame, page: list[str], cx:
     """First region in order whose box (x0, y0, x1, y1; edges included) holds the token's centre; null for leftovers.
 
     Regions and centres meet in the cells of a grid and are then compared exactly, so edges may lie anywhere.  ``cell`` changes
-    the cost only: about the size of a common region is best.  Equal centres of a page are looked up once.
+    the cost only: about the size of a common region is best.  Equal centres of a page are looked up once.  ``order`` should be a number or a date.
     """
     def cells(low, high):
         return F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
     x0, y0, x1, y1 = box
-    r = (regions.select(*page, F.col(x0).alias("__x0"), F.col(y0).alias("__y0"), F.col(x1).alias("__x1"), F.col(y1).alias("__y1"), F.struct(order, F.struct(*value).alias("__v")).alias("__r"))
+    r = (regions.select(*page, F.col(x0).alias("__x0"), F.col(y0).alias("__y0"), F.col(x1).alias("__x1"), F.col(y1).alias("__y1"), F.col(order).alias("__o"), F.struct(*value).alias("__v"))
          .filter((F.col("__x0") <= F.col("__x1")) & (F.col("__y0") <= F.col("__y1")))
          .withColumn("__gx", cells("__x0", "__x1")).withColumn("__gy", cells("__y0", "__y1")))
     placed = tokens.withColumns({"__px": cx.cast("double"), "__py": cy.cast("double")})
     spots = placed.select(*page, "__px", "__py").distinct().withColumns({"__gx": F.floor(F.col("__px") / cell), "__gy": F.floor(F.col("__py") / cell)})
     inside = F.col("__px").between(F.col("__x0"), F.col("__x1")) & F.col("__py").between(F.col("__y0"), F.col("__y1"))
-    hits = spots.join(r, [*page, "__gx", "__gy"]).filter(inside).groupBy(*page, "__px", "__py").agg(F.min("__r").alias("__first"))
-    return placed.join(hits, [*page, "__px", "__py"], "left").withColumn(out, F.col("__first.__v")).drop("__px", "__py", "__first")
+    spot, met = [*page, "__gx", "__gy", "__px", "__py"], [*page, "__gx", "__gy"]
+    # A file of regions is small beside the rows of their cells, so these are shuffled whatever its size.  The first place in order is found
+    # alone, as a number that needs no sorting of the pairs; only regions of that place are compared by value.  Null comes first.
+    least = spots.join(r.hint("merge"), met).filter(inside).groupBy(*spot).agg(F.max(F.col("__o").isNull()).alias("__null"), F.min("__o").alias("__least"))
+    least = least.withColumn("__least", F.when(~F.col("__null"), F.col("__least")))
+    hits = least.join(r.hint("merge"), met).filter(inside & F.col("__o").eqNullSafe(F.col("__least"))).groupBy(*page, "__px", "__py").agg(F.min("__v").alias("__first"))
+    return placed.join(hits, [*page, "__px", "__py"], "left").withColumn(out, F.col("__first")).drop("__px", "__py", "__first")
 
 
 def uncovered(components: DataFrame, cover: DataFrame, keys: list[str], comp: tuple[str, str], span: tuple[str, str], threshold: float = 0.2) -> DataFrame:

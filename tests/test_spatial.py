@@ -189,3 +189,21 @@ def test_attach_ways_agree(spark, monkeypatch):
     assert take() == want and len(want[1]) > 5
     odd = spark.createDataFrame([(1, 1, None, 0.1), (1, None, "a", 0.1), (None, 1, "a", 0.1), (1, 2, "b", None), (1, 3, "c", 0.2), (1, 3, "c", 0.25)], "page int, place int, label string, score double")
     assert [tuple(r) for r in sp.attach_nearest(odd, ["page"]).collect()] == [(1, 3, "c", 0.2)]
+
+
+def test_regions_around_a_centre_are_not_held(spark):
+    r = random.Random(8)
+    some = lambda: round(r.uniform(0, 3), 1)
+    regions = [(r.choice([1, 2, None]), r.choice([None, *range(5)]), n, x, y, x + some(), y + some()) for n in range(150) for x, y in [(some(), some())]]
+    tokens = [(r.choice([1, 2, 3, None]), n, some(), some()) for n in range(120)]
+    a = spark.createDataFrame(regions, "page int, o int, id int, x0 double, y0 double, x1 double, y1 double")
+    t = spark.createDataFrame(tokens, "page int, t int, cx double, cy double")
+    done = sp.assign_to_region(t, a, ["page"], F.col("cx"), F.col("cy"), ("x0", "y0", "x1", "y1"), "o", ["id"], 0.7)
+    want = {}
+    for page, n, x, y in tokens:
+        fits = [(o is not None, o or 0, i) for p, o, i, x0, y0, x1, y1 in regions if p == page and p is not None and x0 <= x <= x1 and y0 <= y <= y1]
+        want[n] = min(fits)[2] if fits else None
+    assert {x.t: x.region and x.region.id for x in done.collect()} == want
+    # The rows of the cells are many more than the regions, so they are never broadcast by the size of these.
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [page#") >= 2
