@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut_lineage
@@ -119,19 +119,38 @@ def expansion_shift(df: DataFrame, part: list[str], ident: list[str], top: str,
     """Move items down by the growth of the bands above them.
 
     Items that overlap side by side share one band, whose growth is the largest one needed in it; an item
-    moves by the growth of every band that ends above it.
+    moves by the growth of every band that ends above it.  Where every part is small beside the whole, all of it is one shuffle of the items.
     """
-    items = df.filter((F.col(height) > 0) & F.col(required).isNotNull())
-    o = Ordered(items.withColumn("__end", F.col(top) + F.col(height)), part, [top, *ident]).add(__reach=("prior_max", "__end"))
-    fresh = F.col("__reach").isNull() | (F.col(top) >= F.col("__reach") - 1)
-    o.with_columns(__new=fresh.cast("long")).add(__band=("sum", "__new"))
+    counts = (F.col(height) > 0) & F.col(required).isNotNull()
     extra = F.greatest(F.lit(0.0), F.col(required) - F.col(height))
-    bands = o.done().groupBy(*part, "__band").agg(F.max("__end").alias("__end"), F.max(extra).alias("__extra"))
-    grown = Ordered(cut_lineage(bands.filter("__extra > 0")), part, ["__end", "__band"]).add(__shift=("sum", "__extra")).done()
-    moved = as_of(df, grown, part, F.col(top) + 1, F.col("__end"), F.col("__shift"), "shift")
+    fresh = F.col("__reach").isNull() | (F.col(top) >= F.col("__reach") - 1)
+    ends = df.withColumns({"__in": F.coalesce(counts, F.lit(False)), "__end": F.when(counts, F.col(top) + F.col(height))})
+    o = Ordered(ends, part, [top, *ident])
+    whole = o.hot is None
+    if not whole:
+        o = Ordered(ends.filter("__in"), part, [top, *ident])
+    o.add(__reach=("prior_max", "__end")).with_columns(__new=F.when(F.col("__in"), fresh.cast("long"))).add(__band=("sum", "__new"))
+    if whole:
+        moved = _moved_in_parts(o.done().drop("__reach"), part, top, extra).select(*df.columns, "shift")
+    else:
+        bands = o.done().groupBy(*part, "__band").agg(F.max("__end").alias("__end"), F.max(extra).alias("__extra"))
+        grown = Ordered(cut_lineage(bands.filter("__extra > 0")), part, ["__end", "__band"]).add(__shift=("sum", "__extra")).done()
+        moved = as_of(df, grown, part, F.col(top) + 1, F.col("__end"), F.col("__shift"), "shift")
     return moved.withColumn("shift", F.coalesce("shift", F.lit(0.0))).withColumn("shifted_top", F.col(top) + F.col("shift"))
 
 
+def _moved_in_parts(rows: DataFrame, part: list[str], top: str, extra: Column) -> DataFrame:
+    """Rows with ``shift``: the first row of a band also stands at the band's end, and what grew is summed up to each row's top."""
+    parts = part or [F.lit(0)]
+    band = Window.partitionBy(*parts, "__band")
+    rows = rows.withColumns({"__to": F.max("__end").over(band), "__more": F.max(F.when(F.col("__in"), extra)).over(band)})
+    row = F.struct((F.col(top) + 1).alias("at"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("more"))
+    growth = F.struct(F.col("__to").alias("at"), F.lit(0).alias("side"), F.col("__more").cast("double").alias("more"))
+    spots = F.when((F.col("__new") == 1) & (F.col("__more") > 0), F.array(row, growth)).otherwise(F.array(row))
+    upto = Window.partitionBy(*parts).orderBy("__spot.at", "__spot.side", "__band").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("__spot", F.explode(spots)).withColumn("shift", F.sum("__spot.more").over(upto)).filter("__spot.side = 1")
+
+
 def stack_rows(df: DataFrame, part: list[str], order: list[str], y: str, height: str, gap: float) -> DataFrame:
     """Place rows one below the other: own y, or the end of the row above plus the gap if that is lower."""
     step = F.col(height) + gap

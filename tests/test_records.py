@@ -1,6 +1,7 @@
 """Catalogue, revision, contract, activity and version cases."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -265,3 +266,24 @@ def test_pieces_and_widths_need_no_join(spark):
     for done in (pieces, widths):
         plan = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
         assert "SortMergeJoin" not in plan and plan.count("Exchange") == 1
+
+
+def test_expansion_shift_in_one_shuffle(spark):
+    r = random.Random(12)
+    rows = [(r.choice([None, *range(40)]), n, r.choice([None, *[float(k) for k in range(60)]]), r.choice([0.0, 0.5, 1.0, 7.0, 15.0, None]), r.choice([None, 3.0, 9.0, 20.0])) for n in range(600)]
+    df = spark.createDataFrame(rows, "page int, id int, top double, height double, required double")
+    done = sq.expansion_shift(df, ["page"], ["id"], "top", "height", "required")
+    low = float("-inf")  # a row without a place stands before all others
+    want = {}
+    for page in {x[0] for x in rows}:
+        here = sorted(((low if x[2] is None else x[2], x[1], x[3], x[4]) for x in rows if x[0] == page))
+        bands, reach = [], None
+        for top, _, h, need in here:
+            if h and need is not None:
+                if reach is None or top >= reach - 1:
+                    bands.append([low, 0.0])
+                bands[-1] = [max(bands[-1][0], top + h), max(bands[-1][1], need - h)]
+                reach = reach if top == low else max(top + h, reach or low)
+        want |= {n: sum(extra for end, extra in bands if end <= top + 1) for top, n, _, _ in here}
+    assert done._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {x.id: x.shift for x in done.collect()} == want
