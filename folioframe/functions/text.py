@@ -276,19 +276,31 @@ def split_language_layers(source: Column, pinyin: Column) -> Column:
     Native runs are joined by a blank.  The English layer loses the tokens of the reading, whatever their case, and circled
     digits; a reading without any tone mark is none.
     """
-    runs = F.regexp_extract_all(source, F.lit(_CJK_RUN), F.lit(0))
     def tidy(c):
         return F.trim(F.regexp_replace(c, "\\s+", " "))
-    latin = tidy(F.regexp_replace(source, _CJK_RUN, " "))
-    pieces = F.regexp_extract_all(pinyin, F.lit("[A-Z]{2,}|\\p{L}+|[①-⑳]|[0-9]+|\\S"), F.lit(0))
-    toned = F.filter(pieces, lambda t: (F.length(_tone_digits(t)) > 0) | t.rlike("^[A-Z]{2,}$") | t.rlike("^[①-⑳]$"))
-    toned = F.when(F.length(_tone_digits(pinyin)) > 0, toned).otherwise(F.array().cast("array<string>"))
-    read = F.coalesce(F.array_distinct(F.transform(F.filter(toned, lambda t: t.rlike("\\p{L}")), F.lower)), F.array().cast("array<string>"))
-    # The list of one struct computes both arrays once, not once per word.
-    both = F.array(F.struct(F.split(latin, " ").alias("words"), read.alias("read")))
-    english = F.array_join(F.transform(both, lambda s: F.filter(s["words"], lambda w: ~F.array_contains(s["read"], F.lower(w))))[0], " ")
-    return F.struct(F.regexp_replace(F.array_join(runs, " "), "^\\s+|\\s+$", "").alias("native"),
-                    F.coalesce(F.array_join(toned, " "), F.lit("")).alias("pinyin"), tidy(F.regexp_replace(english, "[①-⑳]", " ")).alias("english"))
+    def tokens(reading):
+        # Words of small ASCII letters are passed over, as they have neither a tone mark nor capitals.
+        pieces = F.regexp_extract_all(reading, F.lit(f"[a-z]++(?!\\p{{L}})|([A-Z]{{2,}}|\\p{{L}}+|[①-⑳{TONE_MARKS}])"), F.lit(1))
+        toned = F.filter(pieces, lambda t: (t != "") & ((F.length(_tone_digits(t)) > 0) | t.rlike("^[A-Z]{2,}$") | t.rlike("^[①-⑳]$")))
+        return F.when(F.length(_tone_digits(reading)) > 0, toned).otherwise(F.array().cast("array<string>"))
+    def english(s):
+        read = F.transform(F.filter(s["toned"], lambda t: t.rlike("\\p{L}")), F.lower)
+        words, lower = F.split(s["latin"], " "), F.split(F.lower(s["latin"]), " ")
+        # Only words that go are looked for, toned ones apart from those of ASCII letters.
+        def kept(g):
+            gone = lambda w: F.when(w.rlike(_NOT_ASCII), F.array_contains(g["toned"], F.lower(w))).otherwise(F.array_contains(g["plain"], F.lower(w)))
+            return F.array_join(F.filter(words, lambda w: ~gone(w)), " ")
+        def split(gone):
+            ascii = lambda keep: F.filter(gone, lambda t: t.rlike(_NOT_ASCII) != F.lit(keep))
+            return F.when(F.size(gone) > 0, let(F.struct(ascii(False).alias("toned"), ascii(True).alias("plain")), kept)).otherwise(s["latin"])
+        return F.when(F.size(s["toned"]) > 0, let(F.array_intersect(lower, read), split)).otherwise(s["latin"])
+    def layers(s):
+        return F.struct(F.regexp_replace(F.array_join(s["runs"], " "), "^\\s+|\\s+$", "").alias("native"),
+                        F.coalesce(F.array_join(s["toned"], " "), F.lit("")).alias("pinyin"), tidy(F.regexp_replace(english(s), "[①-⑳]", " ")).alias("english"))
+    def taken(s):
+        runs = F.regexp_extract_all(s["source"], F.lit(_CJK_RUN), F.lit(0))
+        return let(F.struct(runs.alias("runs"), tidy(F.regexp_replace(s["source"], _CJK_RUN, " ")).alias("latin"), tokens(s["pinyin"]).alias("toned")), layers)
+    return let(F.struct(source.alias("source"), pinyin.alias("pinyin")), taken)
 
 
 def proximity_flag(col: Column, trigger: str, target: str, negation: str, near: int = 70, before: int = 35) -> Column:

@@ -212,8 +212,9 @@ s AS (SELECT doc_id, h, kept, list_distinct(list_transform(list_filter(kept, lam
 SELECT doc_id, md5(trim(regexp_replace(regexp_replace(array_to_string(list_filter(words, lambda w: NOT list_contains(gone, lower(w))), ' '), '[①-⑳]', ' ', 'g'), '\\s+', ' ', 'g'))) AS english,
   md5(regexp_replace(array_to_string(regexp_extract_all(h, '{_RUN}'), ' '), '^\\s+|\\s+$', '', 'g')) AS native, md5(array_to_string(kept, ' ')) AS pinyin FROM s""")
 def _(t):
-    s = tx.split_language_layers(han_text(), F.col("text"))
-    return t.documents.select("doc_id", F.md5(s["english"]).alias("english"), F.md5(s["native"]).alias("native"), F.md5(s["pinyin"]).alias("pinyin"))
+    # The list of one struct, so that the three layers come from one reading of the text.
+    layers = t.documents.select("doc_id", F.explode(F.array(tx.split_language_layers(han_text(), F.col("text")))).alias("s"))
+    return layers.select("doc_id", *[F.md5(F.col("s")[c]).alias(c) for c in ("english", "native", "pinyin")])
 
 
 _TRIGGER, _TARGET, _NEGATION = " (?:with|that|dans|und) ", " (?:are|le|die) ", " (?:the|la|not) [^.;\\n]{0,30}$"

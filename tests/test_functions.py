@@ -1,5 +1,7 @@
 """Text, box and record functions on small literal cases."""
 
+import random
+import time
 import unittest.mock
 
 import pytest
@@ -227,3 +229,18 @@ def test_transliterate_looks_at_each_word_once(spark, tmp_path):
     done = QUERIES["transliterate"](spark, str(tmp_path))
     assert "Aggregate" not in done._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.word, r.russian) for r in done.collect()} == {("nǐ", "Ни"), ("hǎo", "Хао")}
+
+
+def test_language_layers_of_a_long_text(spark):
+    r = random.Random(14)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(6))
+    toned, plain = ["ǎ" + word("ǎǒíùbc") for _ in range(30_000)], [word("abcde") for _ in range(120_000)]
+    read, text = [*toned, "HSK", "Zhōng", "①"], [*toned[:20], *plain, "hsk", "ZHŌNG", "你好"]
+    r.shuffle(text)
+    gone = {t.lower() for t in read}
+    df = spark.createDataFrame([(" ".join(text), " ".join(read)), ("ab Nǐ ́ x", "Nǐ fooBAR ABCd ́")], "s string, p string")
+    began = time.time()
+    got = [tuple(x) for x in df.select(tx.split_language_layers(F.col("s"), F.col("p")).alias("x")).select("x.*").collect()]
+    assert time.time() - began < 30  # not every word against every toned one of the reading
+    assert got[0] == ("你好", " ".join(read), " ".join(w for w in text if w.lower() not in gone and w != "你好"))
+    assert got[1] == ("", "Nǐ ABC ́", "ab ́ x")
