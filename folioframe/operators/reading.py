@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
+from itertools import accumulate, groupby, pairwise
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import boxes
-from ..functions.alignment import best_match_score, line_texts, match_score, reading_gate
+from ..functions.alignment import best_match_score, line_texts, match_score, match_share, reading_gate
 from ..functions.text import HAN_RANGE, plain_key
 from .islands import each_group
 from .lineage import cut_lineage
@@ -207,17 +209,97 @@ def fuzzy_assign(lines: DataFrame, blocks: DataFrame, page: list[str], accept: f
     return best.select(*page, "line", "__b.*")
 
 
+LARGE_PAGE = 20_000  # lines and labels of a page that one task compares; on larger pages they meet by letters
+
+
 def claim_rest(lines: DataFrame, blocks: DataFrame, claimed: DataFrame, page: list[str], accept: float = 0.8) -> DataFrame:
     """Lines that no block has claimed, for the blocks that claimed none: (page, line, block, score).
 
     Looks at the whole page, as such a block's box may be far off.  ``blocks`` have page, block and text (short labels only: the caller
     leaves others out); ``claimed`` has page, line and block.  At least ``accept`` of the block's text has to be found in the line; a line
-    goes to the first such block.  Texts under two letters take no part.  Lines and blocks meet by letters: a block's text may
-    lack only some of its letters in a line, so one of one more of its rarest letters has to be there.
+    goes to the first such block.  Texts under two letters take no part.  Pages of up to ``LARGE_PAGE`` rows are read whole, in one shuffle.
     """
-    free = lines.select(*page, "line", plain_key(F.col("text")).alias("__line")).filter(F.length("__line") >= 2)
+    free = lines.select(*page, "line", plain_key(F.col("text")).alias("__key"), F.lit(2).alias("__kind"))
+    open_ = blocks.select(*page, "block", plain_key(F.col("text")).alias("__key"), F.lit(1).alias("__kind"))
+    free, open_ = (x.withColumn("__key", F.explode(F.array("__key"))).filter(F.length("__key") >= 2) for x in (free, open_))  # the filter does not make the key again
+    rows = cut_lineage(claimed.select(*page, "line", "block", F.lit(0).alias("__kind"), F.lit("").alias("__key")).unionByName(open_, allowMissingColumns=True)
+                       .unionByName(free, allowMissingColumns=True))
+    large = cut_lineage(rows.groupBy(*page).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LARGE_PAGE))
+    done = _claim_pages(rows, page, accept) if large.isEmpty() else None
+    if done is None:
+        part = lambda how: rows.alias("l").join(large.alias("r"), null_safe("l", "r", page), how)
+        done = _claim_pages(part("left_anti"), page, accept).unionByName(_claim_by_letters(part("left_semi"), page, accept))
+    return done.select(*page, *[F.col(c).cast(of.schema[c].dataType) for c, of in (("line", lines), ("block", blocks))], "score")
+
+
+def _claim_pages(rows: DataFrame, page: list[str], accept: float) -> DataFrame:
+    """``claim_rest`` of whole pages: rows are claims (kind 0), labels (1) and lines (2)."""
+    def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        kind, key, line, block = (table[c].to_pylist() for c in ("__kind", "__key", "line", "block"))
+        line, block = ([repr(v) for v in x] if pa.types.is_nested(table[c].type) else x for c, x in (("line", line), ("block", block)))
+        where, owner, score = [], [], []
+        for a, b in pairwise([*starts.tolist(), len(table)]):
+            kinds = kind[a:b]
+            labels, texts = a + bisect.bisect_left(kinds, 1), a + bisect.bisect_left(kinds, 2)
+            claimed_lines, claimed_blocks = set(line[a:labels]), set(block[a:labels])
+            first: dict[str, int] = {}  # the first block of each label
+            for k in range(labels, texts):
+                if block[k] not in claimed_blocks:
+                    first.setdefault(key[k], k)
+            left = [k for k in range(texts, b) if line[k] not in claimed_lines]
+            for k, label, share in _first_labels([key[k] for k in left], [(label, block[k]) for label, k in first.items()], accept):
+                where.append(left[k])
+                owner.append(first[label])
+                score.append(share)
+        found = pa.array(where, pa.int64())
+        return pa.table({**{c: table[c].take(found) for c in (*page, "line")}, "block": table["block"].take(pa.array(owner, pa.int64())), "score": pa.array(score, pa.float64())})
+
+    schema = T.StructType([*[rows.schema[c] for c in (*page, "line", "block")], T.StructField("score", T.DoubleType())])
+    found = each_group(rows, page, [F.col("__kind"), F.col("block")], work, schema, [*page, "line", "block", "__kind", "__key"])
+    # A line may come with several texts.
+    return _first_blocks(found, page)
+
+
+def _first_labels(texts: list[str], labels: list[tuple[str, object]], accept: float) -> Iterator[tuple[int, str, float]]:
+    """(place of a text, label, share) of the first block whose label the text holds ``accept`` of; labels come with their blocks, in order of these."""
+    joined, begin = "\n".join(texts), [0, *accumulate(len(t) + 1 for t in texts)]  # keys have no line breaks
+    open_ = np.ones(len(texts), bool)
+    for _, of_block in groupby(labels, key=lambda l: l[1]):
+        found: dict[int, tuple[float, str]] = {}
+        for label, _ in of_block:
+            run = math.ceil(len(label) * accept - 1e-9)
+            # A run of that share covers the label's middle; long labels may also share letters in order.
+            middle = label[len(label) - run:run]
+            if len(label) >= 12 or not middle:
+                places = np.flatnonzero(open_).tolist()
+            else:
+                places, at = [], joined.find(middle)
+                while at >= 0:
+                    k = bisect.bisect_right(begin, at) - 1
+                    if open_[k]:
+                        places.append(k)
+                    at = joined.find(middle, begin[k + 1])
+            for k in places:
+                if len(texts[k]) >= run and (share := match_share(label, texts[k], accept)) >= accept - 1e-9:
+                    found[k] = max(found.get(k, (0.0, "")), (share, label))
+        open_[[*found]] = False
+        yield from ((k, label, share) for k, (share, label) in found.items())
+
+
+def _first_blocks(scored: DataFrame, page: list[str]) -> DataFrame:
+    best = scored.groupBy(*page, "line").agg(F.min(F.struct("block", (-F.col("score")).alias("s"))).alias("__b"))
+    return best.select(*page, "line", F.col("__b.block").alias("block"), (-F.col("__b.s")).alias("score"))
+
+
+def _claim_by_letters(rows: DataFrame, page: list[str], accept: float) -> DataFrame:
+    """``claim_rest`` without a task that holds a page.
+
+    Lines and blocks meet by letters: a block's text may lack only some of its letters in a line, so one of one more of its rarest letters has to be there.
+    """
+    claimed = rows.filter("__kind = 0")
+    free = rows.filter("__kind = 2").select(*page, "line", F.col("__key").alias("__line"))
     free = cut_lineage(free.alias("l").join(claimed.alias("r"), null_safe("l", "r", [*page, "line"]), "left_anti"))
-    open_ = blocks.select(*page, "block", plain_key(F.col("text")).alias("__key")).filter(F.length("__key") >= 2)
+    open_ = rows.filter("__kind = 1").select(*page, "block", "__key")
     open_ = open_.alias("l").join(claimed.alias("r"), null_safe("l", "r", [*page, "block"]), "left_anti")
     letters = lambda c: F.array_distinct(F.split(c, ""))
     places = free.select(*page, "line", F.explode(letters(F.col("__line"))).alias("__c"))
@@ -235,8 +317,7 @@ def claim_rest(lines: DataFrame, blocks: DataFrame, claimed: DataFrame, page: li
     middle = F.substring(F.col("__key"), F.length("__key") - run + 1, 2 * run - F.length("__key"))
     likely = met.filter((F.length("__line") >= run) & ((F.length("__key") >= 12) | F.contains("__line", middle)))
     scored = likely.select(*page, "line", "block", match_score(F.col("__key"), F.col("__line"), accept).alias("score")).filter(F.col("score") >= accept - 1e-9)
-    best = scored.groupBy(*page, "line").agg(F.min(F.struct("block", (-F.col("score")).alias("s"))).alias("__b"))
-    return best.select(*page, "line", F.col("__b.block").alias("block"), (-F.col("__b.s")).alias("score"))
+    return _first_blocks(scored, page)
 
 
 def align_lines(df: DataFrame, clean: str, lines: str, *, ratio: float = 0.3, limit: int | None = None, out: str = "aligned") -> DataFrame:

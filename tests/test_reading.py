@@ -79,6 +79,29 @@ def test_claim_rest(spark):
     got = {(x.page, x.line): x.block for x in rd.claim_rest(l, b, spark.createDataFrame(claimed, "page int, line int, block int"), ["page"]).collect()}
     assert len(want) > 40 and got == want
 
+@pytest.mark.parametrize("most", [20_000, 30])
+def test_claim_rest_reads_pages_whole(spark, monkeypatch, most):
+    monkeypatch.setattr(rd, "LARGE_PAGE", most)
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcé") for _ in range(n))
+    blocks = [(p, r.choice([None, *range(9)]), word(r.choice([2, 3, 5, 8, 13, 20]))) for p in (None, 1, 2) for _ in range(14)]
+    lines = [(p, r.choice([None, *range(30)]), word(r.choice([1, 4, 9, 30]))) for p in (None, 1, 2) for _ in range(10 if p == 1 else 25)]
+    claimed = [(None, 3, 4), (1, None, 2), (2, 7, None)]
+    bare = lambda t: t.replace("é", "e")
+    want = {}
+    for p, n, line in lines:
+        if not any(c[:2] == (p, n) for c in claimed) and len(line) >= 2:
+            fits = [(b is not None, b or 0, -share) for q, b, key in blocks if q == p and (p, b) not in {(c[0], c[2]) for c in claimed} and (share := match_share(bare(key), bare(line))) >= 0.8]
+            if fits:
+                want[p, n] = min([*fits, *([want[p, n]] if (p, n) in want else [])])
+    l, b = spark.createDataFrame(lines, "page int, line int, text string"), spark.createDataFrame(blocks, "page int, block int, text string")
+    done = rd.claim_rest(l, b, spark.createDataFrame(claimed, "page int, line long, block int"), ["page"])
+    assert done.schema.simpleString() == "struct<page:int,line:int,block:int,score:double>"
+    assert ("Join" in done._jdf.queryExecution().executedPlan().toString()) == (most < 100)
+    got = {(x.page, x.line): (x.block is not None, x.block or 0, -x.score) for x in done.collect()}
+    assert len(want) > 15 and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
 
 def test_align_lines(spark):
     rows = [(1, "你好 世界朋友", ["你好世", "界朋"]), (2, "abcdefgh", ["zzzz", "yyyy"]), (3, "x" * 1600, ["x" * 1600]), (4, None, ["a"]), (5, " ", [" "])]
