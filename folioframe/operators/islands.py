@@ -52,7 +52,10 @@ def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
         for k in keys:
             v = rows[k].combine_chunks()
             a, b = v.slice(0, len(v) - 1), v.slice(1)
-            same &= pc.if_else(pc.or_(pc.is_null(a), pc.is_null(b)), pc.and_(pc.is_null(a), pc.is_null(b)), pc.equal(a, b)).to_numpy(zero_copy_only=False)
+            alike = pc.equal(a, b)
+            if pa.types.is_floating(v.type):
+                alike = pc.or_(alike, pc.and_(pc.is_nan(a), pc.is_nan(b)))
+            same &= pc.if_else(pc.or_(pc.is_null(a), pc.is_null(b)), pc.and_(pc.is_null(a), pc.is_null(b)), alike).to_numpy(zero_copy_only=False)
         new[1:] = ~same
     return np.flatnonzero(new)
 
@@ -64,12 +67,17 @@ def _flat(table: pa.Table) -> pa.Table:
     return table.rename_columns([str(n) for n in range(table.num_columns)])
 
 
-def each_group(df: DataFrame, whole: list[str], order: list[Column], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType,
-               sent: list[str] | None = None) -> DataFrame:
+def each_group(df: DataFrame, whole: list[str], order: list[Column], work: Callable[[pa.Table, np.ndarray], pa.Table | Iterator[pa.Table]], schema: T.StructType,
+               sent: list[str | Column] | None = None) -> DataFrame:
     """``work`` on sorted rows of whole groups and the places where they begin, as many groups at a time as come in one batch.
 
-    ``sent`` names the columns that ``work`` gets, by default all; others are there to sort by.
+    ``sent`` tells the columns that ``work`` gets, by default all; others are there to sort by.
     """
+    def done(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tables = work(rows, starts)
+        for table in [tables] if isinstance(tables, pa.Table) else tables:
+            yield from table.to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -79,10 +87,10 @@ def each_group(df: DataFrame, whole: list[str], order: list[Column], work: Calla
                 continue
             starts = _starts(rows, whole)
             if starts[-1]:
-                yield from work(rows.slice(0, starts[-1]), starts[:-1]).to_batches()
+                yield from done(rows.slice(0, starts[-1]), starts[:-1])
             held = rows.slice(starts[-1])
         if held is not None:
-            yield from work(held, np.zeros(1, int)).to_batches()
+            yield from done(held, np.zeros(1, int))
 
     rows = df.repartition(*whole).sortWithinPartitions(*whole, *order)
     return (rows if sent is None else rows.select(*sent)).mapInArrow(run, schema)

@@ -106,3 +106,36 @@ def test_query(spark, sf):
         pages.setdefault((r.l_suppkey, r.sheet), []).append((r.x, r.y, r.line))
     got = sorted(map(tuple, QUERIES["page_choices"](spark, sf).collect()))
     assert got == sorted((*p, *row) for p, lines in pages.items() for row in read(lines)) and len(got) > 500
+
+
+def odd_pages(rng):
+    """Lines that come twice, at places with zeros of both signs and far out, on pages with null and not-a-number keys."""
+    texts = ["1. A x", "2. A", "B y", "C", "D z", "word", "—", "—\n", "3. word", "4.B q", "1. A", "ABBA", ""]
+    out = []
+    for p, k in [(None, None), (None, 0.0), (1, float("nan")), (1, None), *((p, float(p % 2)) for p in range(2, 90))]:
+        pool = texts if p is None or p % 3 else texts[2:10]
+        lines = [(rng.choice([-0.0, 0.0, 0.1, 0.5, 0.72, 1e19, -3.0]) if p is None or p % 4 else 0.3, rng.choice([-0.0, 0.0, 0.006, 0.007, 0.014, 0.2, 0.203, 1e9]), rng.choice(pool))
+                 for _ in range(rng.randint(1, 30))]
+        out += [(p, k, *line) for line in lines for _ in range(rng.choice([1, 1, 1, 2, 3]))]
+    rng.shuffle(out)
+    return out
+
+
+def test_pages_read_whole_and_long_pages_agree(spark, monkeypatch):
+    df = spark.createDataFrame(odd_pages(random.Random(8)), "page int, k double, x double, y double, line string").repartition(3)
+    got = {}
+    for most, pairs in ((0, choices.PAIRS), (25, choices.PAIRS), (choices.LONG_PAGE, choices.PAIRS), (choices.LONG_PAGE, 5)):
+        monkeypatch.setattr(choices, "LONG_PAGE", most)
+        monkeypatch.setattr(choices, "PAIRS", pairs)
+        done = choices.page_choices(df, ["page", "k"], "line", "x", "y")
+        assert [(f.name, f.dataType.simpleString()) for f in done.schema] == [("page", "int"), ("k", "double"), ("question", "bigint"), ("letter", "string"), ("answer", "string"), ("pieces", "bigint")]
+        got[most, pairs] = sorted(map(repr, done.collect()))
+    first, *others = got.values()
+    assert len(first) > 500 and len(others) == 3 and all(other == first for other in others)
+
+
+def test_pages_are_read_in_one_shuffle(spark):
+    lines = [(i / 10, i * 0.03, t) for i, t in enumerate(["1. A x", "B y", "C z", "2. A w"])]
+    done = choices.page_choices(spark.createDataFrame([(p, *line) for p in range(50) for line in lines], "page int, x double, y double, line string"), ["page"], "line", "x", "y")
+    assert done._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, done.collect())) == [(p, *row) for p in range(50) for row in read(lines)]
