@@ -325,7 +325,8 @@ def align_lines(df: DataFrame, clean: str, lines: str, *, ratio: float = 0.3, li
 
     Every row stays.  One that cannot be cut has null, with the reason in ``<out>_reason``: ``empty`` (no text on either
     side, or a null), ``far`` (more than ``ratio`` of it differs) or, only if a ``limit`` is given, ``long`` (over that many
-    characters without blanks).  The lengths are tested first, and what passes is aligned whole, in a band as wide as its edits ask for.
+    characters without blanks).  The lengths are tested first, and what passes is aligned whole: in one
+    pass if the reading only leaves out letters or letter counts tell the way, else in a band as wide as its edits ask for.
     """
     bare = lambda c: F.regexp_replace(c, "\\s+", "")
     early = reading_gate(bare(F.col(clean)), bare(F.array_join(lines, "")), ratio, limit)

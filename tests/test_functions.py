@@ -223,6 +223,49 @@ def test_edit_paths_work_on_few_cells():
     assert alignment.edit_paths([(a, z)], [float("inf")])[0][len(a)] == len(z)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_line_ends_are_those_of_the_path(seed):
+    import random
+    rnd = random.Random(seed)
+    noises = [lambda c: c if rnd.random() > 0.2 else "", lambda c: c if rnd.random() > 0.2 else c + "b", lambda c: c if rnd.random() > 0.2 else "xy"[c > "b"], lambda c: "" if c == "a" else c,
+              lambda c: c if rnd.random() > 0.2 else rnd.choice(["", "a", "x", "cb"]), lambda c: {"a": "", "b": "x"}.get(c, c), lambda c: rnd.choice("abc"), lambda c: "xy"[c > "b"] if rnd.random() < 0.3 else rnd.choice([c, c, ""])]
+    reads, cleans = [], []
+    for k in range(400):
+        z = "".join(rnd.choices("abcd世", k=rnd.choice([0, 1, 2, 5, 12, 70])))
+        a = "".join(map(noises[k % len(noises)], z))
+        cuts = [0, *sorted(rnd.choices(range(len(a) + 1), k=rnd.choice([0, 1, 3, 9]))), len(a)]  # some lines are empty
+        reads.append([a[i:j] for i, j in zip(cuts, cuts[1:])])
+        cleans.append(z)
+    reads, cleans = [*reads, [], [], ["", ""]], [*cleans, "", "ab", "ab"]
+    for ratio in (0.05, 0.3, 1.0, float("inf")):
+        want = []
+        for read, z in zip(reads, cleans):
+            longest = max(len(a := "".join(read)), len(z))
+            path = alignment.edit_path(a, z, longest and ratio * longest)
+            want.append(None if path is None else [path[sum(map(len, read[:k]))] for k in range(1, len(read))])
+        assert alignment.line_ends(reads, cleans, ratio) == want
+        assert any(want) and (ratio >= 1 or None in want)
+
+
+def test_blanks_are_those_of_split():
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    kept = ~alignment.BLANKS[[min(ord(c), len(alignment.BLANKS) - 1) for c in text]]
+    assert "".join(c for c, k in zip(text, kept) if k) == "".join(text.split())
+
+
+@pytest.mark.parametrize("noise", [("aeno", "xyzw", ""), ("", "", "e"), ("ao", "01", "e"), ("", "", "")])
+def test_lines_are_cut_without_a_table(noise, monkeypatch):
+    """No table of edits is made of a reading that lacks letters, has others in their place, or both if letter counts tell which."""
+    import random
+    rnd = random.Random(5)
+    clean = "\n".join(" ".join("".join(rnd.choices("abcdefghijklmnostuwxyz汉", k=6)) for _ in range(12)) for _ in range(300))
+    want = alignment.cut_lines(clean, lines := clean.translate(str.maketrans(*noise)).split("\n"), 0.3)
+    for table in ("_group_rows", "_pair_rows", "_table_rows"):
+        monkeypatch.delattr(alignment, table)
+    assert alignment.cut_lines(clean, lines, 0.3) == want
+    assert want and "".join(want) == clean.replace("\n", "") and len(want) == 300
+
+
 def test_transliterate_looks_at_each_word_once(spark, tmp_path):
     from folioframe.plans import QUERIES
     spark.createDataFrame([(1, "nǐ hǎo hello nǐ"), (2, "nǐ xyz")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
